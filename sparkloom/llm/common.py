@@ -84,15 +84,15 @@ _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts in order, and the number of words of each text.
+def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in order, the words' bytes, and the number of words of each text.
 
     One pass of array operations over the UTF-8 bytes: a polynomial in the bytes of
     each word from prefix sums modulo 2^64, then scattered with the word's length.
     """
     joined = "\n".join(texts).encode()
     if not joined:
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
     raw = np.frombuffer(joined, np.uint8)
     gap = _space[raw]
     edge = np.flatnonzero(np.diff(gap, prepend=True, append=True))
@@ -104,7 +104,7 @@ def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     out = mix64(out ^ mix64((end - start).astype(np.uint64)))
     sizes = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
     limits = np.cumsum(sizes + 1)
-    return out, np.diff(np.searchsorted(start, limits), prepend=0)
+    return out, end - start, np.diff(np.searchsorted(start, limits), prepend=0)
 
 
 def shingles(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

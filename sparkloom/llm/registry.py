@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import bpe_stream, token_count, token_store
+from sparkloom.llm import bagminhash, bpe_stream, fertility, fingerprint, token_count, token_store
 
 
 def queries() -> dict:
     return {
+        "op1_fertility": fertility.query,
+        "op2_bagminhash": bagminhash.query,
         "op4_token_store": token_store.query,
         "op6_bpe_stream": bpe_stream.query,
+        "op9_weighted_sampling": fingerprint.query,
         "op10_token_count": token_count.query,
     }
 
