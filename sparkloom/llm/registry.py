@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import bagminhash, bpe_stream, fertility, fingerprint, token_count, token_store
+import corpus_pipeline
+from sparkloom.llm import bagminhash, bpe_stream, fertility, fingerprint, mixing, sharding, token_count, token_store
 
 
 def queries() -> dict:
@@ -11,8 +12,11 @@ def queries() -> dict:
         "op2_bagminhash": bagminhash.query,
         "op4_token_store": token_store.query,
         "op6_bpe_stream": bpe_stream.query,
+        "op7_pfair_mix": mixing.query,
+        "op8_virtual_slots": sharding.query,
         "op9_weighted_sampling": fingerprint.query,
         "op10_token_count": token_count.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
