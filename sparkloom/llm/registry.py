@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sparkloom.llm import bagminhash, bpe_stream, fertility, fingerprint, mixing, sharding, token_count, token_store
+from sparkloom.llm import bagminhash, bpe_stream, fertility, fingerprint, hmm, mixing, sharding, token_count, token_store
 
 
 def queries() -> dict:
     return {
         "op1_fertility": fertility.query,
         "op2_bagminhash": bagminhash.query,
+        "op3_hidden_markov": hmm.query,
         "op4_token_store": token_store.query,
         "op6_bpe_stream": bpe_stream.query,
         "op7_pfair_mix": mixing.query,
