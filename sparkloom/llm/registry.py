@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sparkloom.llm import bagminhash, bpe_stream, fertility, fingerprint, hmm, mixing, sharding, token_count, token_store
+from sparkloom.llm import bagminhash, bpe_stream, fertility, fingerprint, hmm, html_extract, mixing, sharding, token_count, token_store
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op2_bagminhash": bagminhash.query,
         "op3_hidden_markov": hmm.query,
         "op4_token_store": token_store.query,
+        "op5_html_extract": html_extract.query,
         "op6_bpe_stream": bpe_stream.query,
         "op7_pfair_mix": mixing.query,
         "op8_virtual_slots": sharding.query,
