@@ -52,8 +52,10 @@ def write_documents(documents: DataFrame, path: str, kind: str = "parquet") -> N
 
 def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Structured documents from JSON lines; lines that can't be read are left out, as is the manifest."""
-    rows = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").option("pathGlobFilter", "[!m]*").json(path).cache()
-    return rows.where(F.col("_bad").isNull() & F.col("doc_id").isNotNull()).drop("_bad")
+    rows = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
+    names = [c for c in rows.columns if c != "_bad"]
+    good = rows.where(F.col("_metadata.file_name") != "manifest.json").select(*names, "_bad")
+    return good.where(F.col("_bad").isNull() & F.col("doc_id").isNotNull()).select(*names)
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
