@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.plans import evaluation_queries, question_queries, retrieval_queries, text_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
 
+_MODULES = (text_queries, retrieval_queries, question_queries, evaluation_queries)
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}
