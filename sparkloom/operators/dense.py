@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkloom.operators.ranking import top_k
 
@@ -38,6 +39,7 @@ def search(vectors: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     if k < 1:
         raise ValueError("k must be positive")
     kinds = {f.name: f.dataType.simpleString() for f in [*vectors.schema, *questions.schema]}
+    query_type = to_arrow_type(questions.schema["query_id"].dataType)
     rows = vectors.select("chunk_id", "embedding").where(F.size("embedding") > 0)
     out = None
     asked = questions.select("query_id", "embedding").where(F.size("embedding") > 0).orderBy("query_id")
@@ -55,7 +57,7 @@ def search(vectors: DataFrame, questions: DataFrame, k: int) -> DataFrame:
                 score = np.round(flat.reshape(len(names), -1) @ matrix.T, 6)
                 best = [np.lexsort((order, -score[:, j]))[:k] for j in range(len(ids))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([q for q, b in zip(ids, best) for _ in b]), pa.array([names[i] for b in best for i in b], batch.schema.field(0).type), pa.array([float(score[i, j]) for j, b in enumerate(best) for i in b])],
+                    [pa.array([q for q, b in zip(ids, best) for _ in b], query_type), pa.array([names[i] for b in best for i in b], batch.schema.field(0).type), pa.array([float(score[i, j]) for j, b in enumerate(best) for i in b])],
                     names=["query_id", "chunk_id", "score"],
                 )
 

@@ -40,7 +40,7 @@ def curated_sources(spark: SparkSession) -> DataFrame:
 
 def read_html_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (the file's name), url and html of every .html file below path, where a fetcher has left them."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").text(path)
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.html")
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.html$", 1)
     return rows.select(name.alias("doc_id"), F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"))
 
