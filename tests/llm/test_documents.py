@@ -1,0 +1,407 @@
+"""Quality, near-duplicates, fingerprints, the language model, mixing, sharding and extraction against brute force."""
+
+import collections
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sparkloom.llm import bagminhash, fertility, fingerprint, graph, hmm, html_extract, mixing, sharding
+from sparkloom.llm.common import hashed_words, shingles, vocabulary
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(documents):
+    return {r["doc_id"]: r["text"] for r in documents.collect()}
+
+
+# hashing
+
+
+def test_hashed_words_tell_words_apart():
+    words = ["a b a", "", "b\n\nab", " é é"]
+    found, sizes, counts = hashed_words(words)
+    assert counts.tolist() == [3, 0, 2, 2] and sizes.tolist() == [1, 1, 1, 1, 2, 2, 2]
+    assert found[0] == found[2] and found[1] == found[3] and found[5] == found[6] and len(set(found.tolist())) == 4
+    items, n = shingles(found, counts, 3)
+    assert n.tolist() == [1, 0, 1, 1] and len(set(items.tolist())) == 3
+
+
+# quality
+
+
+def brute_measures(text):
+    words = WORD.findall(text or "")
+    seen = collections.Counter(zip(words, words[1:], words[2:]))
+    covered = {i + k for i in range(len(words) - 2) if seen[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality(odd, empty, rows):
+    got = fertility.quality(odd).collect()
+    assert len(got) == len(rows)
+    by = {r["doc_id"]: r for r in got}
+    for i, text, *_ in rows:
+        r = by[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute_measures(text)
+        assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
+        assert not (r["kept"] and r["base_failed"])
+    assert fertility.quality(empty).count() == 0
+    assert fertility.keep(odd).columns == odd.columns
+    kept = sorted((r["doc_id"] for r in got if r["kept"]))
+    assert sorted(r["doc_id"] for r in fertility.keep(odd).collect()) == kept
+
+
+def test_quality_against_labels(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r for r in fertility.quality(d).collect()}
+    good = bad = lost = let = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect():
+        if got[r["doc_id"]]["base_failed"]:
+            continue
+        good, bad = good + r["quality"], bad + 1 - r["quality"]
+        lost += r["quality"] and not got[r["doc_id"]]["kept"]
+        let += not r["quality"] and got[r["doc_id"]]["kept"]
+    assert lost <= 0.01 * good and let <= 0.05 * bad
+
+
+def test_scripts():
+    assert [fertility.script(t) for t in ("abc", "привет abc", "漢字かな漢", "123 !", "")] == ["LATIN", "CYRILLIC", "CJK", "", ""]
+
+
+# near-duplicates
+
+
+def bag_of(text):
+    words = WORD.findall((text or "").lower())
+    return collections.Counter([tuple(words)] if 0 < len(words) < 5 else list(zip(*(words[i:] for i in range(5)))))
+
+
+def brute_classes(rows):
+    """By doc_id the least doc_id of its class, all pairs compared."""
+    ids = [-(1 << 63) if i is None else i for i, *_ in rows]
+    bags = [bag_of(t) for _, t, *_ in rows]
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            union = sum((bags[a] | bags[b]).values())
+            same = WORD.findall((rows[a][1] or "").lower()) == WORD.findall((rows[b][1] or "").lower())
+            if same or union and sum((bags[a] & bags[b]).values()) / union >= 0.8:
+                x, y = sorted((find(ids[a]), find(ids[b])))
+                root[y] = x
+    return {i: find(i) for i in ids}
+
+
+def test_signatures_estimate_weighted_jaccard():
+    rng = np.random.default_rng(2)
+    z = []
+    for trial in range(40):
+        items = rng.integers(1, 1 << 62, size=rng.integers(3, 60)).astype(np.uint64)
+        wa = rng.integers(1, 6, len(items)) * (37 if trial % 7 == 0 else 1)
+        wb = np.maximum(wa + rng.integers(-2, 3, len(items)), 0) + (np.arange(len(items)) == 0)
+        found = bagminhash.bag_signatures(np.concatenate([np.repeat(items, wa), np.repeat(items, wb)]), np.array([wa.sum(), wb.sum()]), 1000)
+        true = np.minimum(wa, wb).sum() / np.maximum(wa, wb).sum()
+        z.append(((found[0] == found[1]).mean() - true) / max(math.sqrt(true * (1 - true) / 1000), 1e-3))
+    assert abs(np.mean(z)) < 0.6 and np.std(z) < 1.5
+
+
+def test_signature_does_not_depend_on_the_batch():
+    rng = np.random.default_rng(3)
+    bags = [rng.integers(1, 50, size=n).astype(np.uint64) for n in (1, 7, 300, 40)]
+    every = bagminhash.bag_signatures(np.concatenate(bags), np.array([len(b) for b in bags]))
+    for b, row in zip(bags, every):
+        assert (bagminhash.bag_signatures(rng.permutation(b), np.array([len(b)]))[0] == row).all()
+
+
+def test_classes_of_odd_rows(odd, empty, rows):
+    got = {r["doc_id"]: r["class_id"] for r in bagminhash.classes(odd).collect()}
+    want = brute_classes(rows)
+    assert {-(1 << 63) if k is None else k: v for k, v in got.items()} == want
+    assert bagminhash.classes(odd).count() == len(rows)
+    assert bagminhash.classes(empty).count() == 0
+    kept = sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in bagminhash.deduplicate(odd).collect())
+    assert kept == sorted({-1 if v == -(1 << 63) else v for v in want.values()})
+    assert bagminhash.deduplicate(odd).columns == odd.columns
+
+
+def test_classes_of_documents(documents, texts):
+    got = {r["doc_id"]: r["class_id"] for r in bagminhash.classes(documents).collect()}
+    assert got == brute_classes(list(texts.items()))
+
+
+def test_links_in_a_loose_group_are_not_lost(spark, monkeypatch):
+    """Many variants of one text, few of them near each other: buckets mix classes and go block by block."""
+    monkeypatch.setattr(bagminhash, "BLOCK", 8)
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(70):
+        words = list(base)
+        for p in rng.choice(120, size=rng.integers(1, 9), replace=False):
+            words[p] = f"v{rng.integers(0, 40)}"
+        rows.append((i, " ".join(words)))
+    got = {r["doc_id"]: r["class_id"] for r in bagminhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_classes(rows)
+    assert len(set(want.values())) > 1
+    assert got == want
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 99), (100, 98), (7, 7), (200, 201), (201, 200)]
+    got = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), 98: 98, 99: 98, 100: 98, 200: 200, 201: 200}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# fingerprints
+
+
+def weights(text):
+    out = collections.Counter()
+    for w in WORD.findall((text or "").lower()):
+        out[w] += len(w.encode())
+    return out
+
+
+def likeness(a, b):
+    a, b = weights(a), weights(b)
+    return sum((a & b).values()) / max(1, sum((a | b).values()))
+
+
+def test_collision_rate_is_the_generalised_jaccard(texts):
+    sample = list(texts.values())[:120]
+    found = fingerprint.signatures(sample, 512)
+    for i in range(0, 100, 2):
+        assert abs((found[i] == found[i + 1]).mean() - likeness(sample[i], sample[i + 1])) < 0.1
+    cut = [t[: 2 * len(t) // 3] for t in sample]
+    error = (found == fingerprint.signatures(cut, 512)).mean(axis=1) - np.array([likeness(a, b) for a, b in zip(sample, cut)])
+    assert abs(error.mean()) < 0.01 and np.abs(error).max() < 0.12
+
+
+def test_compared_with_next(odd, empty, rows):
+    got = fingerprint.compare_with_next(odd).collect()
+    assert len(got) == len(rows) and fingerprint.compare_with_next(empty).count() == 0
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), r[1] or ""))
+    import hashlib
+
+    want = []
+    for k, (i, text, *_) in enumerate(order):
+        text, after = text or "", order[(k + 1) % len(order)][1] or ""
+        n = len(text) // 3
+        edited = text[: len(text) - n] + after[:n]
+        a, b, c = fingerprint.signatures([text, edited, after])
+        want.append((i or -1, len(text), hashlib.sha256(edited.encode()).hexdigest(), fingerprint.as_text(a), fingerprint.as_text(b), (a == b).mean(), (a == c).mean()))
+    assert sorted((r["doc_id"] or -1, *r[1:]) for r in got) == sorted(want)
+
+
+def test_single_row_follows_itself(spark):
+    row = fingerprint.compare_with_next(spark.createDataFrame([(5, "one two three")], "doc_id long, text string")).first()
+    assert row["near_next"] == 1.0 and row["fingerprint"] != row["edited_fingerprint"]
+
+
+def test_ranges_meet(documents, texts):
+    """Over several ranges of ids, each document's next is the one below it."""
+    import hashlib
+
+    many = documents.crossJoin(documents.sparkSession.range(6).withColumnRenamed("id", "k")).withColumn("doc_id", F.col("doc_id") * 6 + F.col("k"))
+    got = {r["doc_id"]: r["edited_sha256"] for r in fingerprint.compare_with_next(many.select("doc_id", "text"), samples=4).collect()}
+    ids = sorted(got, reverse=True)
+    for k, i in enumerate(ids):
+        text, after = texts[i // 6], texts[ids[(k + 1) % len(ids)] // 6]
+        n = len(text) // 3
+        assert got[i] == hashlib.sha256((text[: len(text) - n] + after[:n]).encode()).hexdigest()
+
+
+# language model
+
+
+def test_forward_equals_the_sum_over_paths():
+    rng = np.random.default_rng(6)
+    model = hmm.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(hmm.CLASSES), 3).T)
+    seqs = [rng.integers(0, hmm.CLASSES, n) for n in (1, 5, 4)]
+    import itertools
+
+    for s, got in zip(seqs, hmm.log10_likelihoods(model, seqs)):
+        total = sum(model.start[z[0]] * math.prod(model.move[a, b] for a, b in zip(z, z[1:])) * math.prod(model.emit[c, k] for c, k in zip(s, z)) for z in itertools.product(range(3), repeat=len(s)))
+        assert got == pytest.approx(math.log10(total))
+
+
+def test_baum_welch_raises_the_likelihood_and_counts_add_up():
+    rng = np.random.default_rng(7)
+    flat = np.concatenate([rng.integers(0, 20, 300), rng.integers(20, 40, 300)])
+    share = np.full(hmm.CLASSES, 1 / hmm.CLASSES)
+    model, before = hmm.Model.first(share, 3), -np.inf
+    for _ in range(6):
+        counts = hmm.Counts(3)
+        counts.add(model, flat, *hmm.stretches(np.array([300, 300]), 77))
+        assert counts.emit.sum() == pytest.approx(600) and counts.loglik > before - 1e-6
+        before = counts.loglik
+        model = hmm.Model.from_counts(counts.start, counts.move, counts.emit, share)
+
+
+def test_stretches():
+    begin, size = hmm.stretches(np.array([5, 0, 3]), 2)
+    assert begin.tolist() == [0, 2, 4, 5, 7] and size.tolist() == [2, 2, 1, 2, 1]
+
+
+def brute_base(rows):
+    tokens = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), b" "]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    c = collections.Counter(w for i, t, *_ in rows if not held(i) for w in tokens(t))
+    n, v = sum(c.values()), len(c)
+    return sorted((i or -1, held(i), len(k := tokens(t)), sum(w in c for w in k), n, pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in k))) for i, t, *_ in rows)
+
+
+def test_scores_of_odd_rows(odd, empty, rows):
+    got = hmm.score_documents(odd).collect()
+    plain = sorted((r["doc_id"] or -1, r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in got)
+    assert plain == brute_base(rows)
+    assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
+    assert hmm.score_documents(empty).count() == 0
+
+
+def test_held_out_texts_are_likelier_than_by_single_words(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = [r for r in hmm.score_documents(d).collect() if r["held_out"]]
+    assert sum(r["score"] for r in got) > 0.97 * sum(r["base_score"] for r in got)
+    assert np.mean([r["score"] > r["base_score"] for r in got]) > 0.8
+
+
+# mixing and sharding
+
+
+def test_period_meets_releases_and_deadlines(spark):
+    slots = mixing.apportioned({"a": 5, "b": 3.3, "c": 0.1, "d": 1e-9}, 100)
+    assert sum(slots.values()) == 100 and min(slots.values()) == 1
+    rows = sorted(mixing.period_schedule(spark, slots).collect(), key=lambda r: r["slot_in_period"])
+    assert [r["slot_in_period"] for r in rows] == list(range(100))
+    done = collections.Counter()
+    for r in rows:
+        s, t = r["mix_source"], r["slot_in_period"]
+        assert r["turn"] == done[s] and done[s] * 100 // slots[s] <= t < -(-(done[s] + 1) * 100 // slots[s])
+        done[s] += 1
+        for x, w in slots.items():
+            assert abs(done[x] - w * (t + 1) / 100) < 1
+
+
+def test_mix_keeps_all_rows_and_proportions(documents):
+    out = mixing.schedule(documents, alpha=0.5, block=4096).collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(r["doc_id"] for r in documents.collect())
+    slots = mixing.target_slots({s: sum(len(r["text"].encode()) for r in out if r["source"] == s) for s in {r["source"] for r in out}})
+    period = sum(slots.values())
+    last = min(max(r["mix_slot"] for r in out if r["source"] == s) for s in slots)
+    for s, w in slots.items():
+        mine = sorted((r["mix_slot"], r["mix_place"]) for r in out if r["source"] == s)
+        assert [p for _, p in mine] == sorted(p for _, p in mine)  # its own order is kept
+        for slot, place in mine:
+            if slot <= last:
+                assert abs(place / 4096 - w * slot / period) < 2
+
+
+def test_mix_of_odd_rows(odd, empty, rows):
+    assert sorted((r["doc_id"] or -1) for r in mixing.mix(odd).collect()) == sorted((r[0] or -1) for r in rows)
+    assert mixing.mix(odd).columns == odd.columns and mixing.mix(empty).count() == 0
+    assert mixing.schedule(odd, targets={"a": 3.0, "b": 1.0}).count() == len(rows)
+
+
+def test_mix_refuses_too_many_sources(monkeypatch):
+    monkeypatch.setattr(mixing, "SOURCES", 1)
+    with pytest.raises(ValueError, match="at most"):
+        mixing.target_slots({"a": 1, "b": 2})
+
+
+def test_shards(odd, empty, rows, documents):
+    got = sharding.shard(odd).collect()
+    assert sorted((r["doc_id"] or -1, r["size"], r["text_crc32"]) for r in got) == sorted((i or -1, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
+    assert sharding.shard(empty).count() == 0
+    out = sharding.shard(documents, shards=4).collect()
+    by = collections.defaultdict(list)
+    for r in out:
+        by[r["shard"]].append(r)
+    sizes = [sum(r["size"] for r in v) for v in by.values()]
+    assert max(sizes) - min(sizes) < 0.02 * max(sizes)
+    assert all(sorted(r["slot"] for r in v) == list(range(len(v))) for v in by.values())
+
+
+def test_slot_map_is_edited_not_dealt_anew():
+    rng = np.random.default_rng(8)
+    sizes = rng.integers(1, 100, 400).tolist()
+    one = sharding.SlotMap.balanced(sizes, 8)
+    two = one.edited(sizes, 9)
+    moved = [i for i in range(400) if one.slots[i] != two.slots[i]]
+    assert two.version == 2 and {two.slots[i] for i in moved} == {8} and len(moved) < 400 / 6
+    loads = two.loads(sizes)
+    assert max(loads) - min(loads) < 0.05 * max(loads)
+    three = two.edited(sizes, 7)
+    assert set(three.slots) == set(range(7)) and max(three.loads(sizes)) < 1.05 * sum(sizes) / 7
+
+
+def test_map_versions_are_kept(spark, tmp_path):
+    path = f"file://{tmp_path}/map"
+    one = sharding.SlotMap.balanced([3, 2, 1], 2)
+    sharding.store_map(spark, path, one, [1, 1, 1])
+    sharding.store_map(spark, path, one.edited([3, 2, 9], 2), [1, 1, 1])
+    assert sharding.read_map(spark, path).first()["version"] == 2
+    assert sharding.read_map(spark, path, 1).count() == 3
+
+
+# extraction
+
+ARTICLE = "<h1>Title here</h1><p>First paragraph with <b>bold</b> words &amp; signs.</p><p>Second&nbsp;paragraph<br>of   the text, long enough.</p>"
+WANT = "Title here\nFirst paragraph with bold words & signs.\nSecond paragraph of the text, long enough."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><body><nav><a href=/>Home</a></nav><article>{ARTICLE}</article><footer>Foot words</footer></body></html>",
+        f"<body><div class='site-header'><a href=/>Home page</a></div><div id=main>{ARTICLE}</div><div class='sidebar'>Other things to see here</div></body>",
+        f"<body><main>{ARTICLE}<div class='cookie-notice'>We use cookies here.</div></main><div id='comments'><p>A reader says this and that at some length indeed.</p></div></body>",
+        f"<head><title>No</title><script>var a='<p>no</p>';</script></head><body><!-- no --><style>p{{}}</style><form><p>Sign up now</p></form>{ARTICLE}",
+        f"<body><article>{ARTICLE.replace('</p><p>', '</p><div class=ad>Buy now</div><p>')}</article><aside>Aside words</aside></body>",
+    ],
+)
+def test_extraction(page):
+    assert html_extract.extract(page) == WANT
+
+
+def test_extraction_edges():
+    assert html_extract.extract("") == "" and html_extract.extract("<body><nav>a b c</nav></body>") == ""
+    assert html_extract.extract("only words") == "only words"
+    assert html_extract.extract("<p>a<p>b</div></p>c") == "a\nb\nc"
+    assert html_extract.extract("<div>" * 5000 + "deep words" + "</div>" * 10) == "deep words"
+    assert html_extract.extract("<p>x</p><script>never closed <p>y</p>") == "x"
+
+
+def test_tags_never_gain():
+    weights = html_extract.learn_weights()
+    assert all(w < 0 for f, w in weights.items() if f.startswith("tag:")) and weights["word:main"] > 0 > weights["word:out"]
+
+
+def test_pages_table(spark):
+    rows = spark.createDataFrame([(1, "u", f"<article>{ARTICLE}</article>", "z"), (2, None, None, "z"), (2, None, None, "z"), (None, "v", "", "z")], "page_id long, url string, html string, text string")
+    got = html_extract.extract_pages(rows).collect()
+    assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in got) == [(0, "", 0), (1, WANT, len(WANT)), (2, "", 0), (2, "", 0)]
+    assert html_extract.extract_pages(rows.where("false")).count() == 0
+
+
+def test_vocabulary_path_is_a_parameter():
+    assert vocabulary("x", "/some/where") == "/some/where"

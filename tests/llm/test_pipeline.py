@@ -1,0 +1,34 @@
+"""The pipeline's stages on the smallest documents against what their operators decide."""
+
+import corpus_pipeline
+from sparkloom.llm import bagminhash, bpe_stream, fertility, registry
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages_follow_each_other(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    quality, near, mixed, encoded = (f for _, f in corpus_pipeline.STAGES)
+    good = quality(spark, docs, SF).cache()
+    assert {r["doc_id"] for r in good.collect()} == {r["doc_id"] for r in fertility.quality(docs).where("kept").collect()}
+    one = near(spark, good, SF).cache()
+    classes = bagminhash.classes(good).collect()
+    assert sorted(r["doc_id"] for r in one.collect()) == sorted({r["class_id"] for r in classes})
+    ordered = mixed(spark, one, SF).cache()
+    assert sorted(map(tuple, ordered.collect())) == sorted(map(tuple, one.collect()))
+    assert good.columns == one.columns == ordered.columns == docs.columns
+    want = sorted(map(tuple, bpe_stream.round_trip(one).collect()))
+    assert sorted(map(tuple, encoded(spark, ordered, SF).collect())) == want
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == want
+
+
+def test_stages_handle_odd_and_empty_tables(spark, odd, empty):
+    for docs in (odd, empty):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            assert out.count() <= docs.count(), name
+
+
+def test_registry_names_every_operator():
+    names = registry.queries()
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
