@@ -203,7 +203,19 @@ def retry_delays(spark, sf_dir):
     return e.select("event_id", scoring.retry_delay(F.col("header"), F.col("body"), F.col("event_id") % 7).alias("delay"), scoring.quota_spent(F.col("body")).alias("quota_spent"))
 
 
-QUERIES = {f.__name__: f for f in (system_summary, grouped_metrics, routing_distribution, routing_accuracy, head_to_head, best_system, latest_valid, batch_counts, per_question, resume_pending, resume_conflicts, fingerprints, efficiency_summary, efficiency_tracker, usage_totals, filter_benchmark, score_bands, overall_autofill, violations, judge_parse, system_names, durations, retry_delays)}
+def response_efficiency(spark, sf_dir):
+    """Efficiency out of responses' JSON, some of it missing."""
+    e = read(spark, sf_dir, "events")
+    known = F.to_json(F.struct((F.col("event_id") % 50).cast("double").alias("latency_ms"), (F.col("event_id") % 4).cast("int").alias("retrieval_calls"), F.struct((F.col("event_id") * 3).alias("total_tokens")).alias("token_usage")))
+    rows = e.select("event_id", F.when(F.col("event_id") % 3 > 0, known).when(F.col("event_id") % 2 == 0, "{}").alias("metadata"))
+    return longs(E.efficiency_of(rows).drop("metadata"))
+
+
+def sigmoids(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", F.round(scoring.sigmoid(F.col("value") - 10), 6).alias("s"), scoring.percent_difference(F.col("value"), F.col("event_id") % 3).alias("pct"))
+
+
+QUERIES = {f.__name__: f for f in (response_efficiency, sigmoids, system_summary, grouped_metrics, routing_distribution, routing_accuracy, head_to_head, best_system, latest_valid, batch_counts, per_question, resume_pending, resume_conflicts, fingerprints, efficiency_summary, efficiency_tracker, usage_totals, filter_benchmark, score_bands, overall_autofill, violations, judge_parse, system_names, durations, retry_delays)}
 
 _RECORDS = "records AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _COLUMNS.items()) + " FROM (SELECT doc_id AS d, quality::BIGINT AS quality, unnest([0, 1, 2, 3])::BIGINT AS s FROM labels))"
 _OK = "(trim(coalesce(generated_answer, '')) <> '' AND coalesce(error, '') = '')"
@@ -223,6 +235,9 @@ _PERCENTS = ", ".join(f"coalesce(round((a.{c} - b.{c}) / nullif(b.{c}, 0) * 100,
 _ORDER = "CASE system " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(SYSTEMS)) + " END"
 _N = "event_id * 37 % 9000"
 SQL = {
+    "response_efficiency": """SELECT event_id, CASE WHEN event_id % 3 > 0 THEN (event_id % 50)::DOUBLE ELSE 0.0::DOUBLE END AS latency_ms, CASE WHEN event_id % 3 > 0 THEN event_id % 4 ELSE 1 END AS retrieval_calls,
+      0::BIGINT AS chunks_processed, 0::BIGINT AS escalation_count, CASE WHEN event_id % 3 > 0 THEN event_id * 3 END AS total_tokens FROM events""",
+    "sigmoids": "SELECT event_id, round(1 / (1 + exp(-greatest(-5.0::DOUBLE, least(5.0::DOUBLE, value - 10)))), 6) AS s, coalesce(round((value - event_id % 3) / nullif((event_id % 3)::DOUBLE, 0) * 100, 2), 0) AS pct FROM events",
     "system_summary": f"WITH {_RECORDS}, {_SUMMARY} SELECT * FROM summary",
     "grouped_metrics": f"""WITH {_RECORDS} SELECT expected_intent AS intent, expected_complexity AS complexity, system, count(*) AS records, {', '.join(f'round(avg({c}), 4) AS mean_{c}' for c in (*E.QUALITY, 'recall_at_5', 'mrr'))},
       round(avg(latency_ms), 2) AS mean_latency_ms, round(avg(retrieval_calls), 2) AS mean_retrieval_calls FROM records WHERE {_VALID} GROUP BY GROUPING SETS ((expected_intent, system), (expected_complexity, system))""",

@@ -90,6 +90,10 @@ def chunk_structure(spark, sf_dir):
 
 
 def chunk_stats(spark, sf_dir):
+    return longs(chunking.chunk_stats(chunking.chunk(documents(spark, sf_dir), "fixed")))
+
+
+def chunk_stats_all(spark, sf_dir):
     return longs(chunking.chunk_stats(chunking.chunk_all(documents(spark, sf_dir), ("fixed", "fixed_overlap"))))
 
 
@@ -103,18 +107,24 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.join(held, "item_id", "left").select(F.concat(F.lit("p"), F.col("item_id").cast("string")).alias("question_id"), F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("category"), "target_doc_id", "key_phrases")
 
 
+def probe_questions(spark, sf_dir):
+    """Probes with their kind, which is their category where none is given."""
+    p = probes(spark, sf_dir).withColumn("given", F.when(F.length("question_id") > 2, "").otherwise("short"))
+    return p.select("question_id", "category", F.coalesce(F.nullif("given", F.lit("")), "category").alias("question_type"), "target_doc_id")
+
+
 def phrase_preservation(spark, sf_dir):
     p = probes(spark, sf_dir).where(F.col("target_doc_id").isNotNull())
-    chunks = chunking.chunk_all(documents(spark, sf_dir), ("fixed", "fixed_overlap"))
+    chunks = chunking.chunk(documents(spark, sf_dir), "fixed")
     return longs(chunking.preservation_rates(chunking.preservation(chunks, p)))
 
 
 def side_by_side(spark, sf_dir):
     p = probes(spark, sf_dir).where(F.col("target_doc_id").isNotNull())
-    return longs(chunking.side_by_side(chunking.chunk_all(documents(spark, sf_dir), ("fixed", "fixed_overlap")), p))
+    return longs(chunking.side_by_side(chunking.chunk(documents(spark, sf_dir), "fixed"), p))
 
 
-QUERIES = {f.__name__: f for f in (token_count, paragraph_split, sentence_split, lexical_tokens, clean_text, snippets, headings, html_clean, html_sections, page_title, ingestion_report, corpus_manifest, curated_sources, chunk_fixed, chunk_overlap, chunk_structure, chunk_stats, phrase_preservation, side_by_side)}
+QUERIES = {f.__name__: f for f in (token_count, paragraph_split, sentence_split, lexical_tokens, clean_text, snippets, headings, html_clean, html_sections, page_title, ingestion_report, corpus_manifest, curated_sources, chunk_fixed, chunk_overlap, chunk_structure, chunk_stats, chunk_stats_all, probe_questions, phrase_preservation, side_by_side)}
 
 _WORDS = "CASE WHEN trim(regexp_replace({0}, '\\s+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace({0}, '\\s+', ' ', 'g')), ' ')) END"
 _CLEAN = lambda c: strip_sql(f"regexp_replace(regexp_replace({c}, '[\\s#¶]+$', ''), '\\s+', ' ', 'g')")
@@ -139,7 +149,26 @@ chunks AS (
   FROM merged m JOIN sized s ON s.doc_id = m.doc_id AND s.n = m.n GROUP BY ALL)
 """
 
+_WORDS_OF = "string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')"
+PROBE_CTE = f"""
+phrases AS (SELECT item_id, text, [array_to_string(w[1:3], ' '), array_to_string(w[greatest(len(w) - 2, 1):], ' ')] AS ph FROM (SELECT item_id, text, {_WORDS_OF} AS w FROM benchmark)),
+probes AS (SELECT p.item_id, 'p' || p.item_id AS question_id, CASE WHEN p.item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category, min(d.doc_id) AS target, any_value(p.ph) AS ph
+  FROM phrases p LEFT JOIN documents d ON contains(d.text, p.text) GROUP BY 1, 2, 3)
+"""
+_HOLDS = "len(list_filter(ph, lambda p: NOT contains(lower(content), lower(p)))) = 0"
+
 SQL = {
+    "chunk_stats": f"""WITH RECURSIVE {FIXED_CTE} SELECT 'fixed' AS strategy, count(*) AS total_chunks, sum(token_count)::BIGINT AS total_tokens, round(avg(token_count), 2) AS avg_tokens, min(token_count) AS min_tokens, max(token_count) AS max_tokens,
+      round(avg(length(content)), 2) AS avg_chars, min(length(content)) AS min_chars, max(length(content)) AS max_chars, count(*) FILTER (token_count < 50) AS under_count, round(count(*) FILTER (token_count < 50) * 100.0::DOUBLE / count(*), 2) AS under_pct,
+      count(*) FILTER (token_count > 550) AS over_count, round(count(*) FILTER (token_count > 550) * 100.0::DOUBLE / count(*), 2) AS over_pct, round(count(*) FILTER (content <> '' AND source <> '') * 100.0::DOUBLE / count(*), 2) AS complete_pct
+      FROM chunks WHERE token_count > 0""",
+    "probe_questions": f"WITH {PROBE_CTE} SELECT question_id, category, CASE WHEN length(question_id) > 2 THEN category ELSE 'short' END AS question_type, target AS target_doc_id FROM probes",
+    "phrase_preservation": f"""WITH RECURSIVE {FIXED_CTE}, {PROBE_CTE},
+      held AS (SELECT question_id, category, max(CASE WHEN {_HOLDS} THEN 1 ELSE 0 END) AS k FROM probes JOIN chunks ON chunks.doc_id = target WHERE token_count > 0 GROUP BY 1, 2)
+      SELECT 'fixed' AS strategy, coalesce(category, '(all)') AS category, count(*) AS probes, sum(k)::BIGINT AS kept, round(sum(k) * 100.0::DOUBLE / count(*), 2) AS rate FROM held GROUP BY ROLLUP (category)""",
+    "side_by_side": f"""WITH RECURSIVE {FIXED_CTE}, {PROBE_CTE}
+      SELECT question_id, 'fixed' AS strategy, chunks.doc_id || '_fixed_' || lpad(k::VARCHAR, 4, '0') AS chunk_id, source AS section_title, token_count, {_HOLDS} AS matches, content
+      FROM probes JOIN chunks ON chunks.doc_id = target WHERE token_count > 0 QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY matches DESC, chunk_id) = 1""",
     "token_count": f"SELECT doc_id, len({tokens_sql('text')}) AS token_count, {_WORDS.format('text')} AS word_count FROM documents",
     "paragraph_split": f"SELECT doc_id, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS paragraph FROM (SELECT doc_id, {paragraphs_sql('text')} AS p FROM documents)",
     "sentence_split": f"SELECT doc_id, generate_subscripts(p, 1) - 1 AS pos, unnest(p) AS sentence FROM (SELECT doc_id, {sentences_sql('text')} AS p FROM documents)",
