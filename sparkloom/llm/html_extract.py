@@ -45,6 +45,8 @@ BESIDE = {
     *("newsletter", "subscribe", "subscription", "signup", "login", "register", "form"),
     *("comment", "comments", "commentlist", "disqus", "respond", "reply", "replies", "discussion", "share", "sharing", "social", "related", "recommended", "recommendations", "teaser", "teasers", "trending", "popular"),
 }
+#: First words of class names that tell of a state or layout, not of what an element holds: has-sidebar, no-comments.
+STATES = {"has", "no", "with", "without", "is", "js", "hide", "show"}
 #: A page's header, but not an article's.
 HEADERS = {"header"}
 #: An end is implied by the start of these.
@@ -71,7 +73,10 @@ def _beside(name: str, attributes: str, inside: bool) -> bool:
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), values[0] or values[1] or values[2]
         if key in ("class", "id", "role"):
-            parts.update(_NAME_PART.findall(_CAMEL.sub("-", value).lower()))
+            for one in value.split():
+                names = _NAME_PART.findall(_CAMEL.sub("-", one).lower())
+                if names and names[0] not in STATES:
+                    parts.update(names)
         elif key == "hidden" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
     if parts & HEADERS and not inside:

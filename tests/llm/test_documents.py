@@ -376,6 +376,7 @@ WANT = "Title here\nFirst paragraph with bold words & signs.\nSecond paragraph o
         f"<body><div class='site-header'><a href=/>Home page</a></div><div id=main>{ARTICLE}</div><div class='sidebar'>Other things to see here</div></body>",
         f"<body><main>{ARTICLE}<div class='cookie-notice'>We use cookies here.</div></main><div id='comments'><p>A reader says this and that at some length indeed.</p></div></body>",
         f"<head><title>No</title><script>var a='<p>no</p>';</script></head><body><!-- no --><style>p{{}}</style><form><p>Sign up now</p></form>{ARTICLE}",
+        f"<body class='nav-open'><div class='content has-sidebar no-comments'>{ARTICLE}</div><div class='relatedPosts'>More for you here</div></body>",
         f"<body><article>{ARTICLE.replace('</p><p>', '</p><div class=ad>Buy now</div><p>')}</article><aside>Aside words</aside></body>",
     ],
 )
