@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkloom.operators.ranking import top_k
 
-#: Questions in a block: its matrix is what a task holds beside a batch of vectors.
+#: Vectors in a block: two blocks and their product are what a task holds.
 BLOCK = 1024
 
 
@@ -29,47 +29,49 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _packed(rows: DataFrame, name: str) -> DataFrame:
+    """Blocks of at most BLOCK vectors: an array of ids and one of all their values."""
+    kind = to_arrow_type(rows.schema[0].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(kind)), pa.array([flat], pa.list_(pa.float32()))], names=[f"{name}_ids", f"{name}_flat"])
+
+    return rows.mapInArrow(run, f"{name}_ids array<{rows.schema[0].dataType.simpleString()}>, {name}_flat array<float>")
+
+
 def search(vectors: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """query_id, rank, chunk_id, score: the k vectors with the largest inner product, ties by chunk_id.
 
-    Questions, a stated set, go block by block against all vectors: each task multiplies a batch with the
-    block's matrix and keeps k a question, so that k rows a question and batch are shuffled, not all pairs.
+    A block of the questions, a stated set, meets every block of vectors in one matrix product, which
+    keeps k a question: what is shuffled is k rows a question and block, not all pairs. Nothing passes through the driver.
     Scores are rounded to 6 places. A vector without values scores nothing.
     """
     if k < 1:
         raise ValueError("k must be positive")
-    kinds = {f.name: f.dataType.simpleString() for f in [*vectors.schema, *questions.schema]}
-    query_type = to_arrow_type(questions.schema["query_id"].dataType)
-    rows = vectors.select("chunk_id", "embedding").where(F.size("embedding") > 0)
-    out = None
-    asked = questions.select("query_id", "embedding").where(F.size("embedding") > 0).orderBy("query_id")
-    block: list = []
-
-    def against(block: list) -> DataFrame:
-        ids = [r[0] for r in block]
-        matrix = np.array([r[1] for r in block], np.float64)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                names = batch.column(0).to_pylist()
-                order = np.argsort(np.argsort(np.array(names, object), kind="stable"), kind="stable")
-                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                score = np.round(flat.reshape(len(names), -1) @ matrix.T, 6)
-                best = [np.lexsort((order, -score[:, j]))[:k] for j in range(len(ids))]
+    kinds = {f.name: f.dataType for f in [*vectors.schema, *questions.schema]}
+    query_type, chunk_type = to_arrow_type(kinds["query_id"]), to_arrow_type(kinds["chunk_id"])
+    asked = _packed(questions.select("query_id", "embedding").where(F.size("embedding") > 0), "q")
+    rows = _packed(vectors.select("chunk_id", "embedding").where(F.size("embedding") > 0), "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q_ids, v_ids = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
+                q, v = (batch.column(c)[i].values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) for c, n in ((1, len(q_ids)), (3, len(v_ids))))
+                order = np.argsort(np.argsort(np.array(v_ids, object), kind="stable"), kind="stable")
+                score = np.round(v @ q.T, 6)
+                best = [np.lexsort((order, -score[:, j]))[:k] for j in range(len(q_ids))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([q for q, b in zip(ids, best) for _ in b], query_type), pa.array([names[i] for b in best for i in b], batch.schema.field(0).type), pa.array([float(score[i, j]) for j, b in enumerate(best) for i in b])],
+                    [pa.array([x for x, b in zip(q_ids, best) for _ in b], query_type), pa.array([v_ids[r] for b in best for r in b], chunk_type), pa.array([float(score[r, j]) for j, b in enumerate(best) for r in b], pa.float64())],
                     names=["query_id", "chunk_id", "score"],
                 )
 
-        return rows.mapInArrow(run, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
-
-    for row in asked.toLocalIterator():
-        block.append(row)
-        if len(block) == BLOCK:
-            out, block = (against(block) if out is None else out.unionByName(against(block))), []
-    if block or out is None:
-        out = against(block) if out is None and block else out.unionByName(against(block)) if block else questions.sparkSession.createDataFrame([], f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
-    return top_k(out, k)
+    met = asked.crossJoin(rows).mapInArrow(run, f"query_id {kinds['query_id'].simpleString()}, chunk_id {kinds['chunk_id'].simpleString()}, score double")
+    return top_k(met, k)
 
 
 def encode(texts: DataFrame, encoder, text: str = "content", dimension: int = 64) -> DataFrame:
