@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.text import lexical_tokens
 from sparkloom.operators.ranking import top_k
+from sparkloom.session import materialise
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -36,9 +37,13 @@ def term_frequencies(chunks: DataFrame, id_column: str = "chunk_id", text: str =
 
 
 def build(chunks: DataFrame, id_column: str = "chunk_id", text: str = "content") -> LexicalIndex:
-    """Index chunks. A term's idf is ln(N - df + 0.5) - ln(df + 0.5); one below zero becomes EPSILON times the mean of all."""
-    postings = term_frequencies(chunks, id_column, text)
-    sizes = chunks.select(F.col(id_column).alias("chunk_id"), F.coalesce(F.size(lexical_tokens(text)), F.lit(0)).alias("dl"))
+    """Index chunks. A term's idf is ln(N - df + 0.5) - ln(df + 0.5); one below zero becomes EPSILON times the mean of all.
+
+    Texts are cut into words once: the postings are written, and lengths and document frequencies come from them.
+    """
+    postings = materialise(term_frequencies(chunks, id_column, text), "postings")
+    lengths = postings.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))
+    sizes = chunks.select(F.col(id_column).alias("chunk_id")).join(lengths, "chunk_id", "left").select("chunk_id", F.coalesce("dl", F.lit(0)).alias("dl"))
     totals = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
     raw = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(totals).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = raw.agg((F.avg("raw") * EPSILON).alias("floor"))  # one row
@@ -64,12 +69,14 @@ def search(index: LexicalIndex, questions: DataFrame, k: int, query: str = "quer
     if k < 1:
         raise ValueError("k must be positive")
     found = scores(index, questions, query)
-    best = top_k(found, k)
     if not pad:
-        return best
+        return top_k(found, k)
+    best = materialise(top_k(found, k), "best")  # k rows a question
     asked = questions.where(F.size(lexical_tokens(query)) > 0).select("query_id")
     poor = asked.join(best.where("score >= 0").groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k), "query_id", "left_anti")
     poor = poor.distinct()
+    if poor.isEmpty():
+        return best
     every = poor.crossJoin(index.chunks.select("chunk_id")).join(found, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", F.coalesce("score", F.lit(0.0)).alias("score"))
     padded = top_k(every, k)
     return best.join(poor, "query_id", "left_anti").unionByName(padded)
