@@ -215,7 +215,21 @@ def sigmoids(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.round(scoring.sigmoid(F.col("value") - 10), 6).alias("s"), scoring.percent_difference(F.col("value"), F.col("event_id") % 3).alias("pct"))
 
 
-QUERIES = {f.__name__: f for f in (response_efficiency, sigmoids, system_summary, grouped_metrics, routing_distribution, routing_accuracy, head_to_head, best_system, latest_valid, batch_counts, per_question, resume_pending, resume_conflicts, fingerprints, efficiency_summary, efficiency_tracker, usage_totals, filter_benchmark, score_bands, overall_autofill, violations, judge_parse, system_names, durations, retry_delays)}
+def reports(spark, sf_dir):
+    """Both reports, as one row of Markdown text each."""
+    from sparkloom import reports as R
+    from sparkloom.operators import chunking
+    from sparkloom.plans.text_queries import documents, probes
+
+    r = records(spark, sf_dir)
+    summary = E.system_summary(r)
+    chunks = chunking.chunk_all(documents(spark, sf_dir), ("fixed", "fixed_overlap"))
+    kept = chunking.preservation_rates(chunking.preservation(chunks, probes(spark, sf_dir).where("target_doc_id is not null")))
+    made = [("chunking", R.chunking_report(chunking.chunk_stats(chunks), kept)), ("evaluation", R.evaluation_report(summary, E.head_to_head(summary, _PAIRS), E.best_system(summary, _METRICS, SYSTEMS), E.grouped_metrics(r)))]
+    return spark.createDataFrame(made, "report string, text string")
+
+
+QUERIES = {f.__name__: f for f in (reports, response_efficiency, sigmoids, system_summary, grouped_metrics, routing_distribution, routing_accuracy, head_to_head, best_system, latest_valid, batch_counts, per_question, resume_pending, resume_conflicts, fingerprints, efficiency_summary, efficiency_tracker, usage_totals, filter_benchmark, score_bands, overall_autofill, violations, judge_parse, system_names, durations, retry_delays)}
 
 _RECORDS = "records AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _COLUMNS.items()) + " FROM (SELECT doc_id AS d, quality::BIGINT AS quality, unnest([0, 1, 2, 3])::BIGINT AS s FROM labels))"
 _OK = "(trim(coalesce(generated_answer, '')) <> '' AND coalesce(error, '') = '')"

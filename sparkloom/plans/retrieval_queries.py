@@ -148,7 +148,21 @@ def escalation(spark, sf_dir):
     return longs(verdicts.select("query_id", "evidence_count", "is_sufficient", "recommendation", "attempts"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_term_stats, bm25_chunk_stats, bm25_topk, dense_topk, vector_normalize, rrf_fusion, hybrid_topk, rerank_overlap, retrieval_metrics, mrr_summary, context_prompt, judge_evidence, mock_answers, evidence_pool, sub_query_coverage, sufficiency, escalation)}
+def engine_systems(spark, sf_dir):
+    """The questions of the catalogue over the pages, by all four systems, from an index that is written and read."""
+    from sparkloom.engine import Engine
+    from sparkloom.plans.question_queries import questions
+    from sparkloom.session import table_path
+
+    engine = Engine.build(Engine.chunk(Engine.ingest(read(spark, sf_dir, "pages"))), path=table_path(spark, "index"))
+    out = None
+    for system in scoring.SYSTEMS:
+        hits = engine.retrieve(questions(spark), system).select(F.lit(system).alias("system"), "query_id", "rank", "chunk_id", "score")
+        out = hits if out is None else out.unionByName(hits)
+    return longs(out)
+
+
+QUERIES = {f.__name__: f for f in (engine_systems, bm25_term_stats, bm25_chunk_stats, bm25_topk, dense_topk, vector_normalize, rrf_fusion, hybrid_topk, rerank_overlap, retrieval_metrics, mrr_summary, context_prompt, judge_evidence, mock_answers, evidence_pool, sub_query_coverage, sufficiency, escalation)}
 
 _INDEX = f"""
 tok AS (SELECT doc_id, {lexical_sql('text')} AS w FROM documents),

@@ -94,3 +94,17 @@ def test_efficiency_defaults(spark):
     got = evaluation.efficiency_of(rows).collect()
     assert (got[0]["latency_ms"], got[0]["retrieval_calls"], got[0]["total_tokens"]) == (2.5, 3, 7)
     assert (got[1]["latency_ms"], got[1]["retrieval_calls"], got[1]["total_tokens"]) == (0.0, 1, None)
+
+
+def test_reports(spark):
+    rows = {r["report"]: r["text"] for r in evaluation_queries.reports(spark, SF).collect()}
+    assert "| fixed |" in rows["chunking"] and "full_rag" in rows["evaluation"] and rows["evaluation"].count("## ") == 4
+
+
+def test_evidence_as_hits(spark):
+    from sparkloom.operators import evidence
+
+    pooled = spark.createDataFrame([(1, "c", ["sub_01"], 0.5, 1)], "query_id int, chunk_id string, retrieved_by array<string>, initial_score double, overlap_count long")
+    scores = spark.createDataFrame([(1, "x", 2.0)], "query_id int, chunk_id string, rerank_score double")
+    assert evidence.as_hits(evidence.reranked(pooled, scores)).first()["score"] == 0.5
+    assert evidence.as_hits(pooled).first()["retrieval_method"] == "multi_step"
