@@ -80,8 +80,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-_space = np.zeros(256, bool)
-_space[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,7 +94,7 @@ def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not joined:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
     raw = np.frombuffer(joined, np.uint8)
-    gap = _space[raw]
+    gap = SPACE[raw]
     edge = np.flatnonzero(np.diff(gap, prepend=True, append=True))
     start, end = edge[0::2], edge[1::2]
     power, inverse = powers(len(raw) + 1)

@@ -18,6 +18,7 @@ Layout below one folder, all Parquet:
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sparkloom.llm.common import WORD, keyed_text, mix64, powers, read, vocabulary
+from sparkloom.llm.common import SPACE, keyed_text, mix64, powers, read, vocabulary
 from sparkloom.session import materialise, table_path
 
 MODEL = "word_bpe_49k.json"
@@ -38,80 +39,150 @@ LEAST, MEAN, MOST = 64, 512, 4096
 #: Ids that the rolling hash sees.
 SPAN = 12
 DIGEST = 16
-#: Words kept by a worker, and the longest of them.
-KNOWN, LONGEST = 500_000, 48
+#: Pre-tokens kept by a worker, and the longest of them.
+KNOWN, LONGEST = 1_000_000, 48
+
+
+#: Kinds of the bytes of a lower-cased text in plain Latin script: white space, letters, digits, the rest.
+GAP, LETTER, DIGIT, SIGN = range(4)
+_KIND = np.full(256, SIGN, np.int8)
+_KIND[SPACE] = GAP
+_KIND[ord("a") : ord("z") + 1] = LETTER
+_KIND[0x80:] = LETTER
+_KIND[ord("0") : ord("9") + 1] = DIGIT
+#: What the array path can't cut: other scripts, signs and modifiers beyond ASCII, control characters, and the
+#: apostrophes of contractions and the brackets of special tokens, which have rules of their own.
+_HARD = re.compile("[^\n\x0b\x0c\r\t\x20-\x26\x28-\x3b\x3d-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u01ba]")
+#: A number for each byte, twice: pre-tokens are hashed as polynomials in them.
+BYTE_HASHES = [mix64(np.arange(256, dtype=np.uint64) + np.uint64(k << 20)) for k in (1, 2)]
 
 
 class LibraryWords:
-    """Ids of texts by the tokenizers library, which sees each distinct word once.
+    """Ids of texts by the tokenizers library, which sees each distinct pre-token about once a worker.
 
-    The vocabulary's pre-tokenizer never crosses white space, so a text's ids are those
-    of its words in turn. New words are encoded many in one call with a special token
-    between, whose id marks where one ends.
+    A text in plain Latin script is cut into pre-tokens by array operations over a batch's bytes, as the vocabulary's own
+    splitting does: runs of letters, single digits, runs of other signs. New ones are encoded many in one call; each ends
+    with the one token that bears the word-end mark, which tells them apart. The library cuts and encodes any other text itself.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        if self.library.get_added_tokens_decoder():
-            self.mark_id, self.mark = next((i, str(t)) for i, t in sorted(self.library.get_added_tokens_decoder().items()))
-        else:
-            raise ValueError("a vocabulary with a special token is needed")
-        self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, words: Iterable[str]) -> None:
-        plain = []
-        for w in words:
-            if "<|" in w:
-                self.known[w] = self.pack(self.library.encode(w, add_special_tokens=False).ids)
-            else:
-                plain.append(w)
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            ids = np.array(self.library.encode(self.mark.join(part), add_special_tokens=False).ids, f"<u{self.width}")
-            marks = np.flatnonzero(ids == self.mark_id)
-            raw, size = ids.tobytes(), self.width
-            begin = 0
-            for w, end in zip(part, [*marks.tolist(), len(ids)], strict=True):
-                self.known[w] = raw[begin * size : end * size]
-                begin = end + 1
+        size = self.library.get_vocab_size(with_added_tokens=True)
+        self.width = 2 if size <= 1 << 16 else 4
+        self.ends = np.zeros(size, bool)
+        for token, i in self.library.get_vocab(with_added_tokens=False).items():
+            self.ends[i] = token.endswith("</w>")
+        self.known: dict[bytes, bytes] = {}
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The packed ids of each text."""
-        split = [WORD.findall(t) for t in texts]
-        new = {w for words in split for w in words} - self.known.keys()
-        if len(self.known) + len(new) > KNOWN:
-            self.known = {}
-            new = {w for words in split for w in words}
-        self.learn(new)
-        for words in split:
-            yield b"".join(map(self.known.__getitem__, words))
-        for w in new:
-            if len(w) > LONGEST:
-                del self.known[w]
-
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """The ends of the chunks of an id stream; the last is its length.
+    def learn(self, pieces: list[bytes]) -> None:
+        """Add the packed ids of new pre-tokens, which are lower-cased."""
+        for at in range(0, len(pieces), 256):
+            part = pieces[at : at + 256]
+            ids = np.array(self._ids([b" ".join(part).decode()])[0], f"<u{self.width}")
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
+            raw = ids.tobytes()
+            self.known |= zip(part, map(raw.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True)
 
-    A position is a candidate where the hash of the SPAN ids up to it is below a threshold,
-    which is one in MEAN; that hash depends on those ids alone, so equal passages are cut alike.
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of each text."""
+        hard = [i for i, t in enumerate(texts) if _HARD.search(t)]
+        easy = texts
+        if hard:
+            easy = list(texts)
+            for i in hard:
+                easy[i] = ""
+        parts = [t.lower().encode() for t in easy]
+        joined = b"\n".join(parts)
+        start, size, kind, first = distinct_pieces(joined)
+        pieces = [joined[i : i + n] for i, n in zip(start[first].tolist(), size[first].tolist())]
+        if len(self.known) > KNOWN:
+            self.known = {}
+        found = list(map(self.known.get, pieces))
+        if None in found:
+            self.learn([w for w, x in zip(pieces, found) if x is None])
+            found = list(map(self.known.__getitem__, pieces))
+            for w in pieces:
+                if len(w) > LONGEST:
+                    self.known.pop(w)
+        flat = np.frombuffer(b"".join(found), f"<u{self.width}")
+        length = np.fromiter(map(len, found), np.int64, len(found)) // self.width
+        n = length[kind]
+        end = np.cumsum(n)
+        shift = (np.cumsum(length) - length)[kind] - (end - n)
+        ids = flat[np.repeat(shift, n) + np.arange(int(n.sum()))].tobytes()
+        limits = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+        stops = (np.concatenate([[0], end])[np.searchsorted(start, limits)] * self.width).tolist()
+        out = list(map(ids.__getitem__, map(slice, [0, *stops[:-1]], stops)))
+        for i, found_ids in zip(hard, self._ids([texts[i] for i in hard])):
+            out[i] = self.pack(found_ids)
+        return out
+
+
+def distinct_pieces(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and size of every pre-token, the number of its distinct piece, and where each distinct piece comes first.
+
+    Pieces are told apart by 64-bit hashes of their bytes; a second hash and the size confirm that equal ones are equal.
+    """
+    raw = np.frombuffer(joined, np.uint8)
+    byte_kind = _KIND[raw]
+    edge = np.ones(len(raw) + 1, bool)
+    np.not_equal(byte_kind[1:], byte_kind[:-1], out=edge[1:-1])
+    edge[:-1] |= byte_kind == DIGIT
+    bound = np.flatnonzero(edge)
+    start, end = bound[:-1], bound[1:]
+    inside = byte_kind[start] != GAP
+    start, end = start[inside], end[inside]
+    power, inverse = powers(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    hashes = []
+    for table in BYTE_HASHES:
+        np.cumsum(table[raw] * power[: len(raw)], out=total[1:])
+        hashes.append((total[end] - total[start]) * inverse[start])
+    size = end - start
+    order = np.argsort(hashes[0], kind="stable")
+    ranked = hashes[0][order]
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, bool)
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    first = order[new]
+    if not ((hashes[1] == hashes[1][first][kind]) & (size == size[first][kind])).all():
+        raise ValueError("two pre-tokens have one hash")
+    return start, size, kind, first
+
+
+def cuts(streams: list[np.ndarray]) -> list[list[int]]:
+    """The ends of the chunks of each id stream; the last is its length.
+
+    A position is a candidate where the hash of the SPAN ids up to it is below a threshold, which is one in
+    MEAN; that hash depends on those ids alone, so equal passages are cut alike, wherever they stand.
     """
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    power, inverse = powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(mix64(ids) * power[:n], out=total[1:])
-    rolled = (total[SPAN:] - total[:-SPAN]) * inverse[: n + 1 - SPAN]
+    flat = np.concatenate([*streams, np.zeros(0, np.uint16)])
+    power, inverse = powers(len(flat) + 1)
+    total = np.zeros(len(flat) + 1, np.uint64)
+    np.cumsum(mix64(flat) * power[: len(flat)], out=total[1:])
+    rolled = (total[SPAN:] - total[:-SPAN]) * inverse[: max(0, len(flat) + 1 - SPAN)]
     spots = np.flatnonzero(mix64(rolled) < np.uint64((1 << 64) // MEAN)) + SPAN
+    ends = np.cumsum([len(x) for x in streams]) if streams else np.zeros(0, np.int64)
+    first = np.searchsorted(spots, ends - [len(x) for x in streams], side="right").tolist()
+    last = np.searchsorted(spots, ends, side="right").tolist()
+    spots = spots.tolist()
+    return [_ends(len(x), [p - (int(end) - len(x)) for p in spots[i:j]]) for x, end, i, j in zip(streams, ends, first, last)]
+
+
+def _ends(n: int, spots: list[int]) -> list[int]:
+    """Of the candidates those that leave no chunk below LEAST or above MOST."""
     out, last = [], 0
-    for spot in spots.tolist():
+    for spot in spots:
+        if spot < SPAN:  # the hash would reach into the stream before
+            continue
         while spot - last > MOST:
             last += MOST
             out.append(last)
@@ -154,13 +225,14 @@ def _encode_rows(place: str, end_id: int):
         coder, seen = _coders[place], set()
         end, kind = coder.pack([end_id]), f"<u{coder.width}"
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 800):
+                part = batch.slice(at, 800)
                 rows: tuple[list, ...] = ([], [], [], [], [])
-                for doc, raw in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist())):
-                    raw += end
-                    ids, names, begin = np.frombuffer(raw, kind), [], 0
-                    for stop in cuts(ids):
+                streams = [raw + end for raw in coder.encode(part.column(1).to_pylist())]
+                stops = cuts([np.frombuffer(raw, kind) for raw in streams])
+                for doc, raw, ends in zip(part.column(0).to_pylist(), streams, stops):
+                    names, begin = [], 0
+                    for stop in ends:
                         data = raw[begin * coder.width : stop * coder.width]
                         names.append(name := digest(data))
                         if name not in seen:  # a task sends a chunk once, or so: the rest is done after the shuffle
@@ -171,7 +243,7 @@ def _encode_rows(place: str, end_id: int):
                                 out.append(x)
                         begin = stop
                     recipe = b"".join(names)
-                    for out, x in zip(rows, (digest(recipe + repr(doc).encode()), doc, len(ids), None, recipe)):
+                    for out, x in zip(rows, (digest(recipe + repr(doc).encode()), doc, len(raw) // coder.width, None, recipe)):
                         out.append(x)
                 arrays = [pa.array(rows[0], pa.binary()), pa.array(rows[1], batch.schema.field(0).type), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.binary()), pa.array(rows[4], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc_id", "n_tokens", "ids", "digests"])
