@@ -251,18 +251,6 @@ def _encode_rows(place: str, end_id: int):
     return run
 
 
-def _unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: the first of each chunk, and all recipes."""
-    last = None
-    for batch in batches:
-        keep = []
-        for key, doc in zip(batch.column(0).to_pylist(), batch.column(4).is_valid().to_pylist()):
-            keep.append(doc or key != last)
-            if not doc:
-                last = key
-        yield batch.filter(pa.array(keep))
-
-
 def write_store(docs: DataFrame, path: str, end_id: int = END_ID, vocabulary_path: str | None = None) -> None:
     """Encode docs, append end_id to each and write the store's three tables below path.
 
@@ -274,9 +262,10 @@ def write_store(docs: DataFrame, path: str, end_id: int = END_ID, vocabulary_pat
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = keyed_text(docs).mapInArrow(_encode_rows(place, end_id), _ROWS.format(kind))
-    dealt = rows.repartition(parts, "key").sortWithinPartitions("key", F.col("digests").isNotNull())
-    dealt = dealt.mapInArrow(_unique, rows.schema).withColumn("part", F.when(F.col("digests").isNull(), "chunks").otherwise("found"))
-    dealt.write.partitionBy("part").parquet(f"{path}/encoded", compression="zstd")
+    # the first row of each chunk, and all recipes; a task sends a chunk about once, so no key is hot
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.col("digests").isNotNull()))
+    dealt = rows.repartition(parts, "key").withColumn("nth", nth).where("nth = 1 or digests is not null").drop("nth")
+    dealt.withColumn("part", F.when(F.col("digests").isNull(), "chunks").otherwise("found")).write.partitionBy("part").parquet(f"{path}/encoded", compression="zstd")
     found = spark.read.schema(rows.schema).parquet(f"{path}/encoded/part=found").select("doc_id", "n_tokens", "digests") if _exists(spark, f"{path}/encoded/part=found") else spark.createDataFrame([], rows.select("doc_id", "n_tokens", "digests").schema)
     placed = run_starts(found, "doc_id", "n_tokens", ["digests"])
     rooted = placed.mapInArrow(_rooted, T.StructType([*placed.schema.fields, T.StructField("root", T.BinaryType())]))
@@ -378,25 +367,36 @@ def crc_joined(parts: Iterable[tuple[int, int]]) -> int:
 def _verify_chunks(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            if any(digest(x) != k for k, x in zip(keys, data)):
+            keys, data = batch.column(0).to_pylist(), batch.column(1)
+            ends = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]
+            held = memoryview(data.buffers()[2])[int(ends[0]) : int(ends[-1])]
+            wide = held if width == 4 else memoryview(np.frombuffer(held, "<u2").astype("<u4").view(np.uint8))
+            scale = 4 // width
+            ends = (ends - ends[0]).tolist()
+            spans = list(zip(ends, ends[1:]))
+            if any(digest(held[i:j]) != k for k, (i, j) in zip(keys, spans)):
                 raise ValueError("a chunk differs from its digest")
-            crcs = [zlib.crc32(x if width == 4 else np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in data]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crcs, pa.int64()), pa.array([len(x) // width for x in data], pa.int64())], names=["digest", "crc", "n"])
+            crcs = [zlib.crc32(wide[i * scale : j * scale]) for i, j in spans]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crcs, pa.int64()), pa.array([(j - i) // width for i, j in spans], pa.int64())], names=["digest", "crc", "n"])
 
     return run
 
 
 def _verify_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for digests, root, n_tokens, pieces in zip(*(batch.column(c).to_pylist() for c in ("digests", "root", "n_tokens", "pieces"))):
+        out, pieces = [], batch.column("pieces")
+        crcs, sizes = (pieces.flatten().field(k).to_pylist() for k in ("crc", "n"))
+        first = 0
+        for digests, root, n_tokens in zip(*(batch.column(c).to_pylist() for c in ("digests", "root", "n_tokens"))):
             if merkle(split(digests)) != root:
                 raise ValueError("a recipe differs from its Merkle root")
-            pieces = sorted((p["seq"], p["crc"], p["n"]) for p in pieces)
-            if len(pieces) * DIGEST != len(digests) or sum(p[2] for p in pieces) != n_tokens:
+            last = first + len(digests) // DIGEST
+            if sum(sizes[first:last]) != n_tokens:
                 raise ValueError("a document's chunks don't add up to its length")
-            out.append(crc_joined((crc, 4 * n) for _, crc, n in pieces))
+            out.append(crc_joined(zip(crcs[first:last], (4 * n for n in sizes[first:last]))))
+            first = last
+        if first != len(sizes):
+            raise ValueError("a document's chunks don't add up to its recipe")
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(out, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
@@ -414,7 +414,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     facts = materialise(chunks.mapInArrow(_verify_chunks(width), "digest binary, crc long, n long"), "chunk-facts")
     n = (F.octet_length("digests") / DIGEST).cast("int")
     uses = recipes.select("place", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("digests", i * DIGEST + 1, DIGEST))).alias("seq", "digest"))
-    pieces = uses.join(facts, "digest", "left").groupBy("place").agg(F.collect_list(F.struct("seq", F.coalesce("crc", F.lit(-1)).alias("crc"), F.coalesce("n", F.lit(-1)).alias("n"))).alias("pieces"))
+    pieces = uses.join(facts, "digest", "left").groupBy("place").agg(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("crc", F.lit(-1)).alias("crc"), F.coalesce("n", F.lit(-1)).alias("n")))).alias("pieces"))
     whole = recipes.join(pieces, "place")
     kind = recipes.schema["doc_id"].dataType.simpleString()
     return whole.select("doc_id", "start", "n_tokens", "digests", "root", "pieces").mapInArrow(_verify_docs, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
