@@ -53,7 +53,7 @@ _KIND[ord("0") : ord("9") + 1] = DIGIT
 #: What the array path can't cut: other scripts, signs and modifiers beyond ASCII, control characters, and the
 #: apostrophes of contractions and the brackets of special tokens, which have rules of their own.
 _HARD = re.compile("[^\n\x0b\x0c\r\t\x20-\x26\x28-\x3b\x3d-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u01ba]")
-#: A number for each byte, twice: pre-tokens are hashed as polynomials in them.
+#: A number for each byte, twice: pre-tokens are hashed as polynomials in the first and sums of the second.
 BYTE_HASHES = [mix64(np.arange(256, dtype=np.uint64) + np.uint64(k << 20)) for k in (1, 2)]
 
 
@@ -129,7 +129,7 @@ class LibraryWords:
 def distinct_pieces(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Begin and size of every pre-token, the number of its distinct piece, and where each distinct piece comes first.
 
-    Pieces are told apart by 64-bit hashes of their bytes; a second hash and the size confirm that equal ones are equal.
+    Pieces are told apart by 64-bit hashes of their bytes; a second number and the size confirm that equal ones are equal.
     """
     raw = np.frombuffer(joined, np.uint8)
     byte_kind = _KIND[raw]
@@ -142,18 +142,20 @@ def distinct_pieces(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     start, end = start[inside], end[inside]
     power, inverse = powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
-    hashes = []
-    for table in BYTE_HASHES:
-        np.cumsum(table[raw] * power[: len(raw)], out=total[1:])
-        hashes.append((total[end] - total[start]) * inverse[start])
+    weighted = BYTE_HASHES[0][raw]
+    weighted *= power[: len(raw)]
+    np.cumsum(weighted, out=total[1:])
+    hashed = (total[end] - total[start]) * inverse[start]
+    np.cumsum(BYTE_HASHES[1][raw], out=total[1:])
+    check = total[end] - total[start]
     size = end - start
-    order = np.argsort(hashes[0], kind="stable")
-    ranked = hashes[0][order]
+    order = np.argsort(hashed)
+    ranked = hashed[order]
     new = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, bool)
     kind = np.empty(len(order), np.int64)
     kind[order] = np.cumsum(new) - 1
     first = order[new]
-    if not ((hashes[1] == hashes[1][first][kind]) & (size == size[first][kind])).all():
+    if not ((check == check[first][kind]) & (size == size[first][kind])).all():
         raise ValueError("two pre-tokens have one hash")
     return start, size, kind, first
 
