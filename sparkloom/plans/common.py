@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 from sparkloom.functions.text import RUN, TOKEN
 
 
+#: Tables of texts, on which work is by the row.
+TEXTS = {"documents", "pages"}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table; one of texts in fewer parts than there are cores, as a small file is, is dealt out to all cores."""
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if table in TEXTS and rows.rdd.getNumPartitions() < cores else rows
 
 
 def longs(df: DataFrame) -> DataFrame:
