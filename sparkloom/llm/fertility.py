@@ -3,8 +3,11 @@
 A text is encoded with a vocabulary with byte fallback. Measured are characters a
 token, tokens a word (fertility), the share of byte-fallback tokens (line feeds, which
 have no piece, aside), and the entropy of the text's tokens: Shannon's, and the
-min-entropy -log2(share of the commonest token). Each has a rejection band by
-language, or by the script of most letters where the language is not listed.
+min-entropy -log2(share of the commonest unit). A unit is a token or, where a
+character falls to bytes, that character, as a lead byte is common in any text of its
+script; line feeds, lone space marks and the marks of list items are layout and don't
+compete for the commonest. Each has a rejection band by language, or by the script of
+most letters where the language is not listed.
 
 The bands are fixed parameters, so a document's verdict depends on that document
 alone: no corpus pass, no shuffle, the same at every size.
@@ -45,18 +48,19 @@ LANGUAGES: dict[str, Band] = {
     "es": Band(most_tokens_a_word=3.65),
     "fr": Band(most_tokens_a_word=3.75),
 }
-#: By script, for other languages. Scripts without spaces between words have no limit on tokens a word.
+#: By script, for other languages. Scripts without spaces between words have no limit on tokens a word. Where the
+#: vocabulary has a script's letters but not its words, the commonest letter is the commonest unit, so min-entropy is lower.
 SCRIPTS: dict[str, Band] = {
     "LATIN": Band(most_tokens_a_word=4.5),
-    "GREEK": Band(0.7, 9.0, 9.0, 0.3),
-    "CYRILLIC": Band(0.9, 9.0, 7.0, 0.3),
-    "ARABIC": Band(0.6, 9.0, 9.0, 0.3),
-    "HEBREW": Band(0.6, 9.0, 9.0, 0.3),
-    "CJK": Band(0.3, 9.0, float("inf"), 0.9),
-    "HIRAGANA": Band(0.3, 9.0, float("inf"), 0.9),
-    "KATAKANA": Band(0.3, 9.0, float("inf"), 0.9),
-    "HANGUL": Band(0.3, 9.0, float("inf"), 0.9),
-    "": Band(0.2, 9.0, float("inf"), 0.95),
+    "GREEK": Band(0.7, 9.0, 9.0, 0.3, least_min_entropy=2.6),
+    "CYRILLIC": Band(0.9, 9.0, 7.0, 0.3, least_min_entropy=2.8),
+    "ARABIC": Band(0.6, 9.0, 9.0, 0.3, least_min_entropy=2.5),
+    "HEBREW": Band(0.6, 9.0, 9.0, 0.3, least_min_entropy=2.5),
+    "CJK": Band(0.3, 9.0, float("inf"), 0.9, least_min_entropy=2.8),
+    "HIRAGANA": Band(0.3, 9.0, float("inf"), 0.9, least_min_entropy=2.8),
+    "KATAKANA": Band(0.3, 9.0, float("inf"), 0.9, least_min_entropy=2.8),
+    "HANGUL": Band(0.3, 9.0, float("inf"), 0.9, least_min_entropy=2.8),
+    "": Band(0.2, 9.0, float("inf"), 0.95, least_min_entropy=2.3),
 }
 
 _SYMBOLS = "#*$%&|<>"
@@ -70,11 +74,15 @@ class PieceIds(PieceCounts):
     def __init__(self, path: str):
         super().__init__(path)
         self.clear()
+        self.mark = self.processor.piece_to_id("▁")
+
+    def falls_to_bytes(self, character: str) -> bool:
+        return self.processor.is_unknown(self.processor.piece_to_id(character))
 
     def __missing__(self, key: str) -> bytes:
         ids = self.processor.encode(key)[2 * (key[:1] == "\n") :]
         if not key:  # a space mark alone
-            ids = [self.processor.piece_to_id("▁")]
+            ids = [self.mark]
         out = np.array(ids, "<u2").tobytes()
         if len(key) <= LONGEST:
             if len(self) >= 300_000:
@@ -96,6 +104,23 @@ def token_histogram(text: str, pieces: PieceIds) -> np.ndarray:
     return out
 
 
+_ITEM = re.compile(r"^[^\S\n]*(?:[-*+•·‣–—]|\d{1,3}[.)])(?=[^\S\n])", re.M)
+
+
+def min_entropy_of(text: str, histogram: np.ndarray, pieces: PieceIds) -> float:
+    """-log2 of the commonest unit's share of all units of an encoded text; 0 without a unit."""
+    units, rare = int(histogram.sum()), 0
+    if histogram[_BYTES].sum() > histogram[_LINE_FEED]:
+        fallen = [n for c, n in Counter(text).items() if c not in " \n" and pieces.falls_to_bytes(c)]
+        units += sum(fallen) - int(histogram[_BYTES].sum() - histogram[_LINE_FEED])
+        rare = max(fallen, default=0)
+    counts = token_histogram(_ITEM.sub("", text), pieces) if _ITEM.search(text) else histogram.copy()
+    counts[_BYTES] = 0
+    counts[pieces.mark : pieces.mark + 1] = 0  # a histogram ends at its greatest id
+    most = max(rare, int(counts.max()))
+    return float(-np.log2(most / units)) + 0.0 if most else 0.0
+
+
 def repeated_words(words: list[str]) -> int:
     """Words inside a window of three that occurs twice or more, first occurrences included."""
     if len(words) < 4:
@@ -147,7 +172,7 @@ def measure(text: str, lang: str | None, pieces: PieceIds, languages: dict[str,
     tokens_a_word = n_tokens / n_words if n_words else 0.0
     byte_share = int(histogram[_BYTES].sum() - histogram[_LINE_FEED]) / n_tokens if n_tokens else 0.0
     entropy = float(-(share * np.log2(share)).sum()) + 0.0
-    min_entropy = float(-np.log2(share.max())) + 0.0 if n_tokens else 0.0
+    min_entropy = min_entropy_of(text, histogram, pieces)
     name = lang if lang in languages else script(text)
     band = languages[name] if lang in languages else SCRIPTS[name]
     failed = [

@@ -81,6 +81,75 @@ def test_scripts():
     assert [fertility.script(t) for t in ("abc", "привет abc", "漢字かな漢", "123 !", "")] == ["LATIN", "CYRILLIC", "CJK", "", ""]
 
 
+#: Clean prose (openings of the declaration of human rights) in scripts with a band; verse and a list in English.
+CLEAN = {
+    "el": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση, και οφείλουν να συμπεριφέρονται μεταξύ τους με πνεύμα αδελφοσύνης. Κάθε άνθρωπος δικαιούται να επικαλείται όλα τα δικαιώματα και όλες τις ελευθερίες που προκηρύσσει η παρούσα διακήρυξη, χωρίς καμία απολύτως διάκριση, ειδικότερα ως προς τη φυλή, το χρώμα, το φύλο, τη γλώσσα, τις θρησκείες, τις πολιτικές ή οποιεσδήποτε άλλες πεποιθήσεις, την εθνική ή κοινωνική καταγωγή, την περιουσία, τη γέννηση ή οποιαδήποτε άλλη κατάσταση.",
+    "he": "כל בני האדם נולדו בני חורין ושווים בערכם ובזכויותיהם. כולם חוננו בתבונה ובמצפון, לפיכך חובה עליהם לנהוג איש ברעהו ברוח של אחווה. כל אדם זכאי לזכויות ולחירויות שנקבעו בהכרזה זו ללא הפליה כלשהי מטעמי גזע, צבע, מין, לשון, דת, דעה פוליטית או דעה בבעיות אחרות, בגלל מוצא לאומי או חברתי, קניין, לידה או מעמד אחר. גדולה מזו, לא יופלה אדם על פי מעמדה המדיני, על פי סמכותה או על פי מעמדה הבינלאומי של המדינה או הארץ שאליה הוא שייך.",
+    "hi": "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है। उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है और परस्पर उन्हें भाईचारे के भाव से बर्ताव करना चाहिए। हर किसी को इस घोषणा में सन्निहित सभी अधिकारों और आज़ादियों को प्राप्त करने का हक़ है और इस मामले में जाति, वर्ण, लिंग, भाषा, धर्म, राजनीति या अन्य विचार प्रणाली, किसी देश या समाज विशेष में जन्म, सम्पत्ति या किसी प्रकार की अन्य मर्यादा आदि के कारण भेदभाव का विचार न किया जाएगा।",
+    "ko": "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았으며 서로 형제애의 정신으로 행동하여야 한다. 모든 사람은 인종, 피부색, 성, 언어, 종교, 정치적 또는 기타의 견해, 민족적 또는 사회적 출신, 재산, 출생 또는 기타의 신분과 같은 어떠한 종류의 차별이 없이, 이 선언에 규정된 모든 권리와 자유를 향유할 자격이 있다. 더 나아가 개인이 속한 국가 또는 영토가 독립국이든 신탁통치지역이든 어떠한 차별도 있어서는 아니된다.",
+    "ka": "ყველა ადამიანი იბადება თავისუფალი და თანასწორი თავისი ღირსებითა და უფლებებით. მათ მინიჭებული აქვთ გონება და სინდისი და ერთმანეთის მიმართ უნდა იქცეოდნენ ძმობის სულისკვეთებით. ყოველ ადამიანს უნდა ჰქონდეს ამ დეკლარაციით გამოცხადებული ყველა უფლება და ყველა თავისუფლება, განურჩევლად რასისა, კანის ფერისა, სქესისა, ენისა, რელიგიისა, პოლიტიკური თუ სხვა მრწამსისა, ეროვნული თუ სოციალური წარმოშობისა, ქონებრივი, წოდებრივი თუ სხვა მდგომარეობისა. გარდა ამისა, დაუშვებელია რაიმე განსხვავება იმ ქვეყნის პოლიტიკური სტატუსის მიხედვით.",
+    "am": "የሰው ልጅ ሁሉ ሲወለድ ነጻና በክብርና በመብትም እኩልነት ያለው ነው። የተፈጥሮ ማስተዋልና ሕሊና ስላለው አንዱ ሌላውን በወንድማማችነት መንፈስ መመልከት ይገባዋል። እያንዳንዱ ሰው የዘር የቀለም የጾታ የቋንቋ የሃይማኖት የፖለቲካ ወይም የሌላ ዓይነት አስተሳሰብ የብሔራዊ ወይም የኀብረተሰብ ታሪክ የሀብት የትውልድ ወይም የሌላ ደረጃ ልዩነት ሳይኖሩ በዚሁ ውሳኔ የተዘረዘሩት መብቶችንና ነጻነቶች ሁሉ እንዲከበሩለት ይገባል። ከዚህም በተቀረ አንድ ሰው ከሚኖርበት አገር ወይም ግዛት የፖለቲካ የአገዛዝ ወይም የኢንተርናሽናል አቋም የተነሳ ልዩነት አይፈጸምም።",
+    "ja": "すべての にんげんは うまれながらにして じゆうであり、 かつ、 そんげんと けんりとに ついて びょうどうで ある。 にんげんは、 りせいと りょうしんとを さずけられて おり、 たがいに どうほうの せいしんを もって こうどう しなければ ならない。 すべて ひとは、 じんしゅ、 ひふの いろ、 せい、 ことば、 しゅうきょう、 せいじじょう その たの いけん、 くに もしくは しゃかいてき しゅっしん、 ざいさん、 もんち その たの ちい または これに るいする いかなる じゆうによる さべつをも うけることなく、 この せんげんに かかげる すべての けんりと じゆうとを きょうゆうすることが できる。",
+    "ta": "மனிதப் பிறவியினர் சகலரும் சுதந்திரமாகவே பிறக்கின்றனர். அவர்கள் மதிப்பிலும், உரிமைகளிலும் சமமானவர்கள். அவர்கள் நியாயத்தையும் மனச்சாட்சியையும் இயற்பண்பாகப் பெற்றவர்கள். அவர்கள் ஒருவருடனொருவர் சகோதர உணர்வுப் பாங்கில் நடந்துகொள்ளல் வேண்டும். இப்பிரகடனத்தில் தரப்பட்டுள்ள எல்லா உரிமைகளுக்கும் சுதந்திரங்களுக்கும் எல்லோரும் உரித்துடையவராவர். இனம், நிறம், பால், மொழி, மதம், அரசியல் அல்லது வேறு அபிப்பிராயமுடைமை, தேசிய அல்லது சமூகத் தோற்றம், ஆதனம், பிறப்பு அல்லது பிற அந்தஸ்து என்பன போன்ற எத்தகைய வேறுபாடுமின்றி ஒவ்வொருவரும் உரிமை பெறுவர். மேலும் எவருக்கும் அரசியல் நிலை காரணமாக வேறுபாடு காட்டலாகாது.",
+}
+VERSE = """Tyger Tyger, burning bright,
+In the forests of the night;
+What immortal hand or eye,
+Could frame thy fearful symmetry?
+
+In what distant deeps or skies.
+Burnt the fire of thine eyes?
+On what wings dare he aspire?
+What the hand, dare seize the fire?
+
+And what shoulder, & what art,
+Could twist the sinews of thy heart?
+And when thy heart began to beat.
+What dread hand? & what dread feet?
+
+What the hammer? what the chain,
+In what furnace was thy brain?
+What the anvil? what dread grasp.
+Dare its deadly terrors clasp?"""
+LIST = """What to bring for the walk
+- two pairs of warm socks
+- a map of the upper valley
+- bread, cheese and apples
+- one blanket for each sleeper
+- matches kept in a dry tin
+- rope of at least ten metres
+- a kettle and four cups
+- salt, tea and sugar
+- needle, thread and buttons
+- some coins for the ferry
+- a lamp with spare oil
+- letters for the miller
+- boots that have been worn before"""
+
+
+@pytest.fixture(scope="module")
+def piece_ids():
+    return fertility.PieceIds(vocabulary(fertility.MODEL))
+
+
+@pytest.mark.parametrize("lang", [*CLEAN, "en verse", "en list"])
+def test_clean_texts_of_any_script_are_kept(lang, piece_ids):
+    text = CLEAN.get(lang) or (VERSE if lang == "en verse" else LIST)
+    got = fertility.measure(text, lang[:2], piece_ids, fertility.LANGUAGES)
+    assert got["kept"], got
+
+
+@pytest.mark.parametrize("text", ["\u12a0 \u12a0 \u1208 " * 40, "αα αα αα ββ " * 40, ("spam\n" * 30 + "\n" * 90) * 3, "- spam\n" * 90])
+def test_a_text_of_one_unit_fails_min_entropy(text, piece_ids):
+    assert "min_entropy" in fertility.measure(text, "en" if "spam" in text else None, piece_ids, fertility.LANGUAGES)["failed_rules"]
+
+
+def test_min_entropy_of_layout_and_bytes(piece_ids):
+    got = [fertility.measure(t, "en", piece_ids, fertility.LANGUAGES)["token_min_entropy"] for t in ("", "\n\n", " ", "\u12a0", "\u12a0\u12a0\u1208 ")]
+    # without a unit 0; a space mark counts as a unit but is not the commonest; three bytes are one character
+    assert got[:4] == [0.0, 0.0, 0.0, 1.0] and got[4] == pytest.approx(math.log2(5 / 2))
+
+
 # near-duplicates
 
 
