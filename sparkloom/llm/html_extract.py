@@ -4,6 +4,9 @@ A page is a sequence of tokens, words and tags. A word scores by where it stands
 a tag by its kind, never positive; the weights are log odds of lying inside the main text, from labelled
 pages. One linear scan finds the contiguous run of tokens with the greatest sum: the content region. Its
 blocks, without what belongs to menus, forms, adverts and the like inside it, are the text.
+
+A name alone doesn't set aside what the page is about: an element that holds the page's article, or most of its
+running words, is a wrapper, whatever it is called (see `_freed`).
 """
 
 from __future__ import annotations
@@ -47,6 +50,17 @@ BESIDE = {
 }
 #: First words of class names that tell of a state or layout, not of what an element holds: has-sidebar, no-comments.
 STATES = {"has", "no", "with", "without", "is", "js", "hide", "show"}
+#: Of BESIDE, what readers write. It may be longer than the main text, so its length tells nothing.
+READERS = {"comment", "comments", "commentlist", "disqus", "respond", "reply", "replies"}
+#: Of BESIDE, what a section of a text may be about; as its id, these mark it only outside the main text or where it is mostly links.
+TOPICS = {"discussion", "related", "search", "navigation", "menu", "register", "subscription", "promotion", "advertising", "consent", "gdpr", "form", "social", "sharing", "popular", "trending", "rail"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements of NEVER that may wrap a whole page.
+WRAPPERS = {"form", "fieldset"}
+#: A wrapper without an article in it has so many times the running words that stand outside all marked elements.
+MOST = 4
+#: The innermost element with this share of the running words is the content of a page without an article or main.
+CONTENT = 0.9
 #: A page's header, but not an article's.
 HEADERS = {"header"}
 #: An end is implied by the start of these.
@@ -63,27 +77,141 @@ _CLOSES = {
 _HOLDS = BLOCKS - {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 
 
-def _beside(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element's kind, classes, id or role mark it as no main text; inside: it stands in an article or main."""
+def _mark(name: str, attributes: str, inside: bool) -> tuple[str, str]:
+    """How an element's kind, classes, id or role mark it as no main text, and the words that do; inside: it stands in an article or main.
+
+    '' not at all, 'hard' by its kind or as hidden, 'soft' by a name, 'readers' by a name of what readers write, 'topic' by a section's id alone.
+    """
     if name in NEVER or name == "header" and not inside:
-        return True
+        return "soft" if name in WRAPPERS else "hard", name
     if not attributes or name in ("html", "body", "main"):
-        return False
+        return "", ""
     parts: set[str] = set()
+    anchor: set[str] = set()
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), values[0] or values[1] or values[2]
         if key in ("class", "id", "role"):
+            if key == "id" and name in HEADINGS:  # made from the heading's words
+                continue
             for one in value.split():
                 names = _NAME_PART.findall(_CAMEL.sub("-", one).lower())
                 if names and names[0] not in STATES:
-                    parts.update(names)
+                    (anchor if key == "id" else parts).update(names)
         elif key == "hidden" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    if parts & HEADERS and not inside:
-        return True
-    if name == "article":
-        return bool(parts & {"comment", "comments", "teaser", "related", "ad", "ads", "advert", "promo", "sponsored"})
-    return bool(parts & BESIDE)
+            return "hard", "hidden"
+    section = name == "section" or name == "div" and "section" in parts
+    if (parts | anchor) & HEADERS and not inside:
+        return "soft", "header"
+    beside = {"comment", "comments", "teaser", "related", "ad", "ads", "advert", "promo", "sponsored"} if name == "article" else BESIDE
+    found = (parts | anchor) & beside
+    if not found:
+        return "", ""
+    if section and not parts & beside and found <= TOPICS:
+        return "topic", " ".join(sorted(found))
+    return "readers" if found & READERS else "soft", " ".join(sorted(found))
+
+
+class _Page:
+    """A page's tokens, and its elements by number in the order of their start tags; 0 is the page."""
+
+    def __init__(self):
+        self.tokens: list[tuple[str, str, int]] = []  # 'text', 'break', 'label' or a tag's feature, its text, the element it stands in
+        self.name, self.parent, self.mark, self.by = [""], [0], [""], [""]
+        self.inside, self.link = [False], [False]  # in an article or main, in a link
+        self.words, self.linked = [0], [0]  # running words and words of links, directly in it
+
+    def open(self, name: str, attributes: str, parent: int) -> int:
+        mark, by = _mark(name, attributes, self.inside[parent])
+        self.name.append(name)
+        self.parent.append(parent)
+        self.mark.append(mark)
+        self.by.append(by)
+        self.inside.append(self.inside[parent] or name in ("article", "main"))
+        self.link.append(self.link[parent] or name == "a")
+        self.words.append(0)
+        self.linked.append(0)
+        return len(self.name) - 1
+
+    def text(self, raw: str, element: int) -> None:
+        text = references.unescape(raw)
+        self.tokens.append(("text", text, element))
+        (self.linked if self.link[element] else self.words)[element] += len(text.split())
+
+    def sums(self, counts: list[int], skipped: list[bool]) -> list[int]:
+        """Of each element the counts of it and of all below that isn't in a skipped element."""
+        out = counts[:]
+        for i in range(len(out) - 1, 0, -1):
+            if not skipped[i]:
+                out[self.parent[i]] += out[i]
+        return out
+
+    def above(self, element: int) -> list[int]:
+        out = []
+        while element:
+            element = self.parent[element]
+            out.append(element)
+        return out[:-1] if out else out
+
+
+def _freed(page: _Page) -> set[int]:
+    """The marked elements that are wrappers of main text.
+
+    These hold the page's main, or an article that has as many running words as stand outside all marked elements (MOST
+    times as many where another article stands there). Else they bear a name that has most of the page's running
+    words, and MOST times those outside; outside the main and articles they are looked for only where these have no words.
+    """
+    marked = [bool(m) and m != "topic" for m in page.mark]
+    if not any(marked):
+        return set()
+    freed: set[int] = set()
+
+    def free(elements: Iterable[int]) -> None:
+        for i in elements:
+            if marked[i] and page.by[i] != "hidden":
+                marked[i] = False
+                freed.add(i)
+
+    def below() -> list[bool]:
+        """Of each element whether it is marked or in a marked one."""
+        out = marked[:]
+        for i in range(1, len(out)):
+            out[i] = out[i] or out[page.parent[i]]
+        return out
+
+    everything = page.sums(page.words, [False] * len(marked))
+    if mains := [i for i, name in enumerate(page.name) if name == "main" and everything[i]]:
+        free(page.above(max(mains, key=lambda i: (everything[i], -i))))
+    held, aside = page.sums(page.words, marked), below()
+    articles = [i for i, name in enumerate(page.name) if name == "article" and held[i] and not marked[i]]
+    if not mains and (hidden := [i for i in articles if aside[i]]):
+        best = max(hidden, key=lambda i: (held[i], -i))
+        if held[best] > MOST * held[0] if len(hidden) < len(articles) else held[best] >= held[0]:
+            free(page.above(best))
+            held, aside = page.sums(page.words, marked), below()
+    found = any(page.name[i] in ("article", "main") and held[i] and not aside[i] for i in range(len(marked)))
+    groups: dict[str, list[int]] = {}
+    for i, mark in enumerate(page.mark):
+        if marked[i] and (mark == "soft" or mark == "readers" and not held[0]) and (page.inside[i] or not found):
+            groups.setdefault(page.by[i], []).append(i)
+    total = held[0] + sum(n for n, m in zip(held, marked) if m)
+    for name, group in groups.items():
+        n = sum(held[i] for i in group)
+        if 2 * n > total and n > MOST * held[0]:
+            # page builders call every block a widget; else a wrapper and what it is named after may share a name
+            for i in [i for i in group if name == "widget" or 2 * held[i] > n]:
+                free([i, *(k for k in page.above(i) if page.mark[k] != "hard")])
+            break
+    return freed
+
+
+def _content(page: _Page, out: list[bool]) -> int:
+    """The innermost element with nearly all running words outside the elements set beside; 0 where that is the body or the page."""
+    held = page.sums(page.words, out)
+    best = 0
+    for i in range(1, len(held)):  # a child comes after its parent
+        if page.parent[i] == best and not out[i] and held[i] and held[i] >= CONTENT * held[0]:
+            best = i
+    return 0 if page.name[best] in ("", "html", "body") else best
 
 
 def page_tokens(page: str) -> Iterator[tuple[str, str, bool]]:
@@ -93,42 +221,62 @@ def page_tokens(page: str) -> Iterator[tuple[str, str, bool]]:
     word:beside (the page has an article or main, elsewhere) or word:plain. counts: whether its text can be main text.
     The comments main and /main of labelled pages come as 'label'.
     """
+    read = _read(page)
+    structured = bool(re.search(r"<(?:article|main)[\s>]", page.lower()))
+    freed, n = _freed(read), len(read.name)
+    out = [bool(m) and m != "topic" and i not in freed for i, m in enumerate(read.mark)]
+    topics = [i for i, m in enumerate(read.mark) if m == "topic"]
+    content = 0 if structured else _content(read, out)
+    within = read.inside[:]
+    for i in range(1, n):
+        within[i] = within[i] or i == content or within[read.parent[i]]
+    if topics:
+        running, linked = read.sums(read.words, out), read.sums(read.linked, out)
+        for i in topics:
+            out[i] = not within[i] or linked[i] >= running[i]
+    for i in range(1, n):
+        out[i] = out[i] or out[read.parent[i]]
+    for feature, text, i in read.tokens:
+        if feature == "text":
+            kind = "out" if out[i] else "link" if read.link[i] else "main" if read.inside[i] else "beside" if structured else "plain"
+            yield f"word:{kind}", text, not out[i]
+        else:
+            yield feature, text, False
+
+
+def _read(page: str) -> _Page:
     lower = page.lower()
-    structured = bool(re.search(r"<(?:article|main)[\s>]", lower))
-    stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]  # name, set beside, in article or main, in a link
+    read = _Page()
+    tokens = read.tokens
+    stack: list[tuple[str, int]] = [("", 0)]  # name, element
     at = 0
 
-    def text(raw: str) -> tuple[str, str, bool]:
-        _, out, inside, link = stack[-1]
-        kind = "out" if out else "link" if link else "main" if inside else "beside" if structured else "plain"
-        return f"word:{kind}", references.unescape(raw), not out
-
     def close(to: int) -> None:
         del stack[to:]
 
     while found := _TOKEN.search(page, at):
         if found.start() > at:
-            yield text(page[at : found.start()])
+            read.text(page[at : found.start()], stack[-1][1])
         at = found.end()
         comment, end, name, attributes = found.groups()
         if name is None:
             if comment in ("main", "/main"):
-                yield "label", comment, False
+                tokens.append(("label", comment, stack[-1][1]))
             continue
         name = name.lower()
         if name in RAW and not end:
             stop = re.compile(rf"</{re.escape(name)}[\s/>]").search(lower, at)
-            yield "tag:" + name, "", False
+            tokens.append(("tag:" + name, "", stack[-1][1]))
             if stop is None:
-                return
+                return read
             at = lower.find(">", stop.start()) + 1 or len(page)
             continue
         if name == "br":
-            yield "tag:br", " ", False
+            tokens.append(("tag:br", " ", stack[-1][1]))
             continue
         if name in BLOCKS:
-            yield "break", "", False
-        yield "tag:" + end + name, "", False
+            tokens.append(("break", "", stack[-1][1]))
+        tokens.append(("tag:" + end + name, "", stack[-1][1]))
         if name in VOID:
             continue
         if end:
@@ -156,11 +304,11 @@ def page_tokens(page: str) -> Iterator[tuple[str, str, bool]]:
                     break
                 if stack[i][0] in _HOLDS:
                     break
-        _, out, inside, link = stack[-1]
         if not attributes.rstrip().endswith("/") or name in BLOCKS or name == "a":
-            stack.append((name, out or _beside(name, attributes, inside), inside or name in ("article", "main"), link or name == "a"))
+            stack.append((name, read.open(name, attributes, stack[-1][1])))
     if at < len(page):
-        yield text(page[at:])
+        read.text(page[at:], stack[-1][1])
+    return read
 
 
 _GROUPS = {"p": "paragraph", "br": "paragraph", "h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "ul": "list", "ol": "list", "li": "list", "dl": "list", "dt": "list", "dd": "list"}

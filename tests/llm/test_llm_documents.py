@@ -453,6 +453,37 @@ def test_extraction(page):
     assert html_extract.extract(page) == WANT
 
 
+BODY = "".join(f"<p>Paragraph {i} tells of the river, the mill and the road in many plain words.</p>" for i in range(12))
+PLAIN = "\n".join(f"Paragraph {i} tells of the river, the mill and the road in many plain words." for i in range(12))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div class='content-with-sidebar'><article>{BODY}</article><div class='sidebar'><p>Other things to see.</p></div></div></body>",
+        f"<body><div class='right-sidebar'><div class='nav-top'>Home</div><main>{BODY}</main></div></body>",
+        f"<body><form id='aspnetForm'><div class='menu'>Start</div><form class='search'><p>Search here</p></form><div>{BODY}</div></form></body>",
+        f"<body><div class='content-with-sidebar'>{BODY}<div class='sidebar'><p>Other things to see here.</p></div></div></body>",
+        f"<body><main><form>{BODY}</form></main><footer>Foot</footer></body>",
+        "<body>" + "".join(f"<div class='builder-widget'>{x}</p></div>" for x in BODY.split("</p>")[:-1]) + "<aside>Aside words</aside></body>",
+        f"<body><article>{BODY.replace('<p>Paragraph 7', '<section id=discussion><p>Paragraph 7')}</section></article></body>",
+    ],
+)
+def test_wrappers_are_not_set_aside(page):
+    assert html_extract.extract(page) == PLAIN
+
+
+def test_names_still_mark_beside_a_main_text():
+    talk = "<p>A reader says this and that at some length indeed and goes on.</p>" * 40
+    short = "<p>A short text that stands for itself in a dozen plain words here.</p>"
+    want = "A short text that stands for itself in a dozen plain words here."
+    assert html_extract.extract(f"<body><article>{short}</article><div class='comments'>{talk}</div></body>") == want
+    assert html_extract.extract(f"<body><div>{short}</div><section id='comments'>{talk}</section></body>") == want
+    assert html_extract.extract(f"<body><article>{short}</article><div class='related'><article>{short}</article><article>{short}</article></div></body>") == want
+    assert html_extract.extract(f"<body><article>{short}<section id='related'><a href=/>One more</a> <a href=/>Another</a></section></article></body>") == want
+    assert html_extract.extract(f"<body><article><h2 id='related-work'>Related work</h2>{short}</article></body>") == "Related work\n" + want
+
+
 def test_extraction_edges():
     assert html_extract.extract("") == "" and html_extract.extract("<body><nav>a b c</nav></body>") == ""
     assert html_extract.extract("only words") == "only words"
