@@ -219,6 +219,8 @@ def page_tokens(page: str) -> Iterator[tuple[str, str, bool]]:
 
     A feature of text: word:out (in an element set beside), word:link, word:main (in article or main),
     word:beside (the page has an article or main, elsewhere) or word:plain. counts: whether its text can be main text.
+    What is set beside inside the article, main or content has the feature bridge, words and tags alike: it is left out
+    of the text anyway and so can't tell where the text ends.
     The comments main and /main of labelled pages come as 'label'.
     """
     read = _read(page)
@@ -234,10 +236,15 @@ def page_tokens(page: str) -> Iterator[tuple[str, str, bool]]:
         running, linked = read.sums(read.words, out), read.sums(read.linked, out)
         for i in topics:
             out[i] = not within[i] or linked[i] >= running[i]
+    bridge = [False] * n
     for i in range(1, n):
-        out[i] = out[i] or out[read.parent[i]]
+        above = read.parent[i]
+        bridge[i] = bridge[above] if out[above] else out[i] and within[above]
+        out[i] = out[i] or out[above]
     for feature, text, i in read.tokens:
-        if feature == "text":
+        if bridge[i] and feature not in ("break", "label"):
+            yield "bridge", "", False
+        elif feature == "text":
             kind = "out" if out[i] else "link" if read.link[i] else "main" if read.inside[i] else "beside" if structured else "plain"
             yield f"word:{kind}", text, not out[i]
         else:
@@ -333,7 +340,7 @@ def learn_weights(labelled: Iterable[str] = LABELLED_PAGES) -> dict[str, float]:
         for feature, text, _ in page_tokens(page):
             if feature == "label":
                 main = text == "main"
-            elif feature != "break":
+            elif feature not in ("break", "bridge"):
                 n = len(text.split()) if feature.startswith("word:") else 1
                 (inside if main else outside)[_feature(feature)] += n
     weights = {}
@@ -359,7 +366,7 @@ def extract(page: str, weights: dict[str, float] | None = None) -> str:
         if feature == "break":
             nodes.append(None)
             continue
-        if feature == "label":
+        if feature in ("label", "bridge"):
             continue
         if feature not in known:
             known[feature] = weights.get(_feature(feature), 0.0 if feature == "word:plain" else -0.3)

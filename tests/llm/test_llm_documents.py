@@ -484,6 +484,28 @@ def test_names_still_mark_beside_a_main_text():
     assert html_extract.extract(f"<body><article><h2 id='related-work'>Related work</h2>{short}</article></body>") == "Related work\n" + want
 
 
+ADS = [
+    "<aside>" + "<p>Bread and lamp oil are sold at half the price at the upper mill this week only.</p>" * 10 + "</aside>",
+    "<div class='related'><ul>" + "<li><a href=/>Another flood of that year</a></li>" * 40 + "</ul></div>",
+    "<div class='notice'>" + "word " * 400 + "</div>",
+]
+LEAD = "<h1>A title</h1><p>A lead of a dozen words that must not be lost with it.</p>"
+LEAD_TEXT = "A title\nA lead of a dozen words that must not be lost with it."
+
+
+@pytest.mark.parametrize("beside", ADS)
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<main><div>{}</div></main>", "<div class='sidebar-left'><article>{}</article></div>", "<div id=content>{}</div>"])
+def test_what_is_set_beside_inside_the_text_does_not_cut_it(around, beside):
+    page = f"<body><nav><a href=/>Home</a></nav>{around}<footer>Foot words</footer></body>"
+    assert html_extract.extract(page.format(LEAD + beside + BODY)) == LEAD_TEXT + "\n" + PLAIN
+    assert html_extract.extract(page.format(BODY + beside + "<p>The end of it.</p>")) == PLAIN + "\nThe end of it."
+
+
+def test_what_stands_beside_the_text_still_ends_it():
+    page = f"<body><div>Top words</div><div class='menu'>{'menu word ' * 20}</div><div id=content>{BODY}</div>{ADS[0]}<div>Imprint of the owner</div></body>"
+    assert html_extract.extract(page) == PLAIN
+
+
 def test_extraction_edges():
     assert html_extract.extract("") == "" and html_extract.extract("<body><nav>a b c</nav></body>") == ""
     assert html_extract.extract("only words") == "only words"
