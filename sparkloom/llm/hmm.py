@@ -5,10 +5,11 @@ FREQUENT at most, emit as themselves; every other word emits as one of RARE clas
 three bytes, and then as itself with its smoothed share of the class. So the emission table is bounded, while
 the counts behind the shares cover every word of the corpus and stay distributed.
 
-Baum-Welch: each partition runs scaled forward-backward over its training texts, in stretches of STRETCH
-tokens, and adds up expected transitions and emissions; Spark sums these by class, and the driver turns the sums, a
-table of fixed size, into the next model. The first model comes from rounds over a bounded sample, which only
-breaks the symmetry of the states; the counts of each later round come from every training text.
+Baum-Welch: each partition runs scaled forward-backward over its whole training texts and adds up expected
+transitions and emissions; Spark sums these by class, and the driver turns the sums, a table of fixed size, into the
+next model. The first model is the classes' shares in the corpus, shaken by a hash; the counts of every round come from
+every training text, and the rounds end when the likelihood settles. Long texts are walked in blocks that
+bound the memory, with the recursions carried from block to block.
 
 Scoring is exact: the scaled forward recursion runs over each whole text.
 """
@@ -31,10 +32,11 @@ from sparkloom.session import materialise
 
 STATES = 8
 FREQUENT, RARE = 32_768, 1024
-ROUNDS = 2
+#: Rounds go on until one raises the log likelihood by less than this a token.
+SETTLED = 1e-3
 STRETCH = 128
-#: Training texts that the first model is made from, and its rounds.
-SAMPLE, SAMPLE_ROUNDS = 400, 15
+#: Tokens that forward-backward holds the states of at once, at most.
+HELD = 600_000
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 END = FREQUENT + RARE
@@ -81,43 +83,72 @@ class Counts:
         self.emit = np.zeros((CLASSES, states))
         self.loglik = 0.0
 
-    def add(self, model: Model, flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
-        """Forward-backward over the stretches flat[begin : begin + size], all at once, longest first."""
+    def add(self, model: Model, flat: np.ndarray, begin: np.ndarray, size: np.ndarray, held: int = HELD) -> None:
+        """Forward-backward over the texts flat[begin : begin + size], all at once, longest first, in blocks of about `held` tokens.
+
+        With more than one block the first pass keeps the state at each block's start, and blocks are walked again from the last.
+        """
         order = np.argsort(-size, kind="stable")
         begin, size = begin[order], size[order]
-        alive = [int(np.searchsorted(-size, -t, side="left")) for t in range(int(size[0]))] if len(size) else []
-        alphas, emits, scales, seen = [], [], [], []
-        alpha = None
-        for t, n in enumerate(alive):
-            seen.append(flat[begin[:n] + t])
-            emits.append(model.emit[seen[t]])
-            alpha = (model.start if t == 0 else alpha[:n] @ model.move) * emits[t]
-            scale = alpha.sum(axis=1, keepdims=True)
-            alpha = alpha / scale
-            alphas.append(alpha)
-            scales.append(scale)
-            self.loglik += float(np.log(scale).sum())
-        beta = np.zeros((0, len(model.start)))
-        posts = [None] * len(alive)
-        for t in range(len(alive) - 1, -1, -1):
-            n, m = alive[t], len(beta)
-            now = np.ones((n, len(model.start)))
-            if m:
-                ahead = emits[t + 1] * beta / scales[t + 1]
-                now[:m] = ahead @ model.move.T
-                self.move += model.move * (alphas[t][:m].T @ ahead)
-            beta = now
-            posts[t] = alphas[t] * beta
-        if not alive:
-            return
-        self.start += posts[0].sum(axis=0)
-        ids, post = np.concatenate(seen), np.concatenate(posts)
-        for k in range(post.shape[1]):
-            self.emit[:, k] += np.bincount(ids, post[:, k], minlength=CLASSES)
+        steps = int(size[0]) if len(size) else 0
+        alive = len(size) - np.searchsorted(size[::-1], np.arange(steps), side="right")
+        block = (np.cumsum(alive) - alive) // held
+        edges = np.flatnonzero(np.diff(block, prepend=-1)).tolist() + [steps]
+        blocks = list(zip(edges, edges[1:]))
+        states: list[np.ndarray | None] = [None]
+        for t0, t1 in blocks[:-1]:
+            alpha = self._forward(model, flat, begin, alive[t0:t1], t0, states[-1])[2]
+            states.append(alpha[len(alpha) - alive[t1 - 1] :].copy())
+        ahead = np.zeros((0, len(model.start)))
+        for (t0, t1), before in zip(blocks[::-1], states[::-1]):
+            ahead = self._block(model, flat, begin, alive[t0:t1], t0, before, ahead)
+
+    @staticmethod
+    def _forward(model: Model, flat: np.ndarray, begin: np.ndarray, alive: np.ndarray, t0: int, before: np.ndarray | None):
+        """Ids, emissions, scaled forward states and scales of a block's positions, by time, then text; before: the states ahead of it."""
+        at = np.cumsum(alive) - alive
+        nth = np.arange(int(alive.sum())) - np.repeat(at, alive)
+        ids = flat[begin[nth] + np.repeat(np.arange(t0, t0 + len(alive)), alive)]
+        emits = model.emit[ids]
+        alpha, scales, ones = np.empty_like(emits), np.empty(len(ids)), np.ones(len(model.start))
+        for i, n in zip(at.tolist(), alive.tolist()):
+            now, scale = alpha[i : i + n], scales[i : i + n]
+            if before is None:
+                now[:] = model.start
+            else:
+                np.dot(before[:n], model.move, out=now)
+            now *= emits[i : i + n]
+            np.dot(now, ones, out=scale)
+            now /= scale[:, None]
+            before = now
+        return ids, emits, alpha, scales
+
+    def _block(self, model: Model, flat: np.ndarray, begin: np.ndarray, alive: np.ndarray, t0: int, before: np.ndarray | None, ahead: np.ndarray) -> np.ndarray:
+        """Adds a block's counts. ahead: emission times backward state over scale at the step after it; returned for its first step."""
+        ids, emits, alpha, scales = self._forward(model, flat, begin, alive, t0, before)
+        self.loglik += float(np.log(scales).sum())
+        emits /= scales[:, None]
+        beta, back = np.ones_like(alpha), np.ascontiguousarray(model.move.T)
+        at = np.cumsum(alive) - alive
+        last = int(at[-1])
+        self.move += model.move * (alpha[last : last + len(ahead)].T @ ahead)
+        for i, n in zip(at[::-1].tolist(), alive[::-1].tolist()):
+            np.dot(ahead, back, out=beta[i : i + len(ahead)])
+            ahead = emits[i : i + n]
+            ahead *= beta[i : i + n]
+        first = int(alive[0])
+        earlier = np.arange(first, len(ids)) - np.repeat(alive[:-1], alive[1:])  # the same text's position a step before
+        self.move += model.move * (alpha[earlier].T @ emits[first:])
+        alpha *= beta
+        if t0 == 0:
+            self.start += alpha[:first].sum(axis=0)
+        for k in range(alpha.shape[1]):
+            self.emit[:, k] += np.bincount(ids, alpha[:, k], minlength=CLASSES)
+        return ahead.copy()
 
 
 def stretches(sizes: np.ndarray, length: int = STRETCH) -> tuple[np.ndarray, np.ndarray]:
-    """Begins and sizes of the stretches of texts of these sizes, laid end to end."""
+    """Begins and sizes of the stretches of texts of these sizes, laid end to end. Training takes texts whole, without it."""
     n = -(-sizes // length)
     first = np.cumsum(sizes) - sizes
     nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
@@ -209,54 +240,62 @@ def _encode(frequent: dict[bytes, int], log_counts: np.ndarray):
     return run
 
 
+def _batches(sizes: np.ndarray, held: int = HELD) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about `held` tokens together, one text at least."""
+    part = (np.cumsum(sizes) - sizes) // held
+    edges = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(sizes)]
+    yield from zip(edges, edges[1:])
+
+
 def _expected(model: Model):
     states = len(model.start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, some = Counts(states), False
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = [np.frombuffer(x, "<u2") for x in batch.column(0).slice(at, 1000).to_pylist()]
-                sizes = np.array([len(x) for x in part], np.int64)
-                flat, (begin, size) = np.concatenate(part).astype(np.int64), stretches(sizes)
-                for i in range(0, len(begin), 4000):
-                    counts.add(model, flat, begin[i : i + 4000], size[i : i + 4000])
+            column = batch.column(0)
+            sizes = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]) // 2
+            for i, j in _batches(sizes):
+                flat = np.concatenate([np.frombuffer(x, "<u2") for x in column.slice(i, j - i).to_pylist()])
+                size = sizes[i:j].astype(np.int64)
+                counts.add(model, flat, np.cumsum(size) - size, size)
                 some = True
         if some:
             hit = np.flatnonzero(counts.emit.any(axis=1))
-            # below the classes: the start counts at -1, the transitions from state k at -2 - k
-            key = np.concatenate([hit, [-1], -2 - np.arange(states)])
-            rows = np.concatenate([counts.emit[hit], counts.start[None], counts.move])
+            # below the classes: the start counts at -1, the transitions from state k at -2 - k, then the log likelihood
+            key = np.concatenate([hit, [-1], -2 - np.arange(states + 1)])
+            rows = np.concatenate([counts.emit[hit], counts.start[None], counts.move, np.full((1, states), counts.loglik)])
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), *(pa.array(rows[:, k]) for k in range(states))], names=["class", *(f"e{k}" for k in range(states))])
 
     return run
 
 
-def train(encoded: DataFrame, share: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over the rows of encoded whose train is true."""
+def train(encoded: DataFrame, share: np.ndarray, states: int = STATES, rounds: int | None = None, logliks: list[float] | None = None) -> Model:
+    """Baum-Welch over the rows of encoded whose train is true, `rounds` times or until the likelihood settles.
+
+    logliks gets the log likelihood of each round's model, before that round.
+    """
     texts = encoded.where("train")
-    model = Model.first(share, states)
-    # twice as many as wanted are drawn, so that what tasks send to the driver doesn't grow with their number
-    draw = F.pmod(F.xxhash64("row"), F.lit(1 << 31))
-    drawn = texts.where(draw < F.lit(int(2 * SAMPLE / max(1, texts.count()) * (1 << 31)))).orderBy(draw, "row").limit(SAMPLE)
-    sample = [np.frombuffer(r[0], "<u2").astype(np.int64) for r in drawn.select("ids").collect()]
-    for _ in range(SAMPLE_ROUNDS if sample else 0):
-        counts = Counts(states)
-        flat, (begin, size) = np.concatenate(sample), stretches(np.array([len(x) for x in sample], np.int64))
-        counts.add(model, flat, begin, size)
-        model = Model.from_counts(counts.start, counts.move, counts.emit, share)
+    model, last, n = Model.first(share, states), -np.inf, 0
     columns = [f"e{k}" for k in range(states)]
-    for _ in range(rounds):
+    while rounds is None or n < rounds:
         partial = texts.select("ids").mapInArrow(_expected(model), "class int, " + ", ".join(f"{c} double" for c in columns))
         counts = Counts(states)
-        for row in partial.groupBy("class").agg(*(F.sum(c).alias(c) for c in columns)).collect():  # CLASSES + states + 1 rows at most
+        for row in partial.groupBy("class").agg(*(F.sum(c).alias(c) for c in columns)).collect():  # CLASSES + states + 2 rows at most
             if row[0] >= 0:
                 counts.emit[row[0]] = row[1:]
             elif row[0] == -1:
                 counts.start[:] = row[1:]
+            elif row[0] == -2 - states:
+                counts.loglik = row[1]
             else:
                 counts.move[-2 - row[0]] = row[1:]
-        model = Model.from_counts(counts.start, counts.move, counts.emit, share)
+        model, n = Model.from_counts(counts.start, counts.move, counts.emit, share), n + 1
+        if logliks is not None:
+            logliks.append(counts.loglik)
+        if counts.loglik - last < SETTLED * max(1.0, counts.emit.sum()):
+            break
+        last = counts.loglik
     return model
 
 
@@ -273,7 +312,7 @@ def _forward(model: Model, log_class: np.ndarray):
     return run
 
 
-def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
+def score_documents(docs: DataFrame, states: int = STATES, rounds: int | None = None) -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Training texts are those whose crc32 of the doc_id as text, modulo 7, is not 2. Null and empty texts

@@ -326,6 +326,48 @@ def test_baum_welch_raises_the_likelihood_and_counts_add_up():
         model = hmm.Model.from_counts(counts.start, counts.move, counts.emit, share)
 
 
+def test_counts_are_those_of_whole_texts():
+    rng = np.random.default_rng(8)
+    model = hmm.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(hmm.CLASSES), 3).T)
+    texts = [rng.integers(0, 30, n) for n in (300, 1, 7, 150, 150)]
+    start, move = np.zeros(3), np.zeros((3, 3))
+    for x in texts:  # by the textbook, a text at a time
+        forward, backward = [model.start * model.emit[x[0]]], [np.ones(3)]
+        for c in x[1:]:
+            forward.append(forward[-1] @ model.move * model.emit[c] * 1e4)
+        for c in x[:0:-1]:
+            backward.insert(0, model.move @ (model.emit[c] * backward[0]) * 1e4)
+        start += forward[0] * backward[0] / (forward[0] @ backward[0])
+        for a, c, b in zip(forward, x[1:], backward[1:]):
+            pair = a[:, None] * model.move * (model.emit[c] * b)
+            move += pair / pair.sum()
+    flat, size = np.concatenate(texts), np.array([len(x) for x in texts])
+    for held in (hmm.HELD, 40, 1):
+        counts = hmm.Counts(3)
+        counts.add(model, flat, np.cumsum(size) - size, size, held)
+        assert np.allclose(counts.start, start) and np.allclose(counts.move, move) and counts.emit.sum() == pytest.approx(608)
+        assert counts.loglik == pytest.approx(math.log(10) * hmm.log10_likelihoods(model, texts).sum())
+
+
+def test_training_counts_every_text_in_every_round(spark):
+    rng = np.random.default_rng(9)
+    rows = [(np.append(rng.integers(0, 20, 200) + 20 * (i % 2), hmm.END).astype("<u2").tobytes(), i, i < 500) for i in range(520)]
+    encoded = spark.createDataFrame(rows, "ids binary, row long, train boolean").repartition(3)
+    share = np.full(hmm.CLASSES, 1 / hmm.CLASSES)
+    logliks = []
+    model = hmm.train(encoded, share, 3, logliks=logliks)
+    want, before = hmm.Model.first(share, 3), []
+    texts = [np.frombuffer(r[0], "<u2") for r in rows if r[2]]
+    for _ in logliks:
+        counts, size = hmm.Counts(3), np.array([len(x) for x in texts])
+        counts.add(want, np.concatenate(texts), np.cumsum(size) - size, size)
+        want = hmm.Model.from_counts(counts.start, counts.move, counts.emit, share)
+        before.append(counts.loglik)
+    assert np.allclose(model.emit, want.emit) and np.allclose(model.move, want.move) and np.allclose(model.start, want.start)
+    gains = np.diff(before) / (500 * 201)
+    assert logliks == pytest.approx(before) and (gains[:-1] >= hmm.SETTLED).all() and gains[-1] < hmm.SETTLED
+
+
 def test_stretches():
     begin, size = hmm.stretches(np.array([5, 0, 3]), 2)
     assert begin.tolist() == [0, 2, 4, 5, 7] and size.tolist() == [2, 2, 1, 2, 1]
