@@ -21,6 +21,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,11 +29,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from sparkloom.llm.common import WORD, by_batch, keyed_text, read, vocabulary
+from sparkloom.llm.common import WORD, Recent, by_batch, keyed_text, read, resident, vocabulary
 
 MODEL = "word_bpe_49k.json"
-#: Chunks longer than this are not kept in the table of known chunks, which is emptied beyond MOST entries.
-LONGEST, MOST = 48, 400_000
+#: Words in each of the two generations of a worker's table of known words.
+MOST = 150_000
 #: From this character on the library itself splits the text.
 BEYOND = "\u0530"
 _NONE = 1 << 60
@@ -88,7 +89,6 @@ class Encoder:
         self.byte = {c: b for b, c in enumerate(signs)}
         self.inner = [ids[c] for c in signs]
         self.final = [ids[c + self.suffix] for c in signs]
-        self.known = PreTokens(self)
         self.width = {i: len(t.removesuffix(self.suffix) if self.suffix else t) for t, i in ids.items()}
 
     def merged(self, parts: list[int]) -> list[int]:
@@ -142,7 +142,7 @@ class Encoder:
         if self.lower:
             text = text.replace("Σ", "σ").lower()  # letter by letter: no final sigma
         for found in self.words.finditer(text):
-            yield from self.known[found[0]]
+            yield from self.feed(found[0].encode())
 
     def encode(self, text: str) -> Iterator[int]:
         """The ids of the text; strings of special tokens give their ids, as the library's default is."""
@@ -154,22 +154,6 @@ class Encoder:
         yield from self.plain(text[at:])
 
 
-class PreTokens(dict):
-    """The ids of each pre-token met so far."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, word: str) -> tuple[int, ...] | Iterator[int]:
-        if len(word) > LONGEST:
-            return self.encoder.feed(word.encode())
-        if len(self) >= MOST:
-            self.clear()
-        self[word] = out = tuple(self.encoder.feed(word.encode()))
-        return out
-
-
 class Decoder:
     """An incremental machine from ids to text: feed() gives what has become certain, end() the rest."""
 
@@ -202,39 +186,34 @@ class Decoder:
         return self.machine.decode(b"", True)
 
 
-class Chunks(dict):
-    """The ids, as little-endian unsigned 32-bit integers, of each word met so far.
+class Chunks(Recent):
+    """The ids, as little-endian unsigned 32-bit integers, of the words met lately.
 
     No pre-token of a vocabulary with word ends crosses white space, so a text's ids
     are those of its words in turn.
     """
 
     def __init__(self, encoder: Encoder):
-        super().__init__()
+        super().__init__(MOST)
         self.encoder = encoder
         #: the same pattern for ASCII words, which need no Unicode classes
         self.ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9 \t-\r]+").findall
 
-    def __missing__(self, word: str) -> bytes:
-        if word.isascii() and "<|" not in word and self.encoder.lower:
-            known = self.encoder.known
-            out = np.array([i for found in self.ascii(word.lower()) for i in known[found]], "<u4").tobytes()
+    def make(self, word: str) -> bytes:
+        encoder = self.encoder
+        if word.isascii() and "<|" not in word and encoder.lower:
+            pieces = self.ascii(word.lower())
+            if len(pieces) > 1:  # a pre-token is a word of its own
+                return b"".join(map(self.__getitem__, pieces))
+            ids = encoder.feed(word.lower().encode())
         else:
-            out = np.fromiter(self.encoder.encode(word), "<u4").tobytes()
-        if len(word) <= LONGEST:
-            if len(self) >= MOST:
-                self.clear()
-            self[word] = out
-        return out
-
-
-_machines: dict[str, tuple[Chunks, Decoder]] = {}
+            ids = encoder.encode(word)
+        return array("I", ids).tobytes()
 
 
 def machines(path: str) -> tuple[Chunks, Decoder]:
-    if path not in _machines:
-        _machines[path] = Chunks(Encoder(path)), Decoder(path)
-    return _machines[path]
+    """The worker's encoder and decoder of a vocabulary file."""
+    return resident(("bpe", path), lambda: (Chunks(Encoder(path)), Decoder(path)))
 
 
 def encoded(text: str, chunks: Chunks) -> bytes:

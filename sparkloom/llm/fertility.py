@@ -25,8 +25,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import WORD, by_batch, keyed_text, read, vocabulary
-from sparkloom.llm.token_count import LONGEST, MODEL, PieceCounts, keys
+from sparkloom.llm.common import WORD, Recent, by_batch, keyed_text, read, resident, slices, vocabulary
+from sparkloom.llm.token_count import MODEL, keys, processor_of
 
 
 @dataclass(frozen=True)
@@ -68,30 +68,25 @@ _BYTES = slice(3, 259)  # ids of the byte-fallback tokens
 _LINE_FEED = 13
 
 
-class PieceIds(PieceCounts):
-    """The ids of each pre-token, as unsigned 16-bit integers."""
+class PieceIds(Recent):
+    """The ids of the pre-tokens met lately, as unsigned 16-bit integers."""
 
     def __init__(self, path: str):
-        super().__init__(path)
-        self.clear()
+        super().__init__(100_000)
+        self.processor = processor_of(path)
         self.mark = self.processor.piece_to_id("▁")
 
     def falls_to_bytes(self, character: str) -> bool:
         return self.processor.is_unknown(self.processor.piece_to_id(character))
 
-    def __missing__(self, key: str) -> bytes:
-        ids = self.processor.encode(key)[2 * (key[:1] == "\n") :]
-        if not key:  # a space mark alone
-            ids = [self.mark]
-        out = np.array(ids, "<u2").tobytes()
-        if len(key) <= LONGEST:
-            if len(self) >= 300_000:
-                self.clear()
-            self[key] = out
-        return out
+    def make(self, key: str) -> bytes:
+        # an empty key is a space mark alone
+        ids = self.processor.encode(key)[2 * (key[:1] == "\n") :] if key else [self.mark]
+        return np.array(ids, "<u2").tobytes()
 
 
-_pieces: dict[str, PieceIds] = {}
+def pieces_of(path: str) -> PieceIds:
+    return resident(("pieces", path), lambda: PieceIds(path))
 
 
 def token_histogram(text: str, pieces: PieceIds) -> np.ndarray:
@@ -221,10 +216,8 @@ def quality(docs: DataFrame, languages: dict[str, Band] | None = None, path: str
     texts = keyed_text(docs, *(["lang"] if "lang" in docs.columns else []))
 
     def make(cols: dict) -> dict:
-        if place not in _pieces:
-            _pieces[place] = PieceIds(place)
-        listed = {k: Band(**v) for k, v in bands.items()}
-        rows = [measure(t, lang, _pieces[place], listed) for t, lang in zip(cols["text"], cols.get("lang", [None] * len(cols["text"])))]
+        pieces, listed = pieces_of(place), {k: Band(**v) for k, v in bands.items()}
+        rows = [measure(t, lang, pieces, listed) for t, lang in zip(cols["text"], cols.get("lang", [None] * len(cols["text"])))]
         return {"doc_id": cols["doc_id"]} | {k: [r[k] for r in rows] for k in rows[0]}
 
     return by_batch(texts, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_COLUMNS}")
@@ -239,14 +232,11 @@ def keep(docs: DataFrame, languages: dict[str, Band] | None = None, path: str |
     def run(batches):
         import pyarrow as pa
 
-        if place not in _pieces:
-            _pieces[place] = PieceIds(place)
-        listed = {k: Band(**v) for k, v in bands.items()}
+        pieces, listed = pieces_of(place), {k: Band(**v) for k, v in bands.items()}
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch):
                 codes = part.column(lang).to_pylist() if lang is not None else [None] * part.num_rows
-                yield part.filter(pa.array([measure(t or "", code, _pieces[place], listed)["kept"] for t, code in zip(part.column(text).to_pylist(), codes)], pa.bool_()))
+                yield part.filter(pa.array([measure(t or "", code, pieces, listed)["kept"] for t, code in zip(part.column(text).to_pylist(), codes)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import keyed_text, mix64, read
+from sparkloom.llm.common import keyed_text, mix64, read, slices
 from sparkloom.session import materialise
 
 STATES = 8
@@ -222,8 +222,7 @@ def _encode(frequent: dict[bytes, int], log_counts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _Ids(frequent)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch):
                 sequences, sums, rare, counts, width = [], [], [], [], [0]
                 for text in part.column("text").to_pylist():
                     words = tokens(text)

@@ -16,12 +16,12 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import by_batch, keyed_text, read, vocabulary
+from sparkloom.llm.common import Recent, by_batch, keyed_text, read, resident, vocabulary
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-#: Longer pre-tokens are counted each time, and the table is emptied to its proved part beyond this size.
-LONGEST, MOST = 48, 400_000
+#: Pre-tokens not proved whole in each of the two generations of a worker's table.
+MOST = 100_000
 
 _SPACED = re.compile(r" +[^ ]*|[^ ]+")
 
@@ -54,25 +54,29 @@ def whole_tokens(processor) -> dict[str, int]:
     return out
 
 
-class PieceCounts(dict):
+def processor_of(path: str):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+class PieceCounts(Recent):
     """Number of tokens by pre-token key: proved ones from the start, others merged when first met."""
 
     def __init__(self, path: str):
-        import sentencepiece
-
-        self.processor = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.processor = processor_of(path)
         self.proved = whole_tokens(self.processor)
-        super().__init__(self.proved)
+        super().__init__(MOST + len(self.proved))
+        self.update(self.proved)
 
-    def __missing__(self, key: str) -> int:
+    def keep(self, key: str, n: int) -> None:
+        super().keep(key, n)
+        if len(self) == 1:
+            self.update(self.proved)
+
+    def make(self, key: str) -> int:
         # the library puts one space mark before any text: that is the key's first, or stands alone before a line feed
-        n = len(self.processor.encode(key)) - 2 * (key[:1] == "\n")
-        if len(key) <= LONGEST:
-            if len(self) >= MOST:
-                self.clear()
-                self.update(self.proved)
-            self[key] = n
-        return n
+        return len(self.processor.encode(key)) - 2 * (key[:1] == "\n")
 
 
 def keys(text: str) -> tuple[list[str], int]:
@@ -91,13 +95,8 @@ def keys(text: str) -> tuple[list[str], int]:
     return out, len(lines) - 1
 
 
-_counters: dict[str, PieceCounts] = {}
-
-
 def counter(path: str) -> PieceCounts:
-    if path not in _counters:
-        _counters[path] = PieceCounts(path)
-    return _counters[path]
+    return resident(("counts", path), lambda: PieceCounts(path))
 
 
 def count(text: str, counts: PieceCounts) -> int:

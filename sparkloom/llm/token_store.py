@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sparkloom.llm.common import SPACE, keyed_text, mix64, powers, read, vocabulary
+from sparkloom.llm.common import SPACE, keyed_text, mix64, powers, read, resident, slices, vocabulary
 from sparkloom.session import materialise, table_path
 
 MODEL = "word_bpe_49k.json"
@@ -39,8 +39,8 @@ LEAST, MEAN, MOST = 64, 512, 4096
 #: Ids that the rolling hash sees.
 SPAN = 12
 DIGEST = 16
-#: Pre-tokens kept by a worker, and the longest of them.
-KNOWN, LONGEST = 1_000_000, 48
+#: Pre-tokens in each of the two generations that a worker keeps, and the longest of them.
+KNOWN, LONGEST = 100_000, 48
 
 
 #: Kinds of the bytes of a lower-cased text in plain Latin script: white space, letters, digits, the rest.
@@ -75,6 +75,7 @@ class LibraryWords:
         for token, i in self.library.get_vocab(with_added_tokens=False).items():
             self.ends[i] = token.endswith("</w>")
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
@@ -104,8 +105,13 @@ class LibraryWords:
         start, size, kind, first = distinct_pieces(joined)
         pieces = [joined[i : i + n] for i, n in zip(start[first].tolist(), size[first].tolist())]
         if len(self.known) > KNOWN:
-            self.known = {}
+            self.known, self.older = {}, self.known
         found = list(map(self.known.get, pieces))
+        if None in found:
+            again = {w: self.older[w] for w, x in zip(pieces, found) if x is None and w in self.older}
+            if again:
+                self.known |= again
+                found = list(map(self.known.get, pieces))
         if None in found:
             self.learn([w for w, x in zip(pieces, found) if x is None])
             found = list(map(self.known.__getitem__, pieces))
@@ -215,20 +221,15 @@ def split(data: bytes) -> list[bytes]:
     return [data[i : i + DIGEST] for i in range(0, len(data), DIGEST)]
 
 
-_coders: dict[str, LibraryWords] = {}
-
 _ROWS = "key binary, doc_id {}, n_tokens long, ids binary, digests binary"
 
 
 def _encode_rows(place: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if place not in _coders:
-            _coders[place] = LibraryWords(place)
-        coder, seen = _coders[place], set()
+        coder, seen = resident(("library", place), lambda: LibraryWords(place)), set()
         end, kind = coder.pack([end_id]), f"<u{coder.width}"
         for batch in batches:
-            for at in range(0, batch.num_rows, 800):
-                part = batch.slice(at, 800)
+            for part in slices(batch):
                 rows: tuple[list, ...] = ([], [], [], [], [])
                 streams = [raw + end for raw in coder.encode(part.column(1).to_pylist())]
                 stops = cuts([np.frombuffer(raw, kind) for raw in streams])
