@@ -34,7 +34,8 @@ SIMILARITY = 0.8
 #: 25 bands of 5 registers miss a pair at 0.8 with a probability of 5e-5, at 0.85 of 1e-6.
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-#: Registers estimate a similarity of 0.8 with a deviation of 0.036; five of those below are not compared exactly.
+#: Registers estimate a similarity of 0.8 with a deviation of 0.036; in buckets of several classes, what they put five of those
+#: below is not compared exactly, unless `slack` is None.
 SLACK = 0.18
 #: Members of a bucket that are compared with each other in one task; a larger bucket goes block by block.
 BLOCK = 512
@@ -119,7 +120,7 @@ def _prepared(cols: dict) -> dict:
     filled = sizes > 0
     width = np.where(filled, BANDS, 0)
     bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(width)]).astype(np.int32)), pa.array(keys[filled].ravel()))
-    return {"doc_id": cols["doc_id"], "h1": exact[0], "h2": exact[1], "signature": [x.tobytes() for x in found], "bands": bands}
+    return {"doc_id": cols["doc_id"], "raw": cols["raw"], "h1": exact[0], "h2": exact[1], "signature": [x.tobytes() for x in found], "bands": bands}
 
 
 def bag(text_words: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
@@ -137,7 +138,7 @@ def bag(text_words: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
 
 def _bags(cols: dict) -> dict:
     words, _, counts = hashed_words([t.lower() for t in cols["text"]])
-    return {"node": cols["doc_id"], "bag": [x.tobytes() for x in bag(words, counts)]}
+    return {"node": cols["node"], "bag": [x.tobytes() for x in bag(words, counts)]}
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
@@ -163,7 +164,7 @@ def _verified(least: float):
     return run
 
 
-def _across(similarity: float):
+def _across(similarity: float, slack: float | None):
     """Links between members of one bucket, or of two of its blocks, that bear different labels."""
 
     def links(table: pa.Table) -> pa.Table:
@@ -181,7 +182,8 @@ def _across(similarity: float):
             if lo != hi:
                 others &= block != block[i]
             j = np.flatnonzero(others)
-            j = j[(signature[j] == signature[i]).mean(axis=1) >= similarity - SLACK]
+            if slack is not None:
+                j = j[(signature[j] == signature[i]).mean(axis=1) >= similarity - slack]
             same = bands[j] == bands[i]
             j = j[bands[i][same.argmax(axis=1)] == key]  # the first bucket that both are in compares them
             found += [(int(node[i]), int(node[k])) for k in j.tolist() if overlap(bags[i], bags[k]) >= similarity]
@@ -191,14 +193,7 @@ def _across(similarity: float):
     return links
 
 
-def _joined(pairs: DataFrame, facts: DataFrame, column: str) -> DataFrame:
-    """pairs with the fact of a and of b. Both sides are tables, so that a join's hot key can be split."""
-    a = facts.select(F.col("node").alias("a"), F.col(column).alias("left"))
-    b = facts.select(F.col("node").alias("b"), F.col(column).alias("right"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "left", "right")
-
-
-def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def classes(docs: DataFrame, similarity: float = SIMILARITY, slack: float | None = SLACK) -> DataFrame:
     """Per row of docs: doc_id, class_id, copy_of and n_links.
 
     class_id is the least doc_id of the class: documents linked, directly or in a chain, by a weighted
@@ -206,43 +201,61 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     with the same words in the same order, n_links how many compared texts, other than those copies, that text is linked to.
 
     A text of one to four words has one shingle; null and empty texts, and those without a word, are copies of each
-    other and have no further link. Rows of one doc_id count as one document; a null doc_id is an id like any other and
-    gives class -2^63. An empty table gives an empty one; other columns are not read.
+    other and have no further link. doc_id may have any type that has an order; a null one comes before all others, and a class
+    with it has class_id null. Rows of one doc_id with different texts are documents of their own. Very long texts are taken
+    whole. An empty table gives an empty one; other columns are not read.
     """
+    facts, texts = _placed(docs, similarity, slack)
+    return facts.select("doc_id", "h1", "h2").join(texts, ["h1", "h2"]).select("doc_id", F.col("first.doc_id").alias("class_id"), F.col("own.doc_id").alias("copy_of"), "n_links")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, the text and a hash of it: a document is known by doc_id and raw."""
+    return keyed_text(docs).withColumn("raw", F.xxhash64("text"))
+
+
+def _placed(docs: DataFrame, similarity: float, slack: float | None) -> tuple[DataFrame, DataFrame]:
+    """The hashes of each row, and of each distinct text (h1, h2) its own least document and that of its class, with n_links."""
     facts, nodes = _nodes(docs)
-    edges, labels = _links(docs, nodes, similarity)
-    links = edges.select(F.explode(F.array("a", "b")).alias("copy_of")).groupBy("copy_of").agg(F.count("*").alias("n_links"))
-    labels = labels.select(F.col("node").alias("copy_of"), F.col("label").alias("class_id"))
-    texts = materialise(
-        nodes.select("h1", "h2", F.col("node").alias("copy_of"))
-        .join(labels, "copy_of", "left")
-        .join(links, "copy_of", "left")
-        .select("h1", "h2", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")),
-        "texts",
-    )
-    return facts.select("doc_id", "h1", "h2").join(texts, ["h1", "h2"]).select(F.nullif("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "class_id", "copy_of", "n_links")
+    edges, labels = _links(docs, nodes, similarity, slack)
+    links = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    known = nodes.select("h1", "h2", "node", "own")
+    linked = materialise(labels.join(known.select("node", "own"), "node"), "linked")
+    firsts = linked.groupBy("label").agg(F.min("own").alias("first"))
+    classed = linked.join(firsts, "label").select("node", "first").join(links, "node", "left")
+    texts = known.join(classed, "node", "left").select("h1", "h2", "own", F.coalesce("first", "own").alias("first"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return facts, materialise(texts, "texts")
 
 
 def _nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A row of hashes for each row of docs, and one for each distinct text with its signature and its least doc_id."""
-    texts = keyed_text(docs).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-    facts = materialise(by_batch(texts, _prepared, "doc_id long, h1 long, h2 long, signature binary, bands array<long>", rows=1000), "signatures")
+    """A row of hashes for each row of docs, and one for each distinct text with a number, its signature and its least document."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    made = by_batch(_texts(docs), _prepared, f"doc_id {kind}, raw long, h1 long, h2 long, signature binary, bands array<long>", rows=1000)
+    facts = materialise(made, "signatures")
+    own = F.struct("doc_id", "raw")
     # the largest rows are shed before the shuffle: each task sends a text once
-    nodes = facts.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("signature", "bands"), "doc_id").alias("own"))
-    return facts, materialise(nodes.select("h1", "h2", "node", "own.signature", "own.bands"), "nodes")
+    nodes = facts.groupBy("h1", "h2").agg(F.min(own).alias("own"), F.min_by(F.struct("signature", "bands"), own).alias("of"))
+    return facts, materialise(nodes.select("h1", "h2", F.monotonically_increasing_id().alias("node"), "own", "of.signature", "of.bands"), "nodes")
 
 
-def _links(docs: DataFrame, nodes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+def _links(docs: DataFrame, nodes: DataFrame, similarity: float, slack: float | None) -> tuple[DataFrame, DataFrame]:
     """The verified links between texts, and the label of every linked text."""
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     head = F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"]
     shared = materialise(buckets.groupBy("key").agg(F.count("*").alias("size"), head.alias("head")).where("size > 1"), "buckets")
     members = materialise(buckets.join(shared, "key"), "members")
-    tested = materialise(members.where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), "pairs")
-    wanted = tested.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = keyed_text(docs).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
+    tested = materialise(members.where("node <> head").select("node", "head").distinct(), "pairs")
+    wanted = tested.select(F.explode(F.array("node", "head")).alias("node")).distinct().join(nodes.select("node", "own"), "node")
+    wanted = wanted.select("node", F.col("own.doc_id").alias("wanted_id"), F.col("own.raw").alias("wanted_raw"))
+    texts = _texts(docs)
+    met = F.col("raw").eqNullSafe(F.col("wanted_raw")) & F.col("doc_id").eqNullSafe(F.col("wanted_id"))
+    texts = texts.join(wanted.hint("shuffle_hash"), met).select("node", "text")
     bags = materialise(by_batch(texts, _bags, "node long, bag binary", rows=1000).dropDuplicates(["node"]), "bags")
-    edges = materialise(_joined(tested, bags, "bag").mapInArrow(_verified(similarity), "a long, b long"), "links")
+    # a member's bag goes to its head's, which moves once, or once for each split of a hot head
+    sent = tested.join(bags, "node").select(F.col("node").alias("a"), F.col("head").alias("b"), F.col("bag").alias("left"))
+    both = sent.join(bags.select(F.col("node").alias("b"), F.col("bag").alias("right")), "b").select("a", "b", "left", "right")
+    edges = both.mapInArrow(_verified(similarity), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = materialise(edges, "links")
     labels = components(edges)
     # buckets that still hold several classes
     placed = members.where("size > 2").select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
@@ -255,23 +268,33 @@ def _links(docs: DataFrame, nodes: DataFrame, similarity: float) -> tuple[DataFr
     left = left.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "label")
     full = left.join(nodes.select("node", "signature"), "node").join(bags, "node").select("key", "lo", "hi", "block", "node", "label", "signature", "bag")
-    more = materialise(full.groupBy("key", "lo", "hi").applyInArrow(_across(similarity), "a long, b long"), "links")
+    more = materialise(full.groupBy("key", "lo", "hi").applyInArrow(_across(similarity, slack), "a long, b long"), "links")
     edges = materialise(edges.union(more).distinct(), "links")
     return edges, components(edges)
 
 
-def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs that are their class's least doc_id, one row of each, with all their columns."""
-    found = classes(docs, similarity)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
-    return kept.dropDuplicates(["doc_id"]) if _repeats(found) else kept
+def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, slack: float | None = SLACK) -> DataFrame:
+    """One row of each class, with all of docs' columns: the document with the class's least doc_id.
+
+    Of rows with that doc_id and the same text one stays; of different texts under that doc_id in one class, that with the least hash.
+    Rows go only for a text like theirs: different texts under one doc_id, null ones included, all stay.
+    """
+    facts, texts = _placed(docs, similarity, slack)
+    gone = facts.join(texts, ["h1", "h2"]).where("not (struct(doc_id, raw) <=> first)").select(F.col("doc_id").alias("gone_id"), F.col("raw").alias("gone_raw")).distinct()
+    own = [f"own{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, own))
+    rows = docs.toDF(*own).withColumn("raw", F.xxhash64(F.coalesce(F.col(at["text"]), F.lit(""))))
+    met = F.col("raw").eqNullSafe(F.col("gone_raw")) & F.col(at["doc_id"]).eqNullSafe(F.col("gone_id"))
+    kept = rows.join(gone.hint("shuffle_hash"), met, "left_anti")
+    if _repeats(facts):
+        kept = kept.dropDuplicates([at["doc_id"], "raw"])
+    return kept.select(*(F.col(o).alias(c) for c, o in at.items()))
 
 
-def _repeats(found: DataFrame) -> bool:
-    """Whether a doc_id has several rows."""
-    return not found.groupBy("doc_id").count().where("count > 1").isEmpty()
+def _repeats(facts: DataFrame) -> bool:
+    """Whether a document has several rows."""
+    return not facts.groupBy("doc_id", "raw").count().where("count > 1").isEmpty()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(read(spark, sf_dir, "documents"))
+    return classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_of")

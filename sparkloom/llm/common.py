@@ -66,9 +66,11 @@ def by_batch(df: DataFrame, make: Callable[[dict[str, list]], dict], schema: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, rows):
-                out = make({n: part.column(i).to_pylist() for i, n in enumerate(names)})
-                if out is not None:
-                    yield pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in out.values()], names=list(out))
+                read = {n: part.column(i).to_pylist() for i, n in enumerate(names)}
+                out = make(read)
+                # a column handed on as it came keeps its type
+                columns = [part.column(names.index(n)) if x is read.get(n) else x if isinstance(x, pa.Array) else pa.array(x) for n, x in out.items()]
+                yield pa.RecordBatch.from_arrays(columns, names=list(out))
 
     return df.mapInArrow(run, schema)
 

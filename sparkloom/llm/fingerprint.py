@@ -149,47 +149,91 @@ def _compared(kind: pa.DataType, samples: int):
     return run
 
 
-def compare_with_next(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
+_WHOLE = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64()}
+
+
+def _cut(place: np.ndarray, draw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The range of each (place, draw): ranges end at the bounds, and a place that is several bounds is cut by its draws."""
+    low, high = np.searchsorted(bounds, place, side="left"), np.searchsorted(bounds, place, side="right")
+    share = np.maximum(high - low, 1)
+    unit = (draw.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(np.float64) * 2.0**-64
+    return (low + np.minimum((unit * share).astype(np.int64), share - 1)).astype(np.int32)
+
+
+def compare_with_next(docs: DataFrame, samples: int = SAMPLES, rows_a_range: int = 400) -> DataFrame:
     """Each document's fingerprint beside those of its edited text and of the next document, as columns _NAMES.
 
-    Next is by descending doc_id (null last; rows of one doc_id in the order of their texts), after the last the first;
-    a single row follows itself. The edited text has its last third replaced by the start of the next. Null
-    texts count as empty. An empty table gives no row; other columns are not read.
+    Next is by descending doc_id (null last; rows of one doc_id by descending hash of their texts), after the last the first;
+    a single row follows itself. Whole numbers are ordered as such, ids of other types by the bytes of their text form, which
+    is also how they come back if they aren't strings. The edited text has its last third replaced by the start of the next. Null
+    texts count as empty. Very long texts are taken whole. An empty table gives no row; other columns are not read.
 
     Texts move once: they are dealt to ranges of doc_id found from the ids alone, and the first document
-    of a range goes to its predecessor's range too.
+    of a range goes to its predecessor's range too. An id that many rows share is cut into several ranges.
     """
-    texts = keyed_text(docs).withColumn("place", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)))
+    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)).alias("place"))
+    whole = kind in _WHOLE
+    kind, arrow_kind = (kind, _WHOLE[kind]) if whole else ("string", pa.string())
+    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)) if whole else F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    texts = keyed_text(docs).withColumn("doc_id", F.col("doc_id").cast(kind)).withColumn("place", place).withColumn("draw", F.xxhash64("text"))
+    ids = docs.select(place.alias("place"))
     n = ids.count()
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     if not n:
-        return docs.sparkSession.createDataFrame([], schema)
-    parts = max(1, min(n // 400, 20_000))
-    shares = [i / parts for i in range(1, parts)]
-    bounds = np.array(sorted(set(ids.agg(F.percentile_approx("place", shares, 10 * parts)).first()[0] or [])) if shares else [], np.int64)
+        return spark.createDataFrame([], schema)
+    parts = max(1, min(n // rows_a_range, 20_000))
+    found = _bounds(ids, parts, whole)
+    bounds = np.array(found, np.int64) if whole else np.array([x.encode() for x in found], object)
+    shared = len(set(found)) < len(found)
 
-    @F.pandas_udf("int")
-    def range_of(place: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, place.to_numpy(np.int64)).astype(np.int32))
+    def numbers(place: pd.Series) -> np.ndarray:
+        return place.to_numpy(np.int64) if whole else np.array([x.encode() for x in place], object)
 
-    # one number a range, 20,000 at most
-    highest = dict(sorted((r[0], r[1]) for r in ids.withColumn("part", range_of("place")).groupBy("part").agg(F.max("place")).collect()))
+    @F.pandas_udf("int")
+    def range_of(place: pd.Series, draw: pd.Series) -> pd.Series:
+        return pd.Series(_cut(numbers(place), draw.to_numpy(np.int64), bounds))
+
+    # the draws, which need the texts, are read only where an id is cut
+    marks = texts.select("place", "draw" if shared else F.lit(0).cast("long").alias("draw"))
+    # one row a range, 20,000 at most
+    top = marks.withColumn("part", range_of("place", "draw")).groupBy("part").agg(F.max(F.struct("place", *(["draw"] if shared else []))).alias("top"))
+    highest = dict(sorted((r["part"], tuple(r["top"])) for r in top.collect()))
     filled = list(highest)
     above = {highest[p]: filled[(i + 1) % len(filled)] for i, p in enumerate(filled)}
 
     @F.pandas_udf("array<int>")
-    def also_in(place: pd.Series) -> pd.Series:
-        return pd.Series([[above[x]] if x in above else [] for x in place.to_numpy(np.int64).tolist()])
+    def also_in(place: pd.Series, draw: pd.Series) -> pd.Series:
+        keys = zip(place.tolist(), draw.tolist()) if shared else ((x,) for x in place.tolist())
+        return pd.Series([[above[x]] if x in above else [] for x in keys])
 
-    dealt = texts.withColumn("own", range_of("place")).withColumn("more", also_in("place"))
+    dealt = texts.withColumn("own", range_of("place", "draw")).withColumn("more", also_in("place", "draw"))
     targets = F.concat(F.array(F.struct(F.col("own").alias("part"), F.lit(False).alias("edge"))), F.transform("more", lambda p: F.struct(p.alias("part"), F.lit(True).alias("edge"))))
-    dealt = dealt.select("doc_id", "place", "text", F.explode(targets).alias("to")).select("to.part", "to.edge", "doc_id", "place", "text")
-    shuffled = dealt.repartition("part").sortWithinPartitions("part", "edge", F.desc("place"), "text")
-    arrow_kind = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+    dealt = dealt.select("doc_id", "place", "draw", "text", F.explode(targets).alias("to")).select("to.part", "to.edge", "doc_id", "place", "draw", "text")
+    shuffled = dealt.repartition("part").sortWithinPartitions("part", "edge", F.desc("place"), F.desc_nulls_last("doc_id"), F.desc("draw"), "text")
     return shuffled.select("part", "edge", "doc_id", "text").mapInArrow(_compared(arrow_kind, samples), schema)
 
 
+def _bounds(ids: DataFrame, parts: int, whole: bool) -> list:
+    """parts - 1 places that cut the ids into ranges of about equal size, ascending; a frequent one comes several times."""
+    if parts == 1:
+        return []
+    if whole:
+        shares = [i / parts for i in range(1, parts)]
+        return list(ids.agg(F.percentile_approx("place", shares, 10 * parts)).first()[0])
+    # strings have no percentiles: places with their rows, in ranges, of each range its bounds
+    counted = ids.groupBy("place").count()
+    ranged = counted.repartitionByRange(parts, "place").withColumn("part", F.spark_partition_id())
+    found = sorted(tuple(r) for r in ranged.groupBy("part").agg(F.max("place").alias("place"), F.sum("count").alias("n"), F.max(F.struct("count", "place")).alias("hot")).collect())
+    total, out = sum(n for _, _, n, _ in found), []
+    for _, last, _, (count, hot) in found[:-1] or found:
+        out += [hot] * (count * parts // total)
+        out.append(last)
+    if found[1:]:
+        count, hot = found[-1][3]
+        out += [hot] * (count * parts // total)
+    return sorted(out, key=str.encode)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(read(spark, sf_dir, "documents"))

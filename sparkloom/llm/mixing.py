@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,8 +27,8 @@ PERIOD = 1000
 ALPHA = 0.5
 #: A mix names its sources; more than this is refused, not cut.
 SOURCES = 2000
-#: Parts that a source's documents are numbered in.
-PARTS = 256
+#: Rows of a source that are numbered in one part, or so; a source has a power of two of parts.
+ROWS_A_PART = 50_000
 
 
 def apportioned(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -83,44 +83,69 @@ def target_slots(sizes: Mapping[str, int], targets: Mapping[str, float] | None =
     return apportioned({s: (targets.get(s) or least) if targets else max(1, n) ** alpha for s, n in sizes.items()})
 
 
+#: Bits of a draw.
+DRAW_BITS = 60
+
+
+def drawn(doc_id: Column, size: Column, seed: int) -> Column:
+    """A number from the MD5 of the id, the seed and the bytes, so that any engine can repeat the order."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(str(seed)), size.cast("string"))), 1, DRAW_BITS // 4), 16, 10).cast("long")
+
+
+_NEW = ["mix_source", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place"]
+
+
 def schedule(docs: DataFrame, targets: Mapping[str, float] | None = None, alpha: float = ALPHA, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """docs with mix_source, mix_block, mix_release, mix_deadline, mix_slot and mix_place, every row once.
 
     In the order of mix_slot, then mix_place (the bytes of its source before it), sources follow their target
     weights. A document lies in the block in which it begins. A null source is the source ''; a null text has no bytes.
     Repeated rows are rows like others; ties in the order go by doc_id, then bytes. Columns of docs named like
-    the new ones are replaced. An empty table gives an empty one.
+    the new ones are replaced, all others keep their values whatever their names. An empty table gives an empty one.
     """
+    docs = docs.drop(*_NEW)
+    placed, own = _placed(docs, targets, alpha, block, seed)
+    return placed.select(*(F.col(o).alias(c) for c, o in zip(docs.columns, own)), *_NEW)
+
+
+def _placed(docs: DataFrame, targets: Mapping[str, float] | None, alpha: float, block: int, seed: int = 7) -> tuple[DataFrame, list[str]]:
+    """docs with its columns renamed to those given back, and the new ones."""
     spark = docs.sparkSession
-    new = ["mix_source", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place"]
-    docs = docs.drop(*new)
-    source = F.coalesce(F.col("source"), F.lit(""))
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    draw = F.xxhash64("doc_id", F.lit(seed), size)
-    rows = docs.withColumns({"mix_source": source, "_bytes": size, "_draw": draw, "_part": F.shiftrightunsigned(draw, 56).cast("int")})
-    parts = rows.groupBy("mix_source", "_part").agg(F.sum("_bytes").alias("_sum"))
-    sizes = {s: n for s, n in parts.groupBy("mix_source").agg(F.sum("_sum")).limit(SOURCES + 1).collect()}
+    # docs' columns go by number meanwhile, so that no name of theirs can meet one of ours
+    own = [f"own{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, own))
+    id_column, text, source = (F.col(at[c]) for c in ("doc_id", "text", "source"))
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+    rows = docs.toDF(*own).withColumns({"mix_source": F.coalesce(source, F.lit("")), "bytes": size, "draw": drawn(id_column, size, seed)})
+    sizes = {s: (n, c) for s, n, c in rows.groupBy("mix_source").agg(F.sum("bytes"), F.count("*")).limit(SOURCES + 1).collect()}
     if not sizes:
-        return docs.withColumns({n: F.lit("") if n == "mix_source" else F.lit(0).cast("long") for n in new})
-    slots = target_slots(sizes, targets, alpha)
+        return docs.toDF(*own).withColumns({n: F.lit("") if n == "mix_source" else F.lit(0).cast("long") for n in _NEW}), own
+    slots = target_slots({s: n for s, (n, _) in sizes.items()}, targets, alpha)
     period = sum(slots.values())
-    before = Window.partitionBy("mix_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # PARTS rows a source
-    starts = parts.select("mix_source", "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("mix_source", "_part").orderBy("_draw", "doc_id", "_bytes").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = rows.withColumn("_before", F.coalesce(F.sum("_bytes").over(inside), F.lit(0)))
-    # PARTS rows a source and `period` rows: both bounded by SOURCES
-    numbered = numbered.join(F.broadcast(starts), ["mix_source", "_part"]).withColumn("mix_place", F.col("_start") + F.col("_before"))
-    numbered = numbered.withColumn("mix_block", F.floor(F.col("mix_place") / block))
-    weight = F.element_at(F.create_map(*(F.lit(x) for pair in slots.items() for x in pair)), F.col("mix_source"))
-    numbered = numbered.withColumns({"_weight": weight, "turn": F.pmod("mix_block", weight).cast("int")})
+
+    def of_source(values: Mapping[str, int]) -> Column:
+        return F.element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), F.col("mix_source"))
+
+    rows = rows.withColumn("shift", of_source({s: DRAW_BITS - max(1, (c // ROWS_A_PART).bit_length()) for s, (_, c) in sizes.items()}))
+    rows = rows.withColumn("part", F.expr("shiftright(draw, shift)")).drop("shift")
+    parts = rows.groupBy("mix_source", "part").agg(F.sum("bytes").alias("sum"))
+    before = Window.partitionBy("mix_source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for ROWS_A_PART rows of docs
+    starts = parts.select("mix_source", "part", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("mix_source", "part").orderBy("draw", at["doc_id"], "bytes").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = rows.withColumn("before", F.coalesce(F.sum("bytes").over(inside), F.lit(0)))
+    # both sides are dealt by source and part already
+    numbered = numbered.join(starts, ["mix_source", "part"]).withColumn("mix_place", F.col("start") + F.col("before"))
+    numbered = numbered.withColumn("mix_block", F.floor(F.col("mix_place") / block)).withColumn("weight", of_source(slots))
+    numbered = numbered.withColumn("turn", F.pmod("mix_block", "weight").cast("int"))
+    # a period has max(PERIOD, 4 * SOURCES) slots at most
     placed = numbered.join(F.broadcast(period_schedule(spark, slots)), ["mix_source", "turn"])
-    k, w, d = F.col("mix_block"), F.col("_weight"), F.lit(period)
+    k, w, d = F.col("mix_block"), F.col("weight"), F.lit(period)
     placed = placed.withColumns({
         "mix_slot": (F.floor(k / w) * d + F.col("slot_in_period")).cast("long"),
         "mix_release": F.floor(k * d / w),
         "mix_deadline": F.ceil((k + 1) * d / w),
     })
-    return placed.select(*docs.columns, *new)
+    return placed.select(*own, *_NEW), own
 
 
 def mix(docs: DataFrame, targets: Mapping[str, float] | None = None, alpha: float = ALPHA, block: int = BLOCK) -> DataFrame:
@@ -129,10 +154,10 @@ def mix(docs: DataFrame, targets: Mapping[str, float] | None = None, alpha: floa
     Partitions are consecutive stretches of the schedule and sorted within, so files written from this
     hold the mix in order.
     """
-    names = docs.columns
-    placed = schedule(docs, targets, alpha, block)
+    placed, own = _placed(docs, targets, alpha, block)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartitionByRange(parts, "mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place", "doc_id").select(*names)
+    ordered = placed.repartitionByRange(parts, "mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place", *own[:1])
+    return ordered.select(*(F.col(o).alias(c) for c, o in zip(docs.columns, own)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,11 +85,13 @@ class SlotMap:
 def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32 and virtual_slot of each row; a null text has no bytes and the CRC of none.
 
-    The slot hashes doc_id and the text's CRC, so that many rows with a null doc_id don't share one.
+    The slot hashes doc_id and the text's CRC, so that many rows with a null doc_id don't share one. It is taken from their
+    MD5, which any engine can repeat.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text).cast("long") + OVERHEAD).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    return rows.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
+    hashed = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string")))
+    return rows.withColumn("virtual_slot", F.pmod(F.conv(F.substring(hashed, 1, 15), 16, 10).cast("long"), F.lit(slots)).cast("int"))
 
 
 def slot_sizes(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]]:
@@ -104,39 +106,69 @@ def store_map(spark: SparkSession, path: str, slot_map: SlotMap, counts: list[in
     """Add a version to the map kept at path. first is where the slot's records begin in its shard."""
     begin, rows = [0] * slot_map.shards, []
     for slot, shard in enumerate(slot_map.slots):
-        rows.append((slot_map.version, slot, shard, begin[shard]))
+        rows.append((slot_map.version, slot, shard, begin[shard], slot_map.shards))
         begin[shard] += counts[slot]
-    spark.createDataFrame(rows, "version int, virtual_slot int, shard int, first long").coalesce(1).write.mode("append").parquet(path)
+    table = spark.createDataFrame(rows, "version int, virtual_slot int, shard int, first long, shards int").coalesce(1)
+    table.write.mode("errorifexists").parquet(_version_path(path, slot_map.version))
+
+
+def _version_path(path: str, version: int) -> str:
+    return f"{path}/version={version}"
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions of the map kept at path, ascending; none where there is no map."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in files.listStatus(folder)] if files.exists(folder) else []
+    return sorted(int(n.partition("=")[2]) for n in names if n.startswith("version="))
 
 
 def read_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """The map of a version, the latest if none is given."""
-    kept = spark.read.parquet(path)
-    version = version or kept.agg(F.max("version")).first()[0]
-    return kept.where(F.col("version") == version)
+    """The map of a version, the latest if none is given: a row a virtual slot."""
+    version = version or versions(spark, path)[-1]
+    return spark.read.parquet(_version_path(path, version)).withColumn("version", F.lit(version))
 
 
-def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, path: str | None = None) -> DataFrame:
+def load_map(spark: SparkSession, path: str) -> SlotMap | None:
+    """The latest map kept at path, None where there is none."""
+    kept = versions(spark, path)
+    if not kept:
+        return None
+    rows = sorted(read_map(spark, path, kept[-1]).select("virtual_slot", "shard", "shards").collect())  # a row a virtual slot
+    return SlotMap(kept[-1], rows[0]["shards"], tuple(r["shard"] for r in rows))
+
+
+def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, path: str | None = None, slack: float = 0.01) -> DataFrame:
     """Each row of docs with its shard and its gapless place there (slot), by the law `bytes`.
 
+    Where path holds a map, that is edited, so that only the slots move that bring the shards within `slack` of the mean (or
+    off shards beyond `shards`), and stored as its next version; else version 1 is dealt anew and stored. The rows are
+    joined to that one version.
+
     grown_shard is null, as this law has none. Rows of one doc_id and text share a virtual slot, otherwise they
-    are rows like others. An empty table gives an empty one; other columns are not read.
+    are rows like others; ties of doc_id go by CRC, then size. doc_id may have any type. Null and empty texts have
+    no bytes. An empty table gives an empty one; other columns are not read.
     """
     spark = docs.sparkSession
     rows = with_slots(docs, slots)
     sizes, counts = slot_sizes(rows, slots)
     path = path or table_path(spark, "slot-map")
-    store_map(spark, path, SlotMap.balanced(sizes, shards), counts)
+    before = load_map(spark, path)
+    if before is not None and len(before.slots) != slots:
+        raise ValueError(f"the map at {path} has {len(before.slots)} virtual slots, not {slots}")
+    now = before.edited(sizes, shards, slack) if before else SlotMap.balanced(sizes, shards)
+    store_map(spark, path, now, counts)
     inside = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
-    placed = rows.withColumn("_n", F.row_number().over(inside) - 1)
-    known = F.broadcast(read_map(spark, path))  # one row a virtual slot
+    placed = rows.withColumn("n", F.row_number().over(inside) - 1)
+    known = F.broadcast(read_map(spark, path, now.version))  # one row a virtual slot
     return placed.join(known, "virtual_slot").select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
-        (F.col("first") + F.col("_n")).cast("long").alias("slot"),
+        (F.col("first") + F.col("n")).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         "virtual_slot",
         F.col("version").alias("map_version"),

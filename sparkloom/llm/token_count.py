@@ -20,8 +20,8 @@ from sparkloom.llm.common import Recent, by_batch, keyed_text, read, resident, v
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-#: Pre-tokens not proved whole in each of the two generations of a worker's table.
-MOST = 100_000
+#: Pre-tokens in each of the two generations of a worker's table, the proved ones included.
+MOST = 130_000
 
 _SPACED = re.compile(r" +[^ ]*|[^ ]+")
 
@@ -66,13 +66,14 @@ class PieceCounts(Recent):
     def __init__(self, path: str):
         self.processor = processor_of(path)
         self.proved = whole_tokens(self.processor)
-        super().__init__(MOST + len(self.proved))
+        super().__init__(MOST)
         self.update(self.proved)
 
     def keep(self, key: str, n: int) -> None:
-        super().keep(key, n)
-        if len(self) == 1:
+        if len(self) >= self.most:
+            super().keep(key, n)
             self.update(self.proved)
+        self[key] = n
 
     def make(self, key: str) -> int:
         # the library puts one space mark before any text: that is the key's first, or stands alone before a line feed

@@ -203,7 +203,8 @@ def test_signature_does_not_depend_on_the_batch():
 def test_classes_of_odd_rows(odd, empty, rows):
     got = {r["doc_id"]: r["class_id"] for r in bagminhash.classes(odd).collect()}
     want = brute_classes(rows)
-    assert {-(1 << 63) if k is None else k: v for k, v in got.items()} == want
+    low = -(1 << 63)  # the null id, before all others
+    assert {low if k is None else k: low if v is None else v for k, v in got.items()} == want
     assert bagminhash.classes(odd).count() == len(rows)
     assert bagminhash.classes(empty).count() == 0
     kept = sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in bagminhash.deduplicate(odd).collect())
@@ -211,6 +212,16 @@ def test_classes_of_odd_rows(odd, empty, rows):
     assert bagminhash.deduplicate(odd).columns == odd.columns
 
 
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, one), (1, two), (None, one + " more"), (None, two), (None, "quite another text of six words"), (2, two), (2, two)]
+    for kind in ("long", "smallint", "string"):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind)).withColumn("raw", F.lit(5))
+        kept = sorted((str(r["doc_id"]), r["text"], r["raw"]) for r in bagminhash.deduplicate(docs, slack=None).collect())
+        assert kept == sorted([("None", one + " more", 5), ("None", "quite another text of six words", 5), ("None", two, 5)])
+        assert {str(r["class_id"]) for r in bagminhash.classes(docs).collect()} == {"None"}
+
+
 def test_classes_of_documents(documents, texts):
     got = {r["doc_id"]: r["class_id"] for r in bagminhash.classes(documents).collect()}
     assert got == brute_classes(list(texts.items()))
@@ -268,7 +279,8 @@ def test_collision_rate_is_the_generalised_jaccard(texts):
 def test_compared_with_next(odd, empty, rows):
     got = fingerprint.compare_with_next(odd).collect()
     assert len(got) == len(rows) and fingerprint.compare_with_next(empty).count() == 0
-    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), r[1] or ""))
+    draw = {r["text"]: r["h"] for r in odd.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), -draw[r[1] or ""]))
     import hashlib
 
     want = []
@@ -299,6 +311,37 @@ def test_ranges_meet(documents, texts):
         assert got[i] == hashlib.sha256((text[: len(text) - n] + after[:n]).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("kind", ["smallint", "long", "string", "decimal(9,2)"])
+@pytest.mark.parametrize("hot", [None, 7])
+def test_ranges_of_any_id_and_of_a_hot_one(spark, kind, hot):
+    """Ids of any type, a third of the rows with one id or none: the order holds over all ranges."""
+    import hashlib
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 50, rng.integers(0, 9))) for _ in range(300)]
+    ids = [hot if i % 3 == 0 else int(rng.integers(0, 90)) for i in range(300)]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    whole = kind in ("smallint", "long")
+    rows = [(r["i"], r["text"], r["h"]) for r in docs.select(F.col("doc_id").cast("long" if whole else "string").alias("i"), "text", F.xxhash64("text").alias("h")).collect()]
+    low = -(1 << 63) if whole else ""
+    order = sorted(rows, key=lambda r: (r[0] is not None, low if r[0] is None else r[0], r[2]), reverse=True)
+    want = []
+    for k, (i, text, _) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        n = len(text) // 3
+        want.append((str(i), len(text), hashlib.sha256((text[: len(text) - n] + after[:n]).encode()).hexdigest()))
+    got = fingerprint.compare_with_next(docs, samples=4, rows_a_range=8)
+    assert sorted((str(r[0]), r[1], r[2]) for r in got.collect()) == sorted(want)
+
+
+def test_a_hot_id_is_cut_into_ranges():
+    rng = np.random.default_rng(9)
+    place = np.where(rng.random(9000) < 0.5, 5, rng.integers(0, 10, 9000))
+    part = fingerprint._cut(place, rng.integers(-(1 << 63), 1 << 63, 9000), np.array([2, 5, 5, 5, 5, 8]))
+    assert np.bincount(part[place == 5]).max() < 1500 and set(part[place == 5]) == {1, 2, 3, 4}
+    assert set(part[place > 8]) == {6} and set(part[place < 3]) == {0}
+
+
 # language model
 
 
@@ -428,9 +471,52 @@ def test_mix_keeps_all_rows_and_proportions(documents):
 
 
 def test_mix_of_odd_rows(odd, empty, rows):
-    assert sorted((r["doc_id"] or -1) for r in mixing.mix(odd).collect()) == sorted((r[0] or -1) for r in rows)
-    assert mixing.mix(odd).columns == odd.columns and mixing.mix(empty).count() == 0
-    assert mixing.schedule(odd, targets={"a": 3.0, "b": 1.0}).count() == len(rows)
+    want = sorted(map(str, odd.collect()))
+    assert sorted(map(str, mixing.mix(odd).collect())) == want  # values, whatever the columns are called
+    assert mixing.mix(odd).columns == odd.columns and mixing.mix(empty).count() == 0 and mixing.schedule(empty).count() == 0
+    names = [c for c in odd.columns if c != "mix_slot"]  # the schedule's own
+    more = odd.withColumns({n: F.lit(n) for n in ("_draw", "_part", "_before", "_weight", "_start", "slot_in_period", "mix_slot_2", "own0", "bytes", "weight", "shift", "start")})
+    out = mixing.schedule(more, targets={"a": 3.0, "b": 1.0})
+    kept = [c for c in more.columns if c != "mix_slot"]
+    assert sorted(map(str, out.select(kept).collect())) == sorted(map(str, more.select(kept).collect())) and set(names) < set(kept)
+
+
+def brute_schedule(rows, slots, block, seed=7):
+    """mix_slot and mix_place by doc_id: earliest deadline first, slot by slot, over all blocks."""
+    import hashlib
+
+    by = collections.defaultdict(list)
+    for doc_id, text, source in rows:
+        n = len((text or "").encode())
+        by[source or ""].append((int(hashlib.md5(f"{doc_id}:{seed}:{n}".encode()).hexdigest()[:15], 16), doc_id, n))
+    period, blocks, placed = sum(slots.values()), {}, {}
+    for source, held in by.items():
+        at = 0
+        for _, doc_id, n in sorted(held):
+            blocks.setdefault(source, {}).setdefault(at // block, []).append((doc_id, at))
+            at += n
+    names, done, slot = list(slots), collections.Counter(), 0
+    last = {s: max(b) for s, b in blocks.items()}
+    while any(done[s] <= last.get(s, -1) for s in names):
+        ready = [(-(-(done[s] + 1) * period // slots[s]), i, s) for i, s in enumerate(names) if done[s] * period // slots[s] <= slot]
+        if ready:
+            s = min(ready)[2]
+            for doc_id, at in blocks.get(s, {}).get(done[s], []):
+                placed[doc_id] = slot, at
+            done[s] += 1
+        slot += 1
+    return placed
+
+
+def test_mix_equals_a_schedule_made_slot_by_slot(documents, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS_A_PART", 10)  # many parts
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in documents.collect()]
+    sizes = collections.Counter()
+    for _, text, source in rows:
+        sizes[source or ""] += len((text or "").encode())
+    want = brute_schedule(rows, mixing.target_slots(sizes), 2000)
+    got = {r["doc_id"]: (r["mix_slot"], r["mix_place"]) for r in mixing.schedule(documents, block=2000).collect()}
+    assert got == want
 
 
 def test_mix_refuses_too_many_sources(monkeypatch):
@@ -465,6 +551,27 @@ def test_slot_map_is_edited_not_dealt_anew():
     assert set(three.slots) == set(range(7)) and max(three.loads(sizes)) < 1.05 * sum(sizes) / 7
 
 
+def test_a_kept_map_is_edited_and_one_version_joined(documents, tmp_path):
+    path = f"file://{tmp_path}/map"
+    half = documents.where("doc_id % 2 = 0")
+    runs = [sharding.shard(half, 5, path=path), sharding.shard(documents, 5, path=path), sharding.shard(documents, 6, path=path)]
+    maps = []
+    for version, (out, n) in enumerate(zip(runs, (half.count(), documents.count(), documents.count())), 1):
+        rows = out.collect()
+        assert len(rows) == n and {r["map_version"] for r in rows} == {version}
+        by = collections.defaultdict(list)
+        for r in rows:
+            by[r["shard"]].append(r)
+        assert all(sorted(r["slot"] for r in v) == list(range(len(v))) for v in by.values())
+        sizes = [sum(r["size"] for r in v) for v in by.values()]
+        assert max(sizes) < 1.1 * sum(sizes) / len(sizes)
+        maps.append({r["virtual_slot"]: r["shard"] for r in rows})
+    stayed = [s for s in maps[0] if maps[0][s] == maps[1][s]]
+    assert len(stayed) > len(maps[0]) / 2
+    moved = {maps[2][s] for s in maps[1] if maps[1][s] != maps[2][s]}
+    assert moved == {5}
+
+
 def test_map_versions_are_kept(spark, tmp_path):
     path = f"file://{tmp_path}/map"
     one = sharding.SlotMap.balanced([3, 2, 1], 2)
