@@ -8,7 +8,7 @@ the counts behind the shares cover every word of the corpus and stay distributed
 Baum-Welch: each partition runs scaled forward-backward over its whole training texts and adds up expected
 transitions and emissions; Spark sums these by class, and the driver turns the sums, a table of fixed size, into the
 next model. The first model is the classes' shares in the corpus, shaken by a hash; the counts of every round come from
-every training text, and the rounds end when the likelihood settles. Long texts are walked in blocks that
+every training text, part by part, with a new model after each, and the rounds end when the likelihood settles. Long texts are walked in blocks that
 bound the memory, with the recursions carried from block to block.
 
 Scoring is exact: the scaled forward recursion runs over each whole text.
@@ -16,6 +16,7 @@ Scoring is exact: the scaled forward recursion runs over each whole text.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -28,15 +29,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import keyed_text, mix64, read, slices
-from sparkloom.session import materialise
+from sparkloom.session import materialise, table_path
 
 STATES = 8
 FREQUENT, RARE = 32_768, 1024
+#: Parts of the training texts, by a hash of the text, after each of which the model is renewed.
+PARTS = 16
 #: Rounds go on until one raises the log likelihood by less than this a token.
 SETTLED = 1e-3
-STRETCH = 128
 #: Tokens that forward-backward holds the states of at once, at most.
 HELD = 600_000
+#: Steps from one scaling of the recursions to the next: probabilities above 1e-38 a step can't underflow between.
+SCALED = 8
+#: Tokens, or somewhat more, that a worker gathers before it puts texts of like length together.
+POOL = 8_000_000
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 END = FREQUENT + RARE
@@ -74,6 +80,51 @@ class Model:
         return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
+def _forward(model: Model, flat: np.ndarray, begin: np.ndarray, alive: np.ndarray, t0: int, before: np.ndarray | None, loglik: np.ndarray):
+    """Ids, emissions and scaled forward states of a block's positions, by time, then text; before: the states ahead of it.
+
+    A position's emissions are divided by their sum, and a text's states by theirs every SCALED steps and at its end;
+    the logarithms of all these go to its loglik.
+    """
+    at = np.cumsum(alive) - alive
+    owner = np.arange(int(alive.sum()))
+    owner -= np.repeat(at, alive)
+    place = begin[owner]
+    place += np.repeat(np.arange(t0, t0 + len(alive)), alive)
+    ids = flat[place]
+    emits = model.emit.take(ids, axis=0, mode="clip")
+    sums = emits @ np.ones(len(model.start))
+    emits /= sums[:, None]
+    loglik += np.bincount(owner, np.log(sums), minlength=len(loglik))
+    alpha = np.empty_like(emits)
+    for t, (i, n) in enumerate(zip(at.tolist(), alive.tolist())):
+        now = alpha[i : i + n]
+        if before is None:
+            now[:] = model.start
+        else:
+            np.dot(before[:n], model.move, out=now)
+        now *= emits[i : i + n]
+        if t % SCALED == 0 or t == len(alive) - 1:
+            scale = now.sum(axis=1)
+            now /= scale[:, None]
+            loglik[:n] += np.log(scale)
+        if t and len(before) > n and (t - 1) % SCALED and t:  # texts that ended at the step before
+            loglik[n : len(before)] += np.log(before[n:].sum(axis=1))
+        before = now
+    return ids, emits, alpha
+
+
+def _by_length(begin: np.ndarray, size: np.ndarray, held: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """The order of the texts, longest first, their begins in it, how many live at each time, and times cut into blocks of about `held` tokens."""
+    order = np.argsort(-size, kind="stable")
+    begin, size = begin[order], size[order]
+    steps = int(size[0]) if len(size) else 0
+    alive = len(size) - np.searchsorted(size[::-1], np.arange(steps), side="right")
+    block = (np.cumsum(alive) - alive) // held
+    edges = np.flatnonzero(np.diff(block, prepend=-1)).tolist() + [steps]
+    return order, begin, alive, list(zip(edges, edges[1:]))
+
+
 class Counts:
     """Expected counts of one or more batches."""
 
@@ -88,91 +139,55 @@ class Counts:
 
         With more than one block the first pass keeps the state at each block's start, and blocks are walked again from the last.
         """
-        order = np.argsort(-size, kind="stable")
-        begin, size = begin[order], size[order]
-        steps = int(size[0]) if len(size) else 0
-        alive = len(size) - np.searchsorted(size[::-1], np.arange(steps), side="right")
-        block = (np.cumsum(alive) - alive) // held
-        edges = np.flatnonzero(np.diff(block, prepend=-1)).tolist() + [steps]
-        blocks = list(zip(edges, edges[1:]))
+        _, begin, alive, blocks = _by_length(begin, size, held)
         states: list[np.ndarray | None] = [None]
         for t0, t1 in blocks[:-1]:
-            alpha = self._forward(model, flat, begin, alive[t0:t1], t0, states[-1])[2]
+            alpha = _forward(model, flat, begin, alive[t0:t1], t0, states[-1], np.zeros(len(begin)))[2]
             states.append(alpha[len(alpha) - alive[t1 - 1] :].copy())
-        ahead = np.zeros((0, len(model.start)))
+        ahead = np.zeros((0, len(model.start)), model.emit.dtype)
         for (t0, t1), before in zip(blocks[::-1], states[::-1]):
             ahead = self._block(model, flat, begin, alive[t0:t1], t0, before, ahead)
 
-    @staticmethod
-    def _forward(model: Model, flat: np.ndarray, begin: np.ndarray, alive: np.ndarray, t0: int, before: np.ndarray | None):
-        """Ids, emissions, scaled forward states and scales of a block's positions, by time, then text; before: the states ahead of it."""
-        at = np.cumsum(alive) - alive
-        nth = np.arange(int(alive.sum())) - np.repeat(at, alive)
-        ids = flat[begin[nth] + np.repeat(np.arange(t0, t0 + len(alive)), alive)]
-        emits = model.emit[ids]
-        alpha, scales, ones = np.empty_like(emits), np.empty(len(ids)), np.ones(len(model.start))
-        for i, n in zip(at.tolist(), alive.tolist()):
-            now, scale = alpha[i : i + n], scales[i : i + n]
-            if before is None:
-                now[:] = model.start
-            else:
-                np.dot(before[:n], model.move, out=now)
-            now *= emits[i : i + n]
-            np.dot(now, ones, out=scale)
-            now /= scale[:, None]
-            before = now
-        return ids, emits, alpha, scales
-
     def _block(self, model: Model, flat: np.ndarray, begin: np.ndarray, alive: np.ndarray, t0: int, before: np.ndarray | None, ahead: np.ndarray) -> np.ndarray:
-        """Adds a block's counts. ahead: emission times backward state over scale at the step after it; returned for its first step."""
-        ids, emits, alpha, scales = self._forward(model, flat, begin, alive, t0, before)
-        self.loglik += float(np.log(scales).sum())
-        emits /= scales[:, None]
-        beta, back = np.ones_like(alpha), np.ascontiguousarray(model.move.T)
+        """Adds a block's counts. ahead: emission times backward state, scaled, at the step after it; returned for its first step."""
+        loglik = np.zeros(len(begin))
+        ids, emits, alpha = _forward(model, flat, begin, alive, t0, before, loglik)
+        self.loglik += float(loglik.sum())
+        beta, back = np.empty_like(alpha), np.ascontiguousarray(model.move.T)
         at = np.cumsum(alive) - alive
-        last = int(at[-1])
-        self.move += model.move * (alpha[last : last + len(ahead)].T @ ahead)
-        for i, n in zip(at[::-1].tolist(), alive[::-1].tolist()):
+        last, later = int(at[-1]), ahead
+        for t, (i, n) in enumerate(zip(at[::-1].tolist(), alive[::-1].tolist())):
             np.dot(ahead, back, out=beta[i : i + len(ahead)])
+            beta[i + len(ahead) : i + n] = 1.0
             ahead = emits[i : i + n]
             ahead *= beta[i : i + n]
+            if t % SCALED == 0:
+                ahead /= ahead.sum(axis=1, keepdims=True)
+        alpha /= np.einsum("ij,ij->i", alpha, beta)[:, None]  # a position's states sum to one, however its text is scaled there
+        self.move += model.move * (alpha[last : last + len(later)].T @ later)
         first = int(alive[0])
         earlier = np.arange(first, len(ids)) - np.repeat(alive[:-1], alive[1:])  # the same text's position a step before
-        self.move += model.move * (alpha[earlier].T @ emits[first:])
+        self.move += model.move * (alpha.take(earlier, axis=0, mode="clip").T @ emits[first:])
         alpha *= beta
         if t0 == 0:
             self.start += alpha[:first].sum(axis=0)
+        place = ids.astype(np.int64)
         for k in range(alpha.shape[1]):
-            self.emit[:, k] += np.bincount(ids, alpha[:, k], minlength=CLASSES)
+            self.emit[:, k] += np.bincount(place, np.ascontiguousarray(alpha[:, k]), minlength=CLASSES)
         return ahead.copy()
 
 
-def stretches(sizes: np.ndarray, length: int = STRETCH) -> tuple[np.ndarray, np.ndarray]:
-    """Begins and sizes of the stretches of texts of these sizes, laid end to end. Training takes texts whole, without it."""
-    n = -(-sizes // length)
-    first = np.cumsum(sizes) - sizes
-    nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    begin = np.repeat(first, n) + nth * length
-    return begin, np.minimum(length, np.repeat(first + sizes, n) - begin)
-
-
-def log10_likelihoods(model: Model, texts: list[np.ndarray]) -> np.ndarray:
-    """log10 of each whole text's probability, by the scaled forward recursion over all texts at once."""
+def log10_likelihoods(model: Model, texts: list[np.ndarray], held: int = HELD) -> np.ndarray:
+    """log10 of each whole text's probability, by the scaled forward recursion over all texts at once, in double precision."""
     size = np.array([len(t) for t in texts], np.int64)
-    order = np.argsort(-size, kind="stable")
     flat = np.concatenate(texts) if texts else np.zeros(0, np.int64)
-    begin = (np.cumsum(size) - size)[order]
-    size = size[order]
-    total = np.zeros(len(texts))
-    alpha = None
-    for t in range(int(size[0]) if len(size) else 0):
-        n = int(np.searchsorted(-size, -t, side="left"))
-        alpha = (model.start if t == 0 else alpha[:n] @ model.move) * model.emit[flat[begin[:n] + t]]
-        scale = alpha.sum(axis=1, keepdims=True)
-        alpha = alpha / scale
-        total[:n] += np.log10(scale[:, 0])
+    order, begin, alive, blocks = _by_length(np.cumsum(size) - size, size, held)
+    total, before = np.zeros(len(texts)), None
+    for t0, t1 in blocks:
+        alpha = _forward(model, flat, begin, alive[t0:t1], t0, before, total)[2]
+        before = alpha[len(alpha) - alive[t1 - 1] :].copy()
     out = np.empty(len(texts))
-    out[order] = total
+    out[order] = total / math.log(10)
     return out
 
 
@@ -239,11 +254,28 @@ def _encode(frequent: dict[bytes, int], log_counts: np.ndarray):
     return run
 
 
-def _batches(sizes: np.ndarray, held: int = HELD) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about `held` tokens together, one text at least."""
-    part = (np.cumsum(sizes) - sizes) // held
-    edges = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(sizes)]
-    yield from zip(edges, edges[1:])
+def _pools(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[tuple[np.ndarray, list[np.ndarray]]]]]:
+    """The rows in pools of about POOL tokens; each with runs of texts of like length, about HELD tokens together: their rows and ids."""
+
+    def pool(table: pa.Table) -> tuple[pa.Table, list[tuple[np.ndarray, list[np.ndarray]]]]:
+        texts = [np.frombuffer(x, "<u2") for x in table.column("ids").to_pylist()]
+        size = np.array([len(x) for x in texts], np.int64)
+        order = np.argsort(-size, kind="stable")
+        part = (np.cumsum(size[order]) - size[order]) // HELD
+        runs = np.split(order, np.flatnonzero(np.diff(part)) + 1)
+        return table, [(run, [texts[i] for i in run.tolist()]) for run in runs]
+
+    held, tokens = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        tokens += batch.column("ids").nbytes // 2
+        if tokens >= POOL:
+            yield pool(pa.Table.from_batches(held))
+            held, tokens = [], 0
+    if held:
+        yield pool(pa.Table.from_batches(held))
 
 
 def _expected(model: Model):
@@ -251,14 +283,11 @@ def _expected(model: Model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, some = Counts(states), False
-        for batch in batches:
-            column = batch.column(0)
-            sizes = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]) // 2
-            for i, j in _batches(sizes):
-                flat = np.concatenate([np.frombuffer(x, "<u2") for x in column.slice(i, j - i).to_pylist()])
-                size = sizes[i:j].astype(np.int64)
-                counts.add(model, flat, np.cumsum(size) - size, size)
-                some = True
+        for _, runs in _pools(batches):
+            for _, texts in runs:
+                size = np.array([len(x) for x in texts], np.int64)
+                counts.add(model, np.concatenate(texts), np.cumsum(size) - size, size)
+            some = True
         if some:
             hit = np.flatnonzero(counts.emit.any(axis=1))
             # below the classes: the start counts at -1, the transitions from state k at -2 - k, then the log likelihood
@@ -269,44 +298,64 @@ def _expected(model: Model):
     return run
 
 
-def train(encoded: DataFrame, share: np.ndarray, states: int = STATES, rounds: int | None = None, logliks: list[float] | None = None) -> Model:
+def _sums(texts: DataFrame, model: Model) -> Counts:
+    """The expected counts over the rows of texts, summed across partitions."""
+    states = len(model.start)
+    columns = [f"e{k}" for k in range(states)]
+    partial = texts.select("ids").mapInArrow(_expected(model), "class int, " + ", ".join(f"{c} double" for c in columns))
+    counts = Counts(states)
+    table = partial.groupBy("class").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()  # CLASSES + states + 2 rows at most
+    key, sums = table.column(0).to_numpy(), np.stack([table.column(c).to_numpy() for c in columns], axis=1)
+    counts.emit[key[key >= 0]] = sums[key >= 0]
+    for k, row in zip(key[key < 0].tolist(), sums[key < 0]):
+        if k == -1:
+            counts.start[:] = row
+        elif k == -2 - states:
+            counts.loglik = row[0]
+        else:
+            counts.move[-2 - k] = row
+    return counts
+
+
+def train(encoded: DataFrame, share: np.ndarray, states: int = STATES, rounds: int | None = None, logliks: list[float] | None = None, parts: int = 1) -> Model:
     """Baum-Welch over the rows of encoded whose train is true, `rounds` times or until the likelihood settles.
 
-    logliks gets the log likelihood of each round's model, before that round.
+    With several parts (the column part, from 0) the model is renewed after each part, from the latest counts of every part: incremental
+    expectation maximisation (Neal and Hinton, 1998), whose rounds still go over all texts once, but are fewer. The driver holds
+    one table of counts a part. logliks gets the log likelihood of each round, every part's by the model that it met.
     """
     texts = encoded.where("train")
     model, last, n = Model.first(share, states), -np.inf, 0
-    columns = [f"e{k}" for k in range(states)]
+    held: list[Counts | None] = [None] * parts
     while rounds is None or n < rounds:
-        partial = texts.select("ids").mapInArrow(_expected(model), "class int, " + ", ".join(f"{c} double" for c in columns))
-        counts = Counts(states)
-        for row in partial.groupBy("class").agg(*(F.sum(c).alias(c) for c in columns)).collect():  # CLASSES + states + 2 rows at most
-            if row[0] >= 0:
-                counts.emit[row[0]] = row[1:]
-            elif row[0] == -1:
-                counts.start[:] = row[1:]
-            elif row[0] == -2 - states:
-                counts.loglik = row[1]
-            else:
-                counts.move[-2 - row[0]] = row[1:]
-        model, n = Model.from_counts(counts.start, counts.move, counts.emit, share), n + 1
+        for part in range(parts):
+            held[part] = _sums(texts.where(F.col("part") == part) if parts > 1 else texts, model)
+            met = [c for c in held if c is not None]
+            start, move, emit = (sum(getattr(c, name) for c in met) for name in ("start", "move", "emit"))
+            model = Model.from_counts(start, move, emit, share)
+        n, loglik = n + 1, sum(c.loglik for c in held)
         if logliks is not None:
-            logliks.append(counts.loglik)
-        if counts.loglik - last < SETTLED * max(1.0, counts.emit.sum()):
+            logliks.append(loglik)
+        if loglik - last < SETTLED * max(1.0, emit.sum()):
             break
-        last = counts.loglik
+        last = loglik
     return model
 
 
-def _forward(model: Model, log_class: np.ndarray):
+def _scored(model: Model, log_class: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [np.frombuffer(x, "<u2").astype(np.int64) for x in batch.column("ids").to_pylist()]
-            score = log10_likelihoods(model, texts)
-            rare = [x[(x >= FREQUENT) & (x < END)] - FREQUENT for x in texts]
-            inside = np.array([log_class[x].sum() for x in rare])
-            arrays = [batch.column("row"), batch.column("doc_id"), batch.column("train"), batch.column("known_sum"), pa.array([len(x) for x in texts], pa.int64()), pa.array([len(x) for x in rare], pa.int64()), pa.array(score - inside)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "train", "known_sum", "n_tokens", "n_rare", "partial"])
+        for table, runs in _pools(batches):
+            score, n_tokens, n_rare = np.zeros(table.num_rows), np.zeros(table.num_rows, np.int64), np.zeros(table.num_rows, np.int64)
+            for rows, texts in runs:
+                n_tokens[rows] = [len(x) for x in texts]
+                flat = np.concatenate(texts)
+                odd = (flat >= FREQUENT) & (flat < END)
+                owner = np.repeat(rows, n_tokens[rows])[odd]
+                n_rare += np.bincount(owner, minlength=table.num_rows)
+                score -= np.bincount(owner, log_class[flat[odd] - FREQUENT], minlength=table.num_rows)
+                score[rows] += log10_likelihoods(model, texts)
+            columns = {c: table.column(c) for c in ("row", "doc_id", "train", "known_sum")} | {"n_tokens": pa.array(n_tokens), "n_rare": pa.array(n_rare), "partial": pa.array(score)}
+            yield from pa.table(columns).to_batches()
 
     return run
 
@@ -346,10 +395,13 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int | None =
     log_class = np.log10(held.sum(axis=1) + 1)
 
     encoded = texts.mapInArrow(_encode(frequent, log_counts), f"doc_id {kind}, train boolean, ids binary, known_sum double, rare array<struct<word: string, n: long>>")
-    encoded = materialise(encoded.withColumn("row", F.monotonically_increasing_id()), "encoded", compression="zstd")
-    model = train(encoded, share, states, rounds)
+    path = table_path(docs.sparkSession, "encoded")
+    encoded = encoded.withColumns({"row": F.monotonically_increasing_id(), "part": F.pmod(F.xxhash64("ids"), F.lit(PARTS)).cast("int")})
+    encoded.write.partitionBy("part").parquet(path, compression="zstd")
+    encoded = docs.sparkSession.read.schema(encoded.schema).parquet(path)
+    model = train(encoded, share, states, rounds, parts=PARTS)
 
-    scored = encoded.select("row", "doc_id", "train", "ids", "known_sum").mapInArrow(_forward(model, log_class), f"row long, doc_id {kind}, train boolean, known_sum double, n_tokens long, n_rare long, partial double")
+    scored = encoded.select("row", "doc_id", "train", "ids", "known_sum").mapInArrow(_scored(model, log_class), f"row long, doc_id {kind}, train boolean, known_sum double, n_tokens long, n_rare long, partial double")
     rare = encoded.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.n")
     # no word here is among the FREQUENT commonest, so no key is hot
     met = rare.join(counts, "word").groupBy("row").agg(F.sum("n").alias("n_met"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("rare_sum"))
