@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -278,10 +279,9 @@ def _pools(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[t
         yield pool(pa.Table.from_batches(held))
 
 
-def _expected(model: Model):
-    states = len(model.start)
-
+def _expected(sent: Broadcast, states: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = sent.value
         counts, some = Counts(states), False
         for _, runs in _pools(batches):
             for _, texts in runs:
@@ -302,9 +302,11 @@ def _sums(texts: DataFrame, model: Model) -> Counts:
     """The expected counts over the rows of texts, summed across partitions."""
     states = len(model.start)
     columns = [f"e{k}" for k in range(states)]
-    partial = texts.select("ids").mapInArrow(_expected(model), "class int, " + ", ".join(f"{c} double" for c in columns))
+    sent = texts.sparkSession.sparkContext.broadcast(model)  # CLASSES rows of states
+    partial = texts.select("ids").mapInArrow(_expected(sent, states), "class int, " + ", ".join(f"{c} double" for c in columns))
     counts = Counts(states)
     table = partial.groupBy("class").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()  # CLASSES + states + 2 rows at most
+    sent.destroy()  # no file of a past model stays
     key, sums = table.column(0).to_numpy(), np.stack([table.column(c).to_numpy() for c in columns], axis=1)
     counts.emit[key[key >= 0]] = sums[key >= 0]
     for k, row in zip(key[key < 0].tolist(), sums[key < 0]):
