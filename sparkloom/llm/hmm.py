@@ -35,7 +35,7 @@ from sparkloom.session import materialise, table_path
 STATES = 8
 FREQUENT, RARE = 32_768, 1024
 #: Parts of the training texts, by a hash of the text, after each of which the model is renewed.
-PARTS = 16
+PARTS = 4
 #: Rounds go on until one raises the log likelihood by less than this a token.
 SETTLED = 1e-3
 #: Tokens that forward-backward holds the states of at once, at most.
