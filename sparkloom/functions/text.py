@@ -17,7 +17,7 @@ def _col(c: Column | str) -> Column:
 
 def count_tokens(text: Column | str) -> Column:
     """Number of tokens; null for null."""
-    return F.size(F.regexp_extract_all(_col(text), F.lit(TOKEN), F.lit(0)))
+    return F.regexp_count(_col(text), F.lit(TOKEN))
 
 
 def paragraphs(text: Column | str) -> Column:
@@ -38,6 +38,11 @@ def lexical_tokens(text: Column | str) -> Column:
     return F.transform(F.filter(runs, lambda t: F.rlike(t, F.lit("^[a-zA-Z0-9_]+$"))), F.lower)
 
 
+def has_token(text: Column | str) -> Column:
+    """Whether a text has a lexical token."""
+    return F.rlike(_col(text), F.lit(r"(?<![\p{L}\p{N}_])[a-zA-Z0-9_]+(?![\p{L}\p{N}_])"))
+
+
 def strip(text: Column | str) -> Column:
     return F.regexp_replace(_col(text), r"^\s+|\s+$", "")
 
@@ -67,5 +72,4 @@ def snippet(text: Column | str, chars: int = SNIPPET_CHARS) -> Column:
 
 def word_count(text: Column | str) -> Column:
     """Words between white space."""
-    stripped = strip(_col(text))
-    return F.when(stripped == "", 0).otherwise(F.size(F.split(stripped, r"\s+")))
+    return F.regexp_count(_col(text), F.lit(r"\S+"))

@@ -1,34 +1,68 @@
-"""A BM25 index as three tables, and ranked search on it."""
+"""A BM25 index as three tables, and ranked search on it.
+
+Postings are bucketed by chunk, so that all of a chunk's lie in one task: its scores are added up there, without a
+shuffle, each task cuts its own to the best k of a question, and only those move.
+"""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from sparkloom.functions.text import lexical_tokens
+from sparkloom.functions.text import has_token, lexical_tokens
 from sparkloom.operators.ranking import top_k
-from sparkloom.session import materialise
+from sparkloom.session import materialise, table_path
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Terms of a set of questions, each with its question, that are broadcast; a larger set goes in blocks.
+BROADCAST = 1_000_000
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """postings (term, chunk_id, tf), terms (term, df, idf), chunks (chunk_id, dl, avgdl)."""
+    """postings (term, chunk_id, tf, dl), bucketed by chunk_id; terms (term, df, idf); chunks (chunk_id, dl, avgdl)."""
 
     postings: DataFrame
     terms: DataFrame
     chunks: DataFrame
 
+    @cached_property
+    def average(self) -> float:
+        """Tokens a chunk; 0 without chunks."""
+        row = self.chunks.select("avgdl").first()
+        return (row and row[0]) or 0.0
+
     def write(self, path: str) -> None:
-        for name in ("postings", "terms", "chunks"):
+        buckets = _buckets(self.postings.sparkSession)
+        _bucketed(self.postings, f"{path}/postings", buckets)
+        for name in ("terms", "chunks"):
             getattr(self, name).write.mode("errorifexists").parquet(f"{path}/{name}")
+        self.postings.sparkSession.createDataFrame([(buckets,)], "buckets int").write.parquet(f"{path}/layout")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> LexicalIndex:
-        return LexicalIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "chunks")))
+        buckets = spark.read.parquet(f"{path}/layout").first()[0]
+        columns = spark.read.parquet(f"{path}/postings").schema
+        name = f"postings_{uuid.uuid4().hex}"
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns)
+        spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet CLUSTERED BY (chunk_id) INTO {buckets} BUCKETS LOCATION '{path}/postings'")
+        return LexicalIndex(spark.table(name), *(spark.read.parquet(f"{path}/{n}") for n in ("terms", "chunks")))
+
+
+def _buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _bucketed(postings: DataFrame, path: str, buckets: int) -> DataFrame:
+    """postings written to path as a table bucketed by chunk, one file a bucket."""
+    name = f"postings_{uuid.uuid4().hex}"
+    postings.repartition(buckets, "chunk_id").write.bucketBy(buckets, "chunk_id").option("path", path).saveAsTable(name)
+    return postings.sparkSession.table(name)
 
 
 def term_frequencies(chunks: DataFrame, id_column: str = "chunk_id", text: str = "content") -> DataFrame:
@@ -41,8 +75,12 @@ def build(chunks: DataFrame, id_column: str = "chunk_id", text: str = "content")
 
     Texts are cut into words once: the postings are written, and lengths and document frequencies come from them.
     """
-    postings = materialise(term_frequencies(chunks, id_column, text), "postings")
-    lengths = postings.groupBy("chunk_id").agg(F.sum("tf").alias("dl"))
+    spark = chunks.sparkSession
+    buckets = _buckets(spark)
+    dl = F.sum("tf").over(Window.partitionBy("chunk_id"))  # a chunk's terms
+    counted = term_frequencies(chunks, id_column, text).repartition(buckets, "chunk_id").withColumn("dl", dl)
+    postings = _bucketed(counted, table_path(spark, "postings"), buckets)
+    lengths = postings.groupBy("chunk_id").agg(F.first("dl").alias("dl"))
     sizes = chunks.select(F.col(id_column).alias("chunk_id")).join(lengths, "chunk_id", "left").select("chunk_id", F.coalesce("dl", F.lit(0)).alias("dl"))
     totals = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
     raw = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(totals).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
@@ -52,19 +90,30 @@ def build(chunks: DataFrame, id_column: str = "chunk_id", text: str = "content")
 
 
 def scores(index: LexicalIndex, questions: DataFrame, query: str = "query") -> DataFrame:
-    """query_id, chunk_id, score of every chunk that shares a term with the question; a repeated question term counts again."""
+    """query_id, chunk_id, score of every chunk that shares a term with the question; a repeated question term counts again.
+
+    The questions' terms are counted first and broadcast, in blocks of BROADCAST at most; postings don't move.
+    """
     wanted = questions.select("query_id", F.explode(lexical_tokens(query)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    tf, dl, avgdl = F.col("tf"), F.col("dl"), F.col("avgdl")
-    part = F.col("qf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
-    met = wanted.join(index.terms, "term").join(index.postings, "term").join(index.chunks, "chunk_id")
-    return met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
+    wanted = materialise(wanted.join(index.terms, "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("weight")), "question-terms")
+    tf, dl = F.col("tf"), F.col("dl")
+    part = F.col("weight") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(index.average)))
+    blocks = -(-wanted.count() // BROADCAST) or 1
+    out = None
+    for block in range(blocks):
+        some = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        met = index.postings.join(F.broadcast(some), "term")
+        found = met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def search(index: LexicalIndex, questions: DataFrame, k: int, query: str = "query", pad: bool = True) -> DataFrame:
     """query_id, rank, chunk_id, score: the k best chunks of each question with a token, ties by chunk_id.
 
     With pad, chunks without a common term count with score 0, for the questions with fewer than k scored
-    chunks or with a score below zero among the k best; only those are paired with all chunks.
+    chunks or with a score below zero among the k best. Of those chunks the least ids come first, so a question with n
+    scored chunks needs no more than the k + n least ids of all.
     """
     if k < 1:
         raise ValueError("k must be positive")
@@ -72,11 +121,13 @@ def search(index: LexicalIndex, questions: DataFrame, k: int, query: str = "quer
     if not pad:
         return top_k(found, k)
     best = materialise(top_k(found, k), "best")  # k rows a question
-    asked = questions.where(F.size(lexical_tokens(query)) > 0).select("query_id")
-    poor = asked.join(best.where("score >= 0").groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k), "query_id", "left_anti")
-    poor = poor.distinct()
+    asked = questions.where(has_token(query)).select("query_id").distinct()
+    enough = best.where("score >= 0").groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    poor = materialise(asked.join(enough, "query_id", "left_anti"), "poor")
     if poor.isEmpty():
         return best
-    every = poor.crossJoin(index.chunks.select("chunk_id")).join(found, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", F.coalesce("score", F.lit(0.0)).alias("score"))
-    padded = top_k(every, k)
-    return best.join(poor, "query_id", "left_anti").unionByName(padded)
+    own = materialise(found.join(poor, "query_id", "left_semi"), "own")
+    most = own.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
+    least = index.chunks.select("chunk_id").orderBy("chunk_id").limit(k + most)
+    blank = poor.crossJoin(least).join(own, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
+    return best.join(poor, "query_id", "left_anti").unionByName(top_k(own.unionByName(blank), k))

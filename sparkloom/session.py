@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the cluster names no shared folder (tests, a single machine).
+#: Used only by a local master that names no shared folder (tests, a single machine).
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
 
 _roots: dict[str, str] = {}
@@ -34,12 +35,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The folder of this application below the cluster's shared spark.checkpoint.dir.
 
     Every executor and the driver see that folder, so a table written there
-    outlives any one executor. Only where the setting is missing is a local one used.
+    outlives any one executor. Without that setting a local master uses a local folder, and any other one raises.
     """
     app = spark.sparkContext.applicationId
     if app not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
             base = LOCAL_CHECKPOINTS
             spark.sparkContext.setCheckpointDir(base)
         _roots[app] = f"{base.rstrip('/')}/sparkloom-{app}"
