@@ -14,6 +14,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.session import materialise
+
 _TOKEN = regex.compile(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]")
 _SENTENCE = regex.compile(r"(?<=[.!?])\s+(?=[A-Z0-9`\"'])")
 _HEADING = regex.compile(r"(#{1,6})\s+(.+)")
@@ -251,20 +253,29 @@ def contains_all(content: F.Column, phrases: F.Column) -> F.Column:
     return F.forall(phrases, lambda p: F.contains(F.lower(content), F.lower(p)))
 
 
+#: Probes without a document that are broadcast at once.
+PROBES = 10_000
+
+
 def preservation(chunks: DataFrame, probes: DataFrame) -> DataFrame:
     """question_id, category, strategy, preserved: whether some chunk of the probe's document holds all its phrases.
 
-    A probe whose document has no chunk is held against all chunks; only such probes are paired with them all.
+    A probe whose document has no chunk is held against all chunks: such probes are broadcast, PROBES at a time, each task goes
+    over its own chunks, and one flag a probe and task moves.
     probes: question_id, category, target_doc_id, key_phrases.
     """
     probes = probes.withColumn("target_doc_id", F.col("target_doc_id").cast("string"))
-    asked = probes.crossJoin(chunks.select("strategy").distinct())  # one row a strategy
-    own = asked.join(chunks.select("strategy", F.col("doc_id").alias("target_doc_id"), "content"), ["strategy", "target_doc_id"])
-    lost = asked.join(chunks.select("strategy", F.col("doc_id").alias("target_doc_id")).distinct(), ["strategy", "target_doc_id"], "left_anti")
-    every = lost.join(chunks.select("strategy", "content"), "strategy")
+    asked = materialise(probes.crossJoin(chunks.select("strategy").distinct()), "asked")  # one row a strategy
     keys = ["question_id", "category", "strategy"]
-    tested = own.select(*keys, "key_phrases", "content").unionByName(every.select(*keys, "key_phrases", "content"))
-    found = tested.groupBy(*keys).agg(F.coalesce(F.max(contains_all(F.col("content"), F.col("key_phrases"))), F.lit(False)).alias("preserved"))
+    flag = F.max(contains_all(F.col("content"), F.col("key_phrases"))).alias("preserved")
+    own = asked.join(chunks.select("strategy", F.col("doc_id").alias("target_doc_id"), "content"), ["strategy", "target_doc_id"])
+    found = own.groupBy(*keys).agg(flag)
+    known = chunks.select("strategy", F.col("doc_id").alias("target_doc_id")).distinct()
+    lost = materialise(asked.join(known, ["strategy", "target_doc_id"], "left_anti"), "lost")
+    parts = -(-lost.count() // PROBES)
+    for part in range(parts):
+        some = lost.where(F.pmod(F.xxhash64("question_id"), F.lit(parts)) == part)
+        found = found.unionByName(chunks.select("strategy", "content").join(F.broadcast(some), "strategy").groupBy(*keys).agg(flag))
     return asked.select(*keys).join(found, keys, "left").select(*keys, F.coalesce("preserved", F.lit(False)).alias("preserved"))
 
 

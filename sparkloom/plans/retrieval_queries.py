@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import scoring
 from sparkloom.functions import text as X
 from sparkloom.operators import answers, dense, evidence, fusion, lexical, metrics
+from sparkloom.operators.containing import holding
 from sparkloom.plans.common import lexical_sql, longs, read
 
 
@@ -26,8 +27,9 @@ def tails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document is relevant to a passage if it holds it: every document against the stated passages."""
-    return chunks(spark, sf_dir).join(passages(spark, sf_dir), F.contains("content", "query")).select("query_id", "chunk_id")
+    """A document is relevant to a passage if it holds it."""
+    held = holding(chunks(spark, sf_dir).select(F.col("chunk_id").alias("text_id"), F.col("content").alias("body")), passages(spark, sf_dir).select(F.col("query_id").alias("passage_id"), F.col("query").alias("passage")))
+    return held.select(F.col("passage_id").alias("query_id"), F.col("text_id").alias("chunk_id"))
 
 
 def bm25_term_stats(spark, sf_dir):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
 from sparkloom.operators import chunking
+from sparkloom.operators.containing import holding
 from sparkloom.plans.common import lexical_sql, longs, paragraphs_sql, quoted, read, sentences_sql, strip_sql, tokens_sql
 from sparkloom.sources import html, tables
 
@@ -102,8 +103,9 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.split(X.strip("text"), r"\s+")
     n = F.size(words)
     b = read(spark, sf_dir, "benchmark").select("item_id", "text", F.array(F.array_join(F.slice(words, 1, 3), " "), F.array_join(F.slice(words, F.greatest(n - 2, F.lit(1)), F.lit(3)), " ")).alias("key_phrases"))
-    d = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
-    held = d.join(b, F.contains("body", "text")).groupBy("item_id").agg(F.min("doc_id").alias("target_doc_id"))  # every document against the stated passages
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), F.col("text").alias("body"))
+    held = holding(d, b.select(F.col("item_id").alias("passage_id"), F.col("text").alias("passage")))
+    held = held.groupBy(F.col("passage_id").alias("item_id")).agg(F.min("text_id").alias("target_doc_id"))
     return b.join(held, "item_id", "left").select(F.concat(F.lit("p"), F.col("item_id").cast("string")).alias("question_id"), F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("category"), "target_doc_id", "key_phrases")
 
 

@@ -144,3 +144,34 @@ def test_escalation_is_bounded(spark):
     found, verdicts = evidence.retrieve_complex(parts, nothing, 20, 5)
     assert asked == [20, 35] and found.count() == 0
     assert verdicts.first()["attempts"] == 2 and verdicts.first()["recommendation"] == "INSUFFICIENT_EVIDENCE"
+
+
+def test_holding_equals_contains(spark, monkeypatch):
+    from sparkloom.operators import containing
+
+    monkeypatch.setattr(containing, "BLOCK", 2)
+    bodies = ["one two three four", "xone two threex", "two", "one  two three", "", None, "one two three one two three", "four\none two three four"]
+    asked = ["one two three", "two", "e two t", "", None, "one two three four", "absent here now", "  two  "]
+    texts = spark.createDataFrame(list(enumerate(bodies)), "text_id long, body string")
+    passages = spark.createDataFrame(list(enumerate(asked)), "passage_id long, passage string")
+    want = {(i, j) for i, b in enumerate(bodies) for j, p in enumerate(asked) if b is not None and p is not None and p in b}
+    assert sorted(map(tuple, containing.holding(texts, passages).collect())) == sorted(want)
+    assert containing.holding(texts.where("false"), passages).count() == 0 and containing.holding(texts, passages.where("false")).count() == 0
+
+
+def test_padding_takes_the_least_ids_not_found(spark):
+    """A question with few scored chunks, and one whose scores are below zero, against a ranking of all chunks."""
+    from sparkloom.operators import lexical
+
+    texts = ["a b c", "a b", "a", "a d", "b a", "e", ""]
+    chunks = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts)], "chunk_id string, content string")
+    index = lexical.build(chunks)
+    asked = spark.createDataFrame([(1, "a"), (2, "e"), (3, "zz"), (4, "d a b"), (5, "  ")], "query_id long, query string")
+    for k in (1, 3, 7, 9):
+        scored = {(r["query_id"], r["chunk_id"]): r["score"] for r in lexical.scores(index, asked).collect()}
+        want = []
+        for q in (1, 2, 3, 4):
+            rows = sorted(((-scored.get((q, f"c{i}"), 0.0), f"c{i}") for i in range(7)))[:k]
+            want += [(q, n, c, -s) for n, (s, c) in enumerate(rows, 1)]
+        got = [(r["query_id"], r["rank"], r["chunk_id"], r["score"]) for r in lexical.search(index, asked, k).collect()]
+        assert sorted(got) == sorted((q, n, c, s + 0.0) for q, n, c, s in want)
