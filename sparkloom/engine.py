@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.functions.scoring import ADAPTIVE, BASIC, FULL, HYBRID, SYSTEM_NAMES, SYSTEMS
+from sparkloom.functions.scoring import ADAPTIVE, BASIC, FULL, HYBRID, SYSTEM_NAMES, SYSTEMS, quota_spent
 from sparkloom.operators import answers, chunking, dense, evaluation, evidence, fusion, lexical, metrics, questions
 from sparkloom.operators.ranking import top_k
-from sparkloom.sources import html
+from sparkloom.sources import html, tables
 from sparkloom.session import materialise
 
 MOST_K = 20
@@ -58,8 +59,9 @@ class Engine:
         if path is not None:
             index.write(f"{path}/lexical")
             dense.build(vectors, f"{path}/vectors")
-            spark.createDataFrame([(chunks.count(), settings.dimension)], "chunks long, dimension int").write.mode("errorifexists").json(f"{path}/manifest")
-            return Engine.load(spark, path, encoder, settings)
+            built = Engine.load(spark, path, encoder, settings)
+            built._manifest(path)
+            return built
         return Engine(spark, chunks, index, vectors, encoder, settings)
 
     @staticmethod
@@ -67,8 +69,24 @@ class Engine:
         settings = settings or Settings()
         return Engine(spark, spark.read.parquet(f"{path}/chunks"), lexical.LexicalIndex.read(spark, f"{path}/lexical"), dense.load(spark, f"{path}/vectors"), encoder or dense.hashing_encoder(settings.dimension), settings)
 
+    def _manifest(self, path: str) -> None:
+        """Written last, with the counts of each table and how many hits a smoke question, the first chunk's own text, has by either index."""
+        smoke = self.chunks.where(F.trim("content") != "").orderBy("chunk_id").limit(1).select(F.lit(1).alias("query_id"), F.substring("content", 1, 200).alias("query"))
+        counts = [F.lit(self.settings.dimension).alias("dimension")]
+        counts += [F.lit(table.count()).alias(name) for name, table in (("chunks", self.chunks), ("vectors", self.vectors), ("terms", self.index.terms), ("postings", self.index.postings))]
+        counts += [F.lit(self.search(smoke, method, 1).count()).alias(f"{method}_smoke_hits") for method in ("dense", "bm25")]
+        self.spark.range(1).select(*counts).write.mode("errorifexists").json(f"{path}/manifest")
+
+    @staticmethod
+    def manifest(spark: SparkSession, path: str) -> DataFrame:
+        return spark.read.json(f"{path}/manifest")
+
     # search
 
+    def retrieved(self, asked: DataFrame, method: str = "hybrid", k: int | None = None) -> DataFrame:
+        """search with retrieval_method and the metadata of each chunk."""
+        return answers.citations(self.search(asked, method, k).select("query_id", "rank", "chunk_id", "score"), self.chunks).withColumn("retrieval_method", F.lit(method))
+
     def search(self, asked: DataFrame, method: str = "hybrid", k: int | None = None) -> DataFrame:
         """query_id, rank, chunk_id, score by method dense, bm25 or hybrid; blank questions have no row."""
         asked = asked.where(F.trim("query") != "")
@@ -116,9 +134,7 @@ class Engine:
 
     def retrieve(self, asked: DataFrame, system: str = "full", k: int | None = None) -> DataFrame:
         """query_id, rank, chunk_id, score by one of the four systems."""
-        name = SYSTEM_NAMES.get(system.strip().lower().replace("-", "_").replace(" ", "_"))
-        if name is None:
-            raise ValueError(f"unknown system: {system}")
+        name = _system(system)
         if k is not None and not 1 <= k <= MOST_K:
             raise ValueError(f"k lies between 1 and {MOST_K}")
         columns = ("query_id", "rank", "chunk_id", "score")
@@ -172,11 +188,93 @@ class Engine:
             out = got if out is None else out.unionByName(got)
         return out
 
+    def run(self, benchmark: DataFrame, systems: tuple[str, ...] = SYSTEMS, provider: answers.Provider | None = None, judge: answers.Provider | None = None, done: DataFrame | None = None, retry_failed: bool = True, most: int | None = None) -> DataFrame:
+        """Records of the systems over the benchmark's questions: retrieved, answered, measured against the truth and judged.
+
+        benchmark: question_id, query, reference_answer, truth (array of chunk ids), expected_intent, expected_complexity,
+        expected_strategy; the first `most` questions, if given. done: earlier records, whose pairs are run again only where they
+        failed and retry_failed is set; they come back with the new ones, whose previous_errors tell of earlier tries. Once a daily
+        quota is spent the systems that follow are not begun, so that a later run resumes with them.
+        """
+        asked = materialise(tables.filter_benchmark(benchmark, limit=most).withColumn("query_id", F.col("question_id")), "asked")
+        new = None
+        for position, system in enumerate(systems):
+            todo = asked
+            if done is not None:
+                todo = asked.join(evaluation.pending(asked, (_system(system),), done, retry_failed), "question_id", "left_semi")
+            if todo.isEmpty():
+                continue
+            got = materialise(self._records(todo, system, provider, judge).withColumn("position", F.lit(position).cast("long")), "records")
+            new = got if new is None else new.unionByName(got)
+            if not got.where(quota_spent(F.coalesce("error", F.lit("")))).isEmpty():
+                break
+        if new is None:
+            return done if done is not None else self._records(asked.where(F.lit(False)), systems[0], provider, judge).withColumn("position", F.lit(0).cast("long"))
+        return new if done is None else evaluation.merged(done, new)
+
+    def _records(self, asked: DataFrame, system: str, provider: answers.Provider | None, judge: answers.Provider | None) -> DataFrame:
+        began = time.monotonic()
+        questions_ = asked.select("query_id", "query")
+        hits = materialise(self.retrieve(questions_, system), "hits")
+        replies = materialise(answers.generate(self.prompts(questions_, hits), provider or answers.FixedAnswer()), "answers")
+        seconds = time.monotonic() - began
+        truth = asked.select("query_id", F.explode("truth").alias("chunk_id"))
+        measures = metrics.bundle(metrics.ranked_lists(hits, truth, asked))
+        snippets = F.transform(F.array_sort(F.collect_list(F.struct("rank", "content_snippet"))), lambda x: x["content_snippet"])
+        evidence_ = answers.citations(hits, self.chunks).groupBy("query_id").agg(snippets.alias("snippets"), F.count("*").alias("chunks_processed"))
+        rows = asked.join(replies, "query_id").join(evidence_, "query_id", "left")
+        evidence_text = answers.evidence_text(F.coalesce("snippets", F.array().cast("array<string>")))
+        graded = rows.select("query_id", F.col("query").alias("question"), F.coalesce("reference_answer", F.lit("")).alias("reference"), evidence_text.alias("evidence"), "answer")
+        scores = answers.judge(graded, judge or answers.FixedAnswer('{"correctness": 0, "faithfulness": 0, "relevance": 0, "reason": "no judge"}')).select("query_id", "scores.*")
+        name = _system(system)
+        plans = self.route(questions_).select("query_id", "intent", "complexity", "strategy")
+        fixed = {BASIC: "DENSE", HYBRID: "HYBRID"}.get(name)
+        predicted = F.lit(fixed) if fixed else F.col("strategy")
+        routed = lambda c: F.lit(None).cast("boolean") if fixed else F.col(c) == F.col(f"expected_{c}")
+        calls = F.lit({BASIC: 1, HYBRID: 2}[name]) if fixed else F.when(F.col("strategy") == "DENSE", 1).otherwise(2)
+        out = rows.join(scores, "query_id").join(measures, "query_id").join(plans, "query_id", "left")
+        return out.select(
+            "question_id",
+            F.lit(name).alias("system"),
+            F.col("answer").alias("generated_answer"),
+            "error",
+            "reason",
+            *(c for c in measures.columns if c.startswith(("recall", "ndcg")) or c == "mrr"),
+            "correctness",
+            "faithfulness",
+            "relevance",
+            "overall",
+            (F.lit(seconds * 1000) / F.lit(max(1, asked.count()))).alias("latency_ms"),
+            calls.cast("long").alias("retrieval_calls"),
+            F.coalesce("chunks_processed", F.lit(0)).cast("long").alias("chunks_processed"),
+            F.lit(0).cast("long").alias("escalation_count"),
+            "prompt_tokens",
+            "completion_tokens",
+            "total_tokens",
+            *(F.lit(None).cast("long").alias(f"judge_{c}") for c in ("prompt_tokens", "completion_tokens", "total_tokens")),
+            (predicted == F.col("expected_strategy")).alias("strategy_match"),
+            routed("intent").alias("intent_match"),
+            routed("complexity").alias("complexity_match"),
+            "expected_intent",
+            "expected_complexity",
+            "expected_strategy",
+            predicted.alias("predicted_strategy"),
+            F.array().cast("array<string>").alias("previous_errors"),
+        )
+
     @staticmethod
     def summarize(records: DataFrame) -> DataFrame:
         return evaluation.system_summary(records)
 
 
+def _system(name: str) -> str:
+    """The system of a name in any spelling."""
+    found = SYSTEM_NAMES.get(name.strip().lower().replace("-", "_").replace(" ", "_"))
+    if found is None:
+        raise ValueError(f"unknown system: {name}")
+    return found
+
+
 def _kept(df: DataFrame, path: str) -> DataFrame:
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.parquet(path)

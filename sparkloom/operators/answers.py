@@ -50,8 +50,11 @@ class FixedAnswer:
 
     def __init__(self, answer: str = "This is a fixed answer.", make: Callable[[str], str] | None = None):
         self.answer, self.make = answer, make
+        #: The prompts that this copy was called with; executors have copies of their own.
+        self.calls: list[str] = []
 
     def __call__(self, prompts: list[str]) -> list[str]:
+        self.calls += prompts
         return [self.make(p) if self.make else self.answer for p in prompts]
 
 

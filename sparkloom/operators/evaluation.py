@@ -176,3 +176,31 @@ def efficiency_of(responses: DataFrame, metadata: str = "metadata") -> DataFrame
     m = F.from_json(metadata, "latency_ms double, retrieval_calls int, chunks_processed int, escalation_count int, token_usage struct<total_tokens: long>")
     defaults = {"latency_ms": 0.0, "retrieval_calls": 1, "chunks_processed": 0, "escalation_count": 0}
     return responses.select("*", *(F.coalesce(m[k], F.lit(v)).alias(k) for k, v in defaults.items()), m["token_usage"]["total_tokens"].alias("total_tokens"))
+
+
+def canonical(fields: Column) -> Column:
+    """A map without the keys that start with _, in the order of its keys."""
+    kept = F.map_filter(fields, lambda k, v: ~F.startswith(k, F.lit("_")))
+    return F.map_from_entries(F.array_sort(F.map_entries(kept)))
+
+
+def merged(done: DataFrame, new: DataFrame) -> DataFrame:
+    """The records of both, one a question and system: the new one, with the errors of those before it in previous_errors."""
+    keys = ["question_id", "system"]
+    errors = F.collect_list(F.when(_text("error") != "", F.struct("position", "error")))
+    earlier = F.flatten(F.collect_list(F.coalesce(F.col("previous_errors"), F.array().cast("array<string>"))))
+    before = done.join(new.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.concat(earlier, F.transform(F.array_sort(errors), lambda x: x["error"])).alias("before"))
+    now = new.join(before, keys, "left").withColumn("previous_errors", F.coalesce("before", F.array().cast("array<string>"))).drop("before")
+    return done.join(new.select(*keys), keys, "left_anti").unionByName(now)
+
+
+def progress(records: DataFrame, total: int) -> DataFrame:
+    """One row: done, executed (not resumed), remaining, mean_seconds an executed one, and eta_seconds for the rest; null before the first.
+
+    records: resumed, seconds.
+    """
+    own = ~F.col("resumed")
+    n = F.count("*")
+    mean = F.avg(F.when(own, F.col("seconds")))
+    left = F.greatest(F.lit(total) - n, F.lit(0))
+    return records.agg(n.alias("done"), F.count_if(own).alias("executed"), left.alias("remaining"), F.round(mean, 6).alias("mean_seconds"), F.round(mean * left, 4).alias("eta_seconds"))

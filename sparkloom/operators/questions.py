@@ -146,18 +146,25 @@ def route(analyzed: DataFrame) -> DataFrame:
     return checked.join(F.broadcast(policy), ["complexity", "intent"]).withColumn("low_confidence", low)  # 18 rows
 
 
+#: What connects the concepts of a question that comes without an analysis.
+CONNECTORS = (" and ", " with ", " vs ", "together", "interact", "combine")
+
+
 def decompose(analyzed: DataFrame, most: int = 4) -> DataFrame:
     """query_id, sub_query_id, query_text, target_concept, sub_query_type: one row a part of a question.
 
     A complex question, or one on how two concepts or more interact, has a part for each of its first concepts and
     one for the first three together, `most` in all. Any other, and a complex one without a concept, is its own only part.
+    Questions without an analysis (query_id and query alone) are apart if they have two concepts and a connecting word.
     """
     if most < 1:
         raise ValueError("most must be positive")
     q, i = F.col("query"), F.col("intent")
+    if plain := "intent" not in analyzed.columns:
+        analyzed = analyzed.where(F.trim("query") != "").withColumns({"query": F.trim("query"), "intent": F.lit(None).cast("string")}).withColumn("terms", terms(F.col("query")))
     rows = analyzed.withColumn("concepts", concepts(F.col("terms")))
     c = F.col("concepts")
-    apart = ((F.col("complexity") == "COMPLEX") | ((i == "MULTI_CONCEPT") & (F.size(c) >= 2))) & (F.size(c) > 0)
+    apart = (F.size(c) >= 2) & reduce(Column.__or__, (F.contains(F.lower(q), F.lit(x)) for x in CONNECTORS)) if plain else ((F.col("complexity") == "COMPLEX") | ((i == "MULTI_CONCEPT") & (F.size(c) >= 2))) & (F.size(c) > 0)
     single = F.slice(c, 1, max(1, most - 1))
     facet = lambda t: (
         F.when(i == "TROUBLESHOOTING", F.concat(F.lit("Troubleshooting and common errors with "), t, F.lit(" in scikit-learn")))

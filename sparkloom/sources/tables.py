@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from sparkloom.session import materialise
 
 #: The curated pages, as doc_id, page and category.
 _SITE = "https://scikit-learn.org/stable/"
@@ -45,6 +50,50 @@ def read_html_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(name.alias("doc_id"), F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"))
 
 
+FETCHED = "doc_id string, url string, html string, error string"
+
+
+def fetch_pages(sources: DataFrame, path: str, fetcher: Callable[[str], str], force: bool = False) -> DataFrame:
+    """doc_id, url, html and error of each source (doc_id, url), from the pages kept at path where they are, else fetched and kept.
+
+    fetcher(url) gives a page's html and runs on the executors; a page that it fails on has an error, isn't kept, and so is
+    tried again the next time. With force all are fetched anew, and the newest copy of a page counts.
+    """
+    spark = sources.sparkSession
+    wanted = sources.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("url").cast("string").alias("url"))
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in files.listStatus(folder)] if files.exists(folder) else []
+    numbers = sorted(int(n.partition("=")[2]) for n in names if n.startswith("fetch="))
+    number = max(numbers, default=0) + 1
+
+    def read(numbers: list[int]) -> DataFrame:
+        schema = f"{FETCHED}, fetch int"
+        if not numbers:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).option("basePath", path).parquet(*(f"{path}/fetch={n}" for n in numbers))
+
+    kept = read(numbers)
+    missing = wanted if force else wanted.join(kept.select("doc_id"), "doc_id", "left_anti")
+
+    def one(url: str | None) -> tuple[str | None, str | None]:
+        try:
+            return fetcher(url), None
+        except Exception as e:  # a page's failure is its row's result
+            return None, f"{type(e).__name__}: {e}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [one(u) for u in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([g[k] for g in got], pa.string()) for k in (0, 1))], names=["doc_id", "url", "html", "error"])
+
+    now = materialise(missing.mapInArrow(run, FETCHED), "fetched")
+    now.where("error is null").write.parquet(f"{path}/fetch={number}")
+    newest = Window.partitionBy("doc_id").orderBy(F.desc("fetch"))
+    known = read([*numbers, number]).withColumn("n", F.row_number().over(newest)).where("n = 1").drop("n", "fetch")
+    return known.join(wanted.select("doc_id"), "doc_id", "left_semi").unionByName(now.where("error is not null"))
+
+
 def write_documents(documents: DataFrame, path: str, kind: str = "parquet") -> None:
     """Structured documents, as Parquet or JSON; the write is committed as a whole."""
     documents.write.mode("errorifexists").format(kind).save(path)
@@ -114,9 +163,42 @@ def check_outputs(*outputs: str, protected: tuple[str, ...] = ()) -> None:
         raise ValueError(f"protected input: {sorted(bad)[0]}")
 
 
-def write_results(results: DataFrame, path: str) -> None:
-    """A table of results; readers see all of it or nothing. An existing one is left and raises."""
-    results.write.mode("errorifexists").parquet(path)
+def stamped(results: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """results with benchmark_fingerprint, that of the benchmark (one row) where a result has none yet."""
+    own = benchmark.select(F.col("fingerprint").alias("_now"))
+    met = results.crossJoin(own)  # one row
+    given = F.col("benchmark_fingerprint") if "benchmark_fingerprint" in results.columns else F.lit(None).cast("string")
+    return met.withColumn("benchmark_fingerprint", F.coalesce(given, F.col("_now"))).drop("_now")
+
+
+def write_results(results: DataFrame, path: str, benchmark: DataFrame | None = None) -> None:
+    """A table of results; readers see all of it or nothing. An existing one is left and raises. With a benchmark's fingerprint it is stamped."""
+    (results if benchmark is None else stamped(results, benchmark)).write.mode("errorifexists").parquet(path)
+
+
+def write_summary(summary: DataFrame, path: str) -> None:
+    """A summary, a row a system, as JSON; an existing one is left and raises."""
+    summary.coalesce(1).write.mode("errorifexists").json(path)
+
+
+def read_summary(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
+#: Sample questions, by kind.
+SAMPLES = [
+    ("fact", "What does the tol parameter of LogisticRegression mean?"),
+    ("explanation", "Why should features be scaled before fitting an SVC?"),
+    ("procedure", "How do I set up a ColumnTransformer for mixed columns?"),
+    ("comparison", "When is RandomForestClassifier a better choice than GradientBoostingClassifier?"),
+    ("troubleshooting", "My GridSearchCV ends with a NotFittedError, what is wrong?"),
+    ("multi_concept", "How do imputation, scaling and cross-validation fit into one Pipeline?"),
+]
+
+
+def sample_questions(spark: SparkSession) -> DataFrame:
+    """question_id, kind, query: questions to begin with, one a kind."""
+    return spark.createDataFrame([(f"sample_{i:02d}", k, q) for i, (k, q) in enumerate(SAMPLES, 1)], "question_id string, kind string, query string")
 
 
 def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
