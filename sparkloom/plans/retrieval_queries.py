@@ -248,6 +248,13 @@ SQL = {
       SELECT item_id, len(string_split(trim(regexp_replace('Context: none Question: ' || trim(text) || ' Answer:', '\s+', ' ', 'g')), ' ')) AS n FROM benchmark)""",
     "evidence_pool": f"{_BASE}, {_PARTS}, {_POOL} SELECT item_id AS query_id, doc_id AS chunk_id, retrieved_by, initial_score, overlap_count FROM pool",
     "sub_query_coverage": f"{_BASE}, {_PARTS}, {_POOL} SELECT item_id AS query_id, part AS sub_query_id, chunks FROM cover",
+    "escalation": f"""{_BASE}, {_PARTS}, {_POOL.replace('rank <= 5', 'rank <= 1')},
+      c AS (SELECT item_id, count(*) AS parts, count(*) FILTER (chunks > 0) AS covered FROM cover GROUP BY 1),
+      e AS (SELECT c.*, coalesce(n, 0) AS n, coalesce(top, -999.0::DOUBLE) AS top FROM c LEFT JOIN (SELECT item_id, count(*) AS n, max(initial_score) AS top FROM pool GROUP BY 1) USING (item_id)),
+      s AS (SELECT *, n >= 2 AND top >= 0 AND covered / parts >= 0.5 AS ok FROM e),
+      first AS (SELECT * FROM s WHERE ok), second AS (SELECT * FROM s WHERE NOT ok)
+      SELECT item_id AS query_id, n AS evidence_count, true AS is_sufficient, 'PROCEED_TO_GENERATION' AS recommendation, 1::BIGINT AS attempts FROM first
+      UNION ALL SELECT item_id, n, false, 'INSUFFICIENT_EVIDENCE', 2 FROM second""",
     "sufficiency": f"""{_BASE}, {_PARTS}, {_POOL},
       c AS (SELECT item_id, count(*) AS parts, count(*) FILTER (chunks > 0) AS covered FROM cover GROUP BY 1),
       e AS (SELECT c.*, coalesce(n, 0) AS n, coalesce(top, -999.0::DOUBLE) AS top FROM c LEFT JOIN (SELECT item_id, count(*) AS n, max(initial_score) AS top FROM pool GROUP BY 1) USING (item_id)),

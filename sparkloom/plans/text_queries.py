@@ -151,6 +151,31 @@ chunks AS (
   FROM merged m JOIN sized s ON s.doc_id = m.doc_id AND s.n = m.n GROUP BY ALL)
 """
 
+#: The same of chunk_overlap: a chunk begins with the last units of the one before that have 100 tokens.
+OVERLAP_CTE = f"""
+o_units AS (
+  SELECT doc_id, source, generate_subscripts(u, 1) AS n, unnest(u) AS unit FROM (
+    SELECT doc_id, source, CASE WHEN len({tokens_sql('p')}) > 100 THEN {sentences_sql('p')} ELSE [p] END AS u
+    FROM (SELECT doc_id, source, {strip_sql('text')} AS p FROM documents) WHERE p <> '')),
+o_docs AS (SELECT doc_id, any_value(source) AS source, list(unit ORDER BY n) AS u, list(t ORDER BY n) AS t, count(*) AS m FROM (SELECT *, len({tokens_sql('unit')}) AS t FROM o_units) WHERE t > 0 GROUP BY 1),
+o_sums AS (SELECT *, list_transform(range(m + 1), lambda i: coalesce(list_sum(t[1:i]), 0)::BIGINT) AS p FROM o_docs),
+o_walk AS (
+  SELECT doc_id, 1 AS k, 0::BIGINT AS b, coalesce(list_min(list_filter(range(1, m), lambda e: p[e + 2] - p[1] > 500 AND p[e + 1] - p[1] >= 50)), m) AS e FROM o_sums
+  UNION ALL
+  SELECT doc_id, k, b, coalesce(list_min(list_filter(range(b + 1, m), lambda e: p[e + 2] - p[b + 1] > 500 AND p[e + 1] - p[b + 1] >= 50)), m) AS e
+  FROM (SELECT w.doc_id, w.k + 1 AS k, s.m, s.p, greatest(w.b + 1, coalesce(list_max(list_filter(range(w.b + 1, w.e), lambda x: s.p[w.e + 1] - s.p[x + 1] >= 100)), 0)) AS b
+    FROM o_walk w JOIN o_sums s ON s.doc_id = w.doc_id WHERE w.e < s.m)),
+o_chunks AS (SELECT w.doc_id, source, k, array_to_string(u[b + 1:e], chr(10) || chr(10)) AS content, p[e + 1] - p[b + 1] AS token_count FROM o_walk w JOIN o_sums s ON s.doc_id = w.doc_id)
+"""
+
+
+def _stats(strategy: str, chunks: str) -> str:
+    share = lambda c: f"round(count(*) FILTER ({c}) * 100.0::DOUBLE / count(*), 2)"
+    return f"""SELECT '{strategy}' AS strategy, count(*) AS total_chunks, sum(token_count)::BIGINT AS total_tokens, round(avg(token_count), 2) AS avg_tokens, min(token_count) AS min_tokens, max(token_count) AS max_tokens,
+      round(avg(length(content)), 2) AS avg_chars, min(length(content)) AS min_chars, max(length(content)) AS max_chars, count(*) FILTER (token_count < 50) AS under_count, {share('token_count < 50')} AS under_pct,
+      count(*) FILTER (token_count > 550) AS over_count, {share('token_count > 550')} AS over_pct, {share("content <> '' AND source <> ''")} AS complete_pct FROM {chunks} WHERE token_count > 0"""
+
+
 _WORDS_OF = "string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')"
 PROBE_CTE = f"""
 phrases AS (SELECT item_id, text, [array_to_string(w[1:3], ' '), array_to_string(w[greatest(len(w) - 2, 1):], ' ')] AS ph FROM (SELECT item_id, text, {_WORDS_OF} AS w FROM benchmark)),
@@ -160,10 +185,10 @@ probes AS (SELECT p.item_id, 'p' || p.item_id AS question_id, CASE WHEN p.item_i
 _HOLDS = "len(list_filter(ph, lambda p: NOT contains(lower(content), lower(p)))) = 0"
 
 SQL = {
-    "chunk_stats": f"""WITH RECURSIVE {FIXED_CTE} SELECT 'fixed' AS strategy, count(*) AS total_chunks, sum(token_count)::BIGINT AS total_tokens, round(avg(token_count), 2) AS avg_tokens, min(token_count) AS min_tokens, max(token_count) AS max_tokens,
-      round(avg(length(content)), 2) AS avg_chars, min(length(content)) AS min_chars, max(length(content)) AS max_chars, count(*) FILTER (token_count < 50) AS under_count, round(count(*) FILTER (token_count < 50) * 100.0::DOUBLE / count(*), 2) AS under_pct,
-      count(*) FILTER (token_count > 550) AS over_count, round(count(*) FILTER (token_count > 550) * 100.0::DOUBLE / count(*), 2) AS over_pct, round(count(*) FILTER (content <> '' AND source <> '') * 100.0::DOUBLE / count(*), 2) AS complete_pct
-      FROM chunks WHERE token_count > 0""",
+    "chunk_stats": f"WITH RECURSIVE {FIXED_CTE} {_stats('fixed', 'chunks')}",
+    "chunk_stats_all": f"WITH RECURSIVE {FIXED_CTE}, {OVERLAP_CTE} {_stats('fixed', 'chunks')} UNION ALL {_stats('fixed_overlap', 'o_chunks')}",
+    "chunk_overlap": f"""WITH RECURSIVE {OVERLAP_CTE} SELECT doc_id || '_overlap_' || lpad(k::VARCHAR, 4, '0') AS chunk_id, 'fixed_overlap' AS strategy, doc_id::VARCHAR AS doc_id, 'doc:' || doc_id AS source_url, source AS doc_title, source AS section_title,
+      1::BIGINT AS section_level, content, token_count, length(content) AS char_count, 500::BIGINT AS target_tokens, 100::BIGINT AS overlap_tokens FROM o_chunks""",
     "probe_questions": f"WITH {PROBE_CTE} SELECT question_id, category, CASE WHEN length(question_id) > 2 THEN category ELSE 'short' END AS question_type, target AS target_doc_id FROM probes",
     "phrase_preservation": f"""WITH RECURSIVE {FIXED_CTE}, {PROBE_CTE},
       held AS (SELECT question_id, category, max(CASE WHEN {_HOLDS} THEN 1 ELSE 0 END) AS k FROM probes JOIN chunks ON chunks.doc_id = target WHERE token_count > 0 GROUP BY 1, 2)
