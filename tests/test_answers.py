@@ -108,3 +108,46 @@ def test_evidence_as_hits(spark):
     scores = spark.createDataFrame([(1, "x", 2.0)], "query_id int, chunk_id string, rerank_score double")
     assert evidence.as_hits(evidence.reranked(pooled, scores)).first()["score"] == 0.5
     assert evidence.as_hits(pooled).first()["retrieval_method"] == "multi_step"
+
+
+def test_run_resumes_and_stops_on_a_spent_quota(spark):
+    from sparkloom.engine import Engine
+    from sparkloom.operators import answers
+
+    chunks = spark.createDataFrame([(f"c{i}", f"d{i}", "t", "s", f"text of number {w}") for i, w in enumerate(["one", "two", "three"])], "chunk_id string, doc_id string, doc_title string, section_title string, content string")
+    engine = Engine.build(chunks)
+    expected = ", 'FACT_LOOKUP' expected_intent, 'SIMPLE' expected_complexity, 'DENSE' expected_strategy"
+    b = spark.sql(f"SELECT q question_id, t query, 'r' reference_answer, array('c0') truth{expected} FROM VALUES ('q1', 'what is one?'), ('q2', 'what is two?'), ('q3', '?') AS x(q, t)")
+
+    def spent(prompt: str) -> str:
+        raise RuntimeError("daily quota spent: tokens per day (TPD)")
+
+    first = engine.run(b, ("basic", "hybrid"), answers.FixedAnswer(make=spent))
+    assert {r["system"] for r in first.collect()} == {"basic_rag"}  # hybrid isn't begun
+    second = engine.run(b, ("basic", "hybrid"), answers.FixedAnswer("fine"), answers.FixedAnswer('{"correctness": 4, "faithfulness": 4, "relevance": 4}'), done=first)
+    rows = second.collect()
+    assert len(rows) == 6 and all(r["generated_answer"] == "fine" and r["overall"] == 4 for r in rows)
+    assert {(r["system"], len(r["previous_errors"])) for r in rows} == {("basic_rag", 1), ("hybrid_rag", 0)}
+    third = engine.run(b, ("basic",), answers.FixedAnswer("other"), done=second)
+    assert sorted(map(str, third.collect())) == sorted(map(str, second.collect()))
+    assert engine.run(b, ("full",), most=2).count() == 2
+    assert engine.run(b.where("false"), ("basic",)).count() == 0
+
+
+def test_entry_without_a_needed_module(monkeypatch):
+    import builtins
+    import sys
+
+    import __spark_entry__ as entry
+
+    real = builtins.__import__
+
+    def missing(name, *args, **kwargs):
+        if name.startswith("tokenizers"):
+            raise ModuleNotFoundError(name)
+        return real(name, *args, **kwargs)
+
+    for name in [n for n in sys.modules if n.startswith(("sparkloom.llm", "corpus_pipeline", "tokenizers"))]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setattr(builtins, "__import__", missing)
+    assert "bm25_topk" in entry.queries() and not [n for n in entry.queries() if n.startswith("op")]
