@@ -5,26 +5,29 @@ last ids says so, and stores every distinct chunk once under its digest.
 Documents are kept as recipes: the digests of their chunks in order, with the
 Merkle root over them. A manifest row for each run of documents holds its Merkle
 root over the documents' roots and the place of its ids in the whole stream,
-which is in ascending doc_id order. `read_store` reads the files back: it
-recomputes every digest and root, and each document's length and CRC from its chunks.
+which is in ascending doc_id order. `read_store` and `read_ids` read the files back and verify them: every chunk against its
+digest, every recipe against its root, and every run's recipes against the manifest: their number, their order, where
+each begins, their ids and the root over them. A chunk, recipe or run that is missing, repeated or altered raises.
 
 Layout below one folder, all Parquet:
 
-    chunks/    digest binary(16), ids binary   ids as little-endian unsigned 16- or 32-bit integers
+    encoded/part=chunks/  key binary(16), the digest, and ids binary: little-endian unsigned 16- or 32-bit integers
     recipes/   doc_id, run int, place long, start long, n_tokens long, digests binary (16 bytes each), root binary
-    manifest/  run int, first_doc, last_doc, n_docs long, start long, n_tokens long, root binary, width int
+    manifest/  run int, first_doc, last_doc, n_docs long, place long, start long, n_tokens long, root binary, width int
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -68,6 +71,9 @@ class LibraryWords:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        spec = json.loads(open(path, encoding="utf-8").read())
+        if spec["model"].get("end_of_word_suffix") != "</w>" or '"Lowercase"' not in json.dumps(spec["normalizer"]):
+            raise ValueError(f"{path}: the store's cutting is made for lower-cased words that end in </w>")
         self.library = Tokenizer.from_file(path)
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.width = 2 if size <= 1 << 16 else 4
@@ -77,6 +83,11 @@ class LibraryWords:
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
+    @staticmethod
+    def width_of(path: str) -> int:
+        """The bytes of an id."""
+        return LibraryWords(path).width
+
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
 
@@ -274,23 +285,53 @@ def write_store(docs: DataFrame, path: str, end_id: int = END_ID, vocabulary_pat
     rooted = placed.mapInArrow(_rooted, T.StructType([*placed.schema.fields, T.StructField("root", T.BinaryType())]))
     rooted.write.parquet(f"{path}/recipes")
     recipes = spark.read.parquet(f"{path}/recipes")
-    # a run holds as many documents as one task sorts; its roots, 16 bytes each, are joined in place order
-    top = F.udf(lambda roots: merkle(split(bytes(roots))), T.BinaryType())
-    joined = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.hex("root").alias("root")))), lambda x: x["root"]), ""))
-    manifest = recipes.groupBy("run").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n_docs"), F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"), joined.alias("roots"))
-    width = 2 if _small_vocabulary(place) else 4
-    manifest.select("run", "first_doc", "last_doc", "n_docs", "start", "n_tokens", top("roots").alias("root"), F.lit(width).alias("width")).write.parquet(f"{path}/manifest")
+    width = F.lit(LibraryWords.width_of(place))
+    ends = recipes.groupBy("run").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    rooted = _run_roots(recipes).join(ends, "run")
+    rooted.select("run", "first_doc", "last_doc", "n_docs", "place", "start", "n_tokens", "root", width.alias("width")).write.parquet(f"{path}/manifest")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+_RUN_ROOTS = "run int, n_docs long, place long, start long, n_tokens long, root binary"
+
 
+def _run_roots(recipes: DataFrame) -> DataFrame:
+    """Per run its documents' number, first place and start, ids and the root over their roots; raises where places or starts don't follow.
 
-def _small_vocabulary(place: str) -> bool:
-    from tokenizers import Tokenizer
+    A run has about ROWS_A_RUN documents, of which only their roots, 16 bytes each, and three numbers come together.
+    """
 
-    return Tokenizer.from_file(place).get_vocab_size(with_added_tokens=True) <= 1 << 16
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        place, start, n = (table.column(c).to_numpy() for c in ("place", "start", "n_tokens"))
+        if (np.diff(place) != 1).any() or (start[1:] != start[:-1] + n[:-1]).any():
+            raise ValueError("the documents of a run don't follow each other")
+        root = merkle(table.column("root").to_pylist())
+        return pa.table({"run": table.column("run")[:1], "n_docs": [len(place)], "place": place[:1], "start": start[:1], "n_tokens": [int(n.sum())], "root": pa.array([root], pa.binary())})
+
+    return recipes.select("run", "place", "start", "n_tokens", "root").groupBy("run").applyInArrow(one, _RUN_ROOTS)
+
+
+def verify_manifest(spark: SparkSession, path: str) -> int:
+    """Hold the recipes against the manifest, and the manifest's runs against each other; gives the bytes of an id. Raises ValueError at a difference."""
+    kept = spark.read.parquet(f"{path}/manifest")
+    names = ["n_docs", "place", "start", "n_tokens", "root"]
+    found = _run_roots(spark.read.parquet(f"{path}/recipes")).select("run", *(F.col(c).alias(f"found_{c}") for c in names))
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"found_{c}")) for c in names))
+    before = Window.orderBy("run")  # a row a run
+    bad = kept.join(found, "run", "full_outer").where(~F.coalesce(same, F.lit(False)))
+    problems = sorted(r["run"] for r in bad.select("run").limit(5).collect())
+    if problems:
+        raise ValueError(f"the recipes differ from the manifest in runs {problems}")
+    place, start = F.lag(F.col("place") + F.col("n_docs"), 1, 0).over(before), F.lag(F.col("start") + F.col("n_tokens"), 1, 0).over(before)
+    gaps = kept.withColumns({"next_place": place, "next_start": start}).where("place <> next_place or start <> next_start")
+    if not gaps.isEmpty():
+        raise ValueError("the manifest's runs don't follow each other")
+    return kept.agg(F.max("width")).first()[0] or 4
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +340,11 @@ def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(roots, pa.binary())], names=[*batch.schema.names, "root"])
 
 
-def run_starts(df: DataFrame, order: str, size: str, others: list[str], rows_a_run: int = 20_000) -> DataFrame:
+#: Documents of a run, or somewhat more.
+ROWS_A_RUN = 50_000
+
+
+def run_starts(df: DataFrame, order: str, size: str, others: list[str], rows_a_run: int = ROWS_A_RUN) -> DataFrame:
     """df with run, place and start: a prefix sum of `size` over all rows in the order of `order`.
 
     The rows are cut into runs by range, each summed within itself; only one total a run,
@@ -308,17 +353,17 @@ def run_starts(df: DataFrame, order: str, size: str, others: list[str], rows_a_r
     """
     spark = df.sparkSession
     n = df.count()
-    runs = max(1, min(n // rows_a_run + 1, 4096))
+    runs = n // rows_a_run + 1
     ranged = df.repartitionByRange(runs, order).withColumn("run", F.spark_partition_id())
     kept = materialise(ranged, "runs")
     totals = kept.groupBy("run").agg(F.sum(size).alias("_total"), F.count("*").alias("_rows"))
-    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)  # over one row a run, 4096 at most
+    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)  # over one row a run
     totals = totals.select("run", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_place"))
     inside = Window.partitionBy("run").orderBy(F.col(order).asc_nulls_first(), *others)
     return (
         kept.withColumn("_n", F.row_number().over(inside) - 1)
         .withColumn("_sum", F.coalesce(F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .join(F.broadcast(totals), "run")
+        .join(totals, "run")
         .select(order, "run", (F.col("_place") + F.col("_n")).cast("long").alias("place"), (F.col("_start") + F.col("_sum")).cast("long").alias("start"), size, *others)
     )
 
@@ -404,15 +449,15 @@ def _verify_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """Per document, from the files alone: doc_id, start, n_tokens, ids_crc32; raises where a digest or root differs.
+    """Per document, from the files alone: doc_id, start, n_tokens, ids_crc32; raises where a digest, root or the manifest differs.
 
     Each chunk's ids are read once and turned into a CRC and a length; documents are put
     together from those, so the payload of a chunk that many documents share is never copied to them.
     """
+    width = verify_manifest(spark, path)
     recipes = spark.read.parquet(f"{path}/recipes")
-    if not _exists(spark, f"{path}/encoded/part=chunks"):
+    if recipes.isEmpty():
         return recipes.select("doc_id", "start", "n_tokens", F.lit(0).cast("long").alias("ids_crc32"))
-    width = spark.read.parquet(f"{path}/manifest").agg(F.max("width")).first()[0]
     chunks = spark.read.parquet(f"{path}/encoded/part=chunks").select(F.col("key").alias("digest"), "ids")
     facts = materialise(chunks.mapInArrow(_verify_chunks(width), "digest binary, crc long, n long"), "chunk-facts")
     n = (F.octet_length("digests") / DIGEST).cast("int")
@@ -423,15 +468,36 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("doc_id", "start", "n_tokens", "digests", "root", "pieces").mapInArrow(_verify_docs, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
+def _rebuilt(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for digests, n_tokens, root, pieces in zip(*(batch.column(c).to_pylist() for c in ("digests", "n_tokens", "root", "pieces"))):
+                wanted, parts = split(digests), [p["ids"] for p in pieces]
+                if merkle(wanted) != root or [digest(p or b"") for p in parts] != wanted:
+                    raise ValueError("a chunk differs from its digest, or a recipe from its Merkle root")
+                ids = np.frombuffer(b"".join(parts), f"<u{width}")
+                if len(ids) != n_tokens:
+                    raise ValueError("a document's chunks don't add up to its length")
+                out.append(ids.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "start", "ids"])
+
+    return run
+
+
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start and the ids (array of int) of every document, rebuilt from its chunks."""
+    """doc_id, start and the ids (array of int) of every document, rebuilt from its chunks and verified like read_store's."""
+    width = verify_manifest(spark, path)
     recipes = spark.read.parquet(f"{path}/recipes")
-    width = spark.read.parquet(f"{path}/manifest").agg(F.max("width")).first()[0]
+    kind = recipes.schema["doc_id"].dataType.simpleString()
+    if recipes.isEmpty():
+        return recipes.select("doc_id", "start", F.array().cast("array<int>").alias("ids"))
     chunks = spark.read.parquet(f"{path}/encoded/part=chunks").select(F.col("key").alias("digest"), "ids")
     n = (F.octet_length("digests") / DIGEST).cast("int")
-    uses = recipes.select("doc_id", "start", "place", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("digests", i * DIGEST + 1, DIGEST))).alias("seq", "digest"))
-    unpack = F.udf(lambda pieces: np.frombuffer(b"".join(bytes(p["ids"]) for p in sorted(pieces, key=lambda p: p["seq"])), f"<u{width}").tolist(), "array<int>")
-    return uses.join(chunks, "digest").groupBy("place", "doc_id", "start").agg(unpack(F.collect_list(F.struct("seq", "ids"))).alias("ids")).drop("place")
+    uses = recipes.select("place", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("digests", i * DIGEST + 1, DIGEST))).alias("seq", "digest"))
+    pieces = uses.join(chunks, "digest", "left").groupBy("place").agg(F.array_sort(F.collect_list(F.struct("seq", "ids"))).alias("pieces"))
+    whole = recipes.join(pieces, "place").select("doc_id", "start", "n_tokens", "digests", "root", "pieces")
+    return whole.mapInArrow(_rebuilt(width), f"doc_id {kind}, start long, ids array<int>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,3 +172,108 @@ def test_store_notices_damage(spark, odd, tmp_path):
 def test_empty_store(spark, empty, tmp_path):
     token_store.write_store(empty, f"file://{tmp_path}/s")
     assert token_store.read_store(spark, f"file://{tmp_path}/s").count() == 0
+
+
+def _tampered(kind, recipes):
+    rows = sorted(recipes.collect(), key=lambda r: r["place"])
+    if kind == "deleted":
+        rows = rows[:3] + rows[4:]
+    elif kind == "last deleted":
+        rows = rows[:-1]
+    elif kind == "half deleted":
+        rows = rows[::2]
+    elif kind == "repeated":
+        rows.append(rows[2])
+    elif kind == "swapped":
+        a, b = rows[1].asDict(), rows[2].asDict()
+        for c in ("digests", "root", "n_tokens"):
+            a[c], b[c] = b[c], a[c]
+        rows[1:3] = [type(rows[0])(**a), type(rows[0])(**b)]
+    elif kind == "shifted":
+        rows = [type(r)(**(r.asDict() | {"start": r["start"] + 1})) for r in rows]
+    elif kind == "run moved":
+        rows = [type(r)(**(r.asDict() | {"run": 7})) for r in rows]
+    return recipes.sparkSession.createDataFrame(rows, recipes.schema)
+
+
+@pytest.fixture(scope="module")
+def small_store(spark, tmp_path_factory):
+    path = f"{tmp_path_factory.mktemp('store')}/s"
+    token_store.write_store(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 40"), f"file://{path}")
+    return path
+
+
+@pytest.mark.parametrize("kind", ["deleted", "last deleted", "half deleted", "repeated", "swapped", "shifted", "run moved"])
+def test_recipes_are_held_against_the_manifest(spark, small_store, tmp_path, kind):
+    import shutil
+
+    shutil.copytree(small_store, tmp_path / "s")
+    path = f"file://{tmp_path}/s"
+    assert token_store.read_store(spark, path).count() == token_store.read_ids(spark, path).count() == 40
+    changed = _tampered(kind, spark.read.parquet(f"{path}/recipes"))
+    shutil.rmtree(tmp_path / "s" / "recipes")
+    changed.write.parquet(f"{path}/recipes")
+    for read in (token_store.read_store, token_store.read_ids):
+        with pytest.raises(Exception, match="manifest|follow"):
+            read(spark, path).collect()
+
+
+def test_runs_meet(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store.run_starts, "__defaults__", (16,))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    path = f"file://{tmp_path}/s"
+    token_store.write_store(docs, path)
+    assert spark.read.parquet(f"{path}/manifest").count() > 5
+    rows = sorted(map(tuple, token_store.read_store(spark, path).collect()))
+    ids = {r["doc_id"]: r["ids"] for r in token_store.read_ids(spark, path).collect()}
+    start = 0
+    for doc_id, begin, n, crc in rows:
+        assert begin == start and len(ids[doc_id]) == n and zlib.crc32(np.array(ids[doc_id], "<u4").tobytes()) == crc
+        start += n
+    gone = spark.read.parquet(f"{path}/manifest").where("run <> 2").collect()
+    with pytest.raises(ValueError, match="manifest"):
+        spark.createDataFrame(gone, spark.read.parquet(f"{path}/manifest").schema).write.mode("overwrite").parquet(f"{path}/cut")
+        import shutil
+
+        shutil.rmtree(tmp_path / "s" / "manifest")
+        shutil.move(tmp_path / "s" / "cut", tmp_path / "s" / "manifest")
+        token_store.read_store(spark, path).collect()
+
+
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError, match="lower-cased"):
+        token_store.LibraryWords(vocabulary("byte_bpe_50k.json"))
+
+
+def test_worker_tables_are_bounded(word):
+    """Tables of two generations give what the machines behind them give, whatever is thrown out on the way."""
+    from sparkloom.llm.bpe_stream import Chunks, Encoder
+
+    chunks = Chunks(Encoder(vocabulary("word_bpe_49k.json")))
+    chunks.most = 5
+    words = [f"w{i % 37},don't{i % 11}" for i in range(300)] + ["é漢字", "x" * 500]
+    for w in words:
+        assert np.frombuffer(chunks[w], "<u4").tolist() == word.encode(w, add_special_tokens=False).ids
+        assert len(chunks) <= 5 and len(chunks.older) <= 5
+    coder = token_store.LibraryWords(vocabulary("word_bpe_49k.json"))
+    before, token_store.KNOWN = token_store.KNOWN, 20
+    try:
+        for i in range(0, 300, 10):
+            texts = [" ".join(words[i : i + 10]), "", words[i]]
+            assert [np.frombuffer(x, "<u2").tolist() for x in coder.encode(texts)] == [word.encode(t, add_special_tokens=False).ids for t in texts]
+    finally:
+        token_store.KNOWN = before
+
+
+def test_slices_are_cut_by_bytes():
+    import pyarrow as pa
+
+    from sparkloom.llm.common import hashed_words, slices
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(["a" * 10, None, "b" * 100, "", "c" * 5, "d" * 5, "e" * 5, "f" * 300, "g"])], names=["i", "t"])
+    parts = [p.column(0).to_pylist() for p in slices(batch, rows=4, size=20)]
+    assert [x for p in parts for x in p] == list(range(9)) and parts == [[0, 1], [2], [3, 4, 5, 6], [7], [8]]
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in (0, 3, 400_000, 1)]
+    whole = hashed_words(texts)
+    one = [hashed_words([t]) for t in texts]
+    assert whole[2].tolist() == [0, 3, 400_000, 1] and (whole[0] == np.concatenate([x[0] for x in one])).all() and (whole[1] == np.concatenate([x[1] for x in one])).all()
