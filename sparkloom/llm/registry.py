@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sparkloom.llm import bagminhash, bpe_stream, fertility, fingerprint, hmm, html_extract, mixing, sharding, token_count, token_store
+from sparkloom.llm import bagminhash, bpe_stream, fertility, fingerprint, hmm, html_extract, mixing, oracles, sharding, token_count, token_store
 
 
 def queries() -> dict:
@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
