@@ -61,6 +61,8 @@ WRAPPERS = {"form", "fieldset"}
 MOST = 4
 #: The innermost element with this share of the running words is the content of a page without an article or main.
 CONTENT = 0.9
+#: What may be the content; a paragraph, list item or the like never is, however long.
+CONTAINERS = {"html", "body", "div", "section", "center", "form", "fieldset", "table", "tbody", "thead", "tr", "td", "details", "dialog", "search", "hgroup"}
 #: A page's header, but not an article's.
 HEADERS = {"header"}
 #: An end is implied by the start of these.
@@ -205,11 +207,12 @@ def _freed(page: _Page) -> set[int]:
 
 
 def _content(page: _Page, out: list[bool]) -> int:
-    """The innermost element with nearly all running words outside the elements set beside; 0 where that is the body or the page."""
+    """The innermost container with nearly all running words outside the elements set beside, and all titles; 0 where that is the body or the page."""
     held = page.sums(page.words, out)
+    titles = page.sums([int(name == "h1") for name in page.name], out)
     best = 0
     for i in range(1, len(held)):  # a child comes after its parent
-        if page.parent[i] == best and not out[i] and held[i] and held[i] >= CONTENT * held[0]:
+        if page.parent[i] == best and not out[i] and page.name[i] in CONTAINERS and held[i] and held[i] >= CONTENT * held[0] and titles[i] == titles[best]:
             best = i
     return 0 if page.name[best] in ("", "html", "body") else best
 
@@ -217,7 +220,7 @@ def _content(page: _Page, out: list[bool]) -> int:
 def page_tokens(page: str) -> Iterator[tuple[str, str, bool]]:
     """(feature, text, counts) in page order: tags with '' as text, text nodes with their text, 'break' where a block begins or ends.
 
-    A feature of text: word:out (in an element set beside), word:link, word:main (in article or main),
+    A feature of text: word:out (in an element set beside), word:link (outside the article, main or content), word:main (in article or main),
     word:beside (the page has an article or main, elsewhere) or word:plain. counts: whether its text can be main text.
     What is set beside inside the article, main or content has the feature bridge, words and tags alike: it is left out
     of the text anyway and so can't tell where the text ends.
@@ -245,7 +248,7 @@ def page_tokens(page: str) -> Iterator[tuple[str, str, bool]]:
         if bridge[i] and feature not in ("break", "label"):
             yield "bridge", "", False
         elif feature == "text":
-            kind = "out" if out[i] else "link" if read.link[i] else "main" if read.inside[i] else "beside" if structured else "plain"
+            kind = "out" if out[i] else "link" if read.link[i] and not within[i] else "main" if read.inside[i] else "beside" if structured else "plain"
             yield f"word:{kind}", text, not out[i]
         else:
             yield feature, text, False

@@ -686,6 +686,105 @@ def test_extraction_edges():
     assert html_extract.extract("<p>x</p><script>never closed <p>y</p>") == "x"
 
 
+def test_region_is_the_best_of_all_subsequences():
+    """The linear scan's region against every contiguous run of tokens."""
+    rng = np.random.default_rng(12)
+    tags = ["<p>", "</p>", "<div>", "</div>", "<a href=x>", "</a>", "<b>", "</b>", "<ul>", "<li>", "<br>", "<table>", "</table>"]
+    for _ in range(60):
+        page = "<body>" + "".join(str(rng.choice(tags)) if rng.random() < 0.5 else " ".join(f"w{k}" for k in rng.integers(0, 99, rng.integers(1, 5))) + " " for _ in range(rng.integers(3, 25)))
+        weights = {f: float(rng.normal(0, 1)) if f.startswith("word:") else -float(rng.random()) for f in ("word:plain", "word:link", "word:out", "tag:paragraph", "tag:block", "tag:link", "tag:inline", "tag:list", "tag:table", "tag:other")}
+        scores, texts = [], []
+        for feature, text, counts in html_extract.page_tokens(page):
+            if feature in ("break", "label", "bridge"):
+                texts.append((len(scores), None))
+                continue
+            gain = weights.get(html_extract._feature(feature), 0.0 if feature == "word:plain" else -0.3)
+            texts.append((len(scores), text if counts or text and not feature.startswith("word:") else ""))
+            scores.append(gain * len(text.split()) if feature.startswith("word:") else gain)
+        sums = np.concatenate([[0], np.cumsum(scores)])
+        best = max((sums[j] - sums[i] for i in range(len(sums)) for j in range(i, len(sums))), default=0)
+        got = html_extract.extract(page, weights)
+        if best <= 1e-9:
+            assert got == ""
+            continue
+        # the text of some best run lies in what comes back, which differs from it by whole blocks at most
+        i, j = next((i, j) for i in range(len(sums)) for j in range(i, len(sums)) if sums[j] - sums[i] > best - 1e-9)
+        inside = "".join(t for at, t in texts if t and i <= at < j).split()
+        blocks, block = [], []
+        for at, t in [*texts, (len(scores), None)]:
+            if t is None:
+                blocks.append(block)
+                block = []
+            else:
+                block.append((at, t))
+        whole = [" ".join("".join(t for _, t in b).split()) for b in blocks if any(i <= at < j and t.strip() for at, t in b)]
+        assert set(inside) <= set(got.split()) and set(whole) <= set(got.split("\n")) | {""}
+
+
+def varied_page(rng):
+    """A page of a layout drawn at random, and the words of its main text block by block."""
+    words = lambda n: " ".join(f"t{x}" for x in rng.integers(0, 9999, n))
+    side = lambda n: " ".join(f"s{x}" for x in rng.integers(0, 9999, n))
+    blocks, inner = [], []
+
+    def block(tag, n, linked=False):
+        text = words(n)
+        blocks.append(text)
+        inner.append(f"<{tag}><a href='/x'>{text}</a></{tag}>" if linked else f"<{tag}>{text}</{tag}>")
+
+    block("h1", rng.integers(2, 8))
+    for _ in range(rng.integers(1, 9)):
+        kind = rng.choice(["p", "p", "p", "h2", "li", "quote", "table", "aside", "ad", "share", "link"])
+        if kind in ("p", "h2"):
+            block(kind, rng.integers(12, 80) if kind == "p" else rng.integers(2, 7))
+        elif kind == "li":
+            inner.append("<ul>")
+            for _ in range(rng.integers(2, 6)):
+                block("li", rng.integers(2, 12))
+            inner.append("</ul>")
+        elif kind == "quote":
+            block("blockquote", rng.integers(8, 40))
+        elif kind == "table":
+            inner.append("<table><tr>")
+            for _ in range(rng.integers(2, 5)):
+                block("td", rng.integers(1, 4))
+            inner.append("</tr></table>")
+        elif kind == "link":
+            block("p", rng.integers(2, 7), True)
+        elif kind == "aside":
+            inner.append(f"<aside>{side(rng.integers(5, 90))}</aside>")
+        elif kind == "ad":
+            inner.append(f"<div class='{rng.choice(['ad', 'advert-box', 'promo', 'sponsored'])}'>{side(rng.integers(3, 40))}</div>")
+        else:
+            inner.append(f"<div class='share-bar'><a href=/s>{side(2)}</a></div>")
+    block("p", rng.integers(20, 60))
+    body = rng.choice(["<article>{}</article>", "<main>{}</main>", "<div class='content'>{}</div>", "<div id='main'><div class='post'>{}</div></div>", "<section>{}</section>"]).format("".join(inner))
+    menu = "<nav><ul>" + "".join(f"<li><a href='/{i}'>{side(rng.integers(1, 4))}</a></li>" for i in range(rng.integers(2, 12))) + "</ul></nav>"
+    parts = [menu if rng.random() < 0.8 else f"<div class='menu'><a href=/>{side(2)}</a></div>", body]
+    if rng.random() < 0.5:
+        parts.insert(1, f"<div class='{rng.choice(['banner', 'cookie-notice', 'topbar'])}'>{side(rng.integers(3, 30))}</div>")
+    if rng.random() < 0.5:
+        parts.append(f"<div class='comments'><p>{side(rng.integers(5, 120))}</p><p>{side(rng.integers(5, 60))}</p></div>")
+    if rng.random() < 0.5:
+        parts.append(f"<aside class='sidebar'><h3>{side(2)}</h3><ul>" + "".join(f"<li><a href=/r>{side(5)}</a></li>" for _ in range(5)) + "</ul></aside>")
+    if rng.random() < 0.4:
+        parts.append(f"<form><label>{side(2)}</label><input><button>{side(1)}</button></form>")
+    parts.append(f"<footer><p>{side(rng.integers(3, 20))}</p></footer>" if rng.random() < 0.8 else f"<div id='footer'>{side(6)}</div>")
+    return f"<html><head><title>{side(3)}</title><script>{side(4)}</script></head><body>{''.join(parts)}</body></html>", blocks
+
+
+def test_precision_and_recall_on_held_out_pages():
+    rng = np.random.default_rng(13)
+    right = given = wanted = exact = 0
+    for _ in range(300):
+        page, blocks = varied_page(rng)
+        got, want = html_extract.extract(page), "\n".join(blocks)
+        a, b = collections.Counter(got.split()), collections.Counter(want.split())
+        right, given, wanted, exact = right + sum((a & b).values()), given + sum(a.values()), wanted + sum(b.values()), exact + (got == want)
+    print(f"precision {right / given:.4f} recall {right / wanted:.4f} exact {exact / 300:.4f}")
+    assert right / given >= 0.95 and right / wanted >= 0.95
+
+
 def test_tags_never_gain():
     weights = html_extract.learn_weights()
     assert all(w < 0 for f, w in weights.items() if f.startswith("tag:")) and weights["word:main"] > 0 > weights["word:out"]
