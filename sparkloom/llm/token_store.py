@@ -43,7 +43,7 @@ LEAST, MEAN, MOST = 64, 512, 4096
 SPAN = 12
 DIGEST = 16
 #: Pre-tokens in each of the two generations that a worker keeps, and the longest of them.
-KNOWN, LONGEST = 100_000, 48
+KNOWN, LONGEST = 250_000, 48
 
 
 #: Kinds of the bytes of a lower-cased text in plain Latin script: white space, letters, digits, the rest.
