@@ -28,7 +28,7 @@ ALPHA = 0.5
 #: A mix names its sources; more than this is refused, not cut.
 SOURCES = 2000
 #: Rows of a source that are numbered in one part, or so; a source has a power of two of parts.
-ROWS_A_PART = 50_000
+ROWS_A_PART = 2_000
 
 
 def apportioned(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
