@@ -81,11 +81,21 @@ class Model:
         return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
+_space: dict[str, np.ndarray] = {}
+
+
+def _buffer(name: str, n: int, states: int) -> np.ndarray:
+    """n rows of states to write over: memory that a worker goes on using from block to block."""
+    held = _space.get(name)
+    if held is None or held.size < n * states:
+        _space[name] = held = np.empty(max(n, HELD + HELD // 4) * states)
+    return held[: n * states].reshape(n, states)
+
+
 def _forward(model: Model, flat: np.ndarray, begin: np.ndarray, alive: np.ndarray, t0: int, before: np.ndarray | None, loglik: np.ndarray):
     """Ids, emissions and scaled forward states of a block's positions, by time, then text; before: the states ahead of it.
 
-    A position's emissions are divided by their sum, and a text's states by theirs every SCALED steps and at its end;
-    the logarithms of all these go to its loglik.
+    A text's states are divided by their sum every SCALED steps; the logarithms of these sums, and of that at its end, go to its loglik.
     """
     at = np.cumsum(alive) - alive
     owner = np.arange(int(alive.sum()))
@@ -93,11 +103,9 @@ def _forward(model: Model, flat: np.ndarray, begin: np.ndarray, alive: np.ndarra
     place = begin[owner]
     place += np.repeat(np.arange(t0, t0 + len(alive)), alive)
     ids = flat[place]
-    emits = model.emit.take(ids, axis=0, mode="clip")
-    sums = emits @ np.ones(len(model.start))
-    emits /= sums[:, None]
-    loglik += np.bincount(owner, np.log(sums), minlength=len(loglik))
-    alpha = np.empty_like(emits)
+    states = len(model.start)
+    emits = model.emit.take(ids, axis=0, mode="clip", out=_buffer("emits", len(ids), states))
+    alpha = _buffer("alpha", len(ids), states)
     for t, (i, n) in enumerate(zip(at.tolist(), alive.tolist())):
         now = alpha[i : i + n]
         if before is None:
@@ -109,7 +117,7 @@ def _forward(model: Model, flat: np.ndarray, begin: np.ndarray, alive: np.ndarra
             scale = now.sum(axis=1)
             now /= scale[:, None]
             loglik[:n] += np.log(scale)
-        if t and len(before) > n and (t - 1) % SCALED and t:  # texts that ended at the step before
+        if t and len(before) > n and (t - 1) % SCALED:  # texts that ended at the step before
             loglik[n : len(before)] += np.log(before[n:].sum(axis=1))
         before = now
     return ids, emits, alpha
@@ -154,7 +162,7 @@ class Counts:
         loglik = np.zeros(len(begin))
         ids, emits, alpha = _forward(model, flat, begin, alive, t0, before, loglik)
         self.loglik += float(loglik.sum())
-        beta, back = np.empty_like(alpha), np.ascontiguousarray(model.move.T)
+        beta, back = _buffer("beta", *alpha.shape), np.ascontiguousarray(model.move.T)
         at = np.cumsum(alive) - alive
         last, later = int(at[-1]), ahead
         for t, (i, n) in enumerate(zip(at[::-1].tolist(), alive[::-1].tolist())):
@@ -168,7 +176,7 @@ class Counts:
         self.move += model.move * (alpha[last : last + len(later)].T @ later)
         first = int(alive[0])
         earlier = np.arange(first, len(ids)) - np.repeat(alive[:-1], alive[1:])  # the same text's position a step before
-        self.move += model.move * (alpha.take(earlier, axis=0, mode="clip").T @ emits[first:])
+        self.move += model.move * (alpha.take(earlier, axis=0, mode="clip", out=_buffer("earlier", len(earlier), alpha.shape[1])).T @ emits[first:])
         alpha *= beta
         if t0 == 0:
             self.start += alpha[:first].sum(axis=0)
@@ -399,7 +407,7 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int | None =
     encoded = texts.mapInArrow(_encode(frequent, log_counts), f"doc_id {kind}, train boolean, ids binary, known_sum double, rare array<struct<word: string, n: long>>")
     path = table_path(docs.sparkSession, "encoded")
     encoded = encoded.withColumns({"row": F.monotonically_increasing_id(), "part": F.pmod(F.xxhash64("ids"), F.lit(PARTS)).cast("int")})
-    encoded.write.partitionBy("part").parquet(path, compression="zstd")
+    encoded.write.partitionBy("part").parquet(path, compression="lz4_raw")
     encoded = docs.sparkSession.read.schema(encoded.schema).parquet(path)
     model = train(encoded, share, states, rounds, parts=PARTS)
 
