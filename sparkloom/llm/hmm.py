@@ -39,7 +39,7 @@ PARTS = 4
 #: Rounds go on until one raises the log likelihood by less than this a token.
 SETTLED = 1e-3
 #: Tokens that forward-backward holds the states of at once, at most.
-HELD = 600_000
+HELD = 200_000
 #: Steps from one scaling of the recursions to the next: probabilities above 1e-38 a step can't underflow between.
 SCALED = 8
 #: Tokens, or somewhat more, that a worker gathers before it puts texts of like length together.
