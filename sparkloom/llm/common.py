@@ -207,3 +207,20 @@ def shingles(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndar
         piece = mix64(padded[at + k] + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & 0xFFFFFFFFFFFFFFFF))
         out += np.where(k < length, piece, np.uint64(0))
     return mix64(out + length.astype(np.uint64)), n
+
+
+def lookup(rows: DataFrame, table: DataFrame, on: list[str], uses: str, total: int, share: int = 1000) -> DataFrame:
+    """rows with the further columns of table, which has a row a key `on` at most; they are null where it has none, or a null key.
+
+    `uses` is table's count of the rows with that key, `total` that of all rows. Keys of more than one in `share` of the rows,
+    so `share` keys at most, are broadcast; the others are shuffled, and null keys stay where they are: no task gets a hot key's rows.
+    """
+    given = F.lit(True)
+    for c in on:
+        given &= F.col(c).isNotNull()
+    hot = F.broadcast(table.where(F.col(uses) * share > total).drop(uses))
+    rest = table.where(F.col(uses) * share <= total).drop(uses)
+    found = rows.join(hot, on)
+    others = rows.where(given).join(hot.select(*on), on, "left_anti").join(rest, on, "left")
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in rest.schema if f.name not in on]
+    return found.unionByName(others).unionByName(rows.where(~given).select(*found.columns[: len(rows.columns)], *blank))

@@ -60,4 +60,51 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard::INTEGER AS shard, row_nu
 FROM slotted JOIN homes USING (virtual_slot)
 """
 
-SQL = {"op2_bagminhash": NEAR_DUPLICATES, "op7_pfair_mix": MIX, "op8_virtual_slots": SHARDS}
+#: The trie by comparing whole sequences of turns, as text with lengths before each part.
+TRIE = """
+WITH RECURSIVE bits(v, c, k) AS (SELECT v, v, 0 FROM range(256) t(v) UNION ALL SELECT v, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY v) AS t FROM bits WHERE k = 8),
+turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS j FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, max(j) AS n, conv_id - conv_id % 5 AS first, hex(encode(conv_id::VARCHAR)) AS hexed FROM turns GROUP BY 1),
+heads AS (SELECT conv_id, n, first, xor(list_reduce([4294967295::BIGINT] || list_transform(range(length(hexed) // 2), lambda i: ('0x' || substr(hexed, (2 * i + 1)::BIGINT, 2))::BIGINT), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 9 AS h FROM convs, crc),
+lent AS (SELECT c.conv_id, c.n, c.h, count(t.j) AS k FROM heads c LEFT JOIN turns t ON t.conv_id = c.first AND t.j <= c.h GROUP BY ALL),
+rebuilt AS (
+  SELECT c.conv_id, t.j AS d, t.role, t.text FROM heads c JOIN turns t ON t.conv_id = c.first AND t.j <= c.h
+  UNION ALL SELECT c.conv_id, c.k + t.j - c.h, t.role, t.text FROM lent c JOIN turns t ON t.conv_id = c.conv_id AND t.j > c.h),
+keyed AS (SELECT conv_id, d, strlen(text) AS bytes, sha256(length(role) || ':' || role || ':' || text) AS one FROM rebuilt),
+path AS (
+  SELECT conv_id, 0::BIGINT AS d, '' AS key, '' AS above, 0::BIGINT AS bytes FROM heads
+  UNION ALL SELECT k.conv_id, k.d, sha256(p.key || k.one), p.key, k.bytes FROM path p JOIN keyed k ON k.conv_id = p.conv_id AND k.d = p.d + 1),
+lengths AS (SELECT conv_id, k + greatest(0, n - h) AS len FROM lent),
+nodes AS (SELECT d, key, any_value(above) AS above, any_value(bytes) AS bytes, count(*) AS n_convs, min(conv_id) AS conv_id, sha256(coalesce(string_agg(CASE WHEN d = len THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM path JOIN lengths USING (conv_id) GROUP BY 1, 2),
+kids AS (SELECT above AS key, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2),
+rolled AS (SELECT q.key, q.d, count(*) FILTER (WHERE k.n IS NULL) AS n_leaves, sum((u.n_convs - 1) * u.bytes)::BIGINT AS saved_tokens FROM nodes u LEFT JOIN kids k ON k.key = u.key AND k.d = u.d JOIN path q ON q.conv_id = u.conv_id AND q.d <= u.d GROUP BY 1, 2)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, r.n_leaves, r.saved_tokens, n.ends_sha256
+FROM nodes n JOIN rolled r ON r.key = n.key AND r.d = n.d LEFT JOIN kids k ON k.key = n.key AND k.d = n.d LEFT JOIN nodes p ON n.d > 0 AND p.key = n.above AND p.d = n.d - 1
+"""
+
+#: Every order walked filter by filter, over the numbers of documents with the same failures.
+AUDIT = r"""
+WITH RECURSIVE texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+words AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM texts),
+least AS (SELECT t, min(doc_id) AS least FROM texts GROUP BY 1),
+marks AS (SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY 1),
+failing AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(words.t, '[^A-Z]', '', 'g')) > 10 * length(words.t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(words.t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN words.doc_id > least THEN 'E' ELSE '' END AS fails
+  FROM words JOIN least ON least.t = words.t LEFT JOIN marks ON marks.doc_id = words.doc_id),
+alike AS (SELECT part, good, toxic, fails, count(*) AS n FROM failing GROUP BY ALL),
+orders AS (SELECT '' AS o UNION ALL SELECT o || f FROM orders, unnest(['A', 'B', 'C', 'D', 'E']) u(f) WHERE NOT contains(o, f)),
+steps AS (SELECT o AS filter_order, s::INTEGER AS step, o[s] AS f, o[1:s - 1] AS earlier FROM orders, range(1, 6) r(s) WHERE length(o) = 5),
+walked AS (SELECT part, filter_order, step, f, n, good, toxic, fails, contains(fails, f) AS hit, earlier <> '' AND regexp_matches(fails, '[' || earlier || '@]') AS gone FROM alike, steps),
+rows AS (
+  SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (WHERE NOT hit AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE hit AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (WHERE hit AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE fails = f), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n * good) FILTER (WHERE hit AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(n * toxic) FILTER (WHERE hit AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM walked GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM rows
+"""
+
+SQL = {"op11_prefix_trie": TRIE, "op12_filter_audit": AUDIT, "op2_bagminhash": NEAR_DUPLICATES, "op7_pfair_mix": MIX, "op8_virtual_slots": SHARDS}

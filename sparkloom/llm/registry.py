@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sparkloom.llm import bagminhash, bpe_stream, fertility, fingerprint, hmm, html_extract, mixing, oracles, sharding, token_count, token_store
+from sparkloom.llm import bagminhash, bpe_stream, fertility, filter_audit, fingerprint, hmm, html_extract, mixing, oracles, prefix_trie, sharding, simhash, token_count, token_store
 
 
 def queries() -> dict:
@@ -18,6 +18,9 @@ def queries() -> dict:
         "op8_virtual_slots": sharding.query,
         "op9_weighted_sampling": fingerprint.query,
         "op10_token_count": token_count.query,
+        "op11_prefix_trie": prefix_trie.query,
+        "op12_filter_audit": filter_audit.query,
+        "op13_simhash": simhash.query,
         "pipeline": corpus_pipeline.run,
     }
 
