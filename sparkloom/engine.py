@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.scoring import ADAPTIVE, BASIC, FULL, HYBRID, SYSTEM_NAMES, SYSTEMS, quota_spent
 from sparkloom.operators import answers, chunking, dense, evaluation, evidence, fusion, lexical, metrics, questions
-from sparkloom.operators.ranking import top_k
+from sparkloom.operators.ranking import within
 from sparkloom.sources import html, tables
 from sparkloom.session import materialise
 
@@ -27,6 +28,14 @@ class Settings:
     sub_queries: int = 4
 
 
+@dataclass(frozen=True)
+class Retrieved:
+    """hits: system, query_id, rank, chunk_id, score; work: what each question took, counted from the rows that were there."""
+
+    hits: DataFrame
+    work: DataFrame
+
+
 @dataclass
 class Engine:
     """Indexed chunks with their lexical index and vectors; every method is a plan over a table of questions (query_id, query)."""
@@ -109,52 +118,89 @@ class Engine:
     def route(self, asked: DataFrame) -> DataFrame:
         return questions.route(questions.analyze(asked))
 
-    def _planned(self, plans: DataFrame, retrieve, strategies: tuple[str, ...]) -> list[DataFrame]:
-        """Hits for the plans of these strategies: one plan for each pair of depths in the policy, over its questions only."""
-        out = []
-        for c, f in sorted({kf for (level, _), kf in questions.POLICY.items() if questions.STRATEGIES[level][0] in strategies}):
-            some = plans.where(F.col("strategy").isin(*strategies) & (F.col("candidate_top_k") == c) & (F.col("final_top_k") == f))
-            if not some.isEmpty():
-                out.append(retrieve(some, c, f).select("query_id", "rank", "chunk_id", "score"))
-        return out
-
-    def multi_step(self, plans: DataFrame, candidates: int, final: int) -> DataFrame:
-        """Evidence for complex questions: their parts searched, pooled, searched deeper where it falls short, and reranked against the question."""
-        parts = materialise(questions.decompose(plans, self.settings.sub_queries), "parts")
-
-        def retrieve(some: DataFrame, k: int) -> DataFrame:
-            flat = some.select(F.concat_ws("\n", F.col("query_id").cast("string"), "sub_query_id").alias("query_id"), F.col("query_text").alias("query"))
-            cut = F.split("query_id", "\n")
-            kind = some.schema["query_id"].dataType
-            return self.hybrid(flat, k, k).select(cut[0].cast(kind).alias("query_id"), cut[1].alias("sub_query_id"), "chunk_id", "score")
-
-        found, _ = evidence.retrieve_complex(parts, retrieve, candidates, candidates)
-        scored = fusion.rerank(top_k(found.drop("rank"), None), plans.select("query_id", "query"), self.chunks, self.scorer, final)
-        return scored
-
-    def retrieve(self, asked: DataFrame, system: str = "full", k: int | None = None) -> DataFrame:
-        """query_id, rank, chunk_id, score by one of the four systems."""
-        name = _system(system)
+    def _jobs(self, asked: DataFrame, names: list[str], k: int | None) -> DataFrame:
+        """A row a system and question: the strategy, its depths, and what the analysis says."""
+        planned = [n for n in names if n in (ADAPTIVE, FULL)]
+        routed = ["intent", "complexity", "terms"]
+        some = self.settings
+        fixed = {BASIC: ("DENSE", some.dense_k, k or some.dense_k), HYBRID: ("HYBRID", some.candidates, k or some.final)}
+        out = [asked.select("query_id", "query", F.lit(n).alias("system"), *(F.lit(v).alias(c) for v, c in zip(fixed[n], ("strategy", "candidates", "final"))), *(F.lit(None).cast("array<string>" if c == "terms" else "string").alias(c) for c in routed)) for n in names if n in fixed]
+        if planned:
+            plans = self.route(asked).withColumn("system", F.explode(F.array(*map(F.lit, planned))))
+            strategy = F.when((F.col("strategy") == "MULTI_STEP") & (F.col("system") == ADAPTIVE), "HYBRID").otherwise(F.col("strategy"))
+            out.append(plans.select("query_id", "query", "system", strategy.alias("strategy"), F.col("candidate_top_k").alias("candidates"), (F.lit(k) if k else F.col("final_top_k")).alias("final"), *routed))
+        return reduce(DataFrame.unionByName, out)
+
+    def systems(self, asked: DataFrame, names: tuple[str, ...] = SYSTEMS, k: int | None = None) -> Retrieved:
+        """The hits of several systems, and what each question took, from one ranking an index.
+
+        Each index is searched once, to the greatest depth that a question has; jobs (question, strategy, depths) are
+        cut from those rankings by their own depths, and what two systems do alike is done once. The parts of
+        complex questions are one more search of each index, and one more for those whose evidence falls short.
+        """
         if k is not None and not 1 <= k <= MOST_K:
             raise ValueError(f"k lies between 1 and {MOST_K}")
+        asked = asked.where(F.trim("query") != "").select("query_id", "query")
+        jobs = materialise(self._jobs(asked, [_system(n) for n in names], k), "jobs")
+        key = F.struct("query_id", "strategy", "candidates", "final")
+        once = materialise(jobs.withColumn("job", key).dropDuplicates(["job"]).drop("system"), "distinct-jobs")
+        done = self._done(once.withColumnRenamed("query_id", "asked_id").withColumnRenamed("job", "query_id"), asked)
+        owned = jobs.select("system", key.alias("job"))
+        for_systems = lambda rows: owned.join(rows.withColumnRenamed("query_id", "job"), "job").withColumn("query_id", F.col("job.query_id"))
+        return Retrieved(for_systems(done.hits).select("system", "query_id", "rank", "chunk_id", "score"), for_systems(done.work).select("system", "query_id", "retrieval_calls", "chunks_processed", "escalation_count"))
+
+    def planned(self, plans: DataFrame) -> DataFrame:
+        """query_id, rank, chunk_id, score for plans of dense and hybrid retrieval; any other strategy raises when rows are read."""
+        able = F.when(F.col("strategy").isin("DENSE", "HYBRID"), True).otherwise(F.raise_error(F.concat(F.lit("no plan-driven retrieval for "), F.coalesce("strategy", F.lit("null")))).cast("boolean"))
+        jobs = plans.where(able).select("query_id", F.col("query_id").alias("asked_id"), "query", "strategy", F.col("candidate_top_k").alias("candidates"), F.col("final_top_k").alias("final"), "intent", "complexity", "terms")
+        return self._done(materialise(jobs, "jobs"), plans.select("query_id", "query")).hits
+
+    def _done(self, jobs: DataFrame, asked: DataFrame) -> Retrieved:
+        """jobs: query_id (of the job), asked_id, query, strategy, candidates, final, intent, complexity, terms."""
+        one = lambda s: jobs.where(F.col("strategy") == s)
+        deepest = {r["strategy"]: r for r in jobs.groupBy("strategy").agg(F.max("candidates").alias("candidates"), F.max("final").alias("final")).collect()}  # three rows
         columns = ("query_id", "rank", "chunk_id", "score")
-        if name == BASIC:
-            return self.search(asked, "dense", k)
-        if name == HYBRID:
-            return self.search(asked, "hybrid", k).select(*columns)
-        plans = materialise(self.route(asked), "plans")
-        deep = lambda some, c, f: self.hybrid(some, c, k or f)
-        hits = self._planned(plans, lambda some, c, f: self.search(some, "dense", k or f), ("DENSE",))
-        hits += self._planned(plans, deep, ("HYBRID",) if name == FULL else ("HYBRID", "MULTI_STEP"))
-        if name == FULL:
-            hits += self._planned(plans, self.multi_step, ("MULTI_STEP",))
-        assert name in (ADAPTIVE, FULL)
-        if not hits:
-            return self.search(asked.where(F.lit(False)), "bm25", 1)
-        out = hits[0]
-        for h in hits[1:]:
-            out = out.unionByName(h)
-        return out
+        hits, work = ([], []) if deepest else ([jobs.crossJoin(self.chunks).select("query_id", F.lit(1).alias("rank"), "chunk_id", F.lit(0.0).alias("score")).limit(0)], [_work(jobs, F.lit(0), jobs)])
+        for_both = deepest["HYBRID"]["candidates"] if "HYBRID" in deepest else 0
+        depth = max(for_both, deepest["DENSE"]["final"] if "DENSE" in deepest else 0)
+        of_job = lambda rows, some: rows.withColumnRenamed("query_id", "asked_id").join(some.select("asked_id", "query_id"), "asked_id").drop("asked_id")
+        if depth:
+            dense_hits = materialise(self.search(asked, "dense", depth).select(*columns), "dense-hits")
+        if "DENSE" in deepest:
+            found = within(of_job(dense_hits, one("DENSE")), one("DENSE"), "final")
+            hits.append(found.select(*columns))
+            work.append(_work(one("DENSE"), F.lit(1), found))
+        if for_both:
+            some = one("HYBRID")
+            lexical_hits = materialise(self.search(asked, "bm25", for_both).select(*columns), "lexical-hits")
+            both = [within(of_job(rows, some), some, "candidates") for rows in (dense_hits, lexical_hits)]
+            hits.append(fusion.hybrid(*both, some, self.chunks, "candidates", "final", self.scorer).select(*columns))
+            work.append(_work(some, F.lit(2), both[0].unionByName(both[1])))
+        if "MULTI_STEP" in deepest:
+            found, verdicts, parts = self.multi_step(one("MULTI_STEP"))
+            hits.append(found.select(*columns))
+            counted = parts.groupBy("query_id").agg(F.count("*").alias("parts")).join(verdicts, "query_id")
+            work.append(counted.select("query_id", (F.col("parts") * 2 * F.col("attempts")).alias("retrieval_calls"), F.col("examined").alias("chunks_processed"), (F.col("attempts") > 1).cast("long").alias("escalation_count")))
+        return Retrieved(reduce(DataFrame.unionByName, hits), reduce(DataFrame.unionByName, work))
+
+    def multi_step(self, jobs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Evidence for complex questions, its verdicts and the questions' parts: parts are searched, pooled, searched deeper where the
+        evidence falls short, and reranked against the question. jobs: query_id, query, candidates, final and the analysis."""
+        parts = questions.decompose(jobs, self.settings.sub_queries).join(jobs.select("query_id", "candidates"), "query_id")
+        parts = materialise(parts, "parts")
+
+        def retrieve(some: DataFrame, depth: str) -> DataFrame:
+            flat = materialise(some.select(F.struct("query_id", "sub_query_id").alias("query_id"), F.col("query_text").alias("query"), depth), "flat")
+            deepest = flat.agg(F.max(depth)).first()[0]
+            both = [self.search(flat, m, deepest).select("query_id", "rank", "chunk_id", "score") for m in ("dense", "bm25")]
+            return fusion.hybrid(*both, flat, self.chunks, depth, depth, self.scorer).select("query_id.query_id", "query_id.sub_query_id", "chunk_id", "score")
+
+        found, verdicts = evidence.retrieve_complex(parts, retrieve, "candidates", "candidates")
+        return fusion.rerank(found.drop("rank"), jobs, self.chunks, self.scorer, "final"), verdicts, parts
+
+    def retrieve(self, asked: DataFrame, system: str = "full", k: int | None = None) -> DataFrame:
+        """query_id, rank, chunk_id, score by one of the four systems."""
+        return self.systems(asked, (system,), k).hits.drop("system")
 
     # answers
 
@@ -181,9 +227,10 @@ class Engine:
     def evaluate(self, benchmark: DataFrame, systems: tuple[str, ...] = SYSTEMS) -> DataFrame:
         """Retrieval measures of each question and system; benchmark: query_id, query, truth (array of chunk ids)."""
         truth = benchmark.select("query_id", F.explode("truth").alias("chunk_id"))
+        found = materialise(self.systems(benchmark.select("query_id", "query"), systems).hits, "hits")
         out = None
         for s in systems:
-            lists = metrics.ranked_lists(self.retrieve(benchmark.select("query_id", "query"), s), truth, benchmark)
+            lists = metrics.ranked_lists(found.where(F.col("system") == _system(s)).drop("system"), truth, benchmark)
             got = metrics.bundle(lists).withColumn("system", F.lit(s))
             out = got if out is None else out.unionByName(got)
         return out
@@ -215,24 +262,26 @@ class Engine:
     def _records(self, asked: DataFrame, system: str, provider: answers.Provider | None, judge: answers.Provider | None) -> DataFrame:
         began = time.monotonic()
         questions_ = asked.select("query_id", "query")
-        hits = materialise(self.retrieve(questions_, system), "hits")
+        retrieved = self.systems(questions_, (system,))
+        hits = materialise(retrieved.hits.drop("system"), "hits")
+        work = materialise(retrieved.work.drop("system"), "work")
         replies = materialise(answers.generate(self.prompts(questions_, hits), provider or answers.FixedAnswer()), "answers")
         seconds = time.monotonic() - began
         truth = asked.select("query_id", F.explode("truth").alias("chunk_id"))
         measures = metrics.bundle(metrics.ranked_lists(hits, truth, asked))
-        snippets = F.transform(F.array_sort(F.collect_list(F.struct("rank", "content_snippet"))), lambda x: x["content_snippet"])
-        evidence_ = answers.citations(hits, self.chunks).groupBy("query_id").agg(snippets.alias("snippets"), F.count("*").alias("chunks_processed"))
+        shown = "content_snippet" if _system(system) == BASIC else "content"  # the plain system is judged on its snippets
+        snippets = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(shown).alias("shown")))), lambda x: x["shown"])
+        evidence_ = answers.citations(hits, self.chunks).groupBy("query_id").agg(snippets.alias("snippets"))
         rows = asked.join(replies, "query_id").join(evidence_, "query_id", "left")
         evidence_text = answers.evidence_text(F.coalesce("snippets", F.array().cast("array<string>")))
         graded = rows.select("query_id", F.col("query").alias("question"), F.coalesce("reference_answer", F.lit("")).alias("reference"), evidence_text.alias("evidence"), "answer")
-        scores = answers.judge(graded, judge or answers.FixedAnswer('{"correctness": 0, "faithfulness": 0, "relevance": 0, "reason": "no judge"}')).select("query_id", "scores.*")
+        scores = answers.judge(graded, judge or answers.FixedAnswer('{"correctness": 0, "faithfulness": 0, "relevance": 0, "reason": "no judge"}')).select("query_id", "scores.*", *(f"judge_{c}" for c in answers.TOKENS))
         name = _system(system)
         plans = self.route(questions_).select("query_id", "intent", "complexity", "strategy")
         fixed = {BASIC: "DENSE", HYBRID: "HYBRID"}.get(name)
         predicted = F.lit(fixed) if fixed else F.col("strategy")
         routed = lambda c: F.lit(None).cast("boolean") if fixed else F.col(c) == F.col(f"expected_{c}")
-        calls = F.lit({BASIC: 1, HYBRID: 2}[name]) if fixed else F.when(F.col("strategy") == "DENSE", 1).otherwise(2)
-        out = rows.join(scores, "query_id").join(measures, "query_id").join(plans, "query_id", "left")
+        out = rows.join(scores, "query_id").join(measures, "query_id").join(plans, "query_id", "left").join(work, "query_id", "left")
         return out.select(
             "question_id",
             F.lit(name).alias("system"),
@@ -245,13 +294,11 @@ class Engine:
             "relevance",
             "overall",
             (F.lit(seconds * 1000) / F.lit(max(1, asked.count()))).alias("latency_ms"),
-            calls.cast("long").alias("retrieval_calls"),
-            F.coalesce("chunks_processed", F.lit(0)).cast("long").alias("chunks_processed"),
-            F.lit(0).cast("long").alias("escalation_count"),
+            *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("retrieval_calls", "chunks_processed", "escalation_count")),
             "prompt_tokens",
             "completion_tokens",
             "total_tokens",
-            *(F.lit(None).cast("long").alias(f"judge_{c}") for c in ("prompt_tokens", "completion_tokens", "total_tokens")),
+            *(f"judge_{c}" for c in answers.TOKENS),
             (predicted == F.col("expected_strategy")).alias("strategy_match"),
             routed("intent").alias("intent_match"),
             routed("complexity").alias("complexity_match"),
@@ -275,6 +322,13 @@ def _system(name: str) -> str:
     return found
 
 
+def _work(jobs: DataFrame, calls: Column, seen: DataFrame) -> DataFrame:
+    """retrieval_calls, chunks_processed and escalation_count of jobs that search `calls` times and have gone through the rows of `seen`."""
+    counted = seen.groupBy("query_id").agg(F.count("*").alias("n"))
+    none = F.lit(0).cast("long")
+    return jobs.select("query_id").join(counted, "query_id", "left").select("query_id", calls.cast("long").alias("retrieval_calls"), F.coalesce("n", none).alias("chunks_processed"), none.alias("escalation_count"))
+
+
 def _kept(df: DataFrame, path: str) -> DataFrame:
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -192,11 +192,15 @@ def judge_prompt(question: Column, reference: Column, evidence: Column, answer:
     )
 
 
+TOKENS = ("prompt_tokens", "completion_tokens", "total_tokens")
+
+
 def judge(answers: DataFrame, model: Provider) -> DataFrame:
-    """answers (query_id, question, reference, evidence, answer) with scores, a struct; a blank answer is not sent and has zeros."""
+    """answers (query_id, question, reference, evidence, answer) with scores, a struct, and the judge's tokens; a blank answer is not sent and
+    has zeros and no tokens."""
     blank = F.coalesce(F.trim("answer"), F.lit("")) == ""
     asked = answers.where(~blank).withColumn("prompt", judge_prompt(*(F.col(c) for c in ("question", "reference", "evidence", "answer"))))
-    replies = generate(asked, model).select("query_id", judged(F.coalesce("answer", F.lit(""))).alias("scores"))
+    replies = generate(asked, model).select("query_id", judged(F.coalesce("answer", F.lit(""))).alias("scores"), *(F.col(c).alias(f"judge_{c}") for c in TOKENS))
     zero = F.lit(0.0)
     none = F.struct(zero.alias("correctness"), zero.alias("faithfulness"), zero.alias("relevance"), zero.alias("overall"), F.lit("Blank answer.").alias("reason"))
     return answers.join(replies, "query_id", "left").withColumn("scores", F.coalesce("scores", none))

@@ -84,9 +84,9 @@ def encode(texts: DataFrame, encoder, text: str = "content", dimension: int = 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.asarray(encoder([t or "" for t in batch.column(at).to_pylist()]), np.float32).reshape(-1, dimension)
+            out = np.asarray(encoder([t or "" for t in batch.column(at).to_pylist()]), np.float64).reshape(-1, dimension)
             norm = np.linalg.norm(out, axis=1, keepdims=True)
-            out = np.divide(out, norm, out=out.copy(), where=norm > 0)
+            out = np.divide(out, norm, out=out.copy(), where=norm > 0).astype(np.float32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(out), pa.list_(pa.float32()))], names=[*names, "embedding"])
 
     return texts.mapInArrow(run, schema)

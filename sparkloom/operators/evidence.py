@@ -58,18 +58,21 @@ def sufficiency(sub_queries: DataFrame, pooled: DataFrame, attempt: int = 1, att
     return rows.select("query_id", "evidence_count", "top_score", share.alias("concept_coverage"), enough.alias("is_sufficient"), F.when(empty, 0.0).otherwise(graded).alias("sufficiency_score"), next_step.alias("recommendation"))
 
 
-def retrieve_complex(sub_queries: DataFrame, retrieve: Callable[[DataFrame, int], DataFrame], candidates: int, final: int, attempts: int = ATTEMPTS) -> tuple[DataFrame, DataFrame]:
-    """The ranked evidence of each question, and its sufficiency with the attempts made.
+def retrieve_complex(sub_queries: DataFrame, retrieve: Callable[[DataFrame, int | str], DataFrame], candidates: int | str, final: int | str, attempts: int = ATTEMPTS) -> tuple[DataFrame, DataFrame]:
+    """The ranked evidence of each question, and its sufficiency with the attempts made and the hits examined in the last.
 
     retrieve(sub_queries, k) gives hits. Questions whose evidence falls short are retrieved anew with k grown; each attempt
-    is one plan over only those questions, and there are `attempts` plans at most.
+    is one plan over only those questions, and there are `attempts` plans at most. candidates and final are numbers, or columns of
+    sub_queries with each question's own; retrieve then gets the column's name as k.
     """
-    from sparkloom.operators.ranking import top_k
+    from sparkloom.operators.ranking import top_k, within
 
     left, k, done, verdicts = sub_queries, candidates, None, None
     for attempt in range(1, attempts + 1):
         pooled = materialise(pool(retrieve(left, k)), "pool")
-        judged = materialise(sufficiency(left, pooled, attempt, attempts).withColumn("attempts", F.lit(attempt)), "sufficiency")
+        seen = pooled.groupBy("query_id").agg(F.sum("overlap_count").alias("examined"))
+        judged = sufficiency(left, pooled, attempt, attempts).withColumn("attempts", F.lit(attempt)).join(seen, "query_id", "left")
+        judged = materialise(judged.withColumn("examined", F.coalesce("examined", F.lit(0)).cast("long")), "sufficiency")
         short = judged.where(~F.col("is_sufficient")).select("query_id")
         settled = judged if attempt == attempts else judged.where("is_sufficient")
         kept = pooled.join(settled.select("query_id"), "query_id", "left_semi")
@@ -77,8 +80,15 @@ def retrieve_complex(sub_queries: DataFrame, retrieve: Callable[[DataFrame, int]
         verdicts = settled if verdicts is None else verdicts.unionByName(settled)
         if attempt == attempts or short.isEmpty():
             break
-        left, k = left.join(short, "query_id", "left_semi"), int(k * GROWTH)
-    return top_k(done.withColumn("score", F.col("initial_score")), final), verdicts
+        left = left.join(short, "query_id", "left_semi")
+        if isinstance(k, str):
+            left = left.withColumn(k, F.floor(F.col(k) * GROWTH).cast("int"))
+        else:
+            k = int(k * GROWTH)
+    ranked = done.withColumn("score", F.col("initial_score"))
+    if isinstance(final, str):
+        return within(top_k(ranked), sub_queries.select("query_id", final).distinct(), final), verdicts
+    return top_k(ranked, final), verdicts
 
 
 def as_hits(pooled: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import lexical_tokens
-from sparkloom.operators.ranking import top_k
+from sparkloom.operators.ranking import top_k, within
 
 RRF_K = 60
 #: What a scorer gives from question and content; larger is better.
@@ -35,21 +35,34 @@ def overlap_scorer(question: Column, content: Column) -> Column:
     return F.coalesce(F.round(F.try_divide(F.size(F.array_intersect(words, lexical_tokens(content))), F.size(words)), 6), F.lit(0.0))
 
 
-def rerank(hits: DataFrame, questions: DataFrame, chunks: DataFrame, scorer: Scorer = overlap_scorer, limit: int | None = None) -> DataFrame:
+def rerank(hits: DataFrame, questions: DataFrame, chunks: DataFrame, scorer: Scorer = overlap_scorer, limit: int | str | None = None) -> DataFrame:
     """hits with rerank_score, scored and ranked anew by it, ties by chunk_id; other scores stay.
 
     Cut hits to their candidates first: the scorer sees each of their rows. questions: query_id, query; chunks: chunk_id, content.
+    limit may name a column of questions.
     """
-    if limit is not None and limit < 1:
-        raise ValueError("limit must be positive")
+    _positive(limit)
     pairs = hits.join(questions.select("query_id", "query"), "query_id").join(chunks.select("chunk_id", "content"), "chunk_id")
     scored = pairs.withColumn("rerank_score", scorer(F.col("query"), F.col("content"))).drop("rank", "score", "query", "content")
-    return top_k(scored.withColumn("score", F.col("rerank_score")), limit)
+    scored = scored.withColumn("score", F.col("rerank_score"))
+    return within(top_k(scored), questions, limit) if isinstance(limit, str) else top_k(scored, limit)
 
 
-def hybrid(dense: DataFrame, lexical: DataFrame, questions: DataFrame, chunks: DataFrame, candidates: int = 20, final: int = 5, scorer: Scorer | None = overlap_scorer) -> DataFrame:
-    """Both rankings cut to `candidates`, fused, cut again, then reranked to `final`, or cut to it without a scorer."""
-    if candidates < 1 or final < 1:
-        raise ValueError("candidates and final must be positive")
-    fused = reciprocal_rank_fusion(dense.where(F.col("rank") <= candidates), lexical.where(F.col("rank") <= candidates), limit=candidates).withColumn("rrf_score", F.col("score"))
-    return rerank(fused, questions, chunks, scorer, final) if scorer else fused.where(F.col("rank") <= final)
+def hybrid(dense: DataFrame, lexical: DataFrame, questions: DataFrame, chunks: DataFrame, candidates: int | str = 20, final: int | str = 5, scorer: Scorer | None = overlap_scorer) -> DataFrame:
+    """Both rankings cut to `candidates`, fused, cut again, then reranked to `final`, or cut to it without a scorer.
+
+    The depths are numbers, or columns of questions with a depth for each, so that questions of all depths are one plan.
+    """
+    for depth in (candidates, final):
+        _positive(depth)
+    both = [within(hits, questions, candidates) for hits in (dense, lexical)]
+    fused = reciprocal_rank_fusion(*both, limit=candidates if isinstance(candidates, int) else None)
+    if isinstance(candidates, str):
+        fused = within(fused, questions, candidates)
+    fused = fused.withColumn("rrf_score", F.col("score"))
+    return rerank(fused, questions, chunks, scorer, final) if scorer else within(fused, questions, final)
+
+
+def _positive(depth: int | str | None) -> None:
+    if isinstance(depth, int) and depth < 1:
+        raise ValueError("depths must be positive")

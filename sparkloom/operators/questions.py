@@ -132,18 +132,29 @@ def analyze(questions: DataFrame) -> DataFrame:
     return rows.withColumn("complexity_confidence", sure)
 
 
+def plannable(intent: Column, complexity: Column) -> Column:
+    """Whether both are known, so that a plan can be made of them; false for nulls."""
+    return F.coalesce(intent.isin(*INTENTS) & complexity.isin(*STRATEGIES), F.lit(False))
+
+
+PLAN = "struct<strategy:string,effort:string,candidate_top_k:int,final_top_k:int,use_reranking:boolean,use_multi_step:boolean,reason:string>"
+
+
 def route(analyzed: DataFrame) -> DataFrame:
     """analyzed with strategy, effort, candidate_top_k, final_top_k, use_reranking, use_multi_step, low_confidence and reason.
 
-    Rows of an unknown intent or complexity raise: they come from no analysis.
+    Rows of an unknown intent or complexity raise: they come from no analysis. The policy is looked up and not joined, as a join's
+    keys would be filtered below the analysis, and so analysed again.
     """
-    spark = analyzed.sparkSession
-    rows = [(c, i, *STRATEGIES[c], k, f, c != "SIMPLE", c == "COMPLEX", f"{c.lower()} question, intent {i.lower()}: {STRATEGIES[c][0].lower()} retrieval, {k} candidates for {f} chunks") for (c, i), (k, f) in POLICY.items()]
-    policy = spark.createDataFrame(rows, "complexity string, intent string, strategy string, effort string, candidate_top_k int, final_top_k int, use_reranking boolean, use_multi_step boolean, reason string")
-    known = F.col("intent").isin(*INTENTS) & F.col("complexity").isin(*STRATEGIES)
-    checked = analyzed.where(F.when(known, True).otherwise(F.raise_error(F.lit("unknown intent or complexity")).cast("boolean")))
+    entries = []
+    for (c, i), (k, f) in POLICY.items():
+        names = ("strategy", "effort", "candidate_top_k", "final_top_k", "use_reranking", "use_multi_step", "reason")
+        values = (*STRATEGIES[c], k, f, c != "SIMPLE", c == "COMPLEX", f"{c.lower()} question, intent {i.lower()}: {STRATEGIES[c][0].lower()} retrieval, {k} candidates for {f} chunks")
+        entries += [F.lit(f"{c} {i}"), F.struct(*(F.lit(v).alias(n) for n, v in zip(names, values)))]
+    known = plannable(F.col("intent"), F.col("complexity"))
+    plan = F.when(known, F.create_map(*entries)[F.concat_ws(" ", "complexity", "intent")]).otherwise(F.raise_error(F.lit("unknown intent or complexity")).cast(PLAN))
     low = (F.col("complexity_confidence") < 0.6) | (F.col("intent_confidence") <= 0.5)
-    return checked.join(F.broadcast(policy), ["complexity", "intent"]).withColumn("low_confidence", low)  # 18 rows
+    return analyzed.withColumn("_plan", plan).select("*", "_plan.*").drop("_plan").withColumn("low_confidence", low)
 
 
 #: What connects the concepts of a question that comes without an analysis.

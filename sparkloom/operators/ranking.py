@@ -15,3 +15,11 @@ def top_k(hits: DataFrame, k: int | None = None, score: str = "score", query: st
     order = Window.partitionBy(query).orderBy(F.desc(score), F.asc(item))
     ranked = hits.withColumn("rank", F.row_number().over(order))
     return ranked if k is None else ranked.where(F.col("rank") <= k)
+
+
+def within(hits: DataFrame, questions: DataFrame, depth: int | str) -> DataFrame:
+    """hits of a rank up to depth: a number, or the column of questions (one row a query_id) that has each question's own."""
+    if isinstance(depth, int):
+        return hits.where(F.col("rank") <= depth)
+    own = questions.select("query_id", F.col(depth).alias("_depth"))
+    return hits.join(own, "query_id").where(F.col("rank") <= F.col("_depth")).drop("_depth")

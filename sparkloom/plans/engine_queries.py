@@ -57,6 +57,22 @@ def hybrid_dense_bm25(spark, sf_dir):
     return longs(hits.select("query_id", "rank", "chunk_id", "rrf_score", "rerank_score"))
 
 
+def opened_tails(spark, sf_dir):
+    """Each passage's last sentence behind an opening, or alone: questions of every strategy."""
+    key = F.col("query_id")
+    return tails(spark, sf_dir).select("query_id", question_queries.opened(key, F.lit(2) - key % 2, F.col("query")).alias("query"))
+
+
+def engine_systems(spark, sf_dir):
+    """The four systems over the same questions, all depths and complex questions' parts included."""
+    return longs(_engine(spark, sf_dir).systems(opened_tails(spark, sf_dir)).hits)
+
+
+def engine_work(spark, sf_dir):
+    """What each question took in each system: searches, rows gone through, escalations."""
+    return _engine(spark, sf_dir).systems(opened_tails(spark, sf_dir), ("basic", "hybrid", "full")).work
+
+
 def vector_index_round_trip(spark, sf_dir):
     path = table_path(spark, "vectors")
     dense.build(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), path)
@@ -194,21 +210,19 @@ def summary_round_trip(spark, sf_dir):
 
 
 def output_guard(spark, sf_dir):
-    cases = [("apart", ("out/a", "out/b"), ("in/c",)), ("same", ("out/a", "out/./a"), ()), ("protected", ("out/a", "in/c"), ("in/c",))]
-    rows = []
-    for name, outputs, protected in cases:
-        try:
-            tables.check_outputs(*outputs, protected=protected)
-            rows.append((name, None))
-        except ValueError as e:
-            rows.append((name, str(e)))
-    return spark.createDataFrame(rows, "name string, problem string")
+    """Of each page two outputs, at times one path in two spellings or a protected one, with what is wrong with them."""
+    p = read(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 3).alias("way"), F.concat(F.lit("out/"), F.col("page_id").cast("string")).alias("own"))
+    second = F.when(F.col("way") == 0, F.concat(F.lit("out/./x/../"), F.col("page_id").cast("string"))).when(F.col("way") == 1, F.lit("in/a/../raw")).otherwise(F.lit("out//other"))
+    return p.select("page_id", tables.output_problem(F.array("own", second), F.array(F.lit("in/raw"), F.lit("in/labels"))).alias("problem"))
 
 
 def sample_questions(spark, sf_dir):
-    s = tables.sample_questions(spark)
-    plans = Q.route(Q.analyze(s.withColumnRenamed("question_id", "query_id"))).select(F.col("query_id").alias("question_id"), F.col("strategy").isNotNull().alias("routed"))
-    return s.join(plans, "question_id")
+    """A sample question for each passage, and whether it is routed."""
+    s = F.broadcast(tables.sample_questions(spark).withColumn("n", F.substring("question_id", -2, 2).cast("long")))  # one row a kind
+    b = passages(spark, sf_dir).select(F.col("query_id").alias("item_id"), (F.col("query_id") % len(tables.SAMPLES) + 1).alias("n"))
+    asked = b.join(s, "n").select("item_id", "question_id", "kind", "query")
+    plans = Q.route(Q.analyze(asked.withColumnRenamed("item_id", "query_id"))).select(F.col("query_id").alias("item_id"), "strategy")
+    return asked.join(plans, "item_id")
 
 
 def canonical_fields(spark, sf_dir):
@@ -237,20 +251,14 @@ def pool_counts(spark, sf_dir):
 
 
 def route_guard(spark, sf_dir):
-    """What a plan is made of is checked: each bad question's error, and none for a good one."""
-    rows = []
-    for name, intent, complexity in (("good", "COMPARISON", "MEDIUM"), ("intent", "SMALL_TALK", "MEDIUM"), ("complexity", "COMPARISON", "HARD"), ("none", None, None)):
-        one = spark.createDataFrame([(1, "q", intent, complexity, 0.9, 0.9)], "query_id long, query string, intent string, complexity string, complexity_confidence double, intent_confidence double")
-        try:
-            rows.append((name, Q.route(one).count() == 1))
-        except Exception:
-            rows.append((name, False))
-    return spark.createDataFrame(rows, "name string, routed boolean")
+    """Which pairs of intent and complexity a plan can be made of, some of them unknown."""
+    e = read(spark, sf_dir, "events").select("event_id", F.array(*(F.lit(x) for x in (*Q.INTENTS, "SMALL_TALK", None)))[(F.col("event_id") % 8).cast("int")].alias("intent"), F.array(*(F.lit(x) for x in (*Q.STRATEGIES, "HARD")))[(F.col("event_id") % 4).cast("int")].alias("complexity"))
+    return e.select("event_id", Q.plannable(F.col("intent"), F.col("complexity")).alias("routed"))
 
 
 def plain_decompose(spark, sf_dir):
     """Questions without an analysis: two concepts and a connecting word set them apart."""
-    parts = Q.decompose(question_queries.questions(spark).select("query_id", "query"))
+    parts = Q.decompose(question_queries.questions(spark, sf_dir).select("query_id", "query"))
     return longs(parts.groupBy("query_id").agg(F.count("*").alias("parts"), F.min("sub_query_type").alias("least_type")))
 
 
@@ -262,17 +270,12 @@ def run_progress(spark, sf_dir):
 
 
 def search_guards(spark, sf_dir):
-    """A k below one, a blank question and an unknown method: refused, without a row, refused."""
+    """Every third question is blank or null: it has no hit by any method, the others have one."""
     engine = _engine(spark, sf_dir)
-    blank = spark.createDataFrame([(1, "   "), (2, None)], "query_id long, query string")
-    tests = [("k", lambda: lexical.search(engine.index, blank, 0)), ("dense k", lambda: dense.search(engine.vectors, blank.withColumn("embedding", F.array().cast("array<float>")), 0)), ("blank bm25", lambda: engine.search(blank, "bm25")), ("blank dense", lambda: engine.search(blank, "dense")), ("method", lambda: engine.search(blank, "magic"))]
-    rows = []
-    for name, ask in tests:
-        try:
-            rows.append((name, ask().count()))
-        except ValueError:
-            rows.append((name, None))
-    return spark.createDataFrame(rows, "name string, rows long")
+    key = F.col("query_id")
+    asked = tails(spark, sf_dir).withColumn("query", F.when(key % 6 == 0, F.lit("   ")).when(key % 6 == 3, F.lit(None).cast("string")).otherwise(F.col("query")))
+    out = [engine.search(asked, m, 1).groupBy(F.lit(m).alias("method")).agg(F.count("*").alias("hits"), F.countDistinct("query_id").alias("questions")) for m in ("dense", "bm25", "hybrid")]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 def word_lists(spark, sf_dir):
@@ -283,7 +286,7 @@ def word_lists(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        index_manifest, retrieved_hits, hybrid_dense_bm25, vector_index_round_trip, bm25_index_round_trip, evaluation_run, evaluation_run_summary, system_comparison, judge_scores, provider_replies, fetched_pages, document_round_trip, chunk_round_trip,
+        index_manifest, retrieved_hits, hybrid_dense_bm25, engine_systems, engine_work, vector_index_round_trip, bm25_index_round_trip, evaluation_run, evaluation_run_summary, system_comparison, judge_scores, provider_replies, fetched_pages, document_round_trip, chunk_round_trip,
         benchmark_round_trip, results_round_trip, summary_round_trip, output_guard, sample_questions, canonical_fields, evidence_hits, pool_rerank, pool_counts, route_guard, plain_decompose, run_progress, search_guards, word_lists,
     )
 }
@@ -313,6 +316,26 @@ _RUN = f"""{_BASE}, {_dense('hits', 'tail', 5)}, {_TRUTH}, {_measures()},
   used AS (SELECT item_id, count(*) AS n FROM hits GROUP BY 1)"""
 _CONNECTED = " OR ".join(f"contains(lower(query), {quoted(x)})" for x in Q.CONNECTORS)
 
+_SAMPLES = ", ".join(f"({i}::BIGINT, 'sample_{i:02d}', {quoted(k)}, {quoted(q)})" for i, (k, q) in enumerate(tables.SAMPLES, 1))
+_ASKED = f"asked AS (SELECT item_id AS query_id, {question_queries.opened_sql('item_id', '2 - item_id % 2', 'q')} AS query, NULL AS category FROM tail)"
+_SYSTEM_JOBS = f"""{_BASE}, {_ASKED}, {question_queries.ANALYSIS}, {question_queries.ROUTED}, {question_queries.PARTS},
+  jobs AS (SELECT 'basic_rag' AS system, query_id, 'DENSE' AS strategy, 5::BIGINT AS c, 5::BIGINT AS f FROM said UNION ALL SELECT 'hybrid_rag', query_id, 'HYBRID', 20, 5 FROM said
+    UNION ALL SELECT 'adaptive_rag', query_id, CASE strategy WHEN 'MULTI_STEP' THEN 'HYBRID' ELSE strategy END, candidate_top_k, final_top_k FROM plans UNION ALL SELECT 'full_rag', query_id, strategy, candidate_top_k, final_top_k FROM plans),
+  every AS (SELECT query_id::VARCHAR AS item_id, query AS q FROM said UNION ALL SELECT query_id || '/' || sub_query_id, query_text FROM parts JOIN plans USING (query_id) WHERE strategy = 'MULTI_STEP'),
+  {_dense('den', 'every', 30)}, {_ranked('lex', 'every', 30)},
+  needs AS (SELECT system, query_id, query_id::VARCHAR AS item_id, NULL AS part, c, f FROM jobs WHERE strategy = 'HYBRID' UNION ALL SELECT system, query_id, query_id || '/' || sub_query_id, sub_query_id, c, c FROM jobs JOIN parts USING (query_id) WHERE strategy = 'MULTI_STEP'),
+  da AS (SELECT n.*, doc_id, rank FROM needs n JOIN den USING (item_id) WHERE rank <= c), lb AS (SELECT n.*, doc_id, rank FROM needs n JOIN lex USING (item_id) WHERE rank <= c)"""
+_SYSTEM_HITS = f"""{_SYSTEM_JOBS},
+  fused AS (SELECT coalesce(a.system, b.system) AS system, coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.item_id, b.item_id) AS item_id, coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.c, b.c) AS c, coalesce(a.f, b.f) AS f, coalesce(a.part, b.part) AS part, round({_RRF}, 9) AS score
+    FROM da a FULL OUTER JOIN lb b ON a.system = b.system AND a.item_id = b.item_id AND a.doc_id = b.doc_id),
+  best AS (SELECT * FROM fused QUALIFY row_number() OVER (PARTITION BY system, item_id ORDER BY score DESC, doc_id) <= c),
+  again AS (SELECT b.system, b.query_id, b.item_id, b.part, b.c, b.f, b.doc_id, {_OVERLAP('e.q', 'd.text')} AS score FROM best b JOIN every e USING (item_id) JOIN documents d USING (doc_id)),
+  pooled AS (SELECT system, query_id, doc_id, max(score) AS score, any_value(c) AS c FROM again WHERE part IS NOT NULL GROUP BY ALL),
+  cut AS (SELECT * FROM pooled QUALIFY row_number() OVER (PARTITION BY system, query_id ORDER BY score DESC, doc_id) <= c),
+  whole_q AS (SELECT p.system, p.query_id, p.doc_id, j.f, {_OVERLAP('e.query', 'd.text')} AS score FROM cut p JOIN said e USING (query_id) JOIN documents d USING (doc_id) JOIN jobs j ON j.system = p.system AND j.query_id = p.query_id),
+  got AS (SELECT j.system, j.query_id, doc_id, score, f FROM jobs j JOIN den ON den.item_id = j.query_id::VARCHAR WHERE strategy = 'DENSE' AND rank <= f
+    UNION ALL SELECT system, query_id, doc_id, score, f FROM again WHERE part IS NULL UNION ALL SELECT system, query_id, doc_id, score, f FROM whole_q)"""
+
 SQL = {
     "index_manifest": f"""{_BASE} SELECT 26::BIGINT AS dimension, (SELECT count(*) FROM documents) AS chunks, (SELECT count(*) FROM documents) AS vectors, (SELECT count(*) FROM terms) AS terms, (SELECT count(*) FROM post) AS postings, 1::BIGINT AS dense_smoke_hits, 1::BIGINT AS bm25_smoke_hits""",
     "retrieved_hits": f"""{_BASE}, {_ranked('hits', 'whole', 3)} SELECT item_id AS query_id, rank, doc_id AS chunk_id, score, 'bm25' AS retrieval_method, doc_id::VARCHAR AS doc_id, source AS doc_title, lang AS section_title,
@@ -322,6 +345,14 @@ SQL = {
       c AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id) <= 10),
       r AS (SELECT c.*, {_OVERLAP('w.q', 'd.text')} AS rerank_score FROM c JOIN tail w ON w.item_id = c.query_id JOIN documents d ON d.doc_id = c.chunk_id)
       SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, chunk_id) AS rank, chunk_id, rrf_score, rerank_score FROM r QUALIFY rank <= 5""",
+    "engine_systems": f"{_SYSTEM_HITS} SELECT system, query_id, row_number() OVER (PARTITION BY system, query_id ORDER BY score DESC, doc_id) AS rank, doc_id AS chunk_id, score FROM got QUALIFY rank <= f",
+    "engine_work": f"""{_SYSTEM_JOBS},
+      seen AS (SELECT system, query_id, item_id, 1 AS one FROM da UNION ALL SELECT system, query_id, item_id, 1 FROM lb),
+      fused AS (SELECT coalesce(a.system, b.system) AS system, coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.item_id, b.item_id) AS item_id, coalesce(a.c, b.c) AS c, count(*) AS n FROM da a FULL OUTER JOIN lb b ON a.system = b.system AND a.item_id = b.item_id AND a.doc_id = b.doc_id WHERE coalesce(a.part, b.part) IS NOT NULL GROUP BY ALL)
+      SELECT system, query_id, CASE strategy WHEN 'DENSE' THEN 1 WHEN 'HYBRID' THEN 2 ELSE 2 * (SELECT count(*) FROM parts p WHERE p.query_id = j.query_id) END::BIGINT AS retrieval_calls,
+        CASE strategy WHEN 'DENSE' THEN (SELECT count(*) FROM den WHERE item_id = j.query_id::VARCHAR AND rank <= j.f) WHEN 'HYBRID' THEN (SELECT count(*) FROM seen s WHERE s.system = j.system AND s.query_id = j.query_id)
+          ELSE (SELECT sum(least(n, c)) FROM fused x WHERE x.system = j.system AND x.query_id = j.query_id) END::BIGINT AS chunks_processed, 0::BIGINT AS escalation_count
+      FROM jobs j WHERE system <> 'adaptive_rag'""",
     "vector_index_round_trip": """SELECT query_id, rank, chunk_id, score FROM (
       SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, v.vec_id) AS rank
       FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0) WHERE rank <= 3""",
@@ -348,18 +379,19 @@ SQL = {
     "results_round_trip": """WITH one AS (SELECT 'q' || item_id AS question_id, sha256('{"query":' || to_json(text) || ',"question_id":"q' || item_id || '"}') AS f FROM benchmark)
       SELECT question_id, CASE WHEN ends_with(question_id, '1') THEN 'old' ELSE (SELECT sha256(string_agg(f, '' ORDER BY question_id)) FROM one) END AS benchmark_fingerprint, NULL::VARCHAR AS later_column FROM one""",
     "summary_round_trip": EVALUATION_SQL["system_summary"],
-    "output_guard": "SELECT * FROM (VALUES ('apart', NULL::VARCHAR), ('same', 'outputs must differ'), ('protected', 'protected input: in/c')) t(name, problem)",
-    "sample_questions": "SELECT question_id, kind, query, true AS routed FROM (VALUES " + ", ".join(f"('sample_{i:02d}', {quoted(k)}, {quoted(q)})" for i, (k, q) in enumerate(tables.SAMPLES, 1)) + ") t(question_id, kind, query)",
+    "output_guard": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'outputs must differ' WHEN 1 THEN 'protected input: in/raw' END AS problem FROM pages",
+    "sample_questions": f"""WITH picked AS (SELECT item_id, question_id, kind, query FROM benchmark JOIN (VALUES {_SAMPLES}) t(n, question_id, kind, query) ON item_id % {len(tables.SAMPLES)} + 1 = n),
+      asked AS (SELECT item_id AS query_id, query, kind AS category FROM picked), {question_queries.ANALYSIS}, {question_queries.ROUTED} SELECT item_id, question_id, kind, p.query, strategy FROM picked p JOIN plans ON item_id = query_id""",
     "canonical_fields": """SELECT event_id, '{"type":"' || event_type || '","user":"' || user_id || '"}' AS fields FROM events""",
     "evidence_hits": f"{_BASE}, {_PARTS}, {_POOL} SELECT item_id AS query_id, doc_id AS chunk_id, initial_score AS score, 'multi_step' AS retrieval_method, overlap_count, retrieved_by FROM pool",
     "pool_rerank": f"""{_BASE}, {_PARTS}, {_POOL}, r AS (SELECT p.*, CASE WHEN p.doc_id % 2 = 0 THEN {_OVERLAP('w.q', 'd.text')} END AS s FROM pool p JOIN whole w ON w.item_id = p.item_id JOIN documents d ON d.doc_id = p.doc_id)
       SELECT item_id AS query_id, doc_id AS chunk_id, initial_score, s AS rerank_score, coalesce(s, initial_score) AS final_score FROM r""",
     "pool_counts": f"{_BASE}, {_PARTS}, {_POOL} SELECT item_id AS query_id, sum(overlap_count)::BIGINT AS examined, count(*) AS unique FROM pool GROUP BY 1",
-    "route_guard": "SELECT * FROM (VALUES ('good', true), ('intent', false), ('complexity', false), ('none', false)) t(name, routed)",
+    "route_guard": f"SELECT event_id, event_id % 8 < {len(Q.INTENTS)} AND event_id % 4 < {len(Q.STRATEGIES)} AS routed FROM events",
     "plain_decompose": f"""WITH {question_queries._ANALYSIS}, a AS (SELECT query_id, len(concepts) AS n, len(concepts) >= 2 AND ({_CONNECTED}) AS d FROM analysis)
       SELECT query_id, CASE WHEN d THEN least(n, 3) + 1 ELSE 1 END AS parts, CASE WHEN d THEN 'individual_concept' ELSE 'original' END AS least_type FROM a""",
     "run_progress": """SELECT n AS done, e AS executed, 1000000 - n AS remaining, round(m, 4) AS mean_seconds, CASE WHEN t < 60 THEN t || 's' WHEN t < 3600 THEN (t // 60) || 'm ' || lpad((t % 60)::VARCHAR, 2, '0') || 's' ELSE (t // 3600) || 'h ' || lpad((t % 3600 // 60)::VARCHAR, 2, '0') || 'm ' || lpad((t % 60)::VARCHAR, 2, '0') || 's' END AS eta
       FROM (SELECT *, floor(round(m * (1000000 - n), 4))::BIGINT AS t FROM (SELECT count(*) AS n, count(*) FILTER (event_id % 2 = 0) AS e, avg(abs(value)) FILTER (event_id % 2 = 0) AS m FROM events))""",
-    "search_guards": "SELECT * FROM (VALUES ('k', NULL::BIGINT), ('dense k', NULL), ('blank bm25', 0), ('blank dense', 0), ('method', NULL)) t(name, rows)",
+    "search_guards": "WITH n AS (SELECT count(*) AS n FROM benchmark WHERE item_id % 3 <> 0) SELECT method, n AS hits, n AS questions FROM n, (VALUES ('dense'), ('bm25'), ('hybrid')) t(method)",
     "word_lists": f"SELECT doc_id, len({lexical_sql('text')}) > 0 AS has_token FROM documents",
 }

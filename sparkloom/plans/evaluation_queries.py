@@ -169,7 +169,10 @@ def overall_autofill(spark, sf_dir):
 
 
 def violations(spark, sf_dir):
-    return E.violations(records(spark, sf_dir)).select("question_id", "system")
+    """Records some of whose scores lie beyond the scale."""
+    r = records(spark, sf_dir)
+    high = F.col("position") % 7 == 0
+    return E.violations(r.withColumns({"relevance": F.when(high, F.col("relevance") + 1).otherwise(F.col("relevance"))})).select("question_id", "system")
 
 
 _REPLIES = [
@@ -183,15 +186,20 @@ _REPLIES = [
 
 
 def judge_parse(spark, sf_dir):
-    replies = spark.createDataFrame(list(enumerate(_REPLIES)), "reply_id long, reply string")
-    return replies.select("reply_id", scoring.judged(F.col("reply")).alias("s")).select("reply_id", *(F.col(f"s.{c}").alias(c) for c in ("correctness", "faithfulness", "relevance", "overall", "reason")))
+    """Replies of every form, each behind the start of a conversation's turn."""
+    c = read(spark, sf_dir, "conversations")
+    n = (F.col("conv_id") * 3 + F.col("turn")) % len(_REPLIES)
+    replies = c.select("conv_id", "turn", F.concat(F.substring("text", 1, 40), F.lit(" "), F.array(*map(F.lit, _REPLIES))[n.cast("int")]).alias("reply"))
+    return replies.select("conv_id", "turn", scoring.judged(F.col("reply")).alias("s")).select("conv_id", "turn", *(F.col(f"s.{c}").alias(c) for c in ("correctness", "faithfulness", "relevance", "overall", "reason")))
 
 
 _NAMES = ["Basic", "hybrid-rag", " Adaptive RAG ", "FULL", "baseline", "other"]
 
 
 def system_names(spark, sf_dir):
-    return spark.createDataFrame([(n,) for n in _NAMES], "name string").select("name", scoring.system_name(F.col("name"), strict=False).alias("system"))
+    """A spelling of a system's name for each event."""
+    e = read(spark, sf_dir, "events").select("event_id", F.array(*map(F.lit, _NAMES))[(F.col("event_id") % len(_NAMES)).cast("int")].alias("name"))
+    return e.select("event_id", "name", scoring.system_name(F.col("name"), strict=False).alias("system"))
 
 
 def durations(spark, sf_dir):
@@ -277,10 +285,10 @@ SQL = {
     "filter_benchmark": "SELECT 'b' || lpad(item_id::VARCHAR, 4, '0') AS question_id, length(text) AS n_chars FROM benchmark WHERE item_id < 40 AND item_id % 3 = 0 ORDER BY 1 LIMIT 10",
     "score_bands": f"WITH {_RECORDS} SELECT CASE WHEN overall = 0 THEN 'does not satisfy' WHEN overall < 1 THEN 'very poor' WHEN overall < 2 THEN 'partially satisfies' WHEN overall < 3 THEN 'mostly satisfactory' ELSE 'strongly satisfies' END AS band, count(*) AS records FROM records GROUP BY 1",
     "overall_autofill": f"WITH {_RECORDS}, m AS (SELECT *, CASE WHEN position % 2 = 0 THEN overall END AS given, round((correctness + faithfulness + relevance) / 3, 4) AS mean FROM records) SELECT question_id, system, CASE WHEN given IS NULL OR (given = 0 AND mean > 0) THEN mean ELSE given END AS overall FROM m",
-    "violations": f"WITH {_RECORDS} SELECT question_id, system FROM records WHERE correctness > 4 OR faithfulness > 4 OR relevance > 4 OR overall > 4",
-    "judge_parse": """SELECT * FROM (VALUES (0::BIGINT, 3.5::DOUBLE, 4.0::DOUBLE, 2.0::DOUBLE, 3.1667::DOUBLE, 'good'), (1, 4.0, 0.0, 2.5, 2.1667, 'Evaluated by judge.'), (2, 1.0, 0.0, 2.0, 1.0, 'partly'),
-      (3, 0.0, 0.0, 0.0, 0.0, 'Failed to parse judge output: no JSON object of scores'), (4, 0.0, 0.0, 0.0, 0.0, 'Failed to parse judge output: no JSON object of scores'), (5, 0.0, 0.0, 0.0, 0.0, 'Failed to parse judge output: no JSON object of scores')) t(reply_id, correctness, faithfulness, relevance, overall, reason)""",
-    "system_names": "SELECT * FROM (VALUES ('Basic', 'basic_rag'), ('hybrid-rag', 'hybrid_rag'), (' Adaptive RAG ', 'adaptive_rag'), ('FULL', 'full_rag'), ('baseline', 'basic_rag'), ('other', NULL)) t(name, system)",
+    "violations": f"WITH {_RECORDS} SELECT question_id, system FROM records WHERE correctness > 4 OR faithfulness > 4 OR relevance + CASE WHEN position % 7 = 0 THEN 1 ELSE 0 END > 4 OR overall > 4",
+    "judge_parse": """SELECT conv_id, turn, correctness, faithfulness, relevance, overall, reason FROM conversations JOIN (VALUES (0::BIGINT, 3.5::DOUBLE, 4.0::DOUBLE, 2.0::DOUBLE, 3.1667::DOUBLE, 'good'), (1, 4.0, 0.0, 2.5, 2.1667, 'Evaluated by judge.'), (2, 1.0, 0.0, 2.0, 1.0, 'partly'),
+      (3, 0.0, 0.0, 0.0, 0.0, 'Failed to parse judge output: no JSON object of scores'), (4, 0.0, 0.0, 0.0, 0.0, 'Failed to parse judge output: no JSON object of scores'), (5, 0.0, 0.0, 0.0, 0.0, 'Failed to parse judge output: no JSON object of scores')) t(n, correctness, faithfulness, relevance, overall, reason) ON n = (conv_id * 3 + turn) % 6""",
+    "system_names": "SELECT event_id, name, system FROM events JOIN (VALUES (0, 'Basic', 'basic_rag'), (1, 'hybrid-rag', 'hybrid_rag'), (2, ' Adaptive RAG ', 'adaptive_rag'), (3, 'FULL', 'full_rag'), (4, 'baseline', 'basic_rag'), (5, 'other', NULL)) t(n, name, system) ON n = event_id % 6",
     "durations": f"SELECT event_id, CASE WHEN {_N} < 60 THEN ({_N}) || 's' WHEN {_N} < 3600 THEN ({_N} // 60) || 'm ' || lpad(({_N} % 60)::VARCHAR, 2, '0') || 's' ELSE ({_N} // 3600) || 'h ' || lpad(({_N} % 3600 // 60)::VARCHAR, 2, '0') || 'm ' || lpad(({_N} % 60)::VARCHAR, 2, '0') || 's' END AS duration FROM events",
     "retry_delays": """SELECT event_id, least(60.0::DOUBLE, CASE WHEN event_id % 3 = 0 AND event_id % 90 > 0 THEN (event_id % 90)::DOUBLE WHEN event_id % 3 = 1 THEN (event_id % 70)::DOUBLE + 1.0::DOUBLE ELSE 2.0::DOUBLE * pow(2.0::DOUBLE, event_id % 7) END) AS delay, event_id % 3 = 1 AS quota_spent FROM events""",
 }

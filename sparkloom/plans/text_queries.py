@@ -75,7 +75,12 @@ def corpus_manifest(spark, sf_dir):
 
 
 def curated_sources(spark, sf_dir):
-    return tables.curated_sources(spark).groupBy("category").agg(F.count("*").alias("sources"))
+    """A curated source for each page, by the page's number, with the category's sources."""
+    listed = tables.curated_sources(spark)
+    place = F.array(*(F.lit(d) for d, _, _ in tables.CURATED))[(F.col("page_id") % len(tables.CURATED)).cast("int")]
+    counted = F.broadcast(listed.join(listed.groupBy("category").agg(F.count("*").alias("sources")), "category"))  # 19 rows
+    pages = read(spark, sf_dir, "pages").select("page_id", place.alias("doc_id"))
+    return pages.join(counted.withColumnRenamed("url", "source_url"), "doc_id").select("page_id", "doc_id", "source_url", "category", "sources")
 
 
 def chunk_fixed(spark, sf_dir):
@@ -209,7 +214,7 @@ SQL = {
     "headings": "SELECT conv_id, turn, CASE WHEN turn < 6 AND t <> '' THEN turn + 1 END AS level, CASE WHEN turn < 6 AND t <> '' THEN t END AS title FROM (SELECT conv_id, turn, " + _CLEAN("text") + " AS t FROM conversations)",
     "page_title": "SELECT page_id, " + _CLEAN("replace(replace(replace(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')") + " AS title, 'stable' AS version FROM pages",
     "corpus_manifest": f"SELECT coalesce(lang, '(all)') AS category, count(*) AS documents, sum(length(text))::BIGINT AS chars, sum({_WORDS.format('text')})::BIGINT AS words FROM documents GROUP BY ROLLUP (lang)",
-    "curated_sources": "SELECT category, sources::BIGINT AS sources FROM (VALUES ('supervised_learning', 5), ('model_selection_evaluation', 4), ('pipelines_and_composites', 1), ('preprocessing_and_transforms', 2), ('common_pitfalls', 1), ('api_reference', 6)) t(category, sources)",
+    "curated_sources": "WITH listed(n, doc_id, source_url, category) AS (VALUES " + ", ".join(f"({i}, '{d}', '{tables._SITE}{u}', '{c}')" for i, (d, u, c) in enumerate(tables.CURATED)) + f") SELECT page_id, doc_id, source_url, category, (SELECT count(*) FROM listed o WHERE o.category = l.category) AS sources FROM pages JOIN listed l ON n = page_id % {len(tables.CURATED)}",
     "chunk_fixed": f"WITH RECURSIVE {FIXED_CTE} SELECT doc_id || '_fixed_' || lpad(k::VARCHAR, 4, '0') AS chunk_id, doc_id::VARCHAR AS doc_id, source AS section_title, 1::BIGINT AS section_level, token_count, length(content) AS char_count, content FROM chunks WHERE token_count > 0",
 }
 assert quoted("") == "''"

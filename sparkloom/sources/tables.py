@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from pathlib import PurePosixPath
+from posixpath import normpath
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -154,12 +154,25 @@ def filter_benchmark(questions: DataFrame, ids: list[str] | None = None, limit:
     return questions.orderBy("question_id").limit(limit) if limit and limit > 0 else questions
 
 
+def clean_path(path: Column) -> Column:
+    """A path without empty and `.` steps, a step before `..` gone with it; what is above the start stays there."""
+    steps = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), lambda kept, x: F.when((x == "") | (x == "."), kept).when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(x))))
+    return F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(steps, "/"))
+
+
+def output_problem(outputs: Column, protected: Column) -> Column:
+    """What is wrong with an array of output paths: two are the same or one is among the protected; null if nothing is."""
+    own, kept = F.transform(outputs, clean_path), F.transform(protected, clean_path)
+    bad = F.array_sort(F.array_intersect(own, kept))
+    return F.when(F.size(F.array_distinct(own)) < F.size(own), "outputs must differ").when(F.size(bad) > 0, F.concat(F.lit("protected input: "), F.get(bad, F.lit(0))))
+
+
 def check_outputs(*outputs: str, protected: tuple[str, ...] = ()) -> None:
     """Raise if two outputs are the same path or one is a protected input."""
-    clean = [str(PurePosixPath(p)) for p in outputs]
+    clean = [normpath(p) for p in outputs]
     if len(set(clean)) < len(clean):
         raise ValueError("outputs must differ")
-    if bad := set(clean) & {str(PurePosixPath(p)) for p in protected}:
+    if bad := set(clean) & set(map(normpath, protected)):
         raise ValueError(f"protected input: {sorted(bad)[0]}")
 
 
