@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.plans import engine_queries, evaluation_queries, question_queries, retrieval_queries, text_queries
+from sparkloom.plans import engine_queries, evaluation_queries, question_queries, retrieval_queries, section_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (text_queries, retrieval_queries, question_queries, evaluation_queries, engine_queries)
+_MODULES = (text_queries, section_queries, retrieval_queries, question_queries, evaluation_queries, engine_queries)
 
 
 def queries() -> dict[str, Query]:

@@ -91,10 +91,6 @@ def chunk_overlap(spark, sf_dir):
     return longs(chunking.chunk(documents(spark, sf_dir), "fixed_overlap").drop("is_split", "part", "total_parts"))
 
 
-def chunk_structure(spark, sf_dir):
-    return longs(chunking.chunk(html.clean_pages(read(spark, sf_dir, "pages")), "structure_aware").drop("target_tokens", "overlap_tokens"))
-
-
 def chunk_stats(spark, sf_dir):
     return longs(chunking.chunk_stats(chunking.chunk(documents(spark, sf_dir), "fixed")))
 
@@ -131,11 +127,52 @@ def side_by_side(spark, sf_dir):
     return longs(chunking.side_by_side(chunking.chunk(documents(spark, sf_dir), "fixed"), p))
 
 
-QUERIES = {f.__name__: f for f in (token_count, paragraph_split, sentence_split, lexical_tokens, clean_text, snippets, headings, html_clean, html_sections, page_title, ingestion_report, corpus_manifest, curated_sources, chunk_fixed, chunk_overlap, chunk_structure, chunk_stats, chunk_stats_all, probe_questions, phrase_preservation, side_by_side)}
+QUERIES = {f.__name__: f for f in (token_count, paragraph_split, sentence_split, lexical_tokens, clean_text, snippets, headings, html_clean, html_sections, page_title, ingestion_report, corpus_manifest, curated_sources, chunk_fixed, chunk_overlap, chunk_stats, chunk_stats_all, probe_questions, phrase_preservation, side_by_side)}
 
 _WORDS = "CASE WHEN trim(regexp_replace({0}, '\\s+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace({0}, '\\s+', ' ', 'g')), ' ')) END"
 _CLEAN = lambda c: strip_sql(f"regexp_replace(regexp_replace({c}, '[\\s#¶]+$', ''), '\\s+', ' ', 'g')")
 
+_PLAIN = lambda x: rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+#: Blank paragraphs go, others stand between blank lines.
+_PARAGRAPHS = lambda x: rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '\x01\s*\x02', '', 'g'), '\x01\s*\x02', '', 'g'), '\x01\s*', chr(10) || chr(10), 'g'), '\s*\x02', chr(10) || chr(10), 'g')"
+
+_PIECES = "string_agg(piece, '' ORDER BY i)"
+_LINES = "string_agg(line, chr(10) || chr(10) ORDER BY top)"
+_COLLAPSED = rf"regexp_replace({_PARAGRAPHS('whole')}, '\n{{3,}}', chr(10) || chr(10), 'g')"
+#: Pages of headings, paragraphs and inline elements: tags cut, open elements carried from tag to tag, text put together again.
+HTML_CTE = rf"""
+cut AS (SELECT page_id, url, regexp_extract_all(regexp_replace(html, '<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'gs'), '<[^>]*>|[^<]+') AS t FROM pages),
+tokens AS (SELECT page_id, generate_subscripts(t, 1) AS i, unnest(t) AS token FROM cut),
+named AS (SELECT *, lower(regexp_extract(token, '^</?([A-Za-z][A-Za-z0-9]*)', 1)) AS name, starts_with(token, '</') AS closing, starts_with(token, '<') AS tag FROM tokens),
+walk AS (
+  SELECT page_id, 0::BIGINT AS i, []::VARCHAR[] AS stack, []::VARCHAR[] AS gone FROM pages
+  UNION ALL
+  SELECT n.page_id, n.i,
+    CASE WHEN NOT n.tag OR n.name = '' THEN w.stack WHEN NOT n.closing THEN CASE WHEN n.name IN ('br', 'meta', 'link', 'img', 'hr', 'input') THEN w.stack ELSE list_append(w.stack, n.name) END
+      WHEN list_contains(w.stack, n.name) THEN w.stack[1:len(w.stack) - list_position(list_reverse(w.stack), n.name)] ELSE w.stack END,
+    CASE WHEN n.tag AND n.closing AND list_contains(w.stack, n.name) THEN w.stack[len(w.stack) - list_position(list_reverse(w.stack), n.name) + 1:] ELSE []::VARCHAR[] END
+  FROM walk w JOIN named n ON n.page_id = w.page_id AND n.i = w.i + 1),
+ends AS (SELECT page_id, max(i) + 1 AS i, arg_max(stack, i) AS stack FROM walk GROUP BY 1),
+placed AS (
+  SELECT n.page_id, n.i, n.token, n.name, n.tag, n.closing, w.stack, w.gone FROM named n JOIN walk w ON w.page_id = n.page_id AND w.i = n.i
+  UNION ALL SELECT page_id, i, '', '', true, true, []::VARCHAR[], stack FROM ends),
+inside AS (SELECT *, CASE WHEN tag AND closing THEN stack || gone ELSE stack END AS around FROM placed),
+body AS (SELECT *, len(list_filter(around, lambda x: x = 'p')) AS ps FROM inside WHERE list_contains(around, 'body') AND len(list_intersect(around, ['nav', 'aside', 'header', 'footer', 'noscript', 'svg', 'iframe'])) = 0),
+read AS (SELECT *, CASE WHEN NOT tag THEN replace(replace(replace(replace(replace(replace(token, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') ELSE '' END AS words FROM body),
+heads AS (SELECT page_id, any_value(regexp_replace(regexp_replace(h, '[\s#¶]+$', ''), '\s+', ' ', 'g')) AS raw FROM (SELECT page_id, string_agg(words, '' ORDER BY i) AS h FROM read WHERE list_contains(around, 'h1') GROUP BY 1) GROUP BY 1),
+titles AS (SELECT page_id, trim(raw) AS title FROM heads),
+pieces AS (
+  SELECT page_id, i, ps, CASE WHEN tag AND NOT closing AND name = 'h1' THEN chr(10) || chr(10) || '# ' || title || chr(10) || chr(10) WHEN list_contains(around, 'h1') THEN ''
+    WHEN tag AND NOT closing AND name = 'p' THEN chr(1) WHEN tag AND closing THEN repeat(chr(2), len(list_filter(gone, lambda x: x = 'p'))) ELSE words END AS piece FROM read JOIN titles USING (page_id)),
+drawn AS (SELECT page_id, string_agg(piece, '' ORDER BY i) AS whole FROM pieces GROUP BY 1),
+content AS (SELECT page_id, {_PLAIN(_COLLAPSED)} AS content FROM drawn),
+tops AS (SELECT page_id, i, piece, sum(CASE WHEN piece = chr(1) AND ps = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS top, ps FROM pieces),
+lines AS (SELECT page_id, top, {_PLAIN(_PARAGRAPHS(_PIECES))} AS line FROM tops WHERE ps > 0 GROUP BY 1, 2),
+sections AS (SELECT page_id, {_PLAIN(_LINES)} AS content FROM lines WHERE line <> '' GROUP BY 1)
+"""
+_PAGES = f"""WITH RECURSIVE {HTML_CTE}, pages_read AS (SELECT page_id, url, title, c.content, s.content AS section, length(c.content) AS char_count, {_WORDS.format('c.content')} AS word_count
+  FROM pages JOIN titles USING (page_id) JOIN content c USING (page_id) LEFT JOIN sections s USING (page_id))"""
+
 #: The greedy fold of chunk_fixed, unit by unit, for documents without blank lines or headings.
 FIXED_CTE = f"""
 units AS (
@@ -213,6 +250,9 @@ SQL = {
     "snippets": f"SELECT doc_id, {strip_sql('replace(substring(text, 1, 150), chr(10), chr(32))')} || CASE WHEN length(text) > 150 THEN '...' ELSE '' END AS content_snippet FROM documents",
     "headings": "SELECT conv_id, turn, CASE WHEN turn < 6 AND t <> '' THEN turn + 1 END AS level, CASE WHEN turn < 6 AND t <> '' THEN t END AS title FROM (SELECT conv_id, turn, " + _CLEAN("text") + " AS t FROM conversations)",
     "page_title": "SELECT page_id, " + _CLEAN("replace(replace(replace(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')") + " AS title, 'stable' AS version FROM pages",
+    "html_clean": f"{_PAGES} SELECT page_id::VARCHAR AS doc_id, url AS source_url, title, 'stable' AS version, 1::BIGINT AS n_headings, CASE WHEN section IS NULL THEN 0 ELSE 1 END::BIGINT AS n_sections, content, char_count, word_count FROM pages_read",
+    "html_sections": f"{_PAGES} SELECT page_id::VARCHAR AS doc_id, 0::BIGINT AS pos, title, 1::BIGINT AS level, section AS content FROM pages_read WHERE section IS NOT NULL",
+    "ingestion_report": f"{_PAGES} SELECT count(*) AS total_sources, count(*) AS processed, 0::BIGINT AS failed, sum(char_count)::BIGINT AS total_chars, sum(word_count)::BIGINT AS total_words, count(*) AS total_headings, count(section) AS total_sections FROM pages_read",
     "corpus_manifest": f"SELECT coalesce(lang, '(all)') AS category, count(*) AS documents, sum(length(text))::BIGINT AS chars, sum({_WORDS.format('text')})::BIGINT AS words FROM documents GROUP BY ROLLUP (lang)",
     "curated_sources": "WITH listed(n, doc_id, source_url, category) AS (VALUES " + ", ".join(f"({i}, '{d}', '{tables._SITE}{u}', '{c}')" for i, (d, u, c) in enumerate(tables.CURATED)) + f") SELECT page_id, doc_id, source_url, category, (SELECT count(*) FROM listed o WHERE o.category = l.category) AS sources FROM pages JOIN listed l ON n = page_id % {len(tables.CURATED)}",
     "chunk_fixed": f"WITH RECURSIVE {FIXED_CTE} SELECT doc_id || '_fixed_' || lpad(k::VARCHAR, 4, '0') AS chunk_id, doc_id::VARCHAR AS doc_id, source AS section_title, 1::BIGINT AS section_level, token_count, length(content) AS char_count, content FROM chunks WHERE token_count > 0",
