@@ -1,33 +1,41 @@
-"""A BM25 index as three tables, and ranked search on it.
+"""A BM25 index as four tables, and ranked search on it that skips what can't be among the best.
 
-Postings are bucketed by chunk, so that all of a chunk's lie in one task: its scores are added up there, without a
-shuffle, each task cuts its own to the best k of a question, and only those move.
+Chunks in the order of their ids make blocks, and each term has for each block the largest share that it can add to a score
+there. A question's terms so give a bound to every block. The blocks of the largest bounds are scored first; the k-th best of their
+chunks is a threshold, and of the other blocks only those whose bound reaches it are scored. The result is that of scoring all.
 """
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions.text import has_token, lexical_tokens
 from sparkloom.operators.ranking import top_k
-from sparkloom.session import materialise, table_path
+from sparkloom.session import materialise
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Terms of a set of questions, each with its question, that are broadcast; a larger set goes in blocks.
+#: Terms of a set of questions, each with its question, that are broadcast; a larger set goes in blocks. Also pairs of question and block.
 BROADCAST = 1_000_000
+#: Chunks in a block.
+BLOCK = 1024
+#: Blocks of a question that are scored first; an index of no more has nothing to skip.
+FIRST = 16
+#: Scores are rounded to 6 places: what a bound may fall short of a rounded score.
+SLACK = 1e-6
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """postings (term, chunk_id, tf, dl), bucketed by chunk_id; terms (term, df, idf); chunks (chunk_id, dl, avgdl)."""
+    """postings (term, chunk_id, tf, dl, block); blocks (term, block, top: the largest share of a posting); terms (term, df, idf);
+    chunks (chunk_id, block, dl, avgdl)."""
 
     postings: DataFrame
+    blocks: DataFrame
     terms: DataFrame
     chunks: DataFrame
 
@@ -37,77 +45,114 @@ class LexicalIndex:
         row = self.chunks.select("avgdl").first()
         return (row and row[0]) or 0.0
 
+    @cached_property
+    def n_blocks(self) -> int:
+        return self.chunks.select("block").distinct().count()
+
     def write(self, path: str) -> None:
-        buckets = _buckets(self.postings.sparkSession)
-        _bucketed(self.postings, f"{path}/postings", buckets)
-        for name in ("terms", "chunks"):
-            getattr(self, name).write.mode("errorifexists").parquet(f"{path}/{name}")
-        self.postings.sparkSession.createDataFrame([(buckets,)], "buckets int").write.parquet(f"{path}/layout")
+        for name in TABLES:
+            table = getattr(self, name)
+            (_laid(table) if name == "postings" else table).write.mode("errorifexists").parquet(f"{path}/{name}")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> LexicalIndex:
-        buckets = spark.read.parquet(f"{path}/layout").first()[0]
-        columns = spark.read.parquet(f"{path}/postings").schema
-        name = f"postings_{uuid.uuid4().hex}"
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns)
-        spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet CLUSTERED BY (chunk_id) INTO {buckets} BUCKETS LOCATION '{path}/postings'")
-        return LexicalIndex(spark.table(name), *(spark.read.parquet(f"{path}/{n}") for n in ("terms", "chunks")))
+        return LexicalIndex(*(spark.read.parquet(f"{path}/{name}") for name in TABLES))
 
 
-def _buckets(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+TABLES = ("postings", "blocks", "terms", "chunks")
 
 
-def _bucketed(postings: DataFrame, path: str, buckets: int) -> DataFrame:
-    """postings written to path as a table bucketed by chunk, one file a bucket."""
-    name = f"postings_{uuid.uuid4().hex}"
-    postings.repartition(buckets, "chunk_id").write.bucketBy(buckets, "chunk_id").option("path", path).saveAsTable(name)
-    return postings.sparkSession.table(name)
+def _laid(postings: DataFrame) -> DataFrame:
+    """In files by block, whose number follows the bytes, and in each by term, so that files and row groups without a question's are not read."""
+    return postings.hint("rebalance", "block").sortWithinPartitions("term", "block")
 
 
 def term_frequencies(chunks: DataFrame, id_column: str = "chunk_id", text: str = "content") -> DataFrame:
-    """term, chunk_id, tf: counted inside each task before the shuffle."""
-    return chunks.select(F.col(id_column).alias("chunk_id"), F.explode(lexical_tokens(text)).alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+    """term, chunk_id, dl (the chunk's tokens), tf: counted inside each task before the shuffle."""
+    words = chunks.select(F.col(id_column).alias("chunk_id"), lexical_tokens(text).alias("words")).select("chunk_id", F.size("words").cast("long").alias("dl"), "words")
+    return words.select("chunk_id", "dl", F.explode("words").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+
+
+def share(average: float) -> Column:
+    """What a posting adds to a score, but for its term's weight."""
+    tf, dl = F.col("tf"), F.col("dl")
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(average)))
 
 
-def build(chunks: DataFrame, id_column: str = "chunk_id", text: str = "content") -> LexicalIndex:
+def build(chunks: DataFrame, id_column: str = "chunk_id", text: str = "content", block: int = BLOCK) -> LexicalIndex:
     """Index chunks. A term's idf is ln(N - df + 0.5) - ln(df + 0.5); one below zero becomes EPSILON times the mean of all.
 
     Texts are cut into words once: the postings are written, and lengths and document frequencies come from them.
     """
-    spark = chunks.sparkSession
-    buckets = _buckets(spark)
-    dl = F.sum("tf").over(Window.partitionBy("chunk_id"))  # a chunk's terms
-    counted = term_frequencies(chunks, id_column, text).repartition(buckets, "chunk_id").withColumn("dl", dl)
-    postings = _bucketed(counted, table_path(spark, "postings"), buckets)
+    ids = chunks.select(F.col(id_column).alias("chunk_id")).repartitionByRange("chunk_id").sortWithinPartitions("chunk_id")
+    placed = materialise(ids.withColumn("block", F.floor(F.monotonically_increasing_id() / block).cast("long")), "chunk-blocks")
+    counted = term_frequencies(chunks, id_column, text).join(placed, "chunk_id").select("term", "chunk_id", "tf", "dl", "block")
+    postings = materialise(_laid(counted), "postings")
     lengths = postings.groupBy("chunk_id").agg(F.first("dl").alias("dl"))
-    sizes = chunks.select(F.col(id_column).alias("chunk_id")).join(lengths, "chunk_id", "left").select("chunk_id", F.coalesce("dl", F.lit(0)).alias("dl"))
+    sizes = materialise(placed.join(lengths, "chunk_id", "left").select("chunk_id", "block", F.coalesce("dl", F.lit(0)).alias("dl")), "chunk-sizes")
     totals = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
-    raw = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(totals).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    average = totals.first()["avgdl"] or 0.0
+    blocks = materialise(postings.groupBy("term", "block").agg(F.count("*").alias("n"), F.max(share(average)).alias("top")), "blocks")
+    raw = blocks.groupBy("term").agg(F.sum("n").alias("df")).crossJoin(totals).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = raw.agg((F.avg("raw") * EPSILON).alias("floor"))  # one row
     terms = raw.crossJoin(floor).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return LexicalIndex(postings, terms, sizes.crossJoin(totals.select("avgdl")))
+    return LexicalIndex(postings, blocks.drop("n"), materialise(terms, "terms"), sizes.withColumn("avgdl", F.lit(average)))
 
 
-def scores(index: LexicalIndex, questions: DataFrame, query: str = "query") -> DataFrame:
-    """query_id, chunk_id, score of every chunk that shares a term with the question; a repeated question term counts again.
-
-    The questions' terms are counted first and broadcast, in blocks of BROADCAST at most; postings don't move.
-    """
+def weighted(index: LexicalIndex, questions: DataFrame, query: str = "query") -> DataFrame:
+    """query_id, term, weight: the questions' terms that the index has; a repeated term counts again."""
     wanted = questions.select("query_id", F.explode(lexical_tokens(query)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    wanted = materialise(wanted.join(index.terms, "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("weight")), "question-terms")
-    tf, dl = F.col("tf"), F.col("dl")
-    part = F.col("weight") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(index.average)))
+    return materialise(wanted.join(index.terms, "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("weight")), "question-terms")
+
+
+def _met(table: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of a table by term with the questions that want it. The questions' terms are broadcast, BROADCAST at a time, and where they
+    are few also pushed to the scan; the table doesn't move."""
     blocks = -(-wanted.count() // BROADCAST) or 1
     out = None
     for block in range(blocks):
         some = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        met = index.postings.join(F.broadcast(some), "term")
-        found = met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
-        out = found if out is None else out.unionByName(found)
+        few = [r[0] for r in some.select("term").distinct().limit(PUSHED + 1).collect()]
+        rows = table if len(few) > PUSHED else table.where(F.col("term").isin(few))
+        met = rows.join(F.broadcast(some), "term")
+        out = met if out is None else out.unionByName(met)
     return out
 
 
+#: Distinct terms that are given to the scan.
+PUSHED = 1000
+
+
+def _scored(index: LexicalIndex, wanted: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, score of all chunks with a term of the question, or of those in the pairs of question and block."""
+    met = _met(index.postings, wanted)
+    if pairs is not None:
+        met = met.join(F.broadcast(pairs) if pairs.count() <= BROADCAST else pairs, ["query_id", "block"], "left_semi")
+    return met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * share(index.average)), 6).alias("score"))
+
+
+def scores(index: LexicalIndex, questions: DataFrame, query: str = "query") -> DataFrame:
+    """query_id, chunk_id, score of every chunk that shares a term with the question."""
+    return _scored(index, weighted(index, questions, query))
+
+
+def bounds(index: LexicalIndex, wanted: DataFrame) -> DataFrame:
+    """query_id, block, bound: what no chunk of the block scores more than. A term of a weight below zero adds nothing to a bound."""
+    return _met(index.blocks, wanted).groupBy("query_id", "block").agg(F.sum(F.greatest("weight", F.lit(0.0)) * F.col("top")).alias("bound"))
+
+
+def candidates(index: LexicalIndex, wanted: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Scored chunks that hold each question's k best, and the pairs of question and block that were scored."""
+    known = materialise(bounds(index, wanted), "bounds")
+    ranked = top_k(known, FIRST, "bound", item="block")
+    first = materialise(ranked.select("query_id", "block"), "first-blocks")
+    found = materialise(top_k(_scored(index, wanted, first), k).drop("rank"), "first-best")
+    least = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).select("query_id", "least")
+    open_ = known.join(first, ["query_id", "block"], "left_anti").join(least, "query_id", "left").where(F.col("least").isNull() | (F.col("bound") + SLACK >= F.col("least")))
+    second = materialise(open_.select("query_id", "block"), "second-blocks")
+    return found.unionByName(_scored(index, wanted, second)), first.unionByName(second)
+
+
 def search(index: LexicalIndex, questions: DataFrame, k: int, query: str = "query", pad: bool = True) -> DataFrame:
     """query_id, rank, chunk_id, score: the k best chunks of each question with a token, ties by chunk_id.
 
@@ -117,7 +162,8 @@ def search(index: LexicalIndex, questions: DataFrame, k: int, query: str = "quer
     """
     if k < 1:
         raise ValueError("k must be positive")
-    found = scores(index, questions, query)
+    wanted = weighted(index, questions, query)
+    found = _scored(index, wanted) if index.n_blocks <= FIRST else candidates(index, wanted, k)[0]
     if not pad:
         return top_k(found, k)
     best = materialise(top_k(found, k), "best")  # k rows a question
@@ -126,8 +172,10 @@ def search(index: LexicalIndex, questions: DataFrame, k: int, query: str = "quer
     poor = materialise(asked.join(enough, "query_id", "left_anti"), "poor")
     if poor.isEmpty():
         return best
-    own = materialise(found.join(poor, "query_id", "left_semi"), "own")
-    most = own.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
-    least = index.chunks.select("chunk_id").orderBy("chunk_id").limit(k + most)
-    blank = poor.crossJoin(least).join(own, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
+    own = materialise(_scored(index, wanted.join(poor, "query_id", "left_semi")), "own")
+    counted = materialise(poor.join(own.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n")), "counted")
+    most = counted.agg(F.max("n")).first()[0]
+    least = index.chunks.select("chunk_id").orderBy("chunk_id").limit(k + most).withColumn("place", F.row_number().over(Window.orderBy("chunk_id")))  # so many as one question has
+    blank = counted.select("query_id", F.explode(F.sequence(F.lit(1), (F.col("n") + k).cast("int"))).alias("place")).join(least, "place").drop("place")
+    blank = blank.join(own, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
     return best.join(poor, "query_id", "left_anti").unionByName(top_k(own.unionByName(blank), k))

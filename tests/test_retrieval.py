@@ -175,3 +175,29 @@ def test_padding_takes_the_least_ids_not_found(spark):
             want += [(q, n, c, -s) for n, (s, c) in enumerate(rows, 1)]
         got = [(r["query_id"], r["rank"], r["chunk_id"], r["score"]) for r in lexical.search(index, asked, k).collect()]
         assert sorted(got) == sorted((q, n, c, s + 0.0) for q, n, c, s in want)
+
+
+def test_blocks_are_skipped_and_nothing_is_lost(spark, monkeypatch):
+    """Small blocks, few of them first: the k best equal those of scoring all chunks, and most blocks stay unread."""
+    monkeypatch.setattr(lexical, "FIRST", 1)
+    words = [f"w{i}" for i in range(60)]
+    texts = [(f"c{i:03d}", " ".join(words[(i // 10 * 5 + (i * k) % 7 + k * k) % 60] for k in range(1 + i % 9)) + (" everywhere" if i % 2 else "")) for i in range(300)]
+    chunks = spark.createDataFrame(texts, "chunk_id string, content string")
+    index = lexical.build(chunks, block=10)
+    asked = spark.createDataFrame([(1, "w1 w2 w9"), (2, "everywhere w30"), (3, "everywhere"), (4, "w59 w59 unknown"), (5, "")], "query_id long, query string")
+    wanted = lexical.weighted(index, asked)
+    for k in (1, 4):
+        got = lexical.search(index, asked, k, pad=False)
+        want = lexical.top_k(lexical.scores(index, asked), k)
+        assert sorted(map(tuple, got.select("query_id", "rank", "chunk_id", "score").collect())) == sorted(map(tuple, want.select("query_id", "rank", "chunk_id", "score").collect()))
+        _, read = lexical.candidates(index, wanted, k)
+        assert read.count() < 0.7 * lexical.bounds(index, wanted).count()
+    over = lexical.scores(index, asked).join(index.chunks, "chunk_id").join(lexical.bounds(index, wanted), ["query_id", "block"])
+    assert over.where(F.col("score") > F.col("bound") + lexical.SLACK).count() == 0
+
+
+def test_index_leaves_no_table(spark, tmp_path):
+    lexical.build(spark.createDataFrame(CHUNKS, "chunk_id string, content string")).write(f"file://{tmp_path}/index")
+    back = lexical.LexicalIndex.read(spark, f"file://{tmp_path}/index")
+    assert lexical.search(back, ask(spark, "alpha"), 1).first()["chunk_id"] == "chunk_001"
+    assert not [t.name for t in spark.catalog.listTables() if "posting" in t.name]
