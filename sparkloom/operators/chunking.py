@@ -253,30 +253,85 @@ def contains_all(content: F.Column, phrases: F.Column) -> F.Column:
     return F.forall(phrases, lambda p: F.contains(F.lower(content), F.lower(p)))
 
 
-#: Probes without a document that are broadcast at once.
-PROBES = 10_000
+#: Probes of one pass over the chunks, and the characters of their phrases, unless one probe alone has more.
+PROBES, PHRASE_CHARS = 10_000, 16 << 20
+
+
+def _automaton(phrases: list[str]):
+    """A machine that finds all of them in one pass, and its words."""
+    import ahocorasick
+
+    made = ahocorasick.Automaton()
+    for i, p in enumerate(phrases):
+        made.add_word(p, i)
+    made.make_automaton()
+    return made
+
+
+def _holding(probes: list[tuple]):
+    """Of (number, document, lower-cased phrases): by strategy and probe, whether a chunk, and whether one of the probe's document, has all phrases."""
+    words = sorted({p for _, _, phrases in probes for p in phrases if p})
+    number = {p: i for i, p in enumerate(words)}
+    needs = [(n, doc, {number[p] for p in phrases if p}) for n, doc, phrases in probes]
+    wanted: dict[int, list[int]] = {}  # by one phrase of each probe, its longest
+    always = []
+    for at, (_, _, need) in enumerate(needs):
+        if need:
+            wanted.setdefault(max(need, key=lambda i: len(words[i])), []).append(at)
+        else:
+            always.append(at)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = _automaton(words) if words else None
+        seen: set[tuple[str, int, bool]] = set()
+        for batch in batches:
+            for strategy, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+                has = {i for _, i in machine.iter(text)} if machine else set()
+                for at in [*always, *(x for i in has for x in wanted.get(i, ()))]:
+                    n, own, need = needs[at]
+                    if need <= has:
+                        seen.add((strategy, n, own is not None and own == doc))
+        rows = list(zip(*seen)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.bool_())], names=["strategy", "n", "own"])
+
+    return run
+
+
+def _passes(probes: list[tuple]) -> Iterator[list[tuple]]:
+    some, size = [], 0
+    for probe in probes:
+        length = sum(map(len, probe[2]))
+        if some and (len(some) >= PROBES or size + length > PHRASE_CHARS):
+            yield some
+            some, size = [], 0
+        some.append(probe)
+        size += length
+    if some:
+        yield some
 
 
 def preservation(chunks: DataFrame, probes: DataFrame) -> DataFrame:
     """question_id, category, strategy, preserved: whether some chunk of the probe's document holds all its phrases.
 
-    A probe whose document has no chunk is held against all chunks: such probes are broadcast, PROBES at a time, each task goes
-    over its own chunks, and one flag a probe and task moves.
-    probes: question_id, category, target_doc_id, key_phrases.
+    A probe whose document has no chunk, or that has none, is held against all chunks. All phrases make one automaton, which goes over each
+    chunk once, and a task sends a flag or two a probe; probes, a stated set, are taken PROBES at a time. Case doesn't count, empty
+    phrases are everywhere, and a probe with a null one is in no chunk. probes: question_id, category, target_doc_id, key_phrases.
     """
-    probes = probes.withColumn("target_doc_id", F.col("target_doc_id").cast("string"))
-    asked = materialise(probes.crossJoin(chunks.select("strategy").distinct()), "asked")  # one row a strategy
-    keys = ["question_id", "category", "strategy"]
-    flag = F.max(contains_all(F.col("content"), F.col("key_phrases"))).alias("preserved")
-    own = asked.join(chunks.select("strategy", F.col("doc_id").alias("target_doc_id"), "content"), ["strategy", "target_doc_id"])
-    found = own.groupBy(*keys).agg(flag)
-    known = chunks.select("strategy", F.col("doc_id").alias("target_doc_id")).distinct()
-    lost = materialise(asked.join(known, ["strategy", "target_doc_id"], "left_anti"), "lost")
-    parts = -(-lost.count() // PROBES)
-    for part in range(parts):
-        some = lost.where(F.pmod(F.xxhash64("question_id"), F.lit(parts)) == part)
-        found = found.unionByName(chunks.select("strategy", "content").join(F.broadcast(some), "strategy").groupBy(*keys).agg(flag))
-    return asked.select(*keys).join(found, keys, "left").select(*keys, F.coalesce("preserved", F.lit(False)).alias("preserved"))
+    probes = materialise(probes.select("question_id", "category", F.col("target_doc_id").cast("string").alias("target_doc_id"), F.transform("key_phrases", F.lower).alias("phrases")), "probes")
+    numbered = materialise(probes.withColumn("n", F.monotonically_increasing_id()), "numbered")
+    rows = chunks.where("content is not null").select("strategy", "doc_id", F.lower("content").alias("content"))
+    schema = "strategy string, n long, own boolean"
+    found = chunks.sparkSession.createDataFrame([], schema)
+    whole = numbered.where(F.col("phrases").isNotNull() & ~F.exists("phrases", lambda p: p.isNull()))
+    for some in _passes([(r["n"], r["target_doc_id"], r["phrases"]) for r in whole.toLocalIterator()]):
+        found = found.unionByName(rows.mapInArrow(_holding(some), schema))
+    found = found.groupBy("strategy", "n").agg(F.max("own").alias("own"), F.lit(True).alias("anywhere"))
+    strategies = materialise(chunks.select("strategy").distinct(), "strategies")
+    known = chunks.select("strategy", F.col("doc_id").alias("target_doc_id"), F.lit(True).alias("known")).distinct()
+    asked = numbered.crossJoin(strategies)  # one row a strategy
+    met = asked.join(known, ["strategy", "target_doc_id"], "left").join(found, ["strategy", "n"], "left")
+    kept = F.when(F.col("known"), F.col("own")).otherwise(F.col("anywhere"))
+    return met.select("question_id", "category", "strategy", F.coalesce(kept, F.lit(False)).alias("preserved"))
 
 
 def preservation_rates(preserved: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from sparkloom.operators import questions as Q
 from sparkloom.plans import question_queries
 from sparkloom.plans.common import lexical_sql, longs, quoted, read
 from sparkloom.plans.evaluation_queries import SQL as EVALUATION_SQL
+from sparkloom.plans.evaluation_queries import set_sql
 from sparkloom.plans.evaluation_queries import system_summary as summary_query
 from sparkloom.plans.retrieval_queries import _BASE, _OVERLAP, _PARTS, _POOL, _RRF, _TRUTH, _measures, _pooled, _ranked, chunks, passages, tails, truth
 from sparkloom.plans.text_queries import FIXED_CTE, documents
@@ -376,8 +377,8 @@ SQL = {
     "document_round_trip": "SELECT doc_id::VARCHAR AS doc_id, 'doc:' || doc_id AS source_url, source AS title, lang AS category, sha256(text) AS content_sha256 FROM documents",
     "chunk_round_trip": f"WITH RECURSIVE {FIXED_CTE} SELECT 'fixed' AS strategy, doc_id || '_fixed_' || lpad(k::VARCHAR, 4, '0') AS chunk_id, doc_id::VARCHAR AS doc_id, token_count FROM chunks WHERE token_count > 0",
     "benchmark_round_trip": "SELECT 'q' || item_id AS question_id, sha256(text) AS query_sha256, 'x,' || item_id AS targets, true AS no_answer FROM benchmark",
-    "results_round_trip": """WITH one AS (SELECT 'q' || item_id AS question_id, sha256('{"query":' || to_json(text) || ',"question_id":"q' || item_id || '"}') AS f FROM benchmark)
-      SELECT question_id, CASE WHEN ends_with(question_id, '1') THEN 'old' ELSE (SELECT sha256(string_agg(f, '' ORDER BY question_id)) FROM one) END AS benchmark_fingerprint, NULL::VARCHAR AS later_column FROM one""",
+    "results_round_trip": f"""WITH one AS (SELECT 'q' || item_id AS question_id, sha256('{{"query":' || to_json(text) || ',"question_id":"q' || item_id || '"}}') AS f FROM benchmark)
+      SELECT question_id, CASE WHEN ends_with(question_id, '1') THEN 'old' ELSE (SELECT {set_sql('f')} FROM one) END AS benchmark_fingerprint, NULL::VARCHAR AS later_column FROM one""",
     "summary_round_trip": EVALUATION_SQL["system_summary"],
     "output_guard": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'outputs must differ' WHEN 1 THEN 'protected input: in/raw' END AS problem FROM pages",
     "sample_questions": f"""WITH picked AS (SELECT item_id, question_id, kind, query FROM benchmark JOIN (VALUES {_SAMPLES}) t(n, question_id, kind, query) ON item_id % {len(tables.SAMPLES)} + 1 = n),

@@ -131,6 +131,15 @@ def fingerprints(spark, sf_dir):
     return b.select("question_id", E.fingerprint("question_id", "digest").alias("fingerprint"))
 
 
+def set_fingerprint(spark, sf_dir):
+    """One fingerprint of all documents, and one of those of each third."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    out = E.set_fingerprint(d, ("doc_id", "digest")).withColumn("part", F.lit("all"))
+    for i in range(3):
+        out = out.unionByName(E.set_fingerprint(d.where(F.col("doc_id") % 3 == i), ("doc_id", "digest")).withColumn("part", F.lit(str(i))))
+    return out
+
+
 def efficiency_summary(spark, sf_dir):
     return longs(E.efficiency_summary(records(spark, sf_dir), "system"))
 
@@ -237,7 +246,13 @@ def reports(spark, sf_dir):
     return spark.createDataFrame(made, "report string, text string")
 
 
-QUERIES = {f.__name__: f for f in (reports, response_efficiency, sigmoids, system_summary, grouped_metrics, routing_distribution, routing_accuracy, head_to_head, best_system, latest_valid, batch_counts, per_question, resume_pending, resume_conflicts, fingerprints, efficiency_summary, efficiency_tracker, usage_totals, filter_benchmark, score_bands, overall_autofill, violations, judge_parse, system_names, durations, retry_delays)}
+QUERIES = {f.__name__: f for f in (reports, response_efficiency, sigmoids, system_summary, grouped_metrics, routing_distribution, routing_accuracy, head_to_head, best_system, latest_valid, batch_counts, per_question, resume_pending, resume_conflicts, fingerprints, set_fingerprint, efficiency_summary, efficiency_tracker, usage_totals, filter_benchmark, score_bands, overall_autofill, violations, judge_parse, system_names, durations, retry_delays)}
+
+def set_sql(digest: str) -> str:
+    """The fingerprint of a group of digests as a set."""
+    lane = lambda i: f"lpad(to_hex((sum(('0x' || substr({digest}, {16 * i + 1}, 16))::UBIGINT::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT), 16, '0')"
+    return f"sha256(count(*) || ':' || lower({' || '.join(lane(i) for i in range(4))}))"
+
 
 _RECORDS = "records AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _COLUMNS.items()) + " FROM (SELECT doc_id AS d, quality::BIGINT AS quality, unnest([0, 1, 2, 3])::BIGINT AS s FROM labels))"
 _OK = "(trim(coalesce(generated_answer, '')) <> '' AND coalesce(error, '') = '')"
@@ -275,6 +290,8 @@ SQL = {
     "resume_pending": f"WITH {_RECORDS} SELECT question_id, system FROM records WHERE NOT (position % 2 = 0 AND {_OK})",
     "resume_conflicts": "SELECT 'q' || doc_id AS question_id, 'changed question' AS problem FROM labels WHERE doc_id % 2 = 0 AND quality = 1 UNION ALL SELECT 'x1', 'unknown question'",
     "fingerprints": """SELECT 'b' || item_id AS question_id, sha256('{"digest":"' || sha256(text) || '","question_id":"b' || item_id || '"}') AS fingerprint FROM benchmark""",
+    "set_fingerprint": f"""WITH rows AS (SELECT doc_id, sha256('{{"digest":"' || sha256(text) || '","doc_id":' || doc_id || '}}') AS f FROM documents),
+      every AS (SELECT 'all' AS part, f FROM rows UNION ALL SELECT (doc_id % 3)::VARCHAR, f FROM rows) SELECT part, {set_sql('f')} AS fingerprint FROM every GROUP BY 1""",
     "efficiency_summary": f"""WITH {_RECORDS} SELECT system, count(*) AS records, round(avg(latency_ms), 4) AS mean_latency_ms, sum(retrieval_calls)::BIGINT AS total_retrieval_calls, round(avg(retrieval_calls), 4) AS mean_retrieval_calls,
       sum(chunks_processed)::BIGINT AS total_chunks_processed, round(avg(chunks_processed), 4) AS mean_chunks_processed, sum(escalation_count)::BIGINT AS total_escalations,
       sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens, sum(total_tokens)::BIGINT AS total_tokens FROM records GROUP BY 1""",

@@ -58,6 +58,13 @@ def dense_topk(spark, sf_dir):
     return longs(dense.search(v, v.where(F.col("chunk_id") % 100 == 0).withColumnRenamed("chunk_id", "query_id"), 5))
 
 
+def dense_clustered(spark, sf_dir):
+    """The same by clusters and their bounds."""
+    v = vectors(spark, sf_dir)
+    asked = v.where(F.col("chunk_id") % 100 == 0).withColumnRenamed("chunk_id", "query_id")
+    return longs(dense.search_clustered(dense.cluster(v), asked, 5)[0])
+
+
 def vector_normalize(spark, sf_dir):
     v = read(spark, sf_dir, "embeddings").withColumn("scaled", F.transform("embedding", lambda x: x.cast("double") * F.col("label")))
     return v.select("vec_id", (F.round(scoring.normalised(F.col("scaled"))[0], 6) + 0.0).alias("first"), F.round(F.aggregate(scoring.normalised(F.col("scaled")), F.lit(0.0), lambda s, x: s + x * x), 6).alias("square"))
@@ -150,7 +157,7 @@ def escalation(spark, sf_dir):
     return longs(verdicts.select("query_id", "evidence_count", "is_sufficient", "recommendation", "attempts"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_term_stats, bm25_chunk_stats, bm25_topk, dense_topk, vector_normalize, rrf_fusion, hybrid_topk, rerank_overlap, retrieval_metrics, mrr_summary, context_prompt, judge_evidence, mock_answers, evidence_pool, sub_query_coverage, sufficiency, escalation)}
+QUERIES = {f.__name__: f for f in (bm25_term_stats, bm25_chunk_stats, bm25_topk, dense_topk, dense_clustered, vector_normalize, rrf_fusion, hybrid_topk, rerank_overlap, retrieval_metrics, mrr_summary, context_prompt, judge_evidence, mock_answers, evidence_pool, sub_query_coverage, sufficiency, escalation)}
 
 _INDEX = f"""
 tok AS (SELECT doc_id, {lexical_sql('text')} AS w FROM documents),
@@ -249,3 +256,4 @@ SQL = {
         CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE round(0.4::DOUBLE * share + 0.3::DOUBLE * least(1.0::DOUBLE, n / 4) + 0.3::DOUBLE * (1 / (1 + exp(-greatest(-5.0::DOUBLE, least(5.0::DOUBLE, top))))), 3) END AS sufficiency_score,
         CASE WHEN n >= 2 AND top >= 60 AND share >= 0.5 THEN 'PROCEED_TO_GENERATION' ELSE 'ESCALATE_RETRIEVAL' END AS recommendation FROM s""",
 }
+SQL["dense_clustered"] = SQL["dense_topk"]

@@ -117,9 +117,9 @@ def probe_questions(spark, sf_dir):
 
 
 def phrase_preservation(spark, sf_dir):
-    p = probes(spark, sf_dir).where(F.col("target_doc_id").isNotNull())
-    chunks = chunking.chunk(documents(spark, sf_dir), "fixed")
-    return longs(chunking.preservation_rates(chunking.preservation(chunks, p)))
+    """Of all probes, also of those without a document, for which all chunks count."""
+    chunks = chunking.chunk_all(documents(spark, sf_dir), ("fixed", "fixed_overlap"))
+    return longs(chunking.preservation_rates(chunking.preservation(chunks, probes(spark, sf_dir))))
 
 
 def side_by_side(spark, sf_dir):
@@ -232,9 +232,10 @@ SQL = {
     "chunk_overlap": f"""WITH RECURSIVE {OVERLAP_CTE} SELECT doc_id || '_overlap_' || lpad(k::VARCHAR, 4, '0') AS chunk_id, 'fixed_overlap' AS strategy, doc_id::VARCHAR AS doc_id, 'doc:' || doc_id AS source_url, source AS doc_title, source AS section_title,
       1::BIGINT AS section_level, content, token_count, length(content) AS char_count, 500::BIGINT AS target_tokens, 100::BIGINT AS overlap_tokens FROM o_chunks""",
     "probe_questions": f"WITH {PROBE_CTE} SELECT question_id, category, CASE WHEN length(question_id) > 2 THEN category ELSE 'short' END AS question_type, target AS target_doc_id FROM probes",
-    "phrase_preservation": f"""WITH RECURSIVE {FIXED_CTE}, {PROBE_CTE},
-      held AS (SELECT question_id, category, max(CASE WHEN {_HOLDS} THEN 1 ELSE 0 END) AS k FROM probes JOIN chunks ON chunks.doc_id = target WHERE token_count > 0 GROUP BY 1, 2)
-      SELECT 'fixed' AS strategy, coalesce(category, '(all)') AS category, count(*) AS probes, sum(k)::BIGINT AS kept, round(sum(k) * 100.0::DOUBLE / count(*), 2) AS rate FROM held GROUP BY ROLLUP (category)""",
+    "phrase_preservation": f"""WITH RECURSIVE {FIXED_CTE}, {OVERLAP_CTE}, {PROBE_CTE},
+      every AS (SELECT 'fixed' AS strategy, doc_id, content FROM chunks WHERE token_count > 0 UNION ALL SELECT 'fixed_overlap', doc_id, content FROM o_chunks),
+      held AS (SELECT strategy, question_id, category, max(CASE WHEN {_HOLDS} THEN 1 ELSE 0 END) AS k FROM probes JOIN every ON every.doc_id = target OR target IS NULL GROUP BY 1, 2, 3)
+      SELECT strategy, coalesce(category, '(all)') AS category, count(*) AS probes, sum(k)::BIGINT AS kept, round(sum(k) * 100.0::DOUBLE / count(*), 2) AS rate FROM held GROUP BY GROUPING SETS ((strategy), (strategy, category))""",
     "side_by_side": f"""WITH RECURSIVE {FIXED_CTE}, {PROBE_CTE}
       SELECT question_id, 'fixed' AS strategy, chunks.doc_id || '_fixed_' || lpad(k::VARCHAR, 4, '0') AS chunk_id, source AS section_title, token_count, {_HOLDS} AS matches, content
       FROM probes JOIN chunks ON chunks.doc_id = target WHERE token_count > 0 QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY matches DESC, chunk_id) = 1""",

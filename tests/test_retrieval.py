@@ -201,3 +201,27 @@ def test_index_leaves_no_table(spark, tmp_path):
     back = lexical.LexicalIndex.read(spark, f"file://{tmp_path}/index")
     assert lexical.search(back, ask(spark, "alpha"), 1).first()["chunk_id"] == "chunk_001"
     assert not [t.name for t in spark.catalog.listTables() if "posting" in t.name]
+
+
+def test_clusters_are_skipped_and_nothing_is_lost(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 12)) * 4
+    rows = [(i, (centres[i % 30] + rng.normal(size=12) * 0.2).tolist()) for i in range(1500)] + [(2000 + i, centres[0].tolist()) for i in range(40)] + [(3000, None), (3001, [])]
+    vectors = spark.createDataFrame(rows, "chunk_id long, embedding array<double>")
+    asked = vectors.where("chunk_id % 50 = 0 and chunk_id < 2010").withColumnRenamed("chunk_id", "query_id")
+    index = dense.cluster(vectors, clusters=25, sample=500)
+    assert index.vectors.count() == 1540
+    for k in (1, 7, 60):
+        got, read = dense.search_clustered(index, asked, k)
+        want = dense.search(vectors, asked, k)
+        assert sorted(map(tuple, got.select("query_id", "rank", "chunk_id", "score").collect())) == sorted(map(tuple, want.select("query_id", "rank", "chunk_id", "score").collect()))
+        assert k > 7 or read.count() < 0.5 * dense.bounds(index, asked).count()
+
+
+def test_clusters_of_nothing(spark):
+    none = spark.createDataFrame([], "chunk_id long, embedding array<double>")
+    one = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
+    assert dense.search_clustered(dense.cluster(none), one, 3)[0].count() == 0
+    few = dense.cluster(spark.createDataFrame([(5, [0.5, 1.0])], "chunk_id long, embedding array<double>"))
+    assert [tuple(r) for r in dense.search_clustered(few, one, 3)[0].select("chunk_id", "score").collect()] == [(5, 0.5)]
+    assert dense.search_clustered(few, one.where("false"), 3)[0].count() == 0
