@@ -16,6 +16,7 @@ Scoring is exact: the scaled forward recursion runs over each whole text.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import zlib
@@ -40,6 +41,8 @@ PARTS = 4
 SETTLED = 1e-3
 #: Tokens that forward-backward holds the states of at once, at most.
 HELD = 200_000
+#: Texts that go side by side in training.
+LANES = 512
 #: Steps from one scaling of the recursions to the next: probabilities above 1e-38 a step can't underflow between.
 SCALED = 8
 #: Tokens, or somewhat more, that a worker gathers before it puts texts of like length together.
@@ -84,12 +87,13 @@ class Model:
 _space: dict[str, np.ndarray] = {}
 
 
-def _buffer(name: str, n: int, states: int) -> np.ndarray:
-    """n rows of states to write over: memory that a worker goes on using from block to block."""
+def _buffer(name: str, *shape: int) -> np.ndarray:
+    """An array to write over: memory that a worker goes on using from block to block."""
+    n = shape[0] * shape[1]
     held = _space.get(name)
-    if held is None or held.size < n * states:
-        _space[name] = held = np.empty(max(n, HELD + HELD // 4) * states)
-    return held[: n * states].reshape(n, states)
+    if held is None or held.size < n:
+        _space[name] = held = np.empty(max(n, (HELD + HELD // 4) * min(shape)))
+    return held[:n].reshape(shape)
 
 
 def _forward(model: Model, flat: np.ndarray, begin: np.ndarray, alive: np.ndarray, t0: int, before: np.ndarray | None, loglik: np.ndarray):
@@ -143,49 +147,115 @@ class Counts:
         self.emit = np.zeros((CLASSES, states))
         self.loglik = 0.0
 
-    def add(self, model: Model, flat: np.ndarray, begin: np.ndarray, size: np.ndarray, held: int = HELD) -> None:
-        """Forward-backward over the texts flat[begin : begin + size], all at once, longest first, in blocks of about `held` tokens.
+    def add(self, model: Model, flat: np.ndarray, begin: np.ndarray, size: np.ndarray, held: int = HELD, lanes: int = LANES) -> None:
+        """Forward-backward over the texts flat[begin : begin + size], end to end in lanes, in blocks of about `held` tokens.
 
         With more than one block the first pass keeps the state at each block's start, and blocks are walked again from the last.
         """
+        where, first, last, begin, size = _in_lanes(begin, size, lanes)
+        lane = _Lanes(flat[where], first, last, model)
         _, begin, alive, blocks = _by_length(begin, size, held)
         states: list[np.ndarray | None] = [None]
         for t0, t1 in blocks[:-1]:
-            alpha = _forward(model, flat, begin, alive[t0:t1], t0, states[-1], np.zeros(len(begin)))[2]
-            states.append(alpha[len(alpha) - alive[t1 - 1] :].copy())
-        ahead = np.zeros((0, len(model.start)), model.emit.dtype)
+            alpha = lane.forward(begin, alive[t0:t1], t0, states[-1])[2]
+            states.append(alpha[:, alpha.shape[1] - alive[t1 - 1] :].copy())
+        ahead = np.zeros((len(model.start), 0))
         for (t0, t1), before in zip(blocks[::-1], states[::-1]):
-            ahead = self._block(model, flat, begin, alive[t0:t1], t0, before, ahead)
-
-    def _block(self, model: Model, flat: np.ndarray, begin: np.ndarray, alive: np.ndarray, t0: int, before: np.ndarray | None, ahead: np.ndarray) -> np.ndarray:
-        """Adds a block's counts. ahead: emission times backward state, scaled, at the step after it; returned for its first step."""
-        loglik = np.zeros(len(begin))
-        ids, emits, alpha = _forward(model, flat, begin, alive, t0, before, loglik)
-        self.loglik += float(loglik.sum())
-        beta, back = _buffer("beta", *alpha.shape), np.ascontiguousarray(model.move.T)
+            ahead = self._block(lane, begin, alive[t0:t1], t0, before, ahead)
+
+    def _block(self, lane: _Lanes, begin: np.ndarray, alive: np.ndarray, t0: int, before: np.ndarray | None, ahead: np.ndarray) -> np.ndarray:
+        """Adds a block's counts. ahead: emission times backward state, scaled, at the step after it, zero where a text begins there; returned
+        for its first step."""
+        ids, emits, alpha, begun, ended, scales = lane.forward(begin, alive, t0, before)
+        move = lane.model.move
+        self.loglik += scales + float(np.log(alpha[:, ended].sum(axis=0)).sum())
+        beta = _buffer("beta", *alpha.shape)
         at = np.cumsum(alive) - alive
+        cut = np.searchsorted(ended, np.append(at, len(ids))).tolist()
         last, later = int(at[-1]), ahead
-        for t, (i, n) in enumerate(zip(at[::-1].tolist(), alive[::-1].tolist())):
-            np.dot(ahead, back, out=beta[i : i + len(ahead)])
-            beta[i + len(ahead) : i + n] = 1.0
-            ahead = emits[i : i + n]
-            ahead *= beta[i : i + n]
+        for t in range(len(alive) - 1, -1, -1):
+            i, n, went = int(at[t]), int(alive[t]), ahead.shape[1]
+            np.matmul(move, ahead, out=beta[:, i : i + went])
+            if went < n:
+                beta[:, i + went : i + n] = 1.0
+            if cut[t] < cut[t + 1]:
+                beta[:, ended[cut[t] : cut[t + 1]]] = 1.0
+            ahead = emits[:, i : i + n]
+            ahead *= beta[:, i : i + n]
             if t % SCALED == 0:
-                ahead /= ahead.sum(axis=1, keepdims=True)
-        alpha /= np.einsum("ij,ij->i", alpha, beta)[:, None]  # a position's states sum to one, however its text is scaled there
-        self.move += model.move * (alpha[last : last + len(later)].T @ later)
-        first = int(alive[0])
-        earlier = np.arange(first, len(ids)) - np.repeat(alive[:-1], alive[1:])  # the same text's position a step before
-        self.move += model.move * (alpha.take(earlier, axis=0, mode="clip", out=_buffer("earlier", len(earlier), alpha.shape[1])).T @ emits[first:])
+                ahead /= ahead.sum(axis=0)
+        alpha /= np.einsum("kn,kn->n", alpha, beta)  # a position's states sum to one, however its text is scaled there
+        emits[:, begun] = 0.0  # no step leads to a text's first token
+        self.move += move * (alpha[:, last : last + later.shape[1]] @ later.T)
+        width = int(alive[0])
+        earlier = np.arange(width, len(ids)) - np.repeat(alive[:-1], alive[1:])  # the same lane's position a step before
+        self.move += move * (alpha.take(earlier, axis=1, mode="clip", out=_buffer("earlier", len(alpha), len(earlier))) @ emits[:, width:].T)
         alpha *= beta
-        if t0 == 0:
-            self.start += alpha[:first].sum(axis=0)
-        place = ids.astype(np.int64)
-        for k in range(alpha.shape[1]):
-            self.emit[:, k] += np.bincount(place, np.ascontiguousarray(alpha[:, k]), minlength=CLASSES)
+        self.start += alpha[:, begun].sum(axis=1)
+        for k in range(len(alpha)):
+            self.emit[:, k] += np.bincount(ids, alpha[k], minlength=CLASSES)
         return ahead.copy()
 
 
+def _in_lanes(begin: np.ndarray, size: np.ndarray, lanes: int) -> tuple[np.ndarray, ...]:
+    """Texts dealt to `lanes` lanes at most, the longest first, each to the shortest lane: the tokens' places lane by lane, which of them
+    begin and end a text, and the lanes' begins and sizes. All steps so have about as many texts going, however long the longest."""
+    order = np.argsort(-size, kind="stable")
+    heap = [(0, k) for k in range(min(lanes, len(size)))]
+    own = np.empty(len(size), np.int64)
+    for i, n in zip(order.tolist(), size[order].tolist()):
+        load, k = heap[0]
+        own[i] = k
+        heapq.heapreplace(heap, (load + n, k))
+    order = order[np.argsort(own[order], kind="stable")]
+    begin, size, own = begin[order], size[order], own[order]
+    ends = np.cumsum(size)
+    where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - size), size)
+    first, last = np.zeros(len(where), bool), np.zeros(len(where), bool)
+    first[ends - size] = True
+    last[ends - 1] = True
+    total = np.bincount(own, size, minlength=len(heap)).astype(np.int64)
+    return where, first, last, np.cumsum(total) - total, total
+
+
+class _Lanes:
+    """The ids of lanes, one after the other, which of them begin and end a text, and the model that goes over them, its arrays a row a state."""
+
+    def __init__(self, flat: np.ndarray, first: np.ndarray, last: np.ndarray, model: Model):
+        self.flat, self.first, self.last, self.model = flat.astype(np.int64), first, last, model
+        self.emit, self.back = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
+
+    def forward(self, begin: np.ndarray, alive: np.ndarray, t0: int, before: np.ndarray | None):
+        """Ids, emissions and scaled forward states of a block's positions, by time, then lane, where texts begin and end, and
+        the logarithms of the scales; before: the states ahead of it. A text begins with the model's start, whatever was before it in its lane."""
+        at = np.cumsum(alive) - alive
+        owner = np.arange(int(alive.sum()))
+        owner -= np.repeat(at, alive)
+        place = begin[owner]
+        place += np.repeat(np.arange(t0, t0 + len(alive)), alive)
+        ids = self.flat[place]
+        begun, ended = np.flatnonzero(self.first[place]), np.flatnonzero(self.last[place])
+        cut = np.searchsorted(begun, np.append(at, len(ids))).tolist()
+        start, scales = self.model.start[:, None], 0.0
+        emits = self.emit.take(ids, axis=1, mode="clip", out=_buffer("emits", len(start), len(ids)))
+        alpha = _buffer("alpha", len(start), len(ids))
+        for t, (i, n) in enumerate(zip(at.tolist(), alive.tolist())):
+            now = alpha[:, i : i + n]
+            if before is None:
+                now[:] = start
+            else:
+                np.matmul(self.back, before[:, :n], out=now)
+                if cut[t] < cut[t + 1]:
+                    alpha[:, begun[cut[t] : cut[t + 1]]] = start
+            now *= emits[:, i : i + n]
+            if t % SCALED == 0 or t == len(alive) - 1:
+                scale = now.sum(axis=0)
+                now /= scale
+                scales += float(np.log(scale).sum())
+            before = now
+        return ids, emits, alpha, begun, ended, scales
+
+
 def log10_likelihoods(model: Model, texts: list[np.ndarray], held: int = HELD) -> np.ndarray:
     """log10 of each whole text's probability, by the scaled forward recursion over all texts at once, in double precision."""
     size = np.array([len(t) for t in texts], np.int64)
@@ -292,9 +362,9 @@ def _expected(sent: Broadcast, states: int):
         model: Model = sent.value
         counts, some = Counts(states), False
         for _, runs in _pools(batches):
-            for _, texts in runs:
-                size = np.array([len(x) for x in texts], np.int64)
-                counts.add(model, np.concatenate(texts), np.cumsum(size) - size, size)
+            texts = [x for _, some_ in runs for x in some_]
+            size = np.array([len(x) for x in texts], np.int64)
+            counts.add(model, np.concatenate(texts), np.cumsum(size) - size, size)
             some = True
         if some:
             hit = np.flatnonzero(counts.emit.any(axis=1))

@@ -385,9 +385,9 @@ def test_counts_are_those_of_whole_texts():
             pair = a[:, None] * model.move * (model.emit[c] * b)
             move += pair / pair.sum()
     flat, size = np.concatenate(texts), np.array([len(x) for x in texts])
-    for held in (hmm.HELD, 40, 1):
+    for held, lanes in ((hmm.HELD, hmm.LANES), (40, 2), (1, 1), (7, 3), (1, 5), (hmm.HELD, 1)):
         counts = hmm.Counts(3)
-        counts.add(model, flat, np.cumsum(size) - size, size, held)
+        counts.add(model, flat, np.cumsum(size) - size, size, held, lanes)
         assert np.allclose(counts.start, start) and np.allclose(counts.move, move) and counts.emit.sum() == pytest.approx(608)
         assert counts.loglik == pytest.approx(math.log(10) * hmm.log10_likelihoods(model, texts).sum())
 
