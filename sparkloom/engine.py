@@ -243,7 +243,15 @@ class Engine:
         failed and retry_failed is set; they come back with the new ones, whose previous_errors tell of earlier tries. Once a daily
         quota is spent the systems that follow are not begun, so that a later run resumes with them.
         """
-        asked = materialise(tables.filter_benchmark(benchmark, limit=most).withColumn("query_id", F.col("question_id")), "asked")
+        asked = tables.filter_benchmark(benchmark, limit=most)
+        new = self.fresh(asked, systems, provider, judge, done, retry_failed)
+        if new is None:
+            return done if done is not None else self._records(asked.withColumn("query_id", F.col("question_id")).where(F.lit(False)), systems[0], provider, judge).withColumn("position", F.lit(0).cast("long"))
+        return new if done is None else evaluation.merged(done, new)
+
+    def fresh(self, benchmark: DataFrame, systems: tuple[str, ...], provider: answers.Provider | None, judge: answers.Provider | None, done: DataFrame | None, retry_failed: bool = True) -> DataFrame | None:
+        """The records that `run` makes beside those done, None if there is nothing to do; after a spent quota no further system is begun."""
+        asked = materialise(benchmark.withColumn("query_id", F.col("question_id")), "asked")
         new = None
         for position, system in enumerate(systems):
             todo = asked
@@ -255,9 +263,7 @@ class Engine:
             new = got if new is None else new.unionByName(got)
             if not got.where(quota_spent(F.coalesce("error", F.lit("")))).isEmpty():
                 break
-        if new is None:
-            return done if done is not None else self._records(asked.where(F.lit(False)), systems[0], provider, judge).withColumn("position", F.lit(0).cast("long"))
-        return new if done is None else evaluation.merged(done, new)
+        return new
 
     def _records(self, asked: DataFrame, system: str, provider: answers.Provider | None, judge: answers.Provider | None) -> DataFrame:
         began = time.monotonic()

@@ -220,3 +220,11 @@ def progress(records: DataFrame, total: int) -> DataFrame:
     mean = F.avg(F.when(own, F.col("seconds")))
     left = F.greatest(F.lit(total) - n, F.lit(0))
     return records.agg(n.alias("done"), F.count_if(own).alias("executed"), left.alias("remaining"), F.round(mean, 6).alias("mean_seconds"), F.round(mean * left, 4).alias("eta_seconds"))
+
+
+def of_tries(log: DataFrame, attempt: str = "try") -> DataFrame:
+    """The records of a log of tries: of each question and system that of the last one, with the errors of those before it in previous_errors."""
+    order = Window.partitionBy("question_id", "system").orderBy(F.desc(attempt))
+    before = F.collect_list(F.when(_text("error") != "", F.struct(F.col(attempt).alias("at"), "error"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    rows = log.withColumns({"_n": F.row_number().over(order), "previous_errors": F.transform(F.array_sort(before), lambda x: x["error"])})
+    return rows.where("_n = 1").drop("_n", attempt)

@@ -109,6 +109,25 @@ def evaluation_run(spark, sf_dir):
     return longs(again.select(*columns, F.array_join("previous_errors", "; ").alias("previous_errors")))
 
 
+def _quota(prompt: str) -> str:
+    if "Question:" in prompt and len(prompt.rsplit("Question:", 1)[1]) > 120:
+        raise RuntimeError("rate limit reached: tokens per day (TPD)")
+    return "An answer."
+
+
+def stream_evaluation_run(spark, sf_dir):
+    """A run in batches that a spent quota stops amid a system, and that is resumed to its end: its records are those of a run without a stop."""
+    from sparkloom.streaming import runs
+
+    folder, log, state = (table_path(spark, n) for n in ("stream-benchmark", "stream-log", "stream-state"))
+    engine, judge = _engine(spark, sf_dir), answers.FixedAnswer('{"correctness": 3, "faithfulness": 4, "relevance": 2}')
+    runs.lay_out(_benchmark(spark, sf_dir), folder, 15)
+    stopped = not runs.run(engine, folder, log, state, ("basic",), answers.FixedAnswer(make=_quota), judge)
+    ended = runs.run(engine, folder, log, state, ("basic",), answers.FixedAnswer("An answer."), judge)
+    columns = ["question_id", "system", "generated_answer", "error", "recall_at_5", "mrr", "overall", "retrieval_calls", "chunks_processed"]
+    return longs(runs.records(spark, log).select(*columns, F.lit(stopped).alias("stopped"), F.lit(ended).alias("ended")))
+
+
 def evaluation_run_summary(spark, sf_dir):
     """The records of a run in the summary: a model that fails on long questions counts as failing."""
     records = _engine(spark, sf_dir).run(_benchmark(spark, sf_dir), ("basic",), answers.FixedAnswer(make=_fails_on_long), answers.FixedAnswer('{"correctness": 3, "faithfulness": 4, "relevance": 2}'))
@@ -287,7 +306,7 @@ def word_lists(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        index_manifest, retrieved_hits, hybrid_dense_bm25, engine_systems, engine_work, vector_index_round_trip, bm25_index_round_trip, evaluation_run, evaluation_run_summary, system_comparison, judge_scores, provider_replies, fetched_pages, document_round_trip, chunk_round_trip,
+        index_manifest, retrieved_hits, hybrid_dense_bm25, engine_systems, engine_work, vector_index_round_trip, bm25_index_round_trip, evaluation_run, stream_evaluation_run, evaluation_run_summary, system_comparison, judge_scores, provider_replies, fetched_pages, document_round_trip, chunk_round_trip,
         benchmark_round_trip, results_round_trip, summary_round_trip, output_guard, sample_questions, canonical_fields, evidence_hits, pool_rerank, pool_counts, route_guard, plain_decompose, run_progress, search_guards, word_lists,
     )
 }
@@ -362,6 +381,8 @@ SQL = {
       SELECT 'q' || p.query_id AS question_id, 'basic_rag' AS system, CASE WHEN bad THEN 'Another answer.' ELSE 'An answer.' END AS generated_answer, NULL::VARCHAR AS error, recall_at_1, recall_at_5, mrr, ndcg_at_5,
         CASE WHEN bad THEN 1.0::DOUBLE ELSE 3.0::DOUBLE END AS correctness, CASE WHEN bad THEN 2.0::DOUBLE ELSE 3.0::DOUBLE END AS overall, coalesce(n, 0) AS chunks_processed, true AS strategy_match, CASE WHEN bad THEN 'RuntimeError: too long' ELSE '' END AS previous_errors
       FROM per p JOIN long l ON l.item_id = p.query_id LEFT JOIN used u ON u.item_id = p.query_id""",
+    "stream_evaluation_run": f"""{_RUN} SELECT 'q' || p.query_id AS question_id, 'basic_rag' AS system, 'An answer.' AS generated_answer, NULL::VARCHAR AS error, recall_at_5, mrr, 3.0::DOUBLE AS overall, 1::BIGINT AS retrieval_calls, coalesce(n, 0) AS chunks_processed,
+      (SELECT bool_or(bad) FROM long) AS stopped, true AS ended FROM per p LEFT JOIN used u ON u.item_id = p.query_id""",
     "evaluation_run_summary": f"""{_RUN}
       SELECT 'basic_rag' AS system, count(*) AS question_count, count(*) FILTER (NOT bad) AS successful_count, count(*) FILTER (bad) AS failure_count, round(count(*) FILTER (bad) / count(*), 4) AS error_rate, count(*) FILTER (NOT bad) AS judge_successful_count,
         round(coalesce(avg(recall_at_5) FILTER (NOT bad), 0), 4) AS recall_at_5, round(coalesce(avg(mrr) FILTER (NOT bad), 0), 4) AS mrr, round(coalesce(avg(ndcg_at_10) FILTER (NOT bad), 0), 4) AS ndcg_at_10, round(coalesce(avg(1.0::DOUBLE) FILTER (NOT bad), 0), 4) AS strategy_accuracy,

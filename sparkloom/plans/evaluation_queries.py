@@ -111,6 +111,13 @@ def per_question(spark, sf_dir):
     return E.per_question(records(spark, sf_dir), SYSTEMS)
 
 
+def question_lines(spark, sf_dir):
+    """The report's table of questions, line by line."""
+    from sparkloom import reports as R
+
+    return R.question_lines(E.per_question(records(spark, sf_dir), SYSTEMS), SYSTEMS)
+
+
 def resume_pending(spark, sf_dir):
     r = records(spark, sf_dir)
     return E.pending(r.select("question_id").distinct(), SYSTEMS, r.where("position % 2 = 0"))
@@ -246,7 +253,7 @@ def reports(spark, sf_dir):
     return spark.createDataFrame(made, "report string, text string")
 
 
-QUERIES = {f.__name__: f for f in (reports, response_efficiency, sigmoids, system_summary, grouped_metrics, routing_distribution, routing_accuracy, head_to_head, best_system, latest_valid, batch_counts, per_question, resume_pending, resume_conflicts, fingerprints, set_fingerprint, efficiency_summary, efficiency_tracker, usage_totals, filter_benchmark, score_bands, overall_autofill, violations, judge_parse, system_names, durations, retry_delays)}
+QUERIES = {f.__name__: f for f in (reports, response_efficiency, sigmoids, system_summary, grouped_metrics, routing_distribution, routing_accuracy, head_to_head, best_system, latest_valid, batch_counts, per_question, question_lines, resume_pending, resume_conflicts, fingerprints, set_fingerprint, efficiency_summary, efficiency_tracker, usage_totals, filter_benchmark, score_bands, overall_autofill, violations, judge_parse, system_names, durations, retry_delays)}
 
 def set_sql(digest: str) -> str:
     """The fingerprint of a group of digests as a set."""
@@ -287,6 +294,8 @@ SQL = {
       SELECT question_id, system, batch, position, overall FROM v QUALIFY row_number() OVER (PARTITION BY question_id, system ORDER BY ok DESC, CASE WHEN ok THEN batch END DESC NULLS LAST, CASE WHEN ok THEN position END DESC NULLS LAST, batch, position) = 1""",
     "batch_counts": f"WITH {_RECORDS} SELECT batch, count(*) AS total_records, count(*) FILTER ({_VALID}) AS valid_records FROM records GROUP BY 1",
     "per_question": f"WITH {_RECORDS} SELECT question_id, {', '.join(f'''max(overall) FILTER (system = '{s}') AS {s}''' for s in SYSTEMS)} FROM records GROUP BY 1",
+    "question_lines": f"""WITH {_RECORDS}, p AS (SELECT question_id, {', '.join(f"max(overall) FILTER (system = '{s}') AS {s}" for s in SYSTEMS)} FROM records GROUP BY 1)
+      SELECT question_id, '| ' || question_id || ' | ' || {" || ' | ' || ".join(f"coalesce(format('{{:.2f}}', {s}), '-')" for s in SYSTEMS)} || ' | ' || coalesce({', '.join(f"CASE WHEN {s} = greatest({', '.join(SYSTEMS)}) THEN '{s}' END" for s in SYSTEMS)}, '-') || ' |' AS line FROM p""",
     "resume_pending": f"WITH {_RECORDS} SELECT question_id, system FROM records WHERE NOT (position % 2 = 0 AND {_OK})",
     "resume_conflicts": "SELECT 'q' || doc_id AS question_id, 'changed question' AS problem FROM labels WHERE doc_id % 2 = 0 AND quality = 1 UNION ALL SELECT 'x1', 'unknown question'",
     "fingerprints": """SELECT 'b' || item_id AS question_id, sha256('{"digest":"' || sha256(text) || '","question_id":"b' || item_id || '"}') AS fingerprint FROM benchmark""",
