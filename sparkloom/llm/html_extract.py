@@ -63,6 +63,17 @@ MOST = 4
 CONTENT = 0.9
 #: What may be the content; a paragraph, list item or the like never is, however long.
 CONTAINERS = {"html", "body", "div", "section", "center", "form", "fieldset", "table", "tbody", "thead", "tr", "td", "details", "dialog", "search", "hgroup"}
+#: Words that say nothing of what an element holds: a compound name marks an element inside the content only if all its words are of
+#: BESIDE or of these, so share-bar does and share-price doesn't.
+PLAIN = {
+    *("area", "bar", "block", "body", "box", "bottom", "button", "buttons", "card", "cards", "col", "column", "container", "content", "cta", "desktop", "entry", "global", "google", "grid", "group", "header", "heading", "icon", "icons", "inline", "inner"),
+    *("item", "items", "label", "left", "link", "links", "list", "main", "mobile", "module", "outer", "page", "panel", "placeholder", "post", "posts", "right", "row", "section", "site", "slot", "stories", "story", "strip", "text", "title", "tools", "top", "unit", "wrap", "wrapper"),
+    *("article", "articles", "primary", "secondary", "tertiary", "small", "large", "medium", "wide"),
+}
+#: What a menu, form or the like may stand in outside the content; of any other element only a whole name tells.
+BOXES = CONTAINERS | {"ul", "ol", "dl", "article", "aside", "header", "footer", "nav"}
+#: Elements of NEVER that text may hold where no form is around them.
+IN_TEXT = {"label"}
 #: A page's header, but not an article's.
 HEADERS = {"header"}
 #: An end is implied by the start of these.
@@ -84,12 +95,15 @@ def _mark(name: str, attributes: str, inside: bool) -> tuple[str, str]:
 
     '' not at all, 'hard' by its kind or as hidden, 'soft' by a name, 'readers' by a name of what readers write, 'topic' by a section's id alone.
     """
+    if inside and name in IN_TEXT:
+        return "", ""
     if name in NEVER or name == "header" and not inside:
         return "soft" if name in WRAPPERS else "hard", name
     if not attributes or name in ("html", "body", "main"):
         return "", ""
     parts: set[str] = set()
     anchor: set[str] = set()
+    whole = inside or name not in BOXES
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), values[0] or values[1] or values[2]
         if key in ("class", "id", "role"):
@@ -97,7 +111,7 @@ def _mark(name: str, attributes: str, inside: bool) -> tuple[str, str]:
                 continue
             for one in value.split():
                 names = _NAME_PART.findall(_CAMEL.sub("-", one).lower())
-                if names and names[0] not in STATES:
+                if names and names[0] not in STATES and (not whole or all(x in BESIDE or x in PLAIN or len(x) == 1 for x in names)):
                     (anchor if key == "id" else parts).update(names)
         elif key == "hidden" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return "hard", "hidden"
@@ -118,13 +132,14 @@ class _Page:
 
     def __init__(self):
         self.tokens: list[tuple[str, str, int]] = []  # 'text', 'break', 'label' or a tag's feature, its text, the element it stands in
-        self.name, self.parent, self.mark, self.by = [""], [0], [""], [""]
+        self.name, self.attributes, self.parent, self.mark, self.by = [""], [""], [0], [""], [""]
         self.inside, self.link = [False], [False]  # in an article or main, in a link
         self.words, self.linked = [0], [0]  # running words and words of links, directly in it
 
     def open(self, name: str, attributes: str, parent: int) -> int:
         mark, by = _mark(name, attributes, self.inside[parent])
         self.name.append(name)
+        self.attributes.append(attributes)
         self.parent.append(parent)
         self.mark.append(mark)
         self.by.append(by)
@@ -218,11 +233,12 @@ def _content(page: _Page, out: list[bool]) -> int:
 
 
 def page_tokens(page: str) -> Iterator[tuple[str, str, bool]]:
-    """(feature, text, counts) in page order: tags with '' as text, text nodes with their text, 'break' where a block begins or ends.
+    """(feature, text, counts) in page order: tags with '' as text (br with a space), text nodes with their text, 'break' where a block begins or ends.
 
     A feature of text: word:out (in an element set beside), word:link (outside the article, main or content), word:main (in article or main),
     word:beside (the page has an article or main, elsewhere) or word:plain. counts: whether its text can be main text.
-    What is set beside inside the article, main or content has the feature bridge, words and tags alike: it is left out
+    A tag inside the article, main or content has the feature held, before its own: how that is marked up, as a list of short items, say, tells nothing.
+    What is set beside there has the feature bridge, words and tags alike: it is left out
     of the text anyway and so can't tell where the text ends.
     The comments main and /main of labelled pages come as 'label'.
     """
@@ -230,11 +246,14 @@ def page_tokens(page: str) -> Iterator[tuple[str, str, bool]]:
     structured = bool(re.search(r"<(?:article|main)[\s>]", page.lower()))
     freed, n = _freed(read), len(read.name)
     out = [bool(m) and m != "topic" and i not in freed for i, m in enumerate(read.mark)]
-    topics = [i for i, m in enumerate(read.mark) if m == "topic"]
     content = 0 if structured else _content(read, out)
     within = read.inside[:]
     for i in range(1, n):
         within[i] = within[i] or i == content or within[read.parent[i]]
+        if content and out[i] and i != content and within[i] and (read.mark[i] in ("soft", "readers") and read.name[i] not in NEVER | HEADERS or read.name[i] in IN_TEXT):
+            read.mark[i], read.by[i] = _mark(read.name[i], read.attributes[i], True)  # known to stand in the content, as in an article
+            out[i] = bool(read.mark[i]) and read.mark[i] != "topic"
+    topics = [i for i, m in enumerate(read.mark) if m == "topic"]
     if topics:
         running, linked = read.sums(read.words, out), read.sums(read.linked, out)
         for i in topics:
@@ -250,6 +269,8 @@ def page_tokens(page: str) -> Iterator[tuple[str, str, bool]]:
         elif feature == "text":
             kind = "out" if out[i] else "link" if read.link[i] and not within[i] else "main" if read.inside[i] else "beside" if structured else "plain"
             yield f"word:{kind}", text, not out[i]
+        elif within[i] and not out[i] and feature not in ("break", "label"):
+            yield f"held:{feature}", text, False
         else:
             yield feature, text, False
 
@@ -328,6 +349,8 @@ _GROUPS |= {"a": "link", "div": "block", "section": "block", "article": "article
 
 
 def _feature(feature: str) -> str:
+    if feature.startswith("held:"):
+        return "held"
     return "tag:" + _GROUPS.get(feature[4:].lstrip("/"), "other") if feature.startswith("tag:") else feature
 
 
@@ -345,7 +368,8 @@ def learn_weights(labelled: Iterable[str] = LABELLED_PAGES) -> dict[str, float]:
                 main = text == "main"
             elif feature not in ("break", "bridge"):
                 n = len(text.split()) if feature.startswith("word:") else 1
-                (inside if main else outside)[_feature(feature)] += n
+                for f in {_feature(feature), _feature(feature.removeprefix("held:"))}:  # a tag in the content tells of its kind, too
+                    (inside if main else outside)[f] += n
     weights = {}
     for f in inside | outside:
         odds = math.log((inside[f] + 1) / (outside[f] + 1))
@@ -405,8 +429,9 @@ def extract(page: str, weights: dict[str, float] | None = None) -> str:
 def extract_pages(pages: DataFrame, labelled: Iterable[str] = LABELLED_PAGES) -> DataFrame:
     """Per row of pages: page_id, url, text, n_chars (code points).
 
-    Null and empty html, and pages without a region that gains, have an empty text. Repeated rows give
-    a row each. Other columns are not read.
+    Null and empty html, and pages without a region that gains, have an empty text; of regions that gain the same the first counts. Repeated
+    rows give a row each, and rows don't depend on each other. Very long pages are taken whole, one at a time. An empty table gives an empty one;
+    other columns, whatever their names, are not read.
     """
     weights = learn_weights(labelled)
 
