@@ -14,6 +14,7 @@ Layout below one folder, all Parquet:
     encoded/part=chunks/  key binary(16), the digest, and ids binary: little-endian unsigned 16- or 32-bit integers
     recipes/   doc_id, run int, place long, start long, n_tokens long, digests binary (16 bytes each), root binary
     manifest/  run int, first_doc, last_doc, n_docs long, place long, start long, n_tokens long, root binary, width int
+    store/     one row: n_runs long and root binary, over the roots of the runs
 """
 
 from __future__ import annotations
@@ -269,7 +270,7 @@ def write_store(docs: DataFrame, path: str, end_id: int = END_ID, vocabulary_pat
     """Encode docs, append end_id to each and write the store's three tables below path.
 
     A null text is empty: its stream is end_id alone. Rows of one doc_id are all stored, in the
-    order of their digests. An empty table gives empty tables. Other columns are not read.
+    order of a hash of their digests. An empty table gives empty tables. Other columns are not read.
     """
     spark = docs.sparkSession
     place = vocabulary(MODEL, vocabulary_path)
@@ -289,6 +290,7 @@ def write_store(docs: DataFrame, path: str, end_id: int = END_ID, vocabulary_pat
     ends = recipes.groupBy("run").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     rooted = _run_roots(recipes).join(ends, "run")
     rooted.select("run", "first_doc", "last_doc", "n_docs", "place", "start", "n_tokens", "root", width.alias("width")).write.parquet(f"{path}/manifest")
+    _store_root(spark.read.parquet(f"{path}/manifest")).write.parquet(f"{path}/store")
 
 
 _RUN_ROOTS = "run int, n_docs long, place long, start long, n_tokens long, root binary"
@@ -311,9 +313,23 @@ def _run_roots(recipes: DataFrame) -> DataFrame:
     return recipes.select("run", "place", "start", "n_tokens", "root").groupBy("run").applyInArrow(one, _RUN_ROOTS)
 
 
+def _store_root(manifest: DataFrame) -> DataFrame:
+    """One row: how many runs there are, and the root over their roots. A run is a few bytes for every ROWS_A_RUN documents."""
+
+    def one(table: pa.Table) -> pa.Table:
+        return pa.table({"n_runs": pa.array([table.num_rows], pa.int64()), "root": pa.array([merkle(table.sort_by("run").column("root").to_pylist())], pa.binary())})
+
+    found = manifest.select("run", "root").groupBy().applyInArrow(one, "n_runs long, root binary")
+    none = manifest.sparkSession.createDataFrame([(0, None)], "n_runs long, root binary")
+    return none.join(found.select(F.col("n_runs").alias("n"), F.col("root").alias("r")), F.lit(True), "left").select(F.coalesce("n", "n_runs").alias("n_runs"), F.coalesce("r", "root").alias("root"))
+
+
 def verify_manifest(spark: SparkSession, path: str) -> int:
     """Hold the recipes against the manifest, and the manifest's runs against each other; gives the bytes of an id. Raises ValueError at a difference."""
     kept = spark.read.parquet(f"{path}/manifest")
+    whole, now = (t.select("n_runs", "root").first() for t in (spark.read.parquet(f"{path}/store"), _store_root(kept)))
+    if whole != now:
+        raise ValueError(f"the manifest has {now['n_runs']} runs of another root than the store's {whole['n_runs']}")
     names = ["n_docs", "place", "start", "n_tokens", "root"]
     found = _run_roots(spark.read.parquet(f"{path}/recipes")).select("run", *(F.col(c).alias(f"found_{c}") for c in names))
     same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"found_{c}")) for c in names))
@@ -349,17 +365,17 @@ def run_starts(df: DataFrame, order: str, size: str, others: list[str], rows_a_r
 
     The rows are cut into runs by range, each summed within itself; only one total a run,
     a few bytes for every `rows_a_run` rows, is summed across runs. No task sorts more than a run.
-    Ties are in the order of the other columns.
+    Ties are in the order of a hash of the other columns, and many equal rows are cut, too.
     """
-    spark = df.sparkSession
     n = df.count()
     runs = n // rows_a_run + 1
-    ranged = df.repartitionByRange(runs, order).withColumn("run", F.spark_partition_id())
+    tied = df.withColumns({"_tie": F.xxhash64(*others), "_salt": F.xxhash64(F.monotonically_increasing_id())})
+    ranged = tied.repartitionByRange(runs, F.col(order).asc_nulls_first(), "_tie", "_salt").withColumn("run", F.spark_partition_id()).drop("_salt")
     kept = materialise(ranged, "runs")
     totals = kept.groupBy("run").agg(F.sum(size).alias("_total"), F.count("*").alias("_rows"))
     before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)  # over one row a run
     totals = totals.select("run", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_place"))
-    inside = Window.partitionBy("run").orderBy(F.col(order).asc_nulls_first(), *others)
+    inside = Window.partitionBy("run").orderBy(F.col(order).asc_nulls_first(), "_tie", *others)
     return (
         kept.withColumn("_n", F.row_number().over(inside) - 1)
         .withColumn("_sum", F.coalesce(F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -218,6 +218,33 @@ def test_recipes_are_held_against_the_manifest(spark, small_store, tmp_path, kin
             read(spark, path).collect()
 
 
+def test_a_store_without_its_last_run_is_found_out(spark, tmp_path, monkeypatch):
+    import shutil
+
+    monkeypatch.setattr(token_store.run_starts, "__defaults__", (10,))
+    path = f"file://{tmp_path}/s"
+    token_store.write_store(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 40"), path)
+    last = spark.read.parquet(f"{path}/manifest").selectExpr("max(run)").first()[0]
+    assert last > 1 and token_store.read_store(spark, path).count() == 40
+    for name in ("recipes", "manifest"):
+        kept = spark.read.parquet(f"{path}/{name}").where(f"run < {last}")
+        kept.write.parquet(f"file://{tmp_path}/{name}")
+        shutil.rmtree(tmp_path / "s" / name)
+        shutil.move(tmp_path / name, tmp_path / "s" / name)
+    with pytest.raises(ValueError, match="runs"):
+        token_store.read_store(spark, path).collect()
+
+
+def test_rows_of_one_id_fall_into_several_runs(spark):
+    """A null id and one text, 100,000 times, among others."""
+    rows = spark.range(130_000).selectExpr("if(id < 100000, null, id) AS doc_id", "cast(if(id < 100000, '', string(id)) AS binary) AS digests", "1L AS n_tokens")
+    placed = token_store.run_starts(rows, "doc_id", "n_tokens", ["digests"], 5000)
+    counts = sorted(r["count"] for r in placed.groupBy("run").count().collect())
+    assert counts[-1] <= 2 * counts[len(counts) // 2] and sum(counts) == 130_000
+    ends = placed.selectExpr("count(distinct place) AS n", "min(place) AS a", "max(place) AS b", "sum(int(place <> start)) AS odd", "max(if(doc_id is null, place, -1)) AS last_null").first()
+    assert tuple(ends) == (130_000, 0, 129_999, 0, 99_999)
+
+
 def test_runs_meet(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_store.run_starts, "__defaults__", (16,))
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
