@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.llm.common import read
-from sparkloom.session import table_path
+from sparkloom.session import materialise, table_path
 
 SLOTS = 4096
 #: Bytes that a record takes beside its text.
@@ -94,6 +95,23 @@ def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     return rows.withColumn("virtual_slot", F.pmod(F.conv(F.substring(hashed, 1, 15), 16, 10).cast("long"), F.lit(slots)).cast("int"))
 
 
+def spread(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """rows of with_slots, those of a doc_id and text that alone are more than a slot's share dealt to all slots, row by row.
+
+    There are `slots` such groups at most, so they are broadcast; their rows are all alike, so which goes where makes no difference.
+    """
+    same = ["doc_id", "text_crc32", "size"]
+    share = (rows.agg(F.sum("size")).first()[0] or 0) / slots
+    groups = rows.groupBy(*same).agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") * F.col("size") > share)).drop("n")
+    hot = materialise(groups.toDF(*(f"hot_{c}" for c in same)), "hot-groups")
+    if hot.isEmpty():
+        return rows
+    met = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"hot_{c}")) for c in same))
+    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(slots)).cast("int")
+    placed = rows.join(F.broadcast(hot), met, "left").withColumn("virtual_slot", F.when(F.col("hot_size").isNotNull(), dealt).otherwise(F.col("virtual_slot")))
+    return materialise(placed.select(*rows.columns), "slotted")  # each row's slot is drawn once
+
+
 def slot_sizes(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]]:
     """Bytes and rows of each slot: one pair of numbers a slot comes to the driver, whatever the input."""
     sizes, counts = [0] * slots, [0] * slots
@@ -146,12 +164,12 @@ def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, path: str | Non
     off shards beyond `shards`), and stored as its next version; else version 1 is dealt anew and stored. The rows are
     joined to that one version.
 
-    grown_shard is null, as this law has none. Rows of one doc_id and text share a virtual slot, otherwise they
-    are rows like others; ties of doc_id go by CRC, then size. doc_id may have any type. Null and empty texts have
+    grown_shard is null, as this law has none. Rows of one doc_id and text share a virtual slot, unless they are more than its share;
+    equal texts of different doc_ids are rows like others; ties of doc_id go by CRC, then size. doc_id may have any type. Null and empty texts have
     no bytes. An empty table gives an empty one; other columns are not read.
     """
     spark = docs.sparkSession
-    rows = with_slots(docs, slots)
+    rows = spread(with_slots(docs, slots), slots)
     sizes, counts = slot_sizes(rows, slots)
     path = path or table_path(spark, "slot-map")
     before = load_map(spark, path)
