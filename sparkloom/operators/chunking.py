@@ -227,12 +227,13 @@ def complete() -> F.Column:
     return whole
 
 
-def chunk_stats(chunks: DataFrame, under: int = 50, over: int = 550) -> DataFrame:
-    """One row a strategy: counts, totals, means, ranges, and how many chunks are too small, too large or complete."""
+def chunk_stats(chunks: DataFrame, under: int = 50, over: int = 550, strategies: tuple[str, ...] = ()) -> DataFrame:
+    """One row a strategy: counts, totals, means, ranges, and how many chunks are too small, too large or complete. Of the strategies named,
+    those without a chunk have zeros."""
     n = F.count("*")
     share = lambda c: F.round(F.sum(c.cast("int")) * 100.0 / n, 2)
     small, large = F.col("token_count") < under, F.col("token_count") > over
-    return chunks.groupBy("strategy").agg(
+    stats = chunks.groupBy("strategy").agg(
         n.alias("total_chunks"),
         F.sum("token_count").alias("total_tokens"),
         F.round(F.avg("token_count"), 2).alias("avg_tokens"),
@@ -247,6 +248,10 @@ def chunk_stats(chunks: DataFrame, under: int = 50, over: int = 550) -> DataFram
         share(large).alias("over_pct"),
         share(complete()).alias("complete_pct"),
     )
+    if not strategies:
+        return stats
+    named = chunks.sparkSession.createDataFrame([(s,) for s in strategies], "strategy string")
+    return named.join(stats, "strategy", "full_outer").fillna(0, [c for c in stats.columns if c != "strategy"]).select(*stats.columns)
 
 
 def contains_all(content: F.Column, phrases: F.Column) -> F.Column:

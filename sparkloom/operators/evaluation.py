@@ -180,11 +180,20 @@ def efficiency_summary(rows: DataFrame, by: str | None = None) -> DataFrame:
     )
 
 
-def tracked(events: DataFrame, by: str) -> DataFrame:
-    """Efficiency of each run from its events (kind, amount): negative amounts count as 0, and unknown tokens not at all."""
+def tracked(events: DataFrame, by: str, at: str | None = None) -> DataFrame:
+    """Efficiency of each run from its events (kind, amount): negative amounts count as 0, and unknown tokens not at all.
+
+    With the column `at`, a time, also latency_ms: from a run's first event of kind start to its last of kind stop, or, where it has
+    none, from its first event to its last; 0 if it stopped before it started.
+    """
     amount = F.greatest(F.col("amount"), F.lit(0))
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, amount)), F.lit(0))
-    return events.groupBy(by).agg(F.sum(F.when(F.col("kind") == "retrieval", 1).otherwise(0)).alias("retrieval_calls"), of("retrieval").alias("chunks_processed"), of("escalation").alias("escalation_count"), F.sum(F.when(F.col("kind") == "tokens", amount)).alias("total_tokens"))
+    timed = []
+    if at:
+        when = lambda kind: F.when(F.col("kind") == kind, F.col(at))
+        begin, end = F.coalesce(F.min(when("start")), F.min(at)), F.coalesce(F.max(when("stop")), F.max(at))
+        timed = [F.greatest((F.unix_micros(end) - F.unix_micros(begin)) / 1000, F.lit(0.0)).alias("latency_ms")]
+    return events.groupBy(by).agg(F.sum(F.when(F.col("kind") == "retrieval", 1).otherwise(0)).alias("retrieval_calls"), of("retrieval").alias("chunks_processed"), of("escalation").alias("escalation_count"), F.sum(F.when(F.col("kind") == "tokens", amount)).alias("total_tokens"), *timed)
 
 
 def efficiency_of(responses: DataFrame, metadata: str = "metadata") -> DataFrame:

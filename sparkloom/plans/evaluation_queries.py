@@ -152,10 +152,11 @@ def efficiency_summary(spark, sf_dir):
 
 
 def efficiency_tracker(spark, sf_dir):
-    """Events as a run's log: clicks retrieve, purchases escalate, the rest spend tokens; values shifted so that some are negative."""
+    """Events as a run's log: clicks retrieve, purchases escalate, the rest spend tokens; values shifted so that some are negative. A run is timed from
+    its first signup, if it has one."""
     e = read(spark, sf_dir, "events")
-    kind = F.when(F.col("event_type") == "click", "retrieval").when(F.col("event_type") == "purchase", "escalation").otherwise("tokens")
-    return longs(E.tracked(e.select("user_id", kind.alias("kind"), (F.floor("value").cast("long") - 20).alias("amount")), "user_id"))
+    kind = F.when(F.col("event_type") == "click", "retrieval").when(F.col("event_type") == "purchase", "escalation").when(F.col("event_type") == "signup", "start").otherwise("tokens")
+    return longs(E.tracked(e.select("user_id", kind.alias("kind"), (F.floor("value").cast("long") - 20).alias("amount"), F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts"))
 
 
 def usage_totals(spark, sf_dir):
@@ -243,12 +244,13 @@ def reports(spark, sf_dir):
     """Both reports, as one row of Markdown text each."""
     from sparkloom import reports as R
     from sparkloom.operators import chunking
-    from sparkloom.plans.text_queries import documents, probes
+    from sparkloom.plans.section_queries import talks
+    from sparkloom.plans.text_queries import probes
 
     r = records(spark, sf_dir)
     summary = E.system_summary(r)
-    chunks = chunking.chunk_all(documents(spark, sf_dir), ("fixed", "fixed_overlap"))
-    kept = chunking.preservation_rates(chunking.preservation(chunks, probes(spark, sf_dir).where("target_doc_id is not null")))
+    chunks = chunking.chunk_all(talks(spark, sf_dir))
+    kept = chunking.preservation_rates(chunking.preservation(chunks, probes(spark, sf_dir)))
     made = [("chunking", R.chunking_report(chunking.chunk_stats(chunks), kept)), ("evaluation", R.evaluation_report(summary, E.head_to_head(summary, _PAIRS), E.best_system(summary, _METRICS, SYSTEMS), E.grouped_metrics(r)))]
     return spark.createDataFrame(made, "report string, text string")
 
@@ -304,8 +306,9 @@ SQL = {
     "efficiency_summary": f"""WITH {_RECORDS} SELECT system, count(*) AS records, round(avg(latency_ms), 4) AS mean_latency_ms, sum(retrieval_calls)::BIGINT AS total_retrieval_calls, round(avg(retrieval_calls), 4) AS mean_retrieval_calls,
       sum(chunks_processed)::BIGINT AS total_chunks_processed, round(avg(chunks_processed), 4) AS mean_chunks_processed, sum(escalation_count)::BIGINT AS total_escalations,
       sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens, sum(total_tokens)::BIGINT AS total_tokens FROM records GROUP BY 1""",
-    "efficiency_tracker": """SELECT user_id, count(*) FILTER (k = 'r') AS retrieval_calls, coalesce(sum(a) FILTER (k = 'r'), 0)::BIGINT AS chunks_processed, coalesce(sum(a) FILTER (k = 'e'), 0)::BIGINT AS escalation_count, (sum(a) FILTER (k = 't'))::BIGINT AS total_tokens
-      FROM (SELECT user_id, CASE event_type WHEN 'click' THEN 'r' WHEN 'purchase' THEN 'e' ELSE 't' END AS k, greatest(floor(value)::BIGINT - 20, 0) AS a FROM events) GROUP BY 1""",
+    "efficiency_tracker": """SELECT user_id, count(*) FILTER (k = 'r') AS retrieval_calls, coalesce(sum(a) FILTER (k = 'r'), 0)::BIGINT AS chunks_processed, coalesce(sum(a) FILTER (k = 'e'), 0)::BIGINT AS escalation_count, (sum(a) FILTER (k = 't'))::BIGINT AS total_tokens,
+        greatest((epoch_us(max(ts)) - epoch_us(coalesce(min(ts) FILTER (k = 's'), min(ts)))) / 1000::DOUBLE, 0.0::DOUBLE) AS latency_ms
+      FROM (SELECT user_id, ts, CASE event_type WHEN 'click' THEN 'r' WHEN 'purchase' THEN 'e' WHEN 'signup' THEN 's' ELSE 't' END AS k, greatest(floor(value)::BIGINT - 20, 0) AS a FROM events) GROUP BY 1""",
     "usage_totals": r"""SELECT conv_id, (sum(n) FILTER (role = 'user'))::BIGINT AS prompt_tokens, (sum(n) FILTER (role <> 'user'))::BIGINT AS completion_tokens, sum(n)::BIGINT AS total_tokens
       FROM (SELECT conv_id, role, CASE WHEN trim(text) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) END AS n FROM conversations) GROUP BY 1""",
     "filter_benchmark": "SELECT 'b' || lpad(item_id::VARCHAR, 4, '0') AS question_id, length(text) AS n_chars FROM benchmark WHERE item_id < 40 AND item_id % 3 = 0 ORDER BY 1 LIMIT 10",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import scoring
 from sparkloom.functions import text as X
-from sparkloom.operators import answers, dense, evidence, fusion, lexical, metrics
+from sparkloom.operators import answers, dense, encoder, evidence, fusion, lexical, metrics
 from sparkloom.operators.containing import holding
 from sparkloom.plans.common import lexical_sql, longs, read
 
@@ -65,6 +65,19 @@ def dense_clustered(spark, sf_dir):
     return longs(dense.search_clustered(dense.cluster(v), asked, 5)[0])
 
 
+def encoder_recall(spark, sf_dir):
+    """How many passages' last sentences find a document with the passage among the five nearest, by the encoder trained on the documents and by hashed words."""
+    c, q, held = chunks(spark, sf_dir), tails(spark, sf_dir), truth(spark, sf_dir)
+    out = None
+    for name, model in (("trained", encoder.train(c)), ("hashed", dense.hashing_encoder())):
+        rows = dense.encode(c.select("chunk_id", "content"), model).select("chunk_id", "embedding")
+        hits = dense.search(rows, dense.encode(q, model, "query"), 5)
+        met = held.join(hits, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.max(F.col("rank").isNotNull().cast("int")).alias("found"))
+        one = met.agg(F.lit(name).alias("encoder"), F.count("*").alias("questions"), F.sum("found").alias("found"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def vector_normalize(spark, sf_dir):
     v = read(spark, sf_dir, "embeddings").withColumn("scaled", F.transform("embedding", lambda x: x.cast("double") * F.col("label")))
     return v.select("vec_id", (F.round(scoring.normalised(F.col("scaled"))[0], 6) + 0.0).alias("first"), F.round(F.aggregate(scoring.normalised(F.col("scaled")), F.lit(0.0), lambda s, x: s + x * x), 6).alias("square"))
@@ -157,7 +170,7 @@ def escalation(spark, sf_dir):
     return longs(verdicts.select("query_id", "evidence_count", "is_sufficient", "recommendation", "attempts"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_term_stats, bm25_chunk_stats, bm25_topk, dense_topk, dense_clustered, vector_normalize, rrf_fusion, hybrid_topk, rerank_overlap, retrieval_metrics, mrr_summary, context_prompt, judge_evidence, mock_answers, evidence_pool, sub_query_coverage, sufficiency, escalation)}
+QUERIES = {f.__name__: f for f in (bm25_term_stats, bm25_chunk_stats, bm25_topk, dense_topk, dense_clustered, encoder_recall, vector_normalize, rrf_fusion, hybrid_topk, rerank_overlap, retrieval_metrics, mrr_summary, context_prompt, judge_evidence, mock_answers, evidence_pool, sub_query_coverage, sufficiency, escalation)}
 
 _INDEX = f"""
 tok AS (SELECT doc_id, {lexical_sql('text')} AS w FROM documents),

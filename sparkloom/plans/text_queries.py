@@ -99,6 +99,17 @@ def chunk_stats_all(spark, sf_dir):
     return longs(chunking.chunk_stats(chunking.chunk_all(documents(spark, sf_dir), ("fixed", "fixed_overlap"))))
 
 
+#: The kinds of probes, and what a question of each asks of a passage's first words.
+ARCHETYPES = {
+    "FACT_LOOKUP": "what is said of %s?",
+    "EXPLANATION": "why does it say %s?",
+    "PROCEDURE": "how does one come to %s?",
+    "COMPARISON": "what differs from %s?",
+    "TROUBLESHOOTING": "what goes wrong with %s?",
+    "PARAMETER_API": "which value has %s?",
+}
+
+
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A probe a benchmark passage, for the first document that has it; its phrases are the first and last words of the passage."""
     words = F.split(X.strip("text"), r"\s+")
@@ -107,13 +118,14 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), F.col("text").alias("body"))
     held = holding(d, b.select(F.col("item_id").alias("passage_id"), F.col("text").alias("passage")))
     held = held.groupBy(F.col("passage_id").alias("item_id")).agg(F.min("text_id").alias("target_doc_id"))
-    return b.join(held, "item_id", "left").select(F.concat(F.lit("p"), F.col("item_id").cast("string")).alias("question_id"), F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("category"), "target_doc_id", "key_phrases")
+    kind = (F.col("item_id") % len(ARCHETYPES)).cast("int")
+    return b.join(held, "item_id", "left").select(F.concat(F.lit("p"), F.col("item_id").cast("string")).alias("question_id"), F.array(*map(F.lit, ARCHETYPES))[kind].alias("category"), "target_doc_id", "key_phrases", F.array(*(F.format_string(q, F.col("key_phrases")[0]) for q in ARCHETYPES.values()))[kind].alias("query"))
 
 
 def probe_questions(spark, sf_dir):
     """Probes with their kind, which is their category where none is given."""
     p = probes(spark, sf_dir).withColumn("given", F.when(F.length("question_id") > 2, "").otherwise("short"))
-    return p.select("question_id", "category", F.coalesce(F.nullif("given", F.lit("")), "category").alias("question_type"), "target_doc_id")
+    return p.select("question_id", "category", F.coalesce(F.nullif("given", F.lit("")), "category").alias("question_type"), "target_doc_id", "query")
 
 
 def phrase_preservation(spark, sf_dir):
@@ -219,9 +231,11 @@ def _stats(strategy: str, chunks: str) -> str:
 
 
 _WORDS_OF = "string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')"
+_KIND = f"[{', '.join(quoted(a) for a in ARCHETYPES)}][p.item_id % {len(ARCHETYPES)} + 1]"
+_ASKS = f"replace([{', '.join(quoted(q) for q in ARCHETYPES.values())}][p.item_id % {len(ARCHETYPES)} + 1], '%s', any_value(p.ph)[1])"
 PROBE_CTE = f"""
 phrases AS (SELECT item_id, text, [array_to_string(w[1:3], ' '), array_to_string(w[greatest(len(w) - 2, 1):], ' ')] AS ph FROM (SELECT item_id, text, {_WORDS_OF} AS w FROM benchmark)),
-probes AS (SELECT p.item_id, 'p' || p.item_id AS question_id, CASE WHEN p.item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category, min(d.doc_id) AS target, any_value(p.ph) AS ph
+probes AS (SELECT p.item_id, 'p' || p.item_id AS question_id, {_KIND} AS category, min(d.doc_id) AS target, any_value(p.ph) AS ph, {_ASKS} AS query
   FROM phrases p LEFT JOIN documents d ON contains(d.text, p.text) GROUP BY 1, 2, 3)
 """
 _HOLDS = "len(list_filter(ph, lambda p: NOT contains(lower(content), lower(p)))) = 0"
@@ -231,7 +245,7 @@ SQL = {
     "chunk_stats_all": f"WITH RECURSIVE {FIXED_CTE}, {OVERLAP_CTE} {_stats('fixed', 'chunks')} UNION ALL {_stats('fixed_overlap', 'o_chunks')}",
     "chunk_overlap": f"""WITH RECURSIVE {OVERLAP_CTE} SELECT doc_id || '_overlap_' || lpad(k::VARCHAR, 4, '0') AS chunk_id, 'fixed_overlap' AS strategy, doc_id::VARCHAR AS doc_id, 'doc:' || doc_id AS source_url, source AS doc_title, source AS section_title,
       1::BIGINT AS section_level, content, token_count, length(content) AS char_count, 500::BIGINT AS target_tokens, 100::BIGINT AS overlap_tokens FROM o_chunks""",
-    "probe_questions": f"WITH {PROBE_CTE} SELECT question_id, category, CASE WHEN length(question_id) > 2 THEN category ELSE 'short' END AS question_type, target AS target_doc_id FROM probes",
+    "probe_questions": f"WITH {PROBE_CTE} SELECT question_id, category, CASE WHEN length(question_id) > 2 THEN category ELSE 'short' END AS question_type, target AS target_doc_id, query FROM probes",
     "phrase_preservation": f"""WITH RECURSIVE {FIXED_CTE}, {OVERLAP_CTE}, {PROBE_CTE},
       every AS (SELECT 'fixed' AS strategy, doc_id, content FROM chunks WHERE token_count > 0 UNION ALL SELECT 'fixed_overlap', doc_id, content FROM o_chunks),
       held AS (SELECT strategy, question_id, category, max(CASE WHEN {_HOLDS} THEN 1 ELSE 0 END) AS k FROM probes JOIN every ON every.doc_id = target OR target IS NULL GROUP BY 1, 2, 3)

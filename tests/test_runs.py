@@ -87,3 +87,17 @@ def test_a_stopped_run_goes_on_where_it_was(spark, engine, tmp_path):
     undisturbed = engine.run(b, ("basic", "hybrid"), answers.FixedAnswer("an answer")).collect()
     key = lambda r: (r["question_id"], r["system"], r["generated_answer"], r["recall_at_5"], r["mrr"], r["retrieval_calls"], r["chunks_processed"])
     assert sorted(map(key, rows)) == sorted(map(key, undisturbed))
+
+
+def test_strategies_without_a_chunk_have_zeros(spark):
+    none = chunking.chunk(spark.createDataFrame([], "doc_id string, title string, content string"), "fixed")
+    rows = chunking.chunk_stats(none, strategies=("fixed", "structure_aware")).collect()
+    assert sorted(r["strategy"] for r in rows) == ["fixed", "structure_aware"] and all(v == 0 for r in rows for c, v in r.asDict().items() if c != "strategy")
+    assert chunking.chunk_stats(none).count() == 0
+
+
+def test_a_run_is_timed_by_its_events(spark):
+    rows = [("a", "start", 0, 5.0), ("a", "retrieval", -3, 6.5), ("a", "retrieval", 4, 7.0), ("a", "stop", 0, 9.25), ("b", "tokens", 7, 1.0), ("b", "tokens", None, 3.0), ("c", "stop", 0, 1.0), ("c", "start", 0, 2.0)]
+    events = spark.createDataFrame(rows, "run string, kind string, amount long, at double").withColumn("at", F.timestamp_micros((F.col("at") * 1_000_000).cast("long")))
+    got = {r["run"]: (r["latency_ms"], r["retrieval_calls"], r["chunks_processed"], r["total_tokens"]) for r in evaluation.tracked(events, "run", "at").collect()}
+    assert got == {"a": (4250.0, 2, 4, None), "b": (2000.0, 0, 0, 7), "c": (0.0, 0, 0, None)}
