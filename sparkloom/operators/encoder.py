@@ -1,8 +1,8 @@
 """A sentence encoder trained on the corpus: the leading directions of its weighted term matrix.
 
 Words are hashed to FEATURES columns; a text's row has ln(1 + count) times the column's inverse document frequency, at unit
-length. The rows' leading right singular vectors come from a randomised range finder (Halko, Martinsson and Tropp, 2011): one pass
-multiplies the matrix and its transpose into a random block, a second gives the small matrix of the products in that range, whose
+length. The rows' leading right singular vectors come from a randomised range finder (Halko, Martinsson and Tropp, 2011): passes
+multiply the matrix and its transpose into a random block, a last one gives the small matrix of the products in that range, whose
 eigenvectors the driver finds. Tasks send sums of fixed size, no texts.
 """
 
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 FEATURES = 1 << 14
 #: Columns of the random block beyond the dimension.
 MORE = 8
+#: Times that the matrix and its transpose are multiplied into the block.
+PASSES = 2
 #: Chunks that the directions are fitted to, those of the least hashed ids; document frequencies come from the same ones.
 SAMPLE = 200_000
 #: Texts whose rows are multiplied at a time.
@@ -101,13 +103,14 @@ def train(chunks: DataFrame, dimension: int = 64, text: str = "content", id_colu
     n = some.count()
     idf = np.log((n + 1) / (df + 1)) + 1
     width = dimension + MORE
-    omega = np.random.default_rng(seed).normal(size=(FEATURES, width))
+    basis = np.random.default_rng(seed).normal(size=(FEATURES, width))
+    for _ in range(PASSES):
 
-    def power(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        row, feature, value = entries = _rows(texts, idf)
-        return feature, _times(entries, len(texts), omega)[row] * value[:, None]
+        def power(texts: list[str], block: np.ndarray = basis) -> tuple[np.ndarray, np.ndarray]:
+            row, feature, value = entries = _rows(texts, idf)
+            return feature, _times(entries, len(texts), block)[row] * value[:, None]
 
-    basis, _ = np.linalg.qr(_sums(some, power, width))
+        basis, _ = np.linalg.qr(_sums(some, power, width))
 
     def gram(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         inside = _times(_rows(texts, idf), len(texts), basis)

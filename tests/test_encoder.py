@@ -11,25 +11,25 @@ def texts(n):
 
 def test_directions_are_the_leading_singular_vectors(spark):
     rows = texts(120)
-    model = encoder.train(spark.createDataFrame(rows, "chunk_id long, content string").repartition(5), dimension=4)
+    model = encoder.train(spark.createDataFrame(rows, "chunk_id long, content string").repartition(5), dimension=5)
     row, feature, value = encoder._rows([t for _, t in rows], model.idf)
     matrix = np.zeros((120, encoder.FEATURES))
     matrix[row, feature] = value
     _, singular, v = np.linalg.svd(matrix, full_matrices=False)
     kept = np.linalg.norm(matrix @ model.directions) ** 2
-    assert kept >= 0.98 * (singular[:4] ** 2).sum() and np.allclose(model.directions.T @ model.directions, np.eye(4), atol=1e-8)
+    assert kept >= 0.98 * (singular[:5] ** 2).sum() and np.allclose(model.directions.T @ model.directions, np.eye(5), atol=1e-8)
 
 
 def test_the_encoder_is_the_same_whatever_the_layout_and_tells_topics_apart(spark):
     table = spark.createDataFrame(texts(100) + [(500, None), (501, "")], "chunk_id long, content string")
-    one, other = (encoder.train(table.repartition(n), dimension=8) for n in (1, 7))
+    one, other = (encoder.train(table.repartition(n), dimension=5) for n in (1, 7))
     x = one(["w1x1 w1x2", "w1x20 w1x9", "w3x4 w3x5", "", "unknown"])
     y = other(["w1x1 w1x2", "w1x20 w1x9", "w3x4 w3x5", "", "unknown"])
     assert np.allclose(x @ x.T, y @ y.T)
     near = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
     assert near(x[0], x[1]) > 0.8 > 0.5 > near(x[0], x[2]) and not x[3].any()
-    rows = dense.encode(table, one, dimension=8).collect()
-    assert len(rows) == 102 and {len(r["embedding"]) for r in rows} == {8}
+    rows = dense.encode(table, one, dimension=5).collect()
+    assert len(rows) == 102 and {len(r["embedding"]) for r in rows} == {5}
 
 
 def test_an_encoder_of_nothing(spark):
