@@ -9,7 +9,7 @@ from sparkloom.functions.text import RUN, TOKEN
 
 
 #: Tables of texts, on which work is by the row.
-TEXTS = {"documents", "pages"}
+TEXTS = {"documents", "pages", "conversations"}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
