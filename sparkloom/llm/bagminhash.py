@@ -37,7 +37,7 @@ REGISTERS = BANDS * ROWS
 #: Registers estimate a similarity of 0.8 with a deviation of 0.036; in buckets of several classes, what they put five of those
 #: below is not compared exactly, unless `slack` is None.
 SLACK = 0.18
-#: Members of a bucket that are compared with each other in one task; a larger bucket goes block by block.
+#: Members of a bucket that are at home in one task, and those that visit it; a larger bucket goes block by block.
 BLOCK = 512
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _U53 = np.float64(2.0**-53)
@@ -165,34 +165,52 @@ def _verified(least: float):
 
 
 def _across(similarity: float, slack: float | None):
-    """Links between members of one bucket, or of two of its blocks, that bear different labels."""
+    """Links of the visitors of a bucket's block with the rows at home there that bear another label, one a visitor and label."""
 
     def links(table: pa.Table) -> pa.Table:
-        key, lo, hi = (table.column(c)[0].as_py() for c in ("key", "lo", "hi"))
-        node, label, block = (table.column(c).to_numpy() for c in ("node", "label", "block"))
+        key = table.column("key")[0].as_py()
+        node, label, main, home, visits = (table.column(c).to_numpy() for c in ("node", "label", "main", "home", "visits"))
         signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, REGISTERS)
         bags = [np.frombuffer(x, np.uint64) for x in table.column("bag").to_pylist()]
         bands = band_keys(signature)
-        names, size = np.unique(label, return_counts=True)
-        main = names[size.argmax()]
         found: list[tuple[int, int]] = []
-        for i in np.flatnonzero(label != main).tolist():
-            # each pair once: with all of the main label, and with later rows of other labels
-            others = (label != label[i]) & ((label == main) | (np.arange(len(node)) > i))
-            if lo != hi:
-                others &= block != block[i]
-            j = np.flatnonzero(others)
+        for i in np.flatnonzero(visits).tolist():
+            # each pair once: with all of the main label, and with lesser nodes of other labels
+            j = np.flatnonzero(home & (label != label[i]) & ((label == main) | (node < node[i])))
             if slack is not None:
                 j = j[(signature[j] == signature[i]).mean(axis=1) >= similarity - slack]
             same = bands[j] == bands[i]
             j = j[bands[i][same.argmax(axis=1)] == key]  # the first bucket that both are in compares them
-            found += [(int(node[i]), int(node[k])) for k in j.tolist() if overlap(bags[i], bags[k]) >= similarity]
+            met: set[int] = set()
+            for k in j.tolist():
+                if int(label[k]) not in met and overlap(bags[i], bags[k]) >= similarity:
+                    met.add(int(label[k]))
+                    found.append((int(node[i]), int(node[k])))
         a, b = ([min(p) for p in found], [max(p) for p in found])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return links
 
 
+def _dealt(placed: DataFrame) -> DataFrame:
+    """The members of buckets of several labels (key, node, label), dealt to tasks (key, lo, hi).
+
+    Each pair of labels has a member that isn't of the bucket's main label. Those few visit all blocks of the bucket, at most BLOCK of them
+    at a time; the others stay in their block. So a bucket's rows grow with its size times its blocks of visitors.
+    """
+    counted = placed.groupBy("key", "label").agg(F.count("*").alias("n"))
+    of = counted.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("most")).where("size > most.n")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = materialise(of.select("key", F.col("most.label").alias("main"), blocks(F.col("size")).alias("homes"), blocks(F.col("size") - F.col("most.n")).alias("rounds")), "mixed")
+    h = F.xxhash64("node")
+    left = placed.join(mixed, "key").withColumns({"own": F.pmod(h, F.col("homes")).cast("int"), "turn": F.pmod(F.xxhash64(h), F.col("rounds")).cast("int"), "other": F.col("label") != F.col("main")})
+    place = lambda lo, hi, home, visits: F.struct(lo.alias("lo"), hi.alias("hi"), home.alias("home"), visits.alias("visits"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    at_home = F.transform(upto("rounds"), lambda v: place(F.col("own"), v, F.lit(True), F.col("other") & (v == F.col("turn"))))
+    away = F.transform(F.filter(upto("homes"), lambda b: F.col("other") & (b != F.col("own"))), lambda b: place(b, F.col("turn"), F.lit(False), F.lit(True)))
+    return left.select("key", "node", "label", "main", F.explode(F.concat(at_home, away)).alias("at")).select("key", "at.*", "node", "label", "main")
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, slack: float | None = SLACK) -> DataFrame:
     """Per row of docs: doc_id, class_id, copy_of and n_links.
 
@@ -259,15 +277,11 @@ def _links(docs: DataFrame, nodes: DataFrame, similarity: float, slack: float |
     labels = components(edges)
     # buckets that still hold several classes
     placed = members.where("size > 2").select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    placed = materialise(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    left = materialise(placed.join(materialise(mixed, "mixed"), "key"), "left")
+    left = materialise(_dealt(materialise(placed, "placed")), "left")
     if left.isEmpty():
         return edges, labels
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    left = left.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "label")
-    full = left.join(nodes.select("node", "signature"), "node").join(bags, "node").select("key", "lo", "hi", "block", "node", "label", "signature", "bag")
+    carried = nodes.select("node", "signature").join(bags, "node")
+    full = left.join(carried, "node")
     more = materialise(full.groupBy("key", "lo", "hi").applyInArrow(_across(similarity, slack), "a long, b long"), "links")
     edges = materialise(edges.union(more).distinct(), "links")
     return edges, components(edges)

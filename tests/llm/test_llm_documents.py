@@ -907,3 +907,22 @@ def test_main_text_stays_at_either_end(inner, wrap):
 def test_whole_names_still_mark_inside_the_content(name):
     page = f"<body><article><p>{'word ' * 40}</p><div class='{name}'>not this</div><p>{'word ' * 40}</p></article></body>"
     assert "not" not in html_extract.extract(page)
+
+
+def test_only_members_of_other_labels_visit_all_blocks(spark, monkeypatch):
+    monkeypatch.setattr(bagminhash, "BLOCK", 8)
+    rows = [(1, i, 900 + i if i in (3, 40) else 900) for i in range(64)] + [(2, i, i) for i in range(20)] + [(3, i, 900) for i in range(30)]
+    dealt = bagminhash._dealt(spark.createDataFrame(rows, "key long, node long, label long")).collect()
+    one = [r for r in dealt if r["key"] == 1]
+    assert len(one) == 64 + 2 * 7  # each in all eight blocks before: 512
+    assert not [r for r in dealt if r["key"] == 3]
+    sizes = collections.Counter((r["key"], r["lo"], r["hi"]) for r in dealt)
+    groups = collections.defaultdict(list)
+    for r in dealt:
+        groups[r["key"], r["lo"], r["hi"]].append(r)
+    met = collections.Counter()
+    for group in groups.values():
+        for v in (r for r in group if r["visits"]):
+            met.update((r["key"], *sorted((r["node"], v["node"]))) for r in group if r["home"] and r["label"] != v["label"] and (r["label"] == r["main"] or r["node"] < v["node"]))
+    want = {(k, a, b) for k, a, x in rows for q, b, y in rows if k == q and a < b and x != y}
+    assert dict(met) == dict.fromkeys(want, 1) and max(sizes.values()) <= 40
