@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.session import materialise
+
 FEATURES = 1 << 14
 #: Columns of the random block beyond the dimension.
 MORE = 8
@@ -91,9 +93,17 @@ def _sums(texts: DataFrame, make, width: int) -> np.ndarray:
     return out
 
 
+def _sample(chunks: DataFrame, text: str, id_column: str, sample: int) -> DataFrame:
+    """The texts of the least hashed ids, `sample` and those that share the last one's hash. Only hashes are sorted, and the texts are
+    picked where they are."""
+    h = F.xxhash64(id_column)
+    last = chunks.select(h.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    return chunks.where(h <= F.lit(last)).select(F.col(text).alias("text"))
+
+
 def train(chunks: DataFrame, dimension: int = 64, text: str = "content", id_column: str = "chunk_id", sample: int = SAMPLE, seed: int = 7) -> TrainedEncoder:
     """The encoder of a corpus. Null texts count as empty. The sample is bounded and always the same for the same ids; of no texts all directions are zero."""
-    some = chunks.select(F.col(text).alias("text"), F.xxhash64(id_column).alias("h"), F.col(id_column).alias("id")).orderBy("h", "id").limit(sample).select("text").repartition(max(1, chunks.sparkSession.sparkContext.defaultParallelism))
+    some = materialise(_sample(chunks, text, id_column, sample).repartition(max(1, chunks.sparkSession.sparkContext.defaultParallelism)), "encoder-sample")
 
     def frequency(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [f for t in texts for f in set(map(_feature, _WORD.findall(t.lower())))]

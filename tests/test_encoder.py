@@ -35,3 +35,12 @@ def test_the_encoder_is_the_same_whatever_the_layout_and_tells_topics_apart(spar
 def test_an_encoder_of_nothing(spark):
     model = encoder.train(spark.createDataFrame([], "chunk_id long, content string"), dimension=3)
     assert not model(["a b"]).any()
+
+
+def test_only_hashes_are_sorted_for_the_sample(spark):
+    table = spark.createDataFrame(texts(200), "chunk_id long, content string").repartition(6)
+    some = encoder._sample(table, "content", "chunk_id", 50)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "Limit" not in plan
+    want = [r["content"] for r in table.selectExpr("content", "xxhash64(chunk_id) AS h").orderBy("h").limit(50).collect()]
+    assert sorted(r["text"] for r in some.collect()) == sorted(want)
