@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators.containing import automaton, passes
 from sparkloom.session import materialise
 
 _TOKEN = regex.compile(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]")
@@ -262,79 +264,61 @@ def contains_all(content: F.Column, phrases: F.Column) -> F.Column:
 PROBES, PHRASE_CHARS = 10_000, 16 << 20
 
 
-def _automaton(phrases: list[str]):
-    """A machine that finds all of them in one pass, and its words."""
-    import ahocorasick
-
-    made = ahocorasick.Automaton()
-    for i, p in enumerate(phrases):
-        made.add_word(p, i)
-    made.make_automaton()
-    return made
-
-
 def _holding(probes: list[tuple]):
-    """Of (number, document, lower-cased phrases): by strategy and probe, whether a chunk, and whether one of the probe's document, has all phrases."""
-    words = sorted({p for _, _, phrases in probes for p in phrases if p})
+    """Of (number, document, lower-cased phrases): by strategy and probe, whether a chunk is of the probe's document, and whether one, of the
+    document or not, has all phrases. A strategy with a chunk has a row without a probe."""
+    words = sorted({p for _, _, phrases in probes for p in phrases or () if p})
     number = {p: i for i, p in enumerate(words)}
-    needs = [(n, doc, {number[p] for p in phrases if p}) for n, doc, phrases in probes]
+    needs = [(n, doc, None if phrases is None else {number[p] for p in phrases if p}) for n, doc, phrases in probes]
     wanted: dict[int, list[int]] = {}  # by one phrase of each probe, its longest
-    always = []
-    for at, (_, _, need) in enumerate(needs):
+    always, of = [], {}
+    for at, (n, doc, need) in enumerate(needs):
+        if doc is not None:
+            of.setdefault(doc, []).append(n)
         if need:
             wanted.setdefault(max(need, key=lambda i: len(words[i])), []).append(at)
-        else:
+        elif need is not None:
             always.append(at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = _automaton(words) if words else None
-        seen: set[tuple[str, int, bool]] = set()
+        machine = automaton(words) if words else None
+        seen: set[tuple[str, int | None, bool, bool]] = set()
         for batch in batches:
             for strategy, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+                seen.add((strategy, None, False, False))
+                seen.update((strategy, n, True, False) for n in of.get(doc, ()))
+                if text is None:
+                    continue
                 has = {i for _, i in machine.iter(text)} if machine else set()
                 for at in [*always, *(x for i in has for x in wanted.get(i, ()))]:
                     n, own, need = needs[at]
                     if need <= has:
-                        seen.add((strategy, n, own is not None and own == doc))
-        rows = list(zip(*seen)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.bool_())], names=["strategy", "n", "own"])
+                        seen.add((strategy, n, own is not None and own == doc, True))
+        columns = list(zip(*seen)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.bool_(), pa.bool_()))], names=["strategy", "n", "own", "holds"])
 
     return run
 
 
-def _passes(probes: list[tuple]) -> Iterator[list[tuple]]:
-    some, size = [], 0
-    for probe in probes:
-        length = sum(map(len, probe[2]))
-        if some and (len(some) >= PROBES or size + length > PHRASE_CHARS):
-            yield some
-            some, size = [], 0
-        some.append(probe)
-        size += length
-    if some:
-        yield some
-
-
 def preservation(chunks: DataFrame, probes: DataFrame) -> DataFrame:
     """question_id, category, strategy, preserved: whether some chunk of the probe's document holds all its phrases.
 
     A probe whose document has no chunk, or that has none, is held against all chunks. All phrases make one automaton, which goes over each
-    chunk once, and a task sends a flag or two a probe; probes, a stated set, are taken PROBES at a time. Case doesn't count, empty
-    phrases are everywhere, and a probe with a null one is in no chunk. probes: question_id, category, target_doc_id, key_phrases.
+    chunk once, and a task sends a few flags a probe; probes, a stated set, are taken PROBES at a time, and only more of them than that read
+    the chunks again. Case doesn't count, empty phrases are everywhere, and a probe with a null one is in no chunk.
+    probes: question_id, category, target_doc_id, key_phrases.
     """
     probes = materialise(probes.select("question_id", "category", F.col("target_doc_id").cast("string").alias("target_doc_id"), F.transform("key_phrases", F.lower).alias("phrases")), "probes")
     numbered = materialise(probes.withColumn("n", F.monotonically_increasing_id()), "numbered")
-    rows = chunks.where("content is not null").select("strategy", "doc_id", F.lower("content").alias("content"))
-    schema = "strategy string, n long, own boolean"
-    found = chunks.sparkSession.createDataFrame([], schema)
-    whole = numbered.where(F.col("phrases").isNotNull() & ~F.exists("phrases", lambda p: p.isNull()))
-    for some in _passes([(r["n"], r["target_doc_id"], r["phrases"]) for r in whole.toLocalIterator()]):
-        found = found.unionByName(rows.mapInArrow(_holding(some), schema))
-    found = found.groupBy("strategy", "n").agg(F.max("own").alias("own"), F.lit(True).alias("anywhere"))
-    strategies = materialise(chunks.select("strategy").distinct(), "strategies")
-    known = chunks.select("strategy", F.col("doc_id").alias("target_doc_id"), F.lit(True).alias("known")).distinct()
-    asked = numbered.crossJoin(strategies)  # one row a strategy
-    met = asked.join(known, ["strategy", "target_doc_id"], "left").join(found, ["strategy", "n"], "left")
+    rows = chunks.select("strategy", "doc_id", F.lower("content").alias("content"))
+    schema = "strategy string, n long, own boolean, holds boolean"
+    whole = lambda p: p if p is not None and None not in p else None
+    asked = ((r["n"], r["target_doc_id"], whole(r["phrases"])) for r in numbered.toLocalIterator())
+    some = [rows.mapInArrow(_holding(x), schema) for x in passes(asked, lambda p: sum(map(len, p[2] or ())), PROBES, PHRASE_CHARS)]
+    flags = materialise(reduce(DataFrame.unionByName, some or [rows.mapInArrow(_holding([]), schema)]).distinct(), "flags")
+    strategies = flags.where("n is null").select("strategy").distinct()
+    found = flags.where("n is not null").groupBy("strategy", "n").agg(F.max(F.col("own") & ~F.col("holds")).alias("known"), F.max(F.col("own") & F.col("holds")).alias("own"), F.max("holds").alias("anywhere"))
+    met = numbered.crossJoin(strategies).join(found, ["strategy", "n"], "left")  # one row a strategy
     kept = F.when(F.col("known"), F.col("own")).otherwise(F.col("anywhere"))
     return met.select("question_id", "category", "strategy", F.coalesce(kept, F.lit(False)).alias("preserved"))
 

@@ -101,3 +101,18 @@ def test_a_run_is_timed_by_its_events(spark):
     events = spark.createDataFrame(rows, "run string, kind string, amount long, at double").withColumn("at", F.timestamp_micros((F.col("at") * 1_000_000).cast("long")))
     got = {r["run"]: (r["latency_ms"], r["retrieval_calls"], r["chunks_processed"], r["total_tokens"]) for r in evaluation.tracked(events, "run", "at").collect()}
     assert got == {"a": (4250.0, 2, 4, None), "b": (2000.0, 0, 0, 7), "c": (0.0, 0, 0, None)}
+
+
+def test_phrases_read_the_chunks_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([("s", "d1", "one two"), ("t", "d2", "two")], "strategy string, doc_id string, content string")
+    table = spark.createDataFrame([("p", "c", "d1", ["two"]), ("q", "c", "d9", ["two"])], "question_id string, category string, target_doc_id string, key_phrases array<string>")
+    got = chunking.preservation(rows.mapInArrow(count, rows.schema), table).collect()
+    assert sorted((r["question_id"], r["strategy"], r["preserved"]) for r in got) == [("p", "s", True), ("p", "t", True), ("q", "s", True), ("q", "t", True)]
+    assert reads.value == 2
