@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.scoring import judged
 from sparkloom.functions.text import snippet
+from sparkloom.operators.ranking import of_hits
+from sparkloom.session import materialise
 
 NOTHING_FOUND = "No relevant documentation excerpts were found."
 NO_EVIDENCE = "No evidence provided."
@@ -19,7 +21,8 @@ NO_EVIDENCE = "No evidence provided."
 def citations(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """hits (query_id, rank, chunk_id, score) with their chunk's texts and a snippet; a missing chunk leaves nulls."""
     keep = [c for c in ("doc_id", "doc_title", "section_title", "section_level", "source_url", "content") if c in chunks.columns]
-    return hits.join(chunks.select("chunk_id", *keep), "chunk_id", "left").withColumn("content_snippet", snippet("content"))
+    hits = materialise(hits, "cited")
+    return hits.join(of_hits(hits, chunks.select("chunk_id", *keep)), "chunk_id", "left").withColumn("content_snippet", snippet("content"))
 
 
 def contexts(questions: DataFrame, cited: DataFrame) -> DataFrame:

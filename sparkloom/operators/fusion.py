@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import lexical_tokens
-from sparkloom.operators.ranking import top_k, within
+from sparkloom.operators.ranking import of_hits, top_k, within
+from sparkloom.session import materialise
 
 RRF_K = 60
 #: What a scorer gives from question and content; larger is better.
@@ -42,7 +43,8 @@ def rerank(hits: DataFrame, questions: DataFrame, chunks: DataFrame, scorer: Sco
     limit may name a column of questions.
     """
     _positive(limit)
-    pairs = hits.join(questions.select("query_id", "query"), "query_id").join(chunks.select("chunk_id", "content"), "chunk_id")
+    hits = materialise(hits, "candidates")
+    pairs = hits.join(questions.select("query_id", "query"), "query_id").join(of_hits(hits, chunks.select("chunk_id", "content")), "chunk_id")
     scored = pairs.withColumn("rerank_score", scorer(F.col("query"), F.col("content"))).drop("rank", "score", "query", "content")
     scored = scored.withColumn("score", F.col("rerank_score"))
     return within(top_k(scored), questions, limit) if isinstance(limit, str) else top_k(scored, limit)

@@ -225,3 +225,19 @@ def test_clusters_of_nothing(spark):
     few = dense.cluster(spark.createDataFrame([(5, [0.5, 1.0])], "chunk_id long, embedding array<double>"))
     assert [tuple(r) for r in dense.search_clustered(few, one, 3)[0].select("chunk_id", "score").collect()] == [(5, 0.5)]
     assert dense.search_clustered(few, one.where("false"), 3)[0].count() == 0
+
+
+def test_chunks_of_hits_do_not_move(spark):
+    """A join by hits sends their ids to the chunks: no exchange of texts."""
+    from sparkloom.operators.ranking import of_hits
+
+    chunks = spark.range(2000).selectExpr("id AS chunk_id", "concat('text ', id) AS content")
+    hits = spark.createDataFrame([(1, 5), (2, 5), (2, 7), (3, 9999)], "query_id long, chunk_id long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = of_hits(hits, chunks)
+        assert sorted(map(tuple, got.collect())) == [(5, "text 5"), (7, "text 7")]
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
