@@ -241,3 +241,18 @@ def test_chunks_of_hits_do_not_move(spark):
         assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_terms_are_counted_where_the_text_is(spark):
+    """The index of the words that the column expression gives, with one exchange: that of the texts."""
+    from sparkloom.functions.text import lexical_tokens
+
+    texts = ["a b a", "Åb ab_1 Ab", "x²y x y", "Kelvin K k", "", None, "一 two two", "é e", "DE deßen Ⅷ 9", "٠١ 12"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string")
+    want = {r["chunk_id"]: r["w"] or [] for r in rows.select("chunk_id", lexical_tokens("content").alias("w")).collect()}
+    assert {i: lexical.words(t) for i, t in enumerate(texts)} == want
+    counted = lexical.term_frequencies(rows.withColumn("block", F.lit(0).cast("long")))
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    got = lexical.build(rows)
+    assert {(r["chunk_id"], r["term"]): r["tf"] for r in got.postings.collect()} == {(i, t): w.count(t) for i, w in want.items() for t in w}
+    assert {r["chunk_id"]: r["dl"] for r in got.chunks.collect()} == {i: len(w) for i, w in want.items()}
