@@ -18,7 +18,7 @@ from sparkloom.plans.common import lexical_sql, longs, quoted, read
 from sparkloom.plans.evaluation_queries import SQL as EVALUATION_SQL
 from sparkloom.plans.evaluation_queries import set_sql
 from sparkloom.plans.evaluation_queries import system_summary as summary_query
-from sparkloom.plans.retrieval_queries import _BASE, _OVERLAP, _PARTS, _POOL, _RRF, _TRUTH, _measures, _pooled, _ranked, chunks, passages, tails, truth
+from sparkloom.plans.retrieval_queries import _BASE, _OVERLAP, _PARTS, _POOL, _RRF, _TRUTH, _measures, _pooled, _ranked, chunks, passages, shared, tails, truth
 from sparkloom.plans.text_queries import FIXED_CTE, documents
 from sparkloom.session import table_path
 from sparkloom.sources import tables
@@ -37,7 +37,9 @@ def letter_encoder(texts: list[str]) -> np.ndarray:
 
 def _engine(spark: SparkSession, sf_dir: str) -> Engine:
     """Documents as chunks, indexed at a path and read from there."""
-    return Engine.build(chunks(spark, sf_dir), letter_encoder, Settings(dimension=len(LETTERS)), table_path(spark, "index"))
+    engine = Engine.build(chunks(spark, sf_dir), letter_encoder, Settings(dimension=len(LETTERS)), table_path(spark, "index"))
+    engine.scorer = shared
+    return engine
 
 
 def index_manifest(spark, sf_dir):
@@ -260,7 +262,7 @@ def evidence_hits(spark, sf_dir):
 def pool_rerank(spark, sf_dir):
     """Pooled evidence with the reranker's score for the even documents; the others keep their first."""
     pooled = _pooled(spark, sf_dir)[1]
-    scored = fusion.rerank(pooled.select("query_id", "chunk_id", F.col("initial_score").alias("score")), passages(spark, sf_dir), chunks(spark, sf_dir)).where(F.col("chunk_id") % 2 == 0)
+    scored = fusion.rerank(pooled.select("query_id", "chunk_id", F.col("initial_score").alias("score")), passages(spark, sf_dir), chunks(spark, sf_dir), shared).where(F.col("chunk_id") % 2 == 0)
     return evidence.reranked(pooled, scored.select("query_id", "chunk_id", "rerank_score")).select("query_id", "chunk_id", "initial_score", "rerank_score", "final_score")
 
 

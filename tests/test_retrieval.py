@@ -256,3 +256,12 @@ def test_terms_are_counted_where_the_text_is(spark):
     got = lexical.build(rows)
     assert {(r["chunk_id"], r["term"]): r["tf"] for r in got.postings.collect()} == {(i, t): w.count(t) for i, w in want.items() for t in w}
     assert {r["chunk_id"]: r["dl"] for r in got.chunks.collect()} == {i: len(w) for i, w in want.items()}
+
+
+def test_a_question_without_words_has_no_share(spark):
+    import math
+
+    from sparkloom.plans.retrieval_queries import shared
+
+    got = spark.createDataFrame([("é ñ", "x"), ("x y", "x")], "q string, c string").select(shared(F.col("q"), F.col("c")).alias("s")).collect()
+    assert math.isnan(got[0]["s"]) and got[1]["s"] == 0.5
