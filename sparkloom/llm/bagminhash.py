@@ -11,8 +11,8 @@ signature costs about REGISTERS * ln REGISTERS points, however long the text.
 
 Signatures are cut into bands; texts with an equal band meet in a bucket. Each member is compared
 with its bucket's head, exactly, on the two multisets. Then buckets whose members
-still lie in different classes are gone through again: all their pairs across classes
-not yet compared are. So every pair with a common band is either compared or already
+still lie in different classes are gone through again: pairs across classes not yet compared are, until
+one links the member to the other class. So every pair with a common band is either compared or already
 in one class: no link between classes is lost, and members of one class are not compared all with all.
 """
 
