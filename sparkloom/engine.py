@@ -64,9 +64,8 @@ class Engine:
         spark = chunks.sparkSession
         chunks = chunks if path is None else _kept(chunks, f"{path}/chunks")
         vectors = dense.encode(chunks.select("chunk_id", "content"), encoder, dimension=settings.dimension).select("chunk_id", "embedding")
-        index = lexical.build(chunks)
+        index = lexical.build(chunks, path=path and f"{path}/lexical", by_id=False)
         if path is not None:
-            index.write(f"{path}/lexical")
             dense.build(vectors, f"{path}/vectors")
             built = Engine.load(spark, path, encoder, settings)
             built._manifest(path)
@@ -82,7 +81,8 @@ class Engine:
         """Written last, with the counts of each table and how many hits a smoke question, the first chunk's own text, has by either index."""
         smoke = self.chunks.where(F.trim("content") != "").orderBy("chunk_id").limit(1).select(F.lit(1).alias("query_id"), F.substring("content", 1, 200).alias("query"))
         counts = [F.lit(self.settings.dimension).alias("dimension")]
-        counts += [F.lit(table.count()).alias(name) for name, table in (("chunks", self.chunks), ("vectors", self.vectors), ("terms", self.index.terms), ("postings", self.index.postings))]
+        counts += [F.lit(table.count()).alias(name) for name, table in (("chunks", self.chunks), ("vectors", self.vectors), ("terms", self.index.terms))]
+        counts.append(F.lit(self.index.n_postings).cast("long").alias("postings"))
         counts += [F.lit(self.search(smoke, method, 1).count()).alias(f"{method}_smoke_hits") for method in ("dense", "bm25")]
         self.spark.range(1).select(*counts).write.mode("errorifexists").json(f"{path}/manifest")
 

@@ -85,7 +85,7 @@ def vector_index_round_trip(spark, sf_dir):
 
 def bm25_index_round_trip(spark, sf_dir):
     path = table_path(spark, "lexical")
-    lexical.build(chunks(spark, sf_dir)).write(path)
+    lexical.build(chunks(spark, sf_dir), path=path, by_id=False)
     return longs(lexical.search(lexical.LexicalIndex.read(spark, path), tails(spark, sf_dir), 3))
 
 

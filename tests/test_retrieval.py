@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -265,3 +266,26 @@ def test_a_question_without_words_has_no_share(spark):
 
     got = spark.createDataFrame([("é ñ", "x"), ("x y", "x")], "q string, c string").select(shared(F.col("q"), F.col("c")).alias("s")).collect()
     assert math.isnan(got[0]["s"]) and got[1]["s"] == 0.5
+
+
+def test_a_block_has_one_row_a_term(spark, monkeypatch):
+    """Postings are packed: as many rows as terms and blocks, whatever a term's postings; the texts aren't exchanged."""
+    texts = [(f"c{i:03d}", "common words " + f"w{i % 3} " * (i % 4)) for i in range(200)]
+    chunks = spark.createDataFrame(texts, "chunk_id string, content string").coalesce(1)
+    index = lexical.build(chunks, block=100)
+    assert index.blocks.where("term is not null").count() == 2 * 5 and index.n_postings == index.postings.count() == 550
+    monkeypatch.setattr(lexical, "POSTINGS", 50)
+    parted = lexical.build(chunks, block=100)
+    assert parted.blocks.where("term is not null").count() > 10
+    asked = ask(spark, "w0 common", "w1 w1 w2", "none")
+    want = sorted(map(tuple, lexical.search(index, asked, 7).select("query_id", "rank", "chunk_id", "score").collect()))
+    for some, skip in ((index, True), (parted, False), (parted, True), (lexical.build(chunks, block=100, by_id=False), False)):
+        assert sorted(map(tuple, lexical.search(some, asked, 7, skip=skip).select("query_id", "rank", "chunk_id", "score").collect())) == want
+    rows = spark.range(50).selectExpr("id AS chunk_id", "'a b' AS content", "id DIV 10 AS block").sortWithinPartitions("chunk_id")
+    assert "Exchange" not in lexical.term_frequencies(rows)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_two_letters_lower_to_other_kinds():
+    """Words are cut before they are lower-cased byte by byte: of what is outside ASCII nothing may become an ASCII word."""
+    chars = [chr(c) for c in range(1, 0x3000)]
+    assert lexical.words("".join(f"A{c}b " for c in chars)) == [w.lower() for c in chars for w in re.findall(r"\w+", f"A{c}b") if w.isascii()]
