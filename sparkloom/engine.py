@@ -66,7 +66,7 @@ class Engine:
         vectors = dense.encode(chunks.select("chunk_id", "content"), encoder, dimension=settings.dimension).select("chunk_id", "embedding")
         index = lexical.build(chunks, path=path and f"{path}/lexical", by_id=False)
         if path is not None:
-            dense.build(vectors, f"{path}/vectors")
+            dense.build(materialise(vectors, "vectors"), f"{path}/vectors")  # read twice there
             built = Engine.load(spark, path, encoder, settings)
             built._manifest(path)
             return built

@@ -90,6 +90,22 @@ def test_records_count_what_ran(spark):
     assert {r["retrieval_calls"] for r in rows if r["system"] == "hybrid_rag"} == {2} and {r["chunks_processed"] for r in rows if r["system"] == "hybrid_rag"} == {2}
 
 
+def test_a_chunk_is_encoded_once_for_an_index_at_a_path(spark, tmp_path):
+    """The check of the vectors' lengths and their writing share one encoding; the manifest's smoke question is one text more."""
+    log = tmp_path / "encoded"
+
+    def encoder(texts):
+        import numpy as np
+
+        with open(log, "a") as f:
+            f.write("x" * len(texts))
+        return np.ones((len(texts), 2), np.float32)
+
+    chunks = spark.createDataFrame([(f"c{i}", f"word {i}") for i in range(20)], "chunk_id string, content string")
+    Engine.build(chunks, encoder, Settings(dimension=2), f"file://{tmp_path}/index")
+    assert log.stat().st_size == 20 + 1
+
+
 def test_plan_driven_retrieval_refuses_other_strategies(engine, asked):
     plans = engine.route(asked)
     able = plans.where("strategy <> 'MULTI_STEP'")

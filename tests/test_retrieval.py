@@ -289,3 +289,24 @@ def test_only_two_letters_lower_to_other_kinds():
     """Words are cut before they are lower-cased byte by byte: of what is outside ASCII nothing may become an ASCII word."""
     chars = [chr(c) for c in range(1, 0x3000)]
     assert lexical.words("".join(f"A{c}b " for c in chars)) == [w.lower() for c in chars for w in re.findall(r"\w+", f"A{c}b") if w.isascii()]
+
+
+def test_texts_cut_at_once_have_the_words_of_each(spark):
+    """Words don't run from one text into the next, parting characters part them inside a run, and postings are bytes, not arrays."""
+    import random
+
+    import pyarrow as pa
+
+    draw = random.Random(1)
+    some = ["".join(draw.choice("aAbB_09 .,-\n\x00\x1c\x7fé—ßKİ一\u3000\xa0\u0301Ⅷ²😀٠") for _ in range(draw.choice((0, 1, 3, 10, 40)))) for _ in range(400)]
+    texts = pa.array(["cut", None, "ab", "cd", "", "a—b—a", "é", "x", *some, "", None], pa.string())
+    for held in (texts, texts.slice(1), texts.slice(3, 1), texts.slice(0, 0), texts.slice(len(texts) - 2)):
+        names, code, at, tf, sizes = lexical.counted(held)
+        want = {(i, w): found.count(w) for i, found in enumerate(map(lexical.words, held.to_pylist())) for w in found}
+        assert dict(zip(zip(at.tolist(), names.take(pa.array(code)).to_pylist()), tf.tolist())) == want and len(code) == len(want)
+        assert sizes.tolist() == [len(lexical.words(t)) for t in held.to_pylist()] and set(names.to_pylist()) == {w for _, w in want}
+    index = lexical.build(spark.createDataFrame(CHUNKS, "chunk_id string, content string"))
+    kinds = dict(index.blocks.dtypes)
+    assert {kinds[c] for c in ("places", "tf", "dl")} == {"binary"}
+    row = index.blocks.where("term = 'alpha'").first()
+    assert (lexical.numbers(pa.array([row["tf"]])).tolist(), lexical.numbers(pa.array([row["dl"]])).tolist()) == ([1], [7])
