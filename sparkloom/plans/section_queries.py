@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import chunking
 from sparkloom.plans.common import longs, paragraphs_sql, read, sentences_sql, strip_sql, tokens_sql
-from sparkloom.plans.text_queries import HTML_CTE
-from sparkloom.sources import html
+from sparkloom.plans.text_queries import HTML_CTE, cleaned
 
 
 def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +33,7 @@ def chunk_structure(spark, sf_dir):
 
 
 def chunk_structure_pages(spark, sf_dir):
-    return longs(chunking.chunk(html.clean_pages(read(spark, sf_dir, "pages")), "structure_aware").drop("target_tokens", "overlap_tokens"))
+    return longs(chunking.chunk(cleaned(spark, sf_dir), "structure_aware").drop("target_tokens", "overlap_tokens"))
 
 
 _KEPT = ("chunk_id", "doc_id", "section_title", "section_level", "token_count", "char_count", "content")
