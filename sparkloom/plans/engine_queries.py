@@ -285,10 +285,13 @@ def plain_decompose(spark, sf_dir):
 
 
 def run_progress(spark, sf_dir):
-    """Progress of a run whose records are the events: odd ones are resumed, their value is the seconds."""
+    """Progress of a run whose records are the events: odd ones are resumed, their value is the seconds. As in the SQL, a time below
+    zero is given in seconds, and there is none before the first record."""
     e = read(spark, sf_dir, "events").select((F.col("event_id") % 2 == 1).alias("resumed"), F.abs("value").alias("seconds"))
     p = evaluation.progress(e, 1_000_000)
-    return longs(p.select("done", "executed", "remaining", F.round("mean_seconds", 4).alias("mean_seconds"), scoring.duration(F.floor("eta_seconds")).alias("eta")))
+    left = F.floor("eta_seconds")
+    eta = F.when(left < 0, F.concat(left.cast("string"), F.lit("s"))).when(left >= 0, scoring.duration(left))
+    return longs(p.select("done", "executed", "remaining", F.round("mean_seconds", 4).alias("mean_seconds"), eta.alias("eta")))
 
 
 def search_guards(spark, sf_dir):
