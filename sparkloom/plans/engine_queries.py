@@ -295,10 +295,11 @@ def run_progress(spark, sf_dir):
 
 
 def search_guards(spark, sf_dir):
-    """Every third question is blank or null: it has no hit by any method, the others have one."""
+    """Every third question is blank or null: it has no hit by any method, the others have one. The others are whole passages, as a last
+    sentence may be without a word that BM25 knows, and then it has no hit there."""
     engine = _engine(spark, sf_dir)
     key = F.col("query_id")
-    asked = tails(spark, sf_dir).withColumn("query", F.when(key % 6 == 0, F.lit("   ")).when(key % 6 == 3, F.lit(None).cast("string")).otherwise(F.col("query")))
+    asked = passages(spark, sf_dir).withColumn("query", F.when(key % 6 == 0, F.lit("   ")).when(key % 6 == 3, F.lit(None).cast("string")).otherwise(F.col("query")))
     out = [engine.search(asked, m, 1).groupBy(F.lit(m).alias("method")).agg(F.count("*").alias("hits"), F.countDistinct("query_id").alias("questions")) for m in ("dense", "bm25", "hybrid")]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
