@@ -44,3 +44,22 @@ def test_only_hashes_are_sorted_for_the_sample(spark):
     assert "TakeOrdered" not in plan and "Limit" not in plan
     want = [r["content"] for r in table.selectExpr("content", "xxhash64(chunk_id) AS h").orderBy("h").limit(50).collect()]
     assert sorted(r["text"] for r in some.collect()) == sorted(want)
+
+
+def test_all_chunks_are_learnt_from(spark, monkeypatch):
+    monkeypatch.setattr(encoder, "_sample", lambda *_: (_ for _ in ()).throw(AssertionError("a sample")))
+    table = spark.createDataFrame(texts(90), "chunk_id long, content string").repartition(3)
+    model = encoder.train(table, dimension=5)
+    df = np.bincount([f for _, t in texts(90) for f in {encoder._feature(w) for w in t.split()}], minlength=encoder.FEATURES)
+    assert np.allclose(model.idf, np.log(91 / (df + 1)) + 1)
+
+
+def test_a_sample_is_only_taken_if_asked_for(spark):
+    table = spark.createDataFrame(texts(90), "chunk_id long, content string").repartition(3)
+    assert (encoder.train(table, dimension=5, sample=20).idf != encoder.train(table, dimension=5).idf).any()
+
+
+def test_many_texts_are_encoded_block_by_block():
+    model = encoder.TrainedEncoder(np.ones(encoder.FEATURES), np.random.default_rng(1).normal(size=(encoder.FEATURES, 3)))
+    some = [f"word{i} word{i % 7} word" for i in range(2 * encoder.BLOCK + 5)]
+    assert np.allclose(model(some), np.concatenate([model([t]) for t in some])) and model([]).shape == (0, 3)
