@@ -29,7 +29,7 @@ MORE = 8
 #: Times that the matrix and its transpose are multiplied into the block.
 PASSES = 2
 #: Texts whose rows are multiplied at a time.
-BLOCK = 512
+BLOCK = 128
 
 _WORD = re.compile(r"[a-z0-9_]+")
 
@@ -63,7 +63,7 @@ def _rows(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _matrix(entries: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> np.ndarray:
-    """The n rows with all their columns: of BLOCK texts 64 MB, whatever their length."""
+    """The n rows with all their columns: of BLOCK texts 16 MB, whatever their length."""
     row, feature, value = entries
     out = np.zeros((n, FEATURES))
     out[row, feature] = value
